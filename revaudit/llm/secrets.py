@@ -352,10 +352,9 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rules:
 
     A null or empty text has none. Null and repeated keys stay; other columns are not read.
     """
-    compile_rules(rules)  # here, so that a bad rule fails at once
+    scanner = compile_rules(rules)
 
     def run(keys: list, texts: list) -> list[list]:
-        scanner = compile_rules(rules)
         kinds = [r.kind for r in rules]
         return [keys, [[{"kind": kinds[r], "start": a, "end": b} for a, r, b in to_code_points(t, spans(scanner, t))] if t else [] for t in texts]]
 
@@ -366,10 +365,11 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", rules:
 def digest(found: DataFrame, key: str = "doc_id", base: tuple[str, ...] = ("assign", "access", "hex")) -> DataFrame:
     """Counts of the base kinds and both span lists as text: the base one hashed, the whole one in full."""
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    of = lambda kind: lambda s: s.kind == kind
     own = F.filter("spans", lambda s: s.kind.isin(*base))
     return found.select(
         key,
-        *(F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in base),
+        *(F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(joined(own), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size("spans").cast("long").alias("n_spans"),
