@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, repetition, secrets, sharding, toxicity, warc
+from . import bpe, media, mixing, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -28,6 +29,17 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir), outputs=False)
 
 
+#: The tree of the mix: a source belongs to a domain by its number.
+DOMAIN = F.when(F.col("source").rlike("^src[0-6]$"), "web").when(F.col("source").rlike("^src([7-9]|1[0-3])$"), "books").otherwise("reference")
+LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+WEIGHTS = {"domain": {"web": 5, "books": 3, "reference": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2}}
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), LEVELS, WEIGHTS)
+    return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epoch")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
@@ -44,9 +56,40 @@ QUERIES = {
     "op3_ring_shards": op3_ring_shards,
     "op5_warc": op5_warc,
     "op6_media_columns": op6_media_columns,
+    "op7_mix": op7_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 #: Those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix": r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-6]$') THEN 'web' WHEN regexp_matches(source, '^src([7-9]|1[0-3])$') THEN 'books' ELSE 'reference' END AS dom,
+         lang, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS tok
+  FROM documents),
+leaf AS (SELECT dom, lang, source, CAST(sum(tok) AS BIGINT) AS tok, CAST(2 * sum(tok) AS BIGINT) AS supply FROM d GROUP BY ALL),
+n1 AS (SELECT dom, CAST(sum(supply) AS BIGINT) AS supply, CASE dom WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END AS w, (SELECT CAST(sum(tok) AS BIGINT) FROM leaf) AS b FROM leaf GROUP BY dom),
+o1 AS (SELECT *, row_number() OVER o AS rn, greatest(b - coalesce(sum(supply) OVER p, 0), 0) AS lef, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS rw FROM n1
+  WINDOW o AS (ORDER BY supply / w, dom NULLS FIRST), p AS (ORDER BY supply / w, dom NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f1 AS (SELECT min(rn) AS rn, arg_min(lef, rn) AS lef, arg_min(rw, rn) AS rw FROM o1 WHERE supply * rw > lef * w),
+g1 AS (SELECT o1.dom, CASE WHEN f1.rn IS NULL OR o1.rn < f1.rn THEN supply ELSE f1.lef * w // f1.rw END AS b FROM o1, f1),
+n2 AS (SELECT l.dom, lang, CAST(sum(supply) AS BIGINT) AS supply, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS w, any_value(g1.b) AS b FROM leaf l JOIN g1 ON l.dom IS NOT DISTINCT FROM g1.dom GROUP BY l.dom, lang),
+o2 AS (SELECT *, row_number() OVER o AS rn, greatest(b - coalesce(sum(supply) OVER p, 0), 0) AS lef, sum(w) OVER (PARTITION BY dom) - coalesce(sum(w) OVER p, 0) AS rw FROM n2
+  WINDOW o AS (PARTITION BY dom ORDER BY supply / w, lang NULLS FIRST), p AS (PARTITION BY dom ORDER BY supply / w, lang NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f2 AS (SELECT dom, min(rn) AS rn, arg_min(lef, rn) AS lef, arg_min(rw, rn) AS rw FROM o2 WHERE supply * rw > lef * w GROUP BY dom),
+g2 AS (SELECT o2.dom, o2.lang, CASE WHEN f2.rn IS NULL OR o2.rn < f2.rn THEN supply ELSE f2.lef * w // f2.rw END AS b FROM o2 LEFT JOIN f2 ON o2.dom IS NOT DISTINCT FROM f2.dom),
+n3 AS (SELECT l.dom, l.lang, l.source, l.tok, l.supply, CASE WHEN l.source = 'src0' THEN 2 ELSE 1 END AS w, g2.b FROM leaf l JOIN g2 ON l.dom IS NOT DISTINCT FROM g2.dom AND l.lang IS NOT DISTINCT FROM g2.lang),
+o3 AS (SELECT *, row_number() OVER o AS rn, greatest(b - coalesce(sum(supply) OVER p, 0), 0) AS lef, sum(w) OVER (PARTITION BY dom, lang) - coalesce(sum(w) OVER p, 0) AS rw FROM n3
+  WINDOW o AS (PARTITION BY dom, lang ORDER BY supply / w, source NULLS FIRST), p AS (PARTITION BY dom, lang ORDER BY supply / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f3 AS (SELECT dom, lang, min(rn) AS rn, arg_min(lef, rn) AS lef, arg_min(rw, rn) AS rw FROM o3 WHERE supply * rw > lef * w GROUP BY dom, lang),
+g3 AS (SELECT o3.dom, o3.lang, o3.source, tok, CASE WHEN f3.rn IS NULL OR o3.rn < f3.rn THEN supply ELSE f3.lef * w // f3.rw END AS target FROM o3 LEFT JOIN f3 ON o3.dom IS NOT DISTINCT FROM f3.dom AND o3.lang IS NOT DISTINCT FROM f3.lang),
+t AS (SELECT *, CASE WHEN tok > 0 THEN target // tok ELSE 2 END AS whole, CASE WHEN tok > 0 THEN target % tok ELSE 0 END AS rest FROM g3),
+k AS (SELECT d.*, t.whole, t.rest, md5(concat('7:', CAST(t.whole AS BIGINT), ':', coalesce(CAST(doc_id AS VARCHAR), 'none'))) AS o
+  FROM d JOIN t ON d.dom IS NOT DISTINCT FROM t.dom AND d.lang IS NOT DISTINCT FROM t.lang AND d.source IS NOT DISTINCT FROM t.source),
+s AS (SELECT *, sum(tok) OVER (PARTITION BY dom, lang, source ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
+c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM s)
+SELECT doc_id, dom AS mix_domain, lang AS mix_lang, source AS mix_source, tok AS mix_tokens, CAST(e AS INTEGER) AS mix_epoch
+FROM (SELECT *, unnest(range(0, copies)) AS e FROM c)
+""",
+}
