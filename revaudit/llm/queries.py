@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, repetition, secrets, sharding, toxicity, warc
+from . import bpe, line_dedup, media, mixing, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -21,6 +21,11 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "dropped_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_ring_shards": op3_ring_shards,
+    "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_media_columns": op6_media_columns,
     "op7_mix": op7_mix,
