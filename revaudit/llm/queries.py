@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, repetition, secrets, sharding, toxicity, warc
+from . import bpe, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epoch")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_media_columns": op6_media_columns,
     "op7_mix": op7_mix,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
