@@ -8,9 +8,14 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
-@F.pandas_udf("added int, deleted int, replaced int")
+def _fields(kind, *names: str) -> StructType:
+    return StructType([StructField(n, kind) for n in names])
+
+
+@F.pandas_udf(_fields(IntegerType(), "added", "deleted", "replaced"))
 def line_diff_counts(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added, deleted and replaced; a replacement counts in all three, by its longer side in the third. A null
     counts as the text ``nan``."""
@@ -26,13 +31,13 @@ def line_diff_counts(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["added", "deleted", "replaced"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """A unified diff of two states, named ``S_t`` and ``S_t+1``; empty where nothing changed."""
     return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), "S_t", "S_t+1")) for a, b in zip(old, new)], dtype=object)
 
 
-@F.pandas_udf("items array<string>, reason string")
+@F.pandas_udf(StructType([StructField("items", ArrayType(StringType())), StructField("reason", StringType())]))
 def strict_json_list(text: pd.Series) -> pd.DataFrame:
     """Items of a JSON list as texts, or why it is none, by a strict parser: nothing may follow the list."""
     rows = []
@@ -55,12 +60,12 @@ def canonical(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else canonical(json.loads(t)) for t in text], dtype=object)
 
 
-@F.pandas_udf("stated string, computed string")
+@F.pandas_udf(_fields(StringType(), "stated", "computed"))
 def packet_hash(text: pd.Series) -> pd.DataFrame:
     """The hash that a JSON packet states in ``packet_sha256`` and that of its canonical form without this key."""
     rows = []
