@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percent: int) -> DataFrame:
-    """Links (a, b) between classes of ``entries`` (sig, c, root) that aren't in one component: every class outside the
-    largest component of one of its groups, against all classes of ``entries``."""
+    """Pairs (a, b) of components, by their roots, that a link joins: every class of ``entries`` (sig, c, root) outside
+    the largest component of one of its groups, against all classes of ``entries``."""
     counts = entries.groupBy("sig", "root").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "root"))
     minor = counts.withColumn("at", rank).filter("at > 1").select("sig", "root")
@@ -275,7 +275,7 @@ def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percen
     def compare(batches):
         for batch in batches:
             rows = [(c, root, np.array(x, np.int64)) for c, root, x in zip(*(y.to_pylist() for y in batch.columns))]
-            found: list[tuple] = []
+            found: set[tuple] = set()
             for block in blocks():
                 # An inverted index of the block: its elements in order, and whose they are.
                 element = np.concatenate([x for _, _, x in block])
@@ -290,9 +290,8 @@ def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percen
                     at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
                     both = np.bincount(whose[at], minlength=len(block))
                     ok = (100 * both >= percent * (sizes + len(x) - both)) & (roots != root)
-                    found += [(min(c, block[k][0]), max(c, block[k][0])) for k in np.flatnonzero(ok)]
+                    found.update((min(root, int(r)), max(root, int(r))) for r in set(roots[ok].tolist()))
             if found:
-                found = list(set(found))
                 yield pa.RecordBatch.from_arrays([pa.array(y, f.type) for y, f in zip(zip(*found), arrow)], schema=arrow)
 
     return written(members.repartition(max(8, spark.sparkContext.defaultParallelism * 2)).mapInArrow(compare, schema).distinct(), "more")

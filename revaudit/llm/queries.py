@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
@@ -35,13 +35,16 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tree of the mix: a source belongs to a domain by its number.
-DOMAIN = F.when(F.col("source").rlike("^src[0-6]$"), "web").when(F.col("source").rlike("^src([7-9]|1[0-3])$"), "books").otherwise("reference")
-LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+def levels() -> dict[str, Column]:
+    domain = F.when(F.col("source").rlike("^src[0-6]$"), "web").when(F.col("source").rlike("^src([7-9]|1[0-3])$"), "books").otherwise("reference")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 WEIGHTS = {"domain": {"web": 5, "books": 3, "reference": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2}}
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), LEVELS, WEIGHTS)
+    mixed = mixing.mix(documents(spark, sf_dir), levels(), WEIGHTS)
     return mixed.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "mix_epoch")
 
 
