@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from revaudit.llm import bpe, line_dedup, mixing, ngram_join, repetition
 from revaudit.llm.common import written
-from revaudit.llm.queries import LEVELS, WEIGHTS
+from revaudit.llm.queries import WEIGHTS, levels
 
 #: Dropped documents up to this number are broadcast as a list of keys; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, shared out by the target weights, each document at most once."""
-    return mixing.mix(docs, LEVELS, WEIGHTS, budget_percent=90, epochs=1).select(*docs.columns)
+    return mixing.mix(docs, levels(), WEIGHTS, budget_percent=90, epochs=1).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
