@@ -41,7 +41,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
     The number is the row's position in one unsplit file, so this is for files of a size that one task reads.
     """
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     v = F.try_parse_json("line")
     return lines.filter((F.trim("line") != "") & ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).select("file", (F.col("i") + 1).alias("line_number"), "line")
 
