@@ -53,7 +53,7 @@ class Settings:
     chi: float = 25.0
     penalty: float = 4.0
     ridge: float = 0.3
-    steps: int = 300
+    steps: int = 600
     swaps: int = 3
     terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
 
@@ -129,29 +129,34 @@ class Model:
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], width: int, s: Settings) -> np.ndarray:
     """Weights, the bias first, of the regularised logistic regression. ``rows``: features of each text; ``swapped``:
-    (row, features of one of its counterfactuals). Gradient steps with momentum from zero: the same every time."""
+    (row, features of one of its counterfactuals). Accelerated gradient steps from zero: the same every time."""
 
     def flat(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(groups)), [len(g) for g in groups]), np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)
 
     n, m = len(rows), len(swapped)
     at, col = flat(rows)
-    pair, (at2, col2) = np.array([r for r, _ in swapped], np.int64), flat([g for _, g in swapped])
-    w, speed = np.zeros(width), np.zeros(width)
-    scale = np.sqrt(np.bincount(col, minlength=width) + 1.0)  # frequent features step less
-    scale[0] = np.sqrt(n + 1.0)
+    # Of a counterfactual only what differs counts: features that it loses (+1) and that it gains (-1).
+    lost, won = [np.setdiff1d(rows[r], g) for r, g in swapped], [np.setdiff1d(g, rows[r]) for r, g in swapped]
+    (at_lost, col_lost), (at_won, col_won) = flat(lost), flat(won)
+    # Steps from a bound of the curvature, row sums of absolute values, so that they cannot overshoot.
+    size = np.array([len(g) + 1.0 for g in rows])
+    change = np.array([len(a) + len(b) for a, b in zip(lost, won)], float)
+    bound = 0.25 * np.bincount(col, size[at], width) + s.ridge + 1e-9
+    bound += 2 * s.penalty * (np.bincount(col_lost, change[at_lost], width) + np.bincount(col_won, change[at_won], width))
+    bound[0] = 0.25 * size.sum() + 1e-9
+    w, old = np.zeros(width), np.zeros(width)
     for k in range(s.steps if n else 0):
-        z = w[0] + np.bincount(at, w[col], n)
+        v = w + (w - old) * (k / (k + 3))  # accelerated
+        z = v[0] + np.bincount(at, v[col], n)
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
         grad = np.bincount(col, error[at], width)
         grad[0] = error.sum()
         if m:
-            gap = z[pair] - w[0] - np.bincount(at2, w[col2], m)
-            full = np.bincount(pair, gap, n)
-            grad += 2 * s.penalty * (np.bincount(col, full[at], width) - np.bincount(col2, gap[at2], width))
-        grad[1:] += s.ridge * w[1:]
-        speed = 0.9 * speed - 0.5 * grad / scale**2
-        w = w + speed
+            gap = np.bincount(at_lost, v[col_lost], m) - np.bincount(at_won, v[col_won], m)
+            grad += 2 * s.penalty * (np.bincount(col_lost, gap[at_lost], width) - np.bincount(col_won, gap[at_won], width))
+        grad[1:] += s.ridge * v[1:]
+        old, w = w, v - grad / bound
     return w
 
 
