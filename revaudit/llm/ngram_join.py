@@ -204,22 +204,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sets.dropDuplicates(["c"]).write.parquet(sets_path)
     sets = spark.read.schema("c long, x array<long>").parquet(sets_path)
 
-    def verified(p: DataFrame) -> DataFrame:
-        p = p.select("a", "b").join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-        return written(p.filter(similar("xa", "xb", percent)).select("a", "b"), "links")
+    def verified(p: DataFrame, *give: str) -> DataFrame:
+        """Of the pairs (a, b) that are similar, the columns ``give``, each pair of values once."""
+        p = p.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+        return written(p.filter(similar("xa", "xb", percent)).select(F.col(give[0]).alias("a"), F.col(give[1]).alias("b")).distinct(), "links")
 
     # The most similar partner of each class first; of the other pairs only those that would join components.
     ranked = written(pairs.withColumn("at", F.row_number().over(best)), "ranked")
-    links = verified(ranked.filter("at <= 2"))
+    links = verified(ranked.filter("at <= 2"), "a", "b")
     joined = components(links)
 
     def with_root(p: DataFrame, c: str, name: str) -> DataFrame:
         return p.join(joined.select(F.col("v").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
     rest = with_root(with_root(ranked.filter("at > 2").select("a", "b"), "a", "ra"), "b", "rb").filter("ra != rb")
-    rest = written(rest.select("a", "b"), "rest")
-    if rest.count():
-        links = links.unionByName(verified(rest))
+    rest = written(rest.select("a", "b", "ra", "rb"), "rest")
+    if rest.count():  # a link joins components, so it is their roots that it is kept by
+        links = links.unionByName(verified(rest, "ra", "rb"))
         joined = components(links)
     if hot_entry.count():
         more = _outliers(spark, with_root(hot_entry, "c", "root"), sets, sets_path, percent)
