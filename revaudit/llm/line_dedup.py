@@ -1,15 +1,17 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Lines with the same set are one class, whose first line stands for it. Each class's
-tokens are ordered by rarity; two sets whose Jaccard similarity reaches the threshold share a token among their first
-ones (prefix filter). Pairs that share one are kept if their sizes allow the similarity (length filter) and if what
-follows the shared token can still make up the overlap (positional filter), and are verified on the sets themselves.
-A line goes if an earlier line matches it.
-
-Rarity is the number of occurrences in the whole corpus, counted in 2**18 hashed counters, so that the order fits in
-256 KB whatever the vocabulary; any fixed order gives exact results. A token whose group of lines is large is first
-matched with the group's earliest line alone, which settles clusters of near copies without pairing them all; only
-lines that no match has removed meet the whole group.
+A line is the set of its words. Equal lines are one class, whose first line stands for it. Each class's tokens are
+ordered by rarity; two sets whose Jaccard similarity reaches the threshold share three tokens among their first ones
+(prefix filter, lengthened by two). Pairs that share so many are kept if their sizes allow the similarity (length filter) and if what follows the
+shared token can still make up the overlap (positional filter), and are verified on the whole sets. A line goes if an
+earlier line matches it.
+
+Rarity is the number of occurrences in the whole corpus, counted in 2**18 hashed counters, so that the order is of a
+fixed size whatever the vocabulary; any fixed order gives exact results. Tokens with few entries are joined one by one.
+Those with many are joined by twos: a pair with three tokens in common has two of the first kind or two of the second.
+A large group of a two is first matched with its earliest line alone, which settles clusters of near copies without
+pairing them all; only lines that no match has removed meet the whole group. Of a line's possible partners the
+likeliest are verified first.
 """
 
 from __future__ import annotations
@@ -22,20 +24,22 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 18
-#: Groups up to this size are paired at once.
-SMALL_GROUP = 24
+#: Common tokens that the prefixes are long enough for. Lines have at least four words in common if they are similar.
+SHARED = 3
+#: Tokens of up to so many entries are joined one by one, twos of up to so many entries are paired at once.
+SMALL_GROUP, SMALL_TWO = 16, 24
 #: Lists of this many rows at most are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
 
 def words(text: Column) -> Column:
-    """Words of a line or text: what stands between spaces, in lower case."""
-    return F.array_remove(F.split(F.lower(text), " "), "")
+    """Words of a line or text: the pieces between single spaces, in lower case."""
+    return F.split(F.lower(text), " ")
 
 
 def counters(docs: DataFrame, text: str) -> bytes:
     """For each hashed counter one byte that rises with the logarithm of its words' occurrences."""
-    each = docs.select(F.explode(F.split(F.lower(F.regexp_replace(F.col(text), "\n", " ")), " ")).alias("w"))
+    each = docs.select(F.explode(F.split(F.lower(text), " ")).alias("w"))  # across line feeds: a few counts are off, alike for all
     rows = each.groupBy(F.expr(f"xxhash64(w) & {(1 << BITS) - 1}").alias("c")).count().collect()  # 2**18 rows at most
     out = bytearray(1 << BITS)
     for c, n in rows:
@@ -44,13 +48,18 @@ def counters(docs: DataFrame, text: str) -> bytes:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, i, s): document key, hash of its text, line number and word set of each line of ``least`` words or more."""
-    cut = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
-    return cut.withColumn("s", F.array_distinct(words(F.col("line")))).filter(F.size("s") >= least).drop("line")
+    """(d, th, i, line): document key, hash of its text, number and text of each line of ``least`` words or more."""
+    cut = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    return cut.filter(is_long(F.col("line"), least))
 
 
-def class_of(s: str = "s") -> Column:
-    return F.unhex(F.md5(F.array_join(F.sort_array(s), " ").cast("binary")))
+def is_long(line: Column, least: int) -> Column:
+    """Whether a line has ``least`` words or more, which its spaces tell."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= least - 1
+
+
+def word_set(line: str) -> Column:
+    return F.array_distinct(F.transform(words(F.col(line)), lambda w: F.xxhash64(w)))
 
 
 def earlier(row: str = "") -> Column:
@@ -58,92 +67,122 @@ def earlier(row: str = "") -> Column:
     return F.struct(F.col(f"{row}d").isNull().alias("n"), F.col(f"{row}d").alias("d"), F.col(f"{row}th").alias("th"), F.col(f"{row}i").alias("i"))
 
 
-def tokens_by_rarity(rarity: bytes) -> Column:
-    """The words as longs, rarest first: seven bits of rarity above 56 bits of hash."""
-    table = F.lit(rarity)
-    code = lambda w: F.ascii(F.substring(table, (F.xxhash64(w).bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
-    return F.sort_array(F.transform("s", lambda w: F.shiftleft(code(w).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))))
+def by_rarity(line: str, rarity: bytes) -> Column:
+    """The distinct words as longs, rarest first: seven bits of rarity above 56 bits of hash."""
+    table = F.split(F.lit(",".join(str(r << 56) for r in rarity)), ",").cast("array<bigint>")  # folded into one literal
+    code = lambda w: F.get(table, F.xxhash64(w).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.sort_array(F.array_distinct(F.transform(words(F.col(line)), code)))
 
 
 def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """(classes, removed): every class of lines (c, its first line, rows), and those that an earlier line matches."""
     own = docs.select(key, text).filter(F.col(text).isNotNull())
     rarity = counters(own, text)
-    lines = lines_of(own, key, text, least).withColumn("c", class_of())
+    lines = lines_of(own, key, text, least).select("d", "th", "i", "line", F.unhex(F.md5(F.col("line").cast("binary"))).alias("c"))
     classes = written(lines.groupBy("c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows")), "classes")
     # Lines that many documents share are few: they alone are told apart here, so that each is entered but once.
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select(F.col("c").alias("hc"), F.col("first").alias("hf"))  # 50,000 rows at most
     once = lines.join(F.broadcast(hot), F.col("c") == F.col("hc"), "left").filter(F.col("hf").isNull() | (F.col("hf") == earlier()))
+    once = once.select(F.xxhash64("c").alias("l"), "d", by_rarity("line", rarity).alias("s"))
     n = F.size("s")
-    prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
-    entry = once.select(F.xxhash64("c").alias("l"), "d", n.alias("n"), F.posexplode(F.slice(tokens_by_rarity(rarity), F.lit(1), prefix)).alias("p", "t"))
-    entry = entry.withColumn("np", F.shiftleft("n", 12).bitwiseOR(F.least("p", F.lit(4095)))).select("t", "l", "d", "np")
+    entry = once.select("l", "d", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * percent / 100) + SHARED).cast("int"))).alias("p", "t"))
+    entry = entry.select("t", "l", "d", F.shiftleft("n", 12).bitwiseOR(F.least("p", F.lit(4095))).alias("np"))
     # One row for a class and token, with its earliest document; then the size of each token's group and its rank.
     by = Window.partitionBy("t").orderBy("l", F.col("d").asc_nulls_last())
     entry = entry.withColumn("again", F.lag("l").over(by) == F.col("l")).filter(~F.coalesce("again", F.lit(False))).drop("again")
-    group = Window.partitionBy("t")
-    entry = entry.withColumns({"size": F.count("*").over(group), "lead": F.min(F.struct(F.col("d").isNull().alias("x"), "d", "l", "np")).over(group)})
-    entry = entry.filter("size > 1").select("t", "l", "np", "size", F.col("lead.l").alias("ll"), F.col("lead.np").alias("lnp"))
+    entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t"))).filter("size > 1")
     entry = written(entry, "entries")
     small, large = entry.filter(F.col("size") <= SMALL_GROUP).select("t", "l", "np"), entry.filter(F.col("size") > SMALL_GROUP)
+    crowd = written(large.groupBy("l").agg(F.min("d").alias("d"), F.max(F.expr("np >> 12")).alias("n"), F.sort_array(F.collect_list("t")).alias("s")), "crowd")  # no longer than a line
     a, b = small.toDF("t", "la", "a"), small.toDF("t", "lb", "b")
-    pairs = a.join(b, "t").filter("la < lb").filter(may_match(percent)).select("la", "lb")
-    star = large.filter("l != ll").select(F.col("l").alias("la"), F.col("np").alias("a"), F.col("ll").alias("lb"), F.col("lnp").alias("b")).filter(may_match(percent)).select("la", "lb")
-    pairs = written(pairs.unionByName(star).distinct(), "pairs")
+    pairs = a.join(b, "t").filter("la < lb").filter(may_match(percent)).groupBy("la", "lb").agg(F.count("*").alias("shared"), F.max(F.expr("least(a >> 12, b >> 12)")).alias("n"))
+    has = crowd.select("l", F.lit(1).alias("h"))
+    pairs = pairs.filter("shared >= least(2, n - 1)").join(has.toDF("la", "ha"), "la", "left").join(has.toDF("lb", "hb"), "lb", "left")
+    pairs = pairs.filter(f"shared + if(ha = 1 and hb = 1, 1, 0) >= least({SHARED}, n)").select("la", "lb", "shared")
+    # Twos of frequent tokens; a set of a single word is a two by itself.
+    two = crowd.select("l", "d", "n", "s", F.posexplode("s").alias("i", "x")).select("l", "d", "n", F.col("x"), F.explode(F.when(F.col("n") == 1, F.col("s")).otherwise(F.slice("s", F.col("i") + 2, F.size("s")))).alias("y"))
+    two = two.select(F.xxhash64("x", "y").alias("t"), "l", "n", F.struct(F.col("d").isNull().alias("x"), "d", "l", "n").alias("e"))
+    group = Window.partitionBy("t")
+    two = two.select("t", "l", "n", F.count("*").over(group).alias("size"), F.min("e").over(group).alias("e")).filter("size > 1")
+    two = written(two.select("t", "l", "n", "size", F.col("e.l").alias("ll"), F.col("e.n").alias("ln")), "twos")
+    few, many = two.filter(F.col("size") <= SMALL_TWO), two.filter(F.col("size") > SMALL_TWO)
+    near_size = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
+    a, b = few.select("t", F.col("l").alias("la"), F.col("n").alias("na")), few.select("t", F.col("l").alias("lb"), F.col("n").alias("nb"))
+    both = a.join(b, "t").filter("la < lb").filter(near_size).select("la", "lb")
+    star = many.filter("l != ll").select(F.least("l", "ll").alias("la"), F.greatest("l", "ll").alias("lb"), F.col("n").alias("na"), F.col("ln").alias("nb")).filter(near_size).select("la", "lb")
+    pairs = pairs.unionByName(both.unionByName(star).groupBy("la", "lb").agg(F.count("*").alias("shared")))
+    pairs = written(pairs.groupBy("la", "lb").agg(F.sum("shared").alias("shared")), "pairs")
     place = classes.select(F.xxhash64("c").alias("l"), "first")
     gone = matches(own, key, text, least, place, pairs, percent)
-    # Only lines that are still there, and that occur in large groups, meet the whole group.
-    left = large.select("l").distinct().join(gone, "l", "left_anti")
-    a = large.join(left, "l").select("t", F.col("l").alias("la"), F.col("np").alias("a"))
-    b = large.select("t", F.col("l").alias("lb"), F.col("np").alias("b"))
-    more = a.join(b, "t").filter("la != lb").filter(may_match(percent)).select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+    # Lines that are still there meet the whole of their large groups.
+    a = many.join(gone, "l", "left_anti").select("t", F.col("l").alias("la"), F.col("n").alias("na"))
+    b = many.select("t", F.col("l").alias("lb"), F.col("n").alias("nb"))
+    more = a.join(b, "t").filter("la != lb").filter(near_size).select("t", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+    more = more.groupBy("la", "lb").agg(F.count("*").alias("shared"))
     more = written(more.join(pairs, ["la", "lb"], "left_anti"), "more")
     gone = gone.unionByName(matches(own, key, text, least, place, more, percent)).distinct() if more.count() else gone
     return classes, gone
 
 
 def may_match(percent: int) -> Column:
-    """Length and positional filter of two entries ``a`` and ``b``: sizes above 12 bits of positions."""
+    """Length and positional filter of two entries ``a`` and ``b``: sizes above 12 bits of positions. The first common
+    tokens of a similar pair pass it, SHARED of them, though those before the token aren't counted."""
     return F.expr(
         f"least(a >> 12, b >> 12) * 100 >= {percent} * greatest(a >> 12, b >> 12) and "
-        f"({100 + percent}) * least((a >> 12) - (a & 4095), (b >> 12) - (b & 4095)) >= {percent} * ((a >> 12) + (b >> 12))"
+        f"({100 + percent}) * ({SHARED - 1} + least((a >> 12) - (a & 4095), (b >> 12) - (b & 4095))) >= {percent} * ((a >> 12) + (b >> 12))"
     )
 
 
 def matches(docs: DataFrame, key: str, text: str, least: int, place: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(l): of each pair whose sets are similar enough, the later one."""
-    wanted = pairs.select(F.col("la").alias("l")).union(pairs.select(F.col("lb").alias("l"))).distinct()
-    wanted = written(place.join(wanted, "l").select("l", "first", F.col("first.d").alias("wd"), F.col("first.th").alias("wth"), F.col("first.i").alias("wi")), "wanted")
+    """(l): of each pair (la, lb, shared) whose sets are similar enough, the later one."""
+    a, b = place.toDF("la", "fa"), place.toDF("lb", "fb")
+    pairs = pairs.join(a, "la").join(b, "lb")
+    later = F.col("fa") > F.col("fb")
+    pairs = pairs.select(F.when(later, F.col("la")).otherwise(F.col("lb")).alias("l"), F.when(later, F.col("lb")).otherwise(F.col("la")).alias("e"), "shared", "fa", "fb")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("shared"), "e"))
+    pairs = written(pairs.withColumn("at", rank), "ranked")
+    both = pairs.select(F.explode(F.array(F.struct(F.when(F.col("fa") > F.col("fb"), F.col("fa")).otherwise(F.col("fb")).alias("f"), F.col("l").alias("w")), F.struct(F.least("fa", "fb").alias("f"), F.col("e").alias("w")))).alias("x"))
+    wanted = written(both.select(F.col("x.w").alias("w"), F.col("x.f.d").alias("wd"), F.col("x.f.th").alias("wth"), F.col("x.f.i").alias("wi")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    source = wanted.select("wd", "wth").distinct()
-    source = F.broadcast(source) if few else source
-    some = docs.select(F.col(key), F.col(text)).join(source, F.col(key).eqNullSafe(F.col("wd")) & (F.xxhash64(text) == F.col("wth")), "left_semi")
-    rows = lines_of(some, key, text, least)
-    on = F.col("d").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wth")) & (F.col("i") == F.col("wi"))
-    sets = written(rows.join(F.broadcast(wanted) if few else wanted, on).select("l", "first", "s").dropDuplicates(["l"]), "sets")
-    a, b = sets.toDF("la", "fa", "sa"), sets.toDF("lb", "fb", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    similar = pairs.join(a, "la").join(b, "lb").filter(both * 100 >= percent * (F.size("sa") + F.size("sb") - both))
-    return written(similar.select(F.when(F.col("fa") < F.col("fb"), F.col("lb")).otherwise(F.col("la")).alias("l")).distinct(), "gone")
+    some = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text))
+    source = wanted.groupBy("wd", "wth").agg(F.collect_list(F.struct("w", "wi")).alias("own"))  # lines of one document
+    some = some.join(F.broadcast(source) if few else source, F.col("d").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wth")))
+    some = some.select(F.split(F.lower(text), "\n").alias("lines"), F.explode("own").alias("o")).select(F.col("o.w").alias("l"), F.get("lines", F.col("o.wi")).alias("line"))
+    sets = written(some.select("l", word_set("line").alias("s")).dropDuplicates(["l"]), "sets")
+
+    def verified(p: DataFrame) -> DataFrame:
+        p = p.select("l", "e").join(sets.toDF("l", "sa"), "l").join(sets.toDF("e", "sb"), "e")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return p.filter(same * 100 >= percent * (F.size("sa") + F.size("sb") - same)).select("l").distinct()
+
+    first = written(verified(pairs.filter("at <= 2")), "gone")
+    rest = verified(pairs.filter("at > 2").select("l", "e").join(first, "l", "left_anti"))
+    return written(first.unionByName(rest).distinct(), "gone")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
     """``docs``, all rows and columns, with the text without the lines that an earlier line matches, and ``dropped_lines``.
 
-    Lines stand between line feeds, words between spaces; case does not count. Lines of fewer than ``least`` distinct
+    Lines stand between line feeds, words between single spaces; case does not count. Lines of fewer than ``least``
     words stay. The order of lines is that of ``key``, nulls last, and of their place; rows of one key are ordered by a
     hash of their texts, and rows with equal key and text are one document. A null text stays null.
     """
     classes, gone = removed_classes(docs, key, text, percent, least)
     kept = classes.withColumn("l", F.xxhash64("c")).join(gone, "l", "left_anti")
     kept = kept.groupBy(F.col("first.d").alias("_kd"), F.col("first.th").alias("_kth")).agg(F.collect_list("first.i").alias("_kept"))
+    # Only documents that lose a line are told: those with fewer lines kept than they have.
     lines = F.split(F.col(text), "\n")
-    rows = docs.withColumn("_th", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("_kd")) & (F.col("_th") == F.col("_kth")), "left")
-    rows = rows.withColumn("_lines", lines)
-    short = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(F.array_distinct(words(F.get("_lines", i)))) < least)
-    stay = F.sort_array(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), short))
-    rows = rows.withColumn("_stay", F.when(F.col(text).isNotNull(), stay))
-    new = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
-    dropped = F.coalesce(F.size("_lines") - F.size("_stay"), F.lit(0)).cast("long")
+    long = lambda x: is_long(F.lower(x), least)
+    have = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_hd"), F.xxhash64(text).alias("_hth"), F.size(F.filter(lines, long)).alias("_have")).filter("_have > 0").distinct()
+    change = have.join(kept, F.col("_hd").eqNullSafe(F.col("_kd")) & (F.col("_hth") == F.col("_kth")), "left")
+    change = change.filter(F.col("_have") > F.coalesce(F.size("_kept"), F.lit(0))).select("_hd", "_hth", F.coalesce("_kept", F.array().cast("array<int>")).alias("_kept"))
+    change = written(change, "change")
+    few = change.agg(F.count("*") + F.coalesce(F.sum(F.size("_kept")), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS
+    rows = docs.withColumn("_th", F.xxhash64(text))
+    rows = rows.join(F.broadcast(change) if few else change, F.col(key).eqNullSafe(F.col("_hd")) & (F.col("_th") == F.col("_hth")), "left")
+    short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~long(F.get(lines, i)))
+    stay = F.sort_array(F.array_union("_kept", short))
+    new = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay)).cast("long")
     return rows.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns), dropped.alias("dropped_lines"))
