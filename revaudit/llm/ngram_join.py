@@ -211,13 +211,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     # The most similar partner of each class first; of the other pairs only those that would join components.
     ranked = written(pairs.withColumn("at", F.row_number().over(best)), "ranked")
-    links = verified(ranked.filter("at <= 2"), "a", "b")
+    links = verified(ranked.filter("at = 1"), "a", "b")
     joined = components(links)
 
     def with_root(p: DataFrame, c: str, name: str) -> DataFrame:
         return p.join(joined.select(F.col("v").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
 
-    rest = with_root(with_root(ranked.filter("at > 2").select("a", "b"), "a", "ra"), "b", "rb").filter("ra != rb")
+    rest = with_root(with_root(ranked.filter("at > 1").select("a", "b"), "a", "ra"), "b", "rb").filter("ra != rb")
     rest = written(rest.select("a", "b", "ra", "rb"), "rest")
     if rest.count():  # a link joins components, so it is their roots that it is kept by
         links = links.unionByName(verified(rest, "ra", "rb"))
