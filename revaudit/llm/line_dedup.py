@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 18
-#: Common tokens that the prefixes are long enough for. Lines have at least four words in common if they are similar.
+#: Common tokens that the prefixes are long enough for. Similar lines of fewer words have all of them in common.
 SHARED = 3
 #: Tokens of up to so many entries are joined one by one, twos of up to so many entries are paired at once.
 SMALL_GROUP, SMALL_TWO = 16, 24
@@ -54,8 +54,9 @@ def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 
 def is_long(line: Column, least: int) -> Column:
-    """Whether a line has ``least`` words or more, which its spaces tell."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= least - 1
+    """Whether a line has ``least`` words or more, which its spaces tell, and something in them."""
+    some = line.rlike(r"[^\x20\x09-\x0D]")
+    return some if least <= 1 else some & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= least - 1)
 
 
 def word_set(line: str) -> Column:
@@ -74,7 +75,7 @@ def by_rarity(line: str, rarity: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(F.col(line)), code)))
 
 
-def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5) -> tuple[DataFrame, DataFrame]:
+def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(classes, removed): every class of lines (c, its first line, rows), and those that an earlier line matches."""
     own = docs.select(key, text).filter(F.col(text).isNotNull())
     rarity = counters(own, text)
@@ -161,11 +162,11 @@ def matches(docs: DataFrame, key: str, text: str, least: int, place: DataFrame,
     return written(first.unionByName(rest).distinct(), "gone")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 1) -> DataFrame:
     """``docs``, all rows and columns, with the text without the lines that an earlier line matches, and ``dropped_lines``.
 
-    Lines stand between line feeds, words between single spaces; case does not count. Lines of fewer than ``least``
-    words stay. The order of lines is that of ``key``, nulls last, and of their place; rows of one key are ordered by a
+    Lines stand between line feeds, words between single spaces; case does not count. All lines take part that hold
+    more than white space; those that do not, and those of fewer than ``least`` words, stay. The order of lines is that of ``key``, nulls last, and of their place; rows of one key are ordered by a
     hash of their texts, and rows with equal key and text are one document. A null text stays null.
     """
     classes, gone = removed_classes(docs, key, text, percent, least)

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -62,3 +63,33 @@ def test_shuffled_paths(spark, monkeypatch):
 
 def test_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def brute_all(docs, percent=80):
+    """{key: text without repeated lines} by all pairs of lines; only lines of white space are passed over."""
+    seen, out = [], {}
+    for d, t in sorted(docs):
+        keep = []
+        for line in t.split("\n"):
+            s = frozenset(line.lower().split(" "))
+            if line.strip(" \t\r\x0b\x0c"):
+                if not any(100 * len(s & x) >= percent * len(s | x) for x in seen):
+                    keep.append(line)
+                seen.append(s)
+            else:
+                keep.append(line)
+        out[d] = "\n".join(keep)
+    return out
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_lines_of_few_words(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+    monkeypatch.setattr(line_dedup, "SMALL_TWO", small)
+    rng = random.Random(3)
+    pool = [" ".join(rng.choices("a b c d e f g h".split(), k=n)) for n in range(1, 8) for _ in range(12)]
+    pool += ["name\tage\tcity\tzip\tcountry\tphone", "這是一行沒有空格的中文文字", "Read More", "read more", "", " ", "\t\t", "x", "x x"]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_all(docs)
+    assert sum(t.lower().count("read more") for t in got.values()) == 1
