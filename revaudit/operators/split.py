@@ -54,6 +54,15 @@ def crossing_pairs(pairs: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return both.agg(F.coalesce(F.sum((F.col("sa") != F.col("sb")).cast("long")), F.lit(0)).alias("violations"))
 
 
+def crossing_classes(pairs: DataFrame, members: DataFrame, first: str, splits: DataFrame, key: str) -> DataFrame:
+    """One row: what ``crossing_pairs`` counts over all pairs of members (``key``, ``first``) of one class or of two that
+    ``pairs`` (a, b) of their first ones link, from the classes' members a split, without listing the pairs."""
+    s = members.join(splits.select(key, "split"), key).groupBy(first, "split").agg(F.count("*").alias("n"))
+    both = pairs.select("a", "b").union(members.select(F.col(first).alias("a"), F.col(first).alias("b")).distinct())
+    both = both.join(s.toDF("a", "sa", "na"), "a").join(s.toDF("b", "sb", "nb"), "b").filter("sa != sb and (a != b or sa < sb)")
+    return both.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("violations"))
+
+
 def one_split_each(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """One row: whether every key lies in one split."""
     per = df.groupBy(key).agg(F.countDistinct(split).alias("n"))

@@ -378,6 +378,24 @@ def leakage_groups(spark, sf):
     return similarity.leakage_groups(d, "doc_id", edges)
 
 
+def _near(spark, sf):
+    """(members, pairs): each document with the first one of its token set, and the pairs of first ones of 0.9 and more.
+    A null text has no tokens, as an empty one."""
+    d = table(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(text.problem_tokens(F.coalesce("text", F.lit(""))))).alias("s"))
+    d = d.withColumn("c", F.sha2(F.array_join("s", " "), 256))
+    first = d.groupBy("c").agg(F.min("doc_id").alias("first"))
+    sets = d.join(first, (d.c == first.c) & (d.doc_id == first["first"]), "left_semi")
+    return d.select("doc_id", "c").join(first, "c").select("doc_id", "first"), similarity.near_pairs(sets, "doc_id", "s", 90).select("a", "b")
+
+
+@query(None)
+def near_leakage_groups(spark, sf):
+    """The groups that near copies make, as of problems in the reference; ``leakage_groups`` is that of exact copies."""
+    members, pairs = _near(spark, sf)
+    edges = pairs.union(members.filter("doc_id > first").select("first", "doc_id"))
+    return similarity.leakage_groups(members.select("doc_id"), "doc_id", edges)
+
+
 @query("""WITH k AS (SELECT DISTINCT source FROM documents), n AS (SELECT count(*) AS n FROM k), r AS (SELECT source, row_number() OVER (ORDER BY sha256('revground-problem-split-v1|' || source)) AS r FROM k) SELECT source, CASE WHEN r <= greatest(1, CAST(round_even(n * 0.2, 0) AS INTEGER)) THEN 'test' WHEN r <= 2 * greatest(1, CAST(round_even(n * 0.2, 0) AS INTEGER)) THEN 'validation' ELSE 'development' END AS split FROM r, n""")
 def hash_split(spark, sf):
     return split.stable_split(table(spark, sf, "documents"), "source")
@@ -432,6 +450,13 @@ def crossing_copies(spark, sf):
     return split.crossing_pairs(_copies(spark, sf)[1], _split_docs(spark, sf), "doc_id")
 
 
+@query(None)
+def crossing_near_copies(spark, sf):
+    """All pairs of near copies across splits; ``crossing_copies`` counts exact copies against the first one alone."""
+    members, pairs = _near(spark, sf)
+    return split.crossing_classes(pairs, members, "first", _split_docs(spark, sf), "doc_id")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('s1|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20")
 def seeded_sample(spark, sf):
     return split.sample_keep_order(table(spark, sf, "documents"), "doc_id", "doc_id", 20, "s1").select("doc_id")
