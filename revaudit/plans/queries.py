@@ -473,6 +473,22 @@ def cluster_bootstrap(spark, sf):
     return bootstrap.bootstrap_ratio(roles.claims(spark, sf), "trajectory_id", right, F.lit(1), 40)
 
 
+@query(None)
+def cluster_bootstrap_intervals(spark, sf):
+    """The reference's 10,000 resamples of trajectories and of participants, for the share of right decisions and for
+    the paired difference of C and B; ``cluster_bootstrap`` has 40, as its SQL."""
+    c = roles.claims(spark, sf)
+    right = F.col("predicted_label") == F.col("gold_label")
+    own = c.filter("status = 'success' and not abstain").groupBy("claim_id", "trajectory_id", "participant_id_hash")
+    both = own.agg(*(F.max(F.when(F.col("method") == m, right.cast("long"))).alias(m) for m in "BC")).filter("B is not null and C is not null")
+    out = []
+    for cluster in ("trajectory_id", "participant_id_hash"):
+        for name, df, num in (("right", c, (~F.col("abstain") & right).cast("long")), ("c_minus_b", both, F.col("C") - F.col("B"))):
+            got = bootstrap.bootstrap_ratio(df, cluster, num, F.lit(1), 10_000)
+            out.append(got.select(F.lit(name).alias("statistic"), F.lit(cluster).alias("cluster"), *got.columns))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
 # ---------------------------------------------------------------- agreement, decisions and metrics
 FIELDS = {"validity": ("validity_a", "validity_b"), "priority": ("priority_a", "priority_b")}
 
