@@ -81,7 +81,8 @@ class Groups:
         return [g for g in [own, *after] if self.k[g] > 0]  # with k = 0 only equal sets are similar
 
     def signatures(self, x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        """The signatures, the group in their last six bits, and (group, parts that may be passed over) in turn."""
+        """The signatures, the group in their last six bits, and (group, parts that may be passed over, whether empty
+        parts are entered too) in turn."""
         out, spare = [], []
         with np.errstate(over="ignore"):
             hashed = mixed(x * _B + _A)
@@ -96,7 +97,7 @@ class Groups:
                 which = np.arange(parts) if all_parts else np.flatnonzero(some)
                 sig = mixed(total[which] + which.astype(np.uint64) * _A + np.uint64(g) * _B)
                 out.append(((sig >> np.uint64(6)) << np.uint64(6)) | np.uint64(g))
-                spare += [g, self.m[g] if all_parts else self.m[g] - empty]
+                spare += [g, self.m[g] if all_parts else self.m[g] - empty, int(all_parts)]
         return out, spare
 
 
@@ -171,18 +172,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     small, large = entry.filter(F.col("size") <= SMALL_GROUP), entry.filter(F.col("size") > SMALL_GROUP)
 
     # How many parts each class may pass over, and whether common signatures are more than that.
-    spare = classes.select("c", F.expr("inline(transform(sequence(0, size(spare) div 2 - 1), i -> struct(spare[2 * i] as g, spare[2 * i + 1] as spare)))"))
+    spare = classes.select("c", F.expr("inline(transform(sequence(0, size(spare) div 3 - 1), i -> struct(spare[3 * i] as g, spare[3 * i + 1] as spare, spare[3 * i + 2] = 1 as full)))"))
     common = large.groupBy("c", "g").agg(F.count("*").alias("common"))
-    own = spare.join(entry.select("c", "g").distinct(), ["c", "g"]).join(common, ["c", "g"], "left").select("c", "g", (F.col("spare") - F.coalesce("common", F.lit(0))).alias("room"))
+    own = spare.join(entry.select("c", "g").distinct(), ["c", "g"]).join(common, ["c", "g"], "left").select("c", "g", "full", (F.col("spare") - F.coalesce("common", F.lit(0))).alias("room"), F.col("common").isNotNull().alias("crowded"))
     own = written(own, "room")
-    hot = own.filter("room < 0").select("c", "g")
+    # A set that enters its empty parts has no such bound against one that does not: any common signature will do.
+    hot = own.filter("room < 0 or full and crowded").select("c", "g")
 
     a, b = small.select("sig", "g", F.col("c").alias("a")), small.select("sig", F.col("c").alias("b"))
     pairs = a.join(b, "sig").filter("a < b").groupBy("a", "b", "g").agg(F.count("*").alias("shared"))
-    # They have m + 1 signatures in common, less those that either passes over: more than the larger room is missing.
-    room = own.select(F.col("c"), F.col("g"), F.col("room"))
-    pairs = pairs.join(room.select(F.col("c").alias("a"), "g", F.col("room").alias("ra")), ["a", "g"]).join(room.select(F.col("c").alias("b"), "g", F.col("room").alias("rb")), ["b", "g"])
-    pairs = pairs.filter(F.col("shared") > F.greatest("ra", "rb")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    # They have m + 1 signatures in common, less those that either passes over: more than the larger room is missing. The
+    # room of a set with all parts does not tell of empty ones that only the other passes over, so there the other's counts.
+    room = lambda c: own.select(F.col("c").alias(c), "g", F.col("room").alias(f"r{c}"), F.col("full").alias(f"f{c}"))
+    pairs = pairs.join(room("a"), ["a", "g"]).join(room("b"), ["b", "g"])
+    least = F.when(F.col("fa") == F.col("fb"), F.greatest("ra", "rb")).otherwise(F.when(F.col("fa"), F.col("rb")).otherwise(F.col("ra")))
+    pairs = pairs.filter(F.col("shared") > least).groupBy("a", "b").agg(F.max("shared").alias("shared"))
     hot_entry = written(large.join(hot, ["c", "g"]).select("sig", "c", "lead"), "hot")
     star = hot_entry.filter("c != lead").groupBy(F.col("lead").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("shared"))
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")

@@ -71,3 +71,23 @@ def test_components(spark):
         parent[hi] = lo
     got = {r.v: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+
+
+@pytest.mark.parametrize("small", [10**6, 24, 3])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_short_texts(spark, monkeypatch, small, percent):
+    """Pairs of sets of 5 to 20 shingles, whose empty parts differ in number."""
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
+    rng, data = random.Random(percent), []
+    for i in range(900):
+        a = [f"w{i}x{j}" for j in range(rng.randint(5, 20))]
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            if rng.random() < 0.5:
+                b[rng.randrange(len(b))] = f"v{rng.randint(0, 10**9)}"
+            else:
+                b.pop()
+        data += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    data += [(5000 + i, " ".join(["p q r s t u v x y z"[: 2 * k - 1], f"o{i}"])) for i, k in enumerate(rng.choices(range(4, 11), k=120))]
+    out = ngram_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(2), n=1, percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == ngram_join.brute_force(data, 1, percent)
