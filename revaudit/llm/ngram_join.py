@@ -137,10 +137,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     component's name unless it has no other; repeated keys are one document if their texts' sets are equal, and take
     the component of their own row otherwise.
     """
+    return linked(docs, key, text, n, percent).drop("text_hash", "root")
+
+
+def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with the text's ``text_hash`` and the ``root`` of its component, which unlike
+    ``component_id`` is never null, if the text has words, nor that of two components."""
     spark = docs.sparkSession
     groups = Groups(percent)
     ship(spark)
-    schema = "d long, n long, c long, spare array<int>, sigs array<long>"
+    schema = "d long, h long, n long, c long, spare array<int>, sigs array<long>"
     arrow = to_arrow_schema(struct_of(schema))
 
     def sign(batches):
@@ -149,16 +155,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows: list[tuple] = []
-                for d, t in zip(*(c.to_pylist() for c in part.columns)):
+                for d, h, t in zip(*(c.to_pylist() for c in part.columns)):
                     x = shingles(t, n)
                     c = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None
                     sigs, spare = ([], []) if c is None or c in seen else groups.signatures(x)
                     seen.add(c)
-                    rows.append((d, len(x), c, spare, np.concatenate(sigs).view(np.int64) if sigs else []))
+                    rows.append((d, h, len(x), c, spare, np.concatenate(sigs).view(np.int64) if sigs else []))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
     body = F.col(text).cast("binary")
-    base = written(docs.select(F.col(key).cast("long"), body).mapInArrow(sign, schema), "base")
+    base = written(docs.select(F.col(key).cast("long"), F.xxhash64(text), body).mapInArrow(sign, schema), "base")
     classes = base.filter("c is not null").groupBy("c").agg(F.min("d").alias("rep"), F.count("*").alias("rows"), F.max(F.when(F.size("spare") > 0, F.col("spare"))).alias("spare"))
     classes = written(classes, "classes")
 
@@ -233,16 +239,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     named = with_root(classes.select("c", "rep", "rows"), "c", "root")
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = written(named.join(names, "root").select("c", "component", "rows"), "named")
+    named = written(named.join(names, "root").select("c", "root", "component", "rows"), "named")
     total = base.count()
     # Classes of many rows are few, as their rows add up to no more than all: they are broadcast, so that no task gets
     # all copies of one text. Their rows go into the other join by a hash of their own.
-    many = named.filter(F.col("rows") >= max(16, total // 50_000)).select(F.col("c").alias("mc"), F.col("component").alias("many"))
-    out = base.select("d", "n", "c").join(F.broadcast(many), F.col("c") == F.col("mc"), "left")
-    out = out.withColumn("jc", F.when(F.col("many").isNotNull() | F.col("c").isNull(), F.xxhash64("d", "n")).otherwise(F.col("c")))
-    out = out.join(named.select(F.col("c").alias("jc"), "component"), "jc", "left")
+    many = named.filter(F.col("rows") >= max(16, total // 50_000)).select(F.col("c").alias("mc"), F.col("component").alias("many"), F.col("root").alias("many_root"))
+    out = base.select("d", "h", "n", "c").join(F.broadcast(many), F.col("c") == F.col("mc"), "left")
+    out = out.withColumn("jc", F.when(F.col("many_root").isNotNull() | F.col("c").isNull(), F.xxhash64("d", "n")).otherwise(F.col("c")))
+    out = out.join(named.select(F.col("c").alias("jc"), "root", "component"), "jc", "left")
     component = F.when(F.col("c").isNull(), F.col("d")).otherwise(F.coalesce("many", "component", "d"))
-    return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), component.alias("component_id"))
+    root = F.when(F.col("c").isNotNull(), F.coalesce("many_root", "root"))
+    return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), component.alias("component_id"), F.col("h").alias("text_hash"), root.alias("root"))
 
 
 def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percent: int) -> DataFrame:

@@ -1,0 +1,45 @@
+"""The stages of the pipeline against brute force."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+from revaudit.llm import ngram_join
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts():
+    rng = random.Random(6)
+    line = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))
+    return [line() for _ in range(8)]
+
+
+def near(text: str, n: int = 1) -> str:
+    return " ".join(text.split(" ")[n:])
+
+
+def keep(rows: list[tuple]) -> Counter:
+    """One row a component, by the number of the row in its stead of a key."""
+    from xxhash import xxh64_intdigest
+
+    def th(t):
+        h = xxh64_intdigest(t.encode(), 42)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    parts: dict = {}
+    for i, (_, component) in ngram_join.brute_force([(i, r[1]) for i, r in enumerate(rows)], 5, 80).items():
+        parts.setdefault(component, []).append(rows[i])
+    return Counter(min(p, key=lambda r: (r[0] is None, r[0] or 0, th(r[1] or ""), str(r[2:]))) for p in parts.values())
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c, d, e, f, g, h = texts()
+    rows = [(1, a), (7, near(a)), (7, b)]  # a near copy and a clean text under one key
+    rows += [(None, c), (None, near(c)), (None, c), (None, d), (3, near(d)), (None, h)]  # null keys
+    rows += [(4, e), (4, e), (5, near(e)), (6, f), (6, f), (6, near(f))]  # repeated rows
+    rows += [(8, g), (8, near(g)), (9, ""), (9, ""), (10, None), (None, None)]
+    rows = [(k, t, "en", "src0", 1) for k, t in rows]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter(tuple(r) for r in out.collect()) == keep(rows)
