@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    have = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in have:
+        pass
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, wherever their import path points."""
     if getattr(spark.sparkContext, "_revaudit_shipped", False):

@@ -1,17 +1,18 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Equal lines are one class, whose first line stands for it. Each class's tokens are
-ordered by rarity; two sets whose Jaccard similarity reaches the threshold share three tokens among their first ones
-(prefix filter, lengthened by two). Pairs that share so many are kept if their sizes allow the similarity (length filter) and if what follows the
-shared token can still make up the overlap (positional filter), and are verified on the whole sets. A line goes if an
-earlier line matches it.
+A line is the set of its words. Equal lines are one class, told apart by 128 bits of hash; its first line stands for it.
+Each class's words are ordered by rarity, and two sets whose Jaccard similarity reaches the threshold share one of their
+first words (prefix filter; the smaller set of a pair needs the shorter prefix). Sets that share one are a candidate if
+their sizes allow the similarity (length filter), if what follows the shared word can make up the overlap (positional
+filter), and if 128 parity bits of the words do not differ in more places than similar sets can. Candidates are verified
+on the whole sets, the likeliest partner first; a line goes if an earlier line matches it.
 
 Rarity is the number of occurrences in the whole corpus, counted in 2**18 hashed counters, so that the order is of a
-fixed size whatever the vocabulary; any fixed order gives exact results. Tokens with few entries are joined one by one.
-Those with many are joined by twos: a pair with three tokens in common has two of the first kind or two of the second.
-A large group of a two is first matched with its earliest line alone, which settles clusters of near copies without
-pairing them all; only lines that no match has removed meet the whole group. Of a line's possible partners the
-likeliest are verified first.
+fixed size whatever the vocabulary; any fixed order gives exact results. It reaches the plans as the value of a scalar
+subquery. Words that many sets have among their first ones are too common to be a key: a set that has such a word enters
+neighbours in its order as twos instead. Differing words can part only so many twos, so one of the first ones is common
+to any two similar sets. Sets that share a two that is common as well are compared with the earliest one of them, which
+settles clusters of near copies without pairing them all; only lines that no match has removed meet the others.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 BITS = 18
-#: Common tokens that the prefixes are long enough for. Similar lines of fewer words have all of them in common.
-SHARED = 3
-#: Tokens of up to so many entries are joined one by one, twos of up to so many entries are paired at once.
-SMALL_GROUP, SMALL_TWO = 16, 24
+#: Sets that share a word or a two are paired at once up to this number.
+SMALL_GROUP = 512
+#: Words of more occurrences than this are no key, nor are those of more than a 4,096th of all words.
+COMMON_WORD = 4096
 #: Lists of this many rows at most are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -37,19 +38,34 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), " ")
 
 
-def counters(docs: DataFrame, text: str) -> bytes:
-    """For each hashed counter one byte that rises with the logarithm of its words' occurrences."""
-    each = docs.select(F.explode(F.split(F.lower(text), " ")).alias("w"))  # across line feeds: a few counts are off, alike for all
-    rows = each.groupBy(F.expr(f"xxhash64(w) & {(1 << BITS) - 1}").alias("c")).count().collect()  # 2**18 rows at most
-    out = bytearray(1 << BITS)
-    for c, n in rows:
-        out[c] = min(127, int(4 * log2(1 + n)))
-    return bytes(out)
+def word_set(line: str) -> Column:
+    return F.array_distinct(F.transform(words(F.col(line)), lambda w: F.xxhash64(w)))
+
+
+def line_class(line: str) -> tuple[Column, Column]:
+    """Two hashes of a line in lower case, as (l, c): the first one is its address, both tell it apart."""
+    return F.xxhash64(line).alias("l"), F.xxhash64(F.lit(1), line).alias("c")
+
+
+def row_of(key: str, text: str, prefix: str = "") -> list[Column]:
+    """(d, th, tc): what a row is told by: its key and two hashes of its text."""
+    return [F.col(key).alias(f"{prefix}d"), F.xxhash64(text).alias(f"{prefix}th"), F.xxhash64(F.lit(1), text).alias(f"{prefix}tc")]
+
+
+def counters(docs: DataFrame, text: str) -> DataFrame:
+    """One row: ``total``, the number of words, and ``rarity``, for each hashed counter a number up to 127 that rises
+    with the logarithm of its words' occurrences."""
+    each = docs.select(F.explode(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    found = each.groupBy(F.expr(f"xxhash64(w) & {(1 << BITS) - 1}").alias("c")).agg(F.count("*").alias("n"))
+    found = docs.sparkSession.range(1 << BITS).join(found, F.col("id") == F.col("c"), "left")
+    level = F.expr("cast(least(127, floor(4 * log2(1 + coalesce(n, 0)))) as tinyint)").alias("r")
+    table = F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["r"])  # 2**18 numbers
+    return written(found.agg(table.alias("rarity"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "rarity")
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, i, line): document key, hash of its text, number and text of each line of ``least`` words or more."""
-    cut = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    """(d, th, tc, i, line): document, number and text, in lower case, of each line of ``least`` words or more."""
+    cut = docs.select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
     return cut.filter(is_long(F.col("line"), least))
 
 
@@ -59,131 +75,181 @@ def is_long(line: Column, least: int) -> Column:
     return some if least <= 1 else some & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= least - 1)
 
 
-def word_set(line: str) -> Column:
-    return F.array_distinct(F.transform(words(F.col(line)), lambda w: F.xxhash64(w)))
+def earlier() -> Column:
+    """Order of lines: by document key, nulls last, then by text and line number."""
+    return F.struct(F.col("d").isNull().alias("n"), "d", "th", "tc", "i")
 
 
-def earlier(row: str = "") -> Column:
-    """Order of lines: by document key, nulls last, then by text and line number."""
-    return F.struct(F.col(f"{row}d").isNull().alias("n"), F.col(f"{row}d").alias("d"), F.col(f"{row}th").alias("th"), F.col(f"{row}i").alias("i"))
+def line_texts(docs: DataFrame, key: str, text: str, least: int, wanted: DataFrame) -> DataFrame:
+    """(l, c, line) of the classes ``wanted`` (l, c), each once."""
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.select(F.col("l").alias("wl"), F.col("c").alias("wc"))
+    found = lines_of(docs, key, text, least).select(*line_class("line"), "line")
+    found = found.join(F.broadcast(wanted) if few else wanted, (F.col("l") == F.col("wl")) & (F.col("c") == F.col("wc")), "left_semi")
+    return found.groupBy("l", "c").agg(F.first("line").alias("line"))
+
+
+def by_rarity(lines: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, s, n, b0, b1): the line's distinct words as longs, rarest first: seven bits of rarity above 56 bits of
+    hash; their number; and for each of 128 numbers, whether an odd number of words have it."""
+    table = rarity.select("rarity").scalar()
+    code = lambda x: F.shiftleft(F.get("_table", x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    out = lines.select(*keep, word_set("line").alias("_h"), table.alias("_table"))
+    out = out.select(*keep, F.sort_array(F.transform("_h", code)).alias("s"))
+    parity = "aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {}, shiftleft(1L, cast(x & 63 as int)), 0L))"
+    return out.select(*keep, "s", F.size("s").alias("n"), F.expr(parity.format(0)).alias("b0"), F.expr(parity.format(64)).alias("b1"))
+
+
+def overlap(percent: int) -> str:
+    """Least number of words that similar sets of ``a.n`` and ``b.n`` words have in common."""
+    return f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+
+
+def alike(percent: int) -> str:
+    """Length and parity filter: words that only one of two similar sets has are as many as differing bits, or more."""
+    sizes = f"least(a.n, b.n) * 100 >= {percent} * greatest(a.n, b.n)"
+    return f"{sizes} and bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1) <= a.n + b.n - 2 * {overlap(percent)}"
+
+
+def candidate(a: str = "a", b: str = "b") -> list[Column]:
+    """(la, lb, apart) of two structs: their addresses in order and the number of parity bits that differ."""
+    apart = f"cast(bit_count({a}.b0 ^ {b}.b0) + bit_count({a}.b1 ^ {b}.b1) as int) as apart"
+    return [F.expr(f"least({a}.l, {b}.l) as la"), F.expr(f"greatest({a}.l, {b}.l) as lb"), F.expr(apart)]
+
+
+def paired(entries: DataFrame, shorter: str, percent: int, more: str = "true") -> DataFrame:
+    """(la, lb, apart) of the sets that share a key ``t`` and pass the filters. ``shorter`` tells the entries that the
+    smaller set of a pair needs; the larger one needs all."""
+    a, b = entries.filter(shorter).alias("a"), entries.alias("b")
+    smaller = "(a.n < b.n or a.n = b.n and a.l < b.l)"
+    return a.join(b, F.expr(f"a.t = b.t and {smaller} and {alike(percent)} and {more}")).select(*candidate())
+
+
+def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> DataFrame:
+    """Candidates (la, lb, apart) by their first words, and with null ``lb`` the lines that have common ones there."""
+    sets = by_rarity(once, rarity, "l")
+    first = f"slice(s, 1, n - ({percent} * n + 99) div 100 + 1)"
+    sets = sets.select("l", "n", "b0", "b1", F.expr(first).alias("f"))
+    # Words too common for a key are the last ones, and all of them are one negative key that is the line's own.
+    usable = F.expr(f"filter(f, x -> shiftrightunsigned(x, 56) < {common})")
+    sets = sets.select("l", "n", "b0", "b1", F.expr("size(f)").alias("k"), usable.alias("u"))
+    keys = F.expr("if(size(u) < k, concat(u, array(l | shiftleft(1L, 63))), u)")
+    entry = sets.select("l", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")).filter("t is not null")
+    entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")
+    by = Window.partitionBy("t").orderBy("l", "np", "b0", "b1")  # repeated lines come one after the other
+    again = [F.lag(c).over(by) == F.col(c) for c in ("l", "np", "b0", "b1")]
+    entry = entry.withColumn("again", F.coalesce(again[0] & again[1] & again[2] & again[3], F.lit(False))).filter("not again").drop("again")
+    entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
+    entry = entry.withColumn("size", F.expr(f"if(t < 0, {SMALL_GROUP + 1}, size)")).filter("size > 1")
+    entry = entry.selectExpr("t", "l", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p", "b0", "b1", "size")
+    small = entry.filter(f"size <= {SMALL_GROUP}").drop("size")
+    shorter = f"p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"
+    pairs = paired(small, shorter, percent, f"least(a.n - a.p, b.n - b.p) >= {overlap(percent)}")
+    crowd = entry.filter(f"size > {SMALL_GROUP}").select(F.col("l").alias("la"), F.lit(None).cast("long").alias("lb"), F.lit(0).alias("apart"))
+    return written(pairs.unionByName(crowd.distinct()), "candidates")
+
+
+def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
+    """Of ``lines`` (l, c, e, line), e its place, all (t, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
+    others have too, how many, and the earliest one of them.
+
+    Two similar sets differ in so few words that fewer twos of their common words are parted by them than there are.
+    The first one that isn't has at most so many twos before it as words that its set alone has, counted double, and
+    words that only the other has: ``2 * n * (100 - percent) / 100`` at most.
+    """
+    sets = by_rarity(lines, rarity, "l", "c", "e")
+    last = f"least(n - 2, {2 * (100 - percent)} * n div 100)"
+    keys = F.expr(f"if(n = 1, array(xxhash64(s[0])), transform(sequence(0, cast(greatest(0, {last}) as int)), i -> xxhash64(get(s, i), get(s, i + 1))))")
+    twos = written(sets.select("l", "c", "e", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")), "twos")
+    groups = twos.groupBy("t").agg(F.count("*").alias("size"), F.min(F.struct("e", "l", "n", "b0", "b1")).alias("lead")).filter("size > 1")
+    return written(twos.join(groups, "t"), "shared")
+
+
+def matches(docs: DataFrame, key: str, text: str, least: int, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class."""
+    ends = pairs.select(F.explode(F.array("la", "lb")).alias("l")).distinct()
+    wanted = written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")
+    sets = line_texts(docs, key, text, least, wanted).select("l", "c", word_set("line").alias("s"))
+    sets = written(sets, "sets")
+    a, b = (wanted.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
+    pairs = pairs.join(a, "la").join(b, "lb")
+    later = F.col("fa") > F.col("fb")
+    turned = [F.when(later, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(x) for x in "lc"] + [F.when(later, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"e{x}") for x in "lc"]
+    pairs = written(pairs.select(*turned, "apart"), "ordered")
 
+    def verified(p: DataFrame) -> DataFrame:
+        p = p.join(sets.withColumnRenamed("s", "sa"), ["l", "c"]).join(sets.toDF("el", "ec", "sb"), ["el", "ec"])
+        same = F.size(F.array_intersect("sa", "sb"))
+        return written(p.filter(same * 100 >= percent * (F.size("sa") + F.size("sb") - same)).select("l", "c").distinct(), "gone")
 
-def by_rarity(line: str, rarity: bytes) -> Column:
-    """The distinct words as longs, rarest first: seven bits of rarity above 56 bits of hash."""
-    table = F.split(F.lit(",".join(str(r << 56) for r in rarity)), ",").cast("array<bigint>")  # folded into one literal
-    code = lambda w: F.get(table, F.xxhash64(w).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.sort_array(F.array_distinct(F.transform(words(F.col(line)), code)))
+    best = pairs.groupBy("l", "c").agg(F.min(F.struct("apart", "el", "ec")).alias("x")).select("l", "c", "x.el", "x.ec")
+    first = verified(best)
+    return first.unionByName(verified(pairs.join(first, ["l", "c"], "left_anti").select("l", "c", "el", "ec")))
 
 
 def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(classes, removed): every class of lines (c, its first line, rows), and those that an earlier line matches."""
+    """(classes, removed): every class of lines (l, c, its first line, rows), and those (l, c) that an earlier line
+    matches."""
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100")
     own = docs.select(key, text).filter(F.col(text).isNotNull())
     rarity = counters(own, text)
-    lines = lines_of(own, key, text, least).select("d", "th", "i", "line", F.unhex(F.md5(F.col("line").cast("binary"))).alias("c"))
-    classes = written(lines.groupBy("c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows")), "classes")
-    # Lines that many documents share are few: they alone are told apart here, so that each is entered but once.
+    lines = lines_of(own, key, text, least)
+    classes = lines.select(*line_class("line"), "d", "th", "tc", "i").groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows"))
+    classes = written(classes, "classes")
+    # Lines that many documents share are few: their copies are put together before they are entered.
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select(F.col("c").alias("hc"), F.col("first").alias("hf"))  # 50,000 rows at most
-    once = lines.join(F.broadcast(hot), F.col("c") == F.col("hc"), "left").filter(F.col("hf").isNull() | (F.col("hf") == earlier()))
-    once = once.select(F.xxhash64("c").alias("l"), "d", by_rarity("line", rarity).alias("s"))
-    n = F.size("s")
-    entry = once.select("l", "d", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * percent / 100) + SHARED).cast("int"))).alias("p", "t"))
-    entry = entry.select("t", "l", "d", F.shiftleft("n", 12).bitwiseOR(F.least("p", F.lit(4095))).alias("np"))
-    # One row for a class and token, with its earliest document; then the size of each token's group and its rank.
-    by = Window.partitionBy("t").orderBy("l", F.col("d").asc_nulls_last())
-    entry = entry.withColumn("again", F.lag("l").over(by) == F.col("l")).filter(~F.coalesce("again", F.lit(False))).drop("again")
-    entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t"))).filter("size > 1")
-    entry = written(entry, "entries")
-    small, large = entry.filter(F.col("size") <= SMALL_GROUP).select("t", "l", "np"), entry.filter(F.col("size") > SMALL_GROUP)
-    crowd = written(large.groupBy("l").agg(F.min("d").alias("d"), F.max(F.expr("np >> 12")).alias("n"), F.sort_array(F.collect_list("t")).alias("s")), "crowd")  # no longer than a line
-    a, b = small.toDF("t", "la", "a"), small.toDF("t", "lb", "b")
-    pairs = a.join(b, "t").filter("la < lb").filter(may_match(percent)).groupBy("la", "lb").agg(F.count("*").alias("shared"), F.max(F.expr("least(a >> 12, b >> 12)")).alias("n"))
-    has = crowd.select("l", F.lit(1).alias("h"))
-    pairs = pairs.filter("shared >= least(2, n - 1)").join(has.toDF("la", "ha"), "la", "left").join(has.toDF("lb", "hb"), "lb", "left")
-    pairs = pairs.filter(f"shared + if(ha = 1 and hb = 1, 1, 0) >= least({SHARED}, n)").select("la", "lb", "shared")
-    # Twos of frequent tokens; a set of a single word is a two by itself.
-    two = crowd.select("l", "d", "n", "s", F.posexplode("s").alias("i", "x")).select("l", "d", "n", F.col("x"), F.explode(F.when(F.col("n") == 1, F.col("s")).otherwise(F.slice("s", F.col("i") + 2, F.size("s")))).alias("y"))
-    two = two.select(F.xxhash64("x", "y").alias("t"), "l", "n", F.struct(F.col("d").isNull().alias("x"), "d", "l", "n").alias("e"))
-    group = Window.partitionBy("t")
-    two = two.select("t", "l", "n", F.count("*").over(group).alias("size"), F.min("e").over(group).alias("e")).filter("size > 1")
-    two = written(two.select("t", "l", "n", "size", F.col("e.l").alias("ll"), F.col("e.n").alias("ln")), "twos")
-    few, many = two.filter(F.col("size") <= SMALL_TWO), two.filter(F.col("size") > SMALL_TWO)
-    near_size = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
-    a, b = few.select("t", F.col("l").alias("la"), F.col("n").alias("na")), few.select("t", F.col("l").alias("lb"), F.col("n").alias("nb"))
-    both = a.join(b, "t").filter("la < lb").filter(near_size).select("la", "lb")
-    star = many.filter("l != ll").select(F.least("l", "ll").alias("la"), F.greatest("l", "ll").alias("lb"), F.col("n").alias("na"), F.col("ln").alias("nb")).filter(near_size).select("la", "lb")
-    pairs = pairs.unionByName(both.unionByName(star).groupBy("la", "lb").agg(F.count("*").alias("shared")))
-    pairs = written(pairs.groupBy("la", "lb").agg(F.sum("shared").alias("shared")), "pairs")
-    place = classes.select(F.xxhash64("c").alias("l"), "first")
-    gone = matches(own, key, text, least, place, pairs, percent)
-    # Lines that are still there meet the whole of their large groups.
-    a = many.join(gone, "l", "left_anti").select("t", F.col("l").alias("la"), F.col("n").alias("na"))
-    b = many.select("t", F.col("l").alias("lb"), F.col("n").alias("nb"))
-    more = a.join(b, "t").filter("la != lb").filter(near_size).select("t", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-    more = more.groupBy("la", "lb").agg(F.count("*").alias("shared"))
-    more = written(more.join(pairs, ["la", "lb"], "left_anti"), "more")
-    gone = gone.unionByName(matches(own, key, text, least, place, more, percent)).distinct() if more.count() else gone
-    return classes, gone
-
-
-def may_match(percent: int) -> Column:
-    """Length and positional filter of two entries ``a`` and ``b``: sizes above 12 bits of positions. The first common
-    tokens of a similar pair pass it, SHARED of them, though those before the token aren't counted."""
-    return F.expr(
-        f"least(a >> 12, b >> 12) * 100 >= {percent} * greatest(a >> 12, b >> 12) and "
-        f"({100 + percent}) * ({SHARED - 1} + least((a >> 12) - (a & 4095), (b >> 12) - (b & 4095))) >= {percent} * ((a >> 12) + (b >> 12))"
-    )
-
-
-def matches(docs: DataFrame, key: str, text: str, least: int, place: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(l): of each pair (la, lb, shared) whose sets are similar enough, the later one."""
-    a, b = place.toDF("la", "fa"), place.toDF("lb", "fb")
-    pairs = pairs.join(a, "la").join(b, "lb")
-    later = F.col("fa") > F.col("fb")
-    pairs = pairs.select(F.when(later, F.col("la")).otherwise(F.col("lb")).alias("l"), F.when(later, F.col("lb")).otherwise(F.col("la")).alias("e"), "shared", "fa", "fb")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("shared"), "e"))
-    pairs = written(pairs.withColumn("at", rank), "ranked")
-    both = pairs.select(F.explode(F.array(F.struct(F.when(F.col("fa") > F.col("fb"), F.col("fa")).otherwise(F.col("fb")).alias("f"), F.col("l").alias("w")), F.struct(F.least("fa", "fb").alias("f"), F.col("e").alias("w")))).alias("x"))
-    wanted = written(both.select(F.col("x.w").alias("w"), F.col("x.f.d").alias("wd"), F.col("x.f.th").alias("wth"), F.col("x.f.i").alias("wi")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    some = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.col(text))
-    source = wanted.groupBy("wd", "wth").agg(F.collect_list(F.struct("w", "wi")).alias("own"))  # lines of one document
-    some = some.join(F.broadcast(source) if few else source, F.col("d").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wth")))
-    some = some.select(F.split(F.lower(text), "\n").alias("lines"), F.explode("own").alias("o")).select(F.col("o.w").alias("l"), F.get("lines", F.col("o.wi")).alias("line"))
-    sets = written(some.select("l", word_set("line").alias("s")).dropDuplicates(["l"]), "sets")
-
-    def verified(p: DataFrame) -> DataFrame:
-        p = p.select("l", "e").join(sets.toDF("l", "sa"), "l").join(sets.toDF("e", "sb"), "e")
-        same = F.size(F.array_intersect("sa", "sb"))
-        return p.filter(same * 100 >= percent * (F.size("sa") + F.size("sb") - same)).select("l").distinct()
-
-    first = written(verified(pairs.filter("at <= 2")), "gone")
-    rest = verified(pairs.filter("at > 2").select("l", "e").join(first, "l", "left_anti"))
-    return written(first.unionByName(rest).distinct(), "gone")
+    hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select("l", "c")  # 50,000 rows at most
+    line = lines.select(*line_class("line"), "line")
+    once = line.join(F.broadcast(hot), ["l", "c"], "left_anti").select("l", "line")
+    once = once.unionByName(line.join(F.broadcast(hot), ["l", "c"], "left_semi").groupBy("l", "c").agg(F.first("line").alias("line")).select("l", "line"))
+    n = rarity.select("total").first()[0]
+    common = max(COMMON_WORD, n // 4096)
+    found = by_words(once, rarity, min(127, int(4 * log2(1 + common))), percent)
+    crowd = classes.join(found.filter("lb is null").select(F.col("la").alias("l")), "l", "left_semi").select("l", "c", F.col("first").alias("e"))
+    crowd = written(crowd, "crowd")
+    two = by_twos(line_texts(own, key, text, least, crowd).join(crowd, ["l", "c"]), rarity, percent)
+    few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
+    close = paired(few, f"p <= {3 * (100 - percent)} * n div {100 + percent}", percent)
+    star = many.select(F.struct("l", "n", "b0", "b1").alias("a"), F.col("lead").alias("b")).filter(f"a.l != b.l and {alike(percent)}").select(*candidate())
+    pairs = found.filter("lb is not null").unionByName(close).unionByName(star)
+    pairs = written(pairs.groupBy("la", "lb").agg(F.min("apart").alias("apart")), "pairs")
+    gone = matches(own, key, text, least, classes, pairs, percent)
+    # Lines that are still there meet the others of their large groups.
+    a, b = many.join(gone, ["l", "c"], "left_anti").alias("a"), many.alias("b")
+    more = a.join(b, F.expr(f"a.t = b.t and b.e < a.e and b.l != a.lead.l and {alike(percent)}")).select(*candidate())
+    more = written(more.groupBy("la", "lb").agg(F.min("apart").alias("apart")).join(pairs, ["la", "lb"], "left_anti"), "more")
+    if not more.isEmpty():
+        gone = gone.unionByName(matches(own, key, text, least, classes, more, percent))
+    return classes, written(gone.distinct(), "removed")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 1) -> DataFrame:
-    """``docs``, all rows and columns, with the text without the lines that an earlier line matches, and ``dropped_lines``.
+    """``docs``, all rows and columns, with the text without the lines that an earlier line matches, and
+    ``dropped_lines``, which takes the place of a column of that name.
 
     Lines stand between line feeds, words between single spaces; case does not count. All lines take part that hold
-    more than white space; those that do not, and those of fewer than ``least`` words, stay. The order of lines is that of ``key``, nulls last, and of their place; rows of one key are ordered by a
-    hash of their texts, and rows with equal key and text are one document. A null text stays null.
+    more than white space; those that do not, and those of fewer than ``least`` words, stay. The order of lines is that
+    of ``key``, nulls last, and of their place; rows of one key are ordered by a hash of their texts, and rows with
+    equal key and text are one document. A null text stays null. ``percent`` is from 70 to 100.
     """
     classes, gone = removed_classes(docs, key, text, percent, least)
-    kept = classes.withColumn("l", F.xxhash64("c")).join(gone, "l", "left_anti")
-    kept = kept.groupBy(F.col("first.d").alias("_kd"), F.col("first.th").alias("_kth")).agg(F.collect_list("first.i").alias("_kept"))
-    # Only documents that lose a line are told: those with fewer lines kept than they have.
-    lines = F.split(F.col(text), "\n")
-    long = lambda x: is_long(F.lower(x), least)
-    have = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_hd"), F.xxhash64(text).alias("_hth"), F.size(F.filter(lines, long)).alias("_have")).filter("_have > 0").distinct()
-    change = have.join(kept, F.col("_hd").eqNullSafe(F.col("_kd")) & (F.col("_hth") == F.col("_kth")), "left")
-    change = change.filter(F.col("_have") > F.coalesce(F.size("_kept"), F.lit(0))).select("_hd", "_hth", F.coalesce("_kept", F.array().cast("array<int>")).alias("_kept"))
-    change = written(change, "change")
-    few = change.agg(F.count("*") + F.coalesce(F.sum(F.size("_kept")), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS
-    rows = docs.withColumn("_th", F.xxhash64(text))
-    rows = rows.join(F.broadcast(change) if few else change, F.col(key).eqNullSafe(F.col("_hd")) & (F.col("_th") == F.col("_hth")), "left")
-    short = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~long(F.get(lines, i)))
-    stay = F.sort_array(F.array_union("_kept", short))
-    new = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay)).cast("long")
-    return rows.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns), dropped.alias("dropped_lines"))
+    # For each document the numbers of the lines that go, as bits of one long for 64 lines.
+    at = lambda i: [F.expr(f"{i} div 64").alias("w"), F.expr(f"shiftleft(1L, {i} % 64)")]
+    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    word, bit = at("i")
+    have = cut.select("d", "th", "tc", word, F.when(is_long(F.col("line"), least), bit).otherwise(F.lit(0).cast("long")).alias("long"), F.lit(0).cast("long").alias("kept"))
+    word, bit = at("first.i")
+    kept = classes.join(gone, ["l", "c"], "left_anti").select("first.d", "first.th", "first.tc", word, F.lit(0).cast("long").alias("long"), bit.alias("kept"))
+    both = have.unionByName(kept).groupBy("d", "th", "tc", "w").agg(F.expr("bit_or(long) & ~bit_or(kept)").alias("out"))
+    change = both.groupBy("d", "th", "tc").agg(F.bit_or("out").alias("some"), F.array_sort(F.collect_list(F.struct("w", "out"))).alias("out"))
+    d, th, tc, out, lines = (fresh(docs, x) for x in ("d", "th", "tc", "out", "lines"))
+    change = written(change.filter("some != 0").select(F.col("d").alias(d), F.col("th").alias(th), F.col("tc").alias(tc), F.col("out.out").alias(out)), "change")
+    few = change.agg(F.count("*") + F.coalesce(F.sum(F.size(out)), F.lit(0))).first()[0] <= 2 * BROADCAST_ROWS
+    own = [F.col(key).eqNullSafe(F.col(d)), F.xxhash64(text) == F.col(th), F.xxhash64(F.lit(1), text) == F.col(tc)]
+    rows = docs.join(F.broadcast(change) if few else change, own[0] & own[1] & own[2], "left")
+    stays = lambda x, i: F.getbit(F.get(F.col(out), F.floor(i / 64).cast("int")), i % 64) == 0
+    rows = rows.withColumn(lines, F.when(F.col(out).isNotNull(), F.filter(F.split(text, "\n"), stays)))
+    new = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
+    dropped = F.when(F.col(out).isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n")) - F.size(lines)).cast("long")
+    return rows.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns if c != "dropped_lines"), dropped.alias("dropped_lines"))

@@ -40,10 +40,10 @@ def brute(docs, percent=80, least=5):
     return out
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_table(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, common", [(512, 4096), (1, 4096), (4, 12), (1, 2)])
+def test_table(spark, monkeypatch, small, common):
     monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
-    monkeypatch.setattr(line_dedup, "SMALL_TWO", small)
+    monkeypatch.setattr(line_dedup, "COMMON_WORD", common)
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows())], SCHEMA + ", row int").repartition(3)
     before = {i: (r[0], r[1]) for i, r in enumerate(rows())}
     out = line_dedup.dedup_lines(df)
@@ -82,10 +82,10 @@ def brute_all(docs, percent=80):
     return out
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_lines_of_few_words(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, common", [(512, 4096), (1, 4096), (4, 12), (1, 2)])
+def test_lines_of_few_words(spark, monkeypatch, small, common):
     monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
-    monkeypatch.setattr(line_dedup, "SMALL_TWO", small)
+    monkeypatch.setattr(line_dedup, "COMMON_WORD", common)
     rng = random.Random(3)
     pool = [" ".join(rng.choices("a b c d e f g h".split(), k=n)) for n in range(1, 8) for _ in range(12)]
     pool += ["name\tage\tcity\tzip\tcountry\tphone", "這是一行沒有空格的中文文字", "Read More", "read more", "", " ", "\t\t", "x", "x x"]
