@@ -71,7 +71,7 @@ def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 def is_long(line: Column, least: int) -> Column:
     """Whether a line has ``least`` words or more, which its spaces tell, and something in them."""
-    some = line.rlike(r"[^\x20\x09-\x0D]")
+    some = F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
     return some if least <= 1 else some & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= least - 1)
 
 
@@ -92,12 +92,11 @@ def line_texts(docs: DataFrame, key: str, text: str, least: int, wanted: DataFra
 def by_rarity(lines: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
     """(*keep, s, n, b0, b1): the line's distinct words as longs, rarest first: seven bits of rarity above 56 bits of
     hash; their number; and for each of 128 numbers, whether an odd number of words have it."""
-    table = rarity.select("rarity").scalar()
-    code = lambda x: F.shiftleft(F.get("_table", x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    out = lines.select(*keep, word_set("line").alias("_h"), table.alias("_table"))
-    out = out.select(*keep, F.sort_array(F.transform("_h", code)).alias("s"))
-    parity = "aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {}, shiftleft(1L, cast(x & 63 as int)), 0L))"
-    return out.select(*keep, "s", F.size("s").alias("n"), F.expr(parity.format(0)).alias("b0"), F.expr(parity.format(64)).alias("b1"))
+    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(x, 8)"
+    out = lines.select(*keep, word_set("line").alias("_h"), rarity.select("rarity").scalar().alias("_table"))
+    out = out.select(*keep, F.size("_h").alias("n"), F.expr(f"sort_array(transform(_h, x -> {code}))").alias("s"))
+    parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {}, shiftleft(1L, cast(x & 63 as int)), 0L)), 0L)"
+    return out.select(*keep, "s", "n", F.expr(parity.format(0)).alias("b0"), F.expr(parity.format(64)).alias("b1"))
 
 
 def overlap(percent: int) -> str:
@@ -117,16 +116,13 @@ def candidate(a: str = "a", b: str = "b") -> list[Column]:
     return [F.expr(f"least({a}.l, {b}.l) as la"), F.expr(f"greatest({a}.l, {b}.l) as lb"), F.expr(apart)]
 
 
-def paired(entries: DataFrame, shorter: str, percent: int, more: str = "true") -> DataFrame:
-    """(la, lb, apart) of the sets that share a key ``t`` and pass the filters. ``shorter`` tells the entries that the
-    smaller set of a pair needs; the larger one needs all."""
-    a, b = entries.filter(shorter).alias("a"), entries.alias("b")
-    smaller = "(a.n < b.n or a.n = b.n and a.l < b.l)"
-    return a.join(b, F.expr(f"a.t = b.t and {smaller} and {alike(percent)} and {more}")).select(*candidate())
+#: So that a pair is met but once: the smaller set first.
+SMALLER = "(a.n < b.n or a.n = b.n and a.l < b.l)"
 
 
 def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> DataFrame:
-    """Candidates (la, lb, apart) by their first words, and with null ``lb`` the lines that have common ones there."""
+    """(l, pair): candidates by their first words, each a ``pair`` (la, lb, apart), and without one the lines that have
+    words there that are too common for it."""
     sets = by_rarity(once, rarity, "l")
     first = f"slice(s, 1, n - ({percent} * n + 99) div 100 + 1)"
     sets = sets.select("l", "n", "b0", "b1", F.expr(first).alias("f"))
@@ -135,23 +131,20 @@ def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> D
     sets = sets.select("l", "n", "b0", "b1", F.expr("size(f)").alias("k"), usable.alias("u"))
     keys = F.expr("if(size(u) < k, concat(u, array(l | shiftleft(1L, 63))), u)")
     entry = sets.select("l", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")).filter("t is not null")
-    entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")
-    by = Window.partitionBy("t").orderBy("l", "np", "b0", "b1")  # repeated lines come one after the other
-    again = [F.lag(c).over(by) == F.col(c) for c in ("l", "np", "b0", "b1")]
-    entry = entry.withColumn("again", F.coalesce(again[0] & again[1] & again[2] & again[3], F.lit(False))).filter("not again").drop("again")
+    entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
-    entry = entry.withColumn("size", F.expr(f"if(t < 0, {SMALL_GROUP + 1}, size)")).filter("size > 1")
     entry = entry.selectExpr("t", "l", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p", "b0", "b1", "size")
-    small = entry.filter(f"size <= {SMALL_GROUP}").drop("size")
-    shorter = f"p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"
-    pairs = paired(small, shorter, percent, f"least(a.n - a.p, b.n - b.p) >= {overlap(percent)}")
-    crowd = entry.filter(f"size > {SMALL_GROUP}").select(F.col("l").alias("la"), F.lit(None).cast("long").alias("lb"), F.lit(0).alias("apart"))
-    return written(pairs.unionByName(crowd.distinct()), "candidates")
+    # The first word in common passes the positional filter; it also leaves the prefix that the smaller set needs.
+    left = f"a.n - a.p >= {overlap(percent)} and b.n - b.p >= {overlap(percent)}"
+    few = entry.filter(f"size <= {SMALL_GROUP}")
+    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {SMALLER} and {left} and {alike(percent)}"), "left")
+    pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP} or a.t < 0")
+    return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
 
 
 def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
-    """Of ``lines`` (l, c, e, line), e its place, all (t, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
-    others have too, how many, and the earliest one of them.
+    """Of ``lines`` (l, c, e, line), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
+    others have too, the two before each, how many others, and the earliest one of them.
 
     Two similar sets differ in so few words that fewer twos of their common words are parted by them than there are.
     The first one that isn't has at most so many twos before it as words that its set alone has, counted double, and
@@ -160,7 +153,8 @@ def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     sets = by_rarity(lines, rarity, "l", "c", "e")
     last = f"least(n - 2, {2 * (100 - percent)} * n div 100)"
     keys = F.expr(f"if(n = 1, array(xxhash64(s[0])), transform(sequence(0, cast(greatest(0, {last}) as int)), i -> xxhash64(get(s, i), get(s, i + 1))))")
-    twos = written(sets.select("l", "c", "e", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")), "twos")
+    twos = sets.select("l", "c", "e", "n", "b0", "b1", keys.alias("k")).select("l", "c", "e", "n", "b0", "b1", "k", F.posexplode("k").alias("p", "t"))
+    twos = written(twos.withColumn("q", F.expr("coalesce(get(k, p - 1), l)")).drop("k"), "twos")
     groups = twos.groupBy("t").agg(F.count("*").alias("size"), F.min(F.struct("e", "l", "n", "b0", "b1")).alias("lead")).filter("size > 1")
     return written(twos.join(groups, "t"), "shared")
 
@@ -197,22 +191,23 @@ def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     lines = lines_of(own, key, text, least)
     classes = lines.select(*line_class("line"), "d", "th", "tc", "i").groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows"))
     classes = written(classes, "classes")
-    # Lines that many documents share are few: their copies are put together before they are entered.
+    # Lines that many documents share are few: they alone are told apart here, so that each is entered but once.
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select("l", "c")  # 50,000 rows at most
-    line = lines.select(*line_class("line"), "line")
-    once = line.join(F.broadcast(hot), ["l", "c"], "left_anti").select("l", "line")
-    once = once.unionByName(line.join(F.broadcast(hot), ["l", "c"], "left_semi").groupBy("l", "c").agg(F.first("line").alias("line")).select("l", "line"))
+    hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select("l", "c", "first")  # 50,000 rows at most
+    once = lines.withColumns(dict(zip("lc", line_class("line")))).join(F.broadcast(hot), ["l", "c"], "left")
+    once = once.filter(F.col("first").isNull() | (F.col("first") == earlier())).select("l", "line")
     n = rarity.select("total").first()[0]
     common = max(COMMON_WORD, n // 4096)
     found = by_words(once, rarity, min(127, int(4 * log2(1 + common))), percent)
-    crowd = classes.join(found.filter("lb is null").select(F.col("la").alias("l")), "l", "left_semi").select("l", "c", F.col("first").alias("e"))
+    crowd = classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", F.col("first").alias("e"))
     crowd = written(crowd, "crowd")
     two = by_twos(line_texts(own, key, text, least, crowd).join(crowd, ["l", "c"]), rarity, percent)
     few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
-    close = paired(few, f"p <= {3 * (100 - percent)} * n div {100 + percent}", percent)
+    # Pairs are told by the first of several twos in a row that they share.
+    shorter = few.filter(f"p <= {3 * (100 - percent)} * n div {100 + percent}")
+    close = shorter.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {SMALLER} and a.q != b.q and {alike(percent)}")).select(*candidate())
     star = many.select(F.struct("l", "n", "b0", "b1").alias("a"), F.col("lead").alias("b")).filter(f"a.l != b.l and {alike(percent)}").select(*candidate())
-    pairs = found.filter("lb is not null").unionByName(close).unionByName(star)
+    pairs = found.filter("pair is not null").select("pair.*").unionByName(close).unionByName(star)
     pairs = written(pairs.groupBy("la", "lb").agg(F.min("apart").alias("apart")), "pairs")
     gone = matches(own, key, text, least, classes, pairs, percent)
     # Lines that are still there meet the others of their large groups.
@@ -236,7 +231,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     classes, gone = removed_classes(docs, key, text, percent, least)
     # For each document the numbers of the lines that go, as bits of one long for 64 lines.
     at = lambda i: [F.expr(f"{i} div 64").alias("w"), F.expr(f"shiftleft(1L, {i} % 64)")]
-    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(text, "\n")).alias("i", "line"))
     word, bit = at("i")
     have = cut.select("d", "th", "tc", word, F.when(is_long(F.col("line"), least), bit).otherwise(F.lit(0).cast("long")).alias("long"), F.lit(0).cast("long").alias("kept"))
     word, bit = at("first.i")
