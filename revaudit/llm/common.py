@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/revaudit-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", options: dict | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,40 +33,20 @@ COMMON_WORD = 4096
 BROADCAST_ROWS = 200_000
 
 
-def words(text: Column) -> Column:
-    """Words of a line or text: the pieces between single spaces, in lower case."""
-    return F.split(F.lower(text), " ")
-
-
-def word_set(line: str) -> Column:
-    return F.array_distinct(F.transform(words(F.col(line)), lambda w: F.xxhash64(w)))
-
-
-def line_class(line: str) -> tuple[Column, Column]:
-    """Two hashes of a line in lower case, as (l, c): the first one is its address, both tell it apart."""
-    return F.xxhash64(line).alias("l"), F.xxhash64(F.lit(1), line).alias("c")
-
-
-def row_of(key: str, text: str, prefix: str = "") -> list[Column]:
+def row_of(key: str, text: str) -> list[Column]:
     """(d, th, tc): what a row is told by: its key and two hashes of its text."""
-    return [F.col(key).alias(f"{prefix}d"), F.xxhash64(text).alias(f"{prefix}th"), F.xxhash64(F.lit(1), text).alias(f"{prefix}tc")]
-
-
-def counters(docs: DataFrame, text: str) -> DataFrame:
-    """One row: ``total``, the number of words, and ``rarity``, for each hashed counter a number up to 127 that rises
-    with the logarithm of its words' occurrences."""
-    each = docs.select(F.explode(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    found = each.groupBy(F.expr(f"xxhash64(w) & {(1 << BITS) - 1}").alias("c")).agg(F.count("*").alias("n"))
-    found = docs.sparkSession.range(1 << BITS).join(found, F.col("id") == F.col("c"), "left")
-    level = F.expr("cast(least(127, floor(4 * log2(1 + coalesce(n, 0)))) as tinyint)").alias("r")
-    table = F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["r"])  # 2**18 numbers
-    return written(found.agg(table.alias("rarity"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "rarity")
+    return [F.col(key).alias("d"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tc")]
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, tc, i, line): document, number and text, in lower case, of each line of ``least`` words or more."""
-    cut = docs.select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
-    return cut.filter(is_long(F.col("line"), least))
+    """(d, th, tc, i, l, c, h): document and number of each line; two hashes that tell its text, in lower case, apart,
+    and the set of its words as hashes, both null for a line of less than ``least`` words. Texts are read but here: words
+    repeat, so a table of them with dictionaries is smaller than the texts."""
+    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    long = is_long(F.col("line"), least)
+    words = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    out = cut.select("d", "th", "tc", "i", F.when(long, F.xxhash64("line")).alias("l"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("c"), F.when(long, words).alias("h"))
+    return written(out, "lines", {"parquet.dictionary.page.size": 1 << 23})
 
 
 def is_long(line: Column, least: int) -> Column:
@@ -80,34 +60,48 @@ def earlier() -> Column:
     return F.struct(F.col("d").isNull().alias("n"), "d", "th", "tc", "i")
 
 
-def line_texts(docs: DataFrame, key: str, text: str, least: int, wanted: DataFrame) -> DataFrame:
-    """(l, c, line) of the classes ``wanted`` (l, c), each once."""
-    few = wanted.count() <= BROADCAST_ROWS
-    wanted = wanted.select(F.col("l").alias("wl"), F.col("c").alias("wc"))
-    found = lines_of(docs, key, text, least).select(*line_class("line"), "line")
-    found = found.join(F.broadcast(wanted) if few else wanted, (F.col("l") == F.col("wl")) & (F.col("c") == F.col("wc")), "left_semi")
-    return found.groupBy("l", "c").agg(F.first("line").alias("line"))
-
-
-def by_rarity(lines: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, s, n, b0, b1): the line's distinct words as longs, rarest first: seven bits of rarity above 56 bits of
-    hash; their number; and for each of 128 numbers, whether an odd number of words have it."""
-    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(x, 8)"
-    out = lines.select(*keep, word_set("line").alias("_h"), rarity.select("rarity").scalar().alias("_table"))
-    out = out.select(*keep, F.size("_h").alias("n"), F.expr(f"sort_array(transform(_h, x -> {code}))").alias("s"))
-    parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ if((x & 64) = {}, shiftleft(1L, cast(x & 63 as int)), 0L)), 0L)"
-    return out.select(*keep, "s", "n", F.expr(parity.format(0)).alias("b0"), F.expr(parity.format(64)).alias("b1"))
+def counters(lines: DataFrame) -> DataFrame:
+    """One row: ``total``, the number of words, and ``rarity``, for each hashed counter a number up to 127 that rises
+    with the logarithm of its words' occurrences."""
+    found = lines.select(F.explode("h").alias("w")).groupBy(F.expr(f"w & {(1 << BITS) - 1}").alias("k")).agg(F.count("*").alias("n"))
+    found = lines.sparkSession.range(1 << BITS).join(found, F.col("id") == F.col("k"), "left")
+    level = F.expr("cast(least(127, floor(4 * log2(1 + coalesce(n, 0)))) as tinyint)").alias("r")
+    table = F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["r"])  # 2**18 numbers
+    return written(found.agg(table.alias("rarity"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "rarity")
 
 
-def overlap(percent: int) -> str:
-    """Least number of words that similar sets of ``a.n`` and ``b.n`` words have in common."""
-    return f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(l, c, first, h) of the classes ``wanted`` (l, c, first), each once."""
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = F.broadcast(wanted) if few else wanted
+    found = lines.join(wanted, ["l", "c"]).filter(F.col("first") == earlier())
+    return found.groupBy("l", "c", "first").agg(F.first("h").alias("h"))
 
 
-def alike(percent: int) -> str:
-    """Length and parity filter: words that only one of two similar sets has are as many as differing bits, or more."""
-    sizes = f"least(a.n, b.n) * 100 >= {percent} * greatest(a.n, b.n)"
-    return f"{sizes} and bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1) <= a.n + b.n - 2 * {overlap(percent)}"
+def by_rarity(sets: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, s, n, b0, b1): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash; their
+    number; and for each of 128 numbers, whether an odd number of words have it."""
+    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(x, 8)"
+    out = sets.select(*keep, "h", rarity.select("rarity").scalar().alias("_table"))
+    out = out.select(*keep, F.size("h").alias("n"), F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
+    parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int))), 0L)"
+    out = out.select(*keep, "s", "n", F.expr(parity.format("1L")).alias("b"), F.expr(parity.format("shiftright(x, 6) & 1")).alias("b1"))
+    return out.select(*keep, "s", "n", F.expr("b ^ b1").alias("b0"), "b1")
+
+
+def alike(percent: int, positions: bool = False) -> str:
+    """Of two different entries ``a`` and ``b``, whether they pass the filters, and with ``positions`` also whether a is
+    the smaller set, so that a pair is met but once. Sets
+    of x and y words have ``percent * (x + y) / (100 + percent)`` or more in common if they are similar. Words that only
+    one of them has are as many as differing parity bits, or more; with ``positions``, the words from the shared one on,
+    ``n - p`` of each, must be as many as they have in common."""
+    smaller = "(a.n < b.n or a.n = b.n and a.l < b.l)"
+    if positions:  # 100 * n - (100 + percent) * p of one, at least percent * n of the other: the length filter too
+        sizes = "a.u >= b.v and b.u >= a.v"
+    else:
+        sizes = f"least(a.n, b.n) * 100 >= {percent} * greatest(a.n, b.n)"
+        smaller = "a.l != b.l"
+    return f"{sizes} and {smaller} and {100 + percent} * (bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1)) <= {100 - percent} * (a.n + b.n)"
 
 
 def candidate(a: str = "a", b: str = "b") -> list[Column]:
@@ -116,10 +110,6 @@ def candidate(a: str = "a", b: str = "b") -> list[Column]:
     return [F.expr(f"least({a}.l, {b}.l) as la"), F.expr(f"greatest({a}.l, {b}.l) as lb"), F.expr(apart)]
 
 
-#: So that a pair is met but once: the smaller set first.
-SMALLER = "(a.n < b.n or a.n = b.n and a.l < b.l)"
-
-
 def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> DataFrame:
     """(l, pair): candidates by their first words, each a ``pair`` (la, lb, apart), and without one the lines that have
     words there that are too common for it."""
@@ -133,17 +123,17 @@ def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> D
     entry = sets.select("l", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")).filter("t is not null")
     entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
-    entry = entry.selectExpr("t", "l", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p", "b0", "b1", "size")
+    entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p").drop("np")
     # The first word in common passes the positional filter; it also leaves the prefix that the smaller set needs.
-    left = f"a.n - a.p >= {overlap(percent)} and b.n - b.p >= {overlap(percent)}"
+    entry = entry.selectExpr("t", "l", "n", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
     few = entry.filter(f"size <= {SMALL_GROUP}")
-    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {SMALLER} and {left} and {alike(percent)}"), "left")
+    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {alike(percent, True)}"), "left")
     pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP} or a.t < 0")
     return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
 
 
 def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
-    """Of ``lines`` (l, c, e, line), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
+    """Of ``lines`` (l, c, e, h), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
     others have too, the two before each, how many others, and the earliest one of them.
 
     Two similar sets differ in so few words that fewer twos of their common words are parted by them than there are.
@@ -159,63 +149,62 @@ def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     return written(twos.join(groups, "t"), "shared")
 
 
-def matches(docs: DataFrame, key: str, text: str, least: int, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class."""
     ends = pairs.select(F.explode(F.array("la", "lb")).alias("l")).distinct()
-    wanted = written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")
-    sets = line_texts(docs, key, text, least, wanted).select("l", "c", word_set("line").alias("s"))
-    sets = written(sets, "sets")
-    a, b = (wanted.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
+    sets = written(sets_of(lines, written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")), "sets")
+    a, b = (sets.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
     pairs = pairs.join(a, "la").join(b, "lb")
     later = F.col("fa") > F.col("fb")
     turned = [F.when(later, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(x) for x in "lc"] + [F.when(later, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"e{x}") for x in "lc"]
     pairs = written(pairs.select(*turned, "apart"), "ordered")
 
     def verified(p: DataFrame) -> DataFrame:
-        p = p.join(sets.withColumnRenamed("s", "sa"), ["l", "c"]).join(sets.toDF("el", "ec", "sb"), ["el", "ec"])
-        same = F.size(F.array_intersect("sa", "sb"))
-        return written(p.filter(same * 100 >= percent * (F.size("sa") + F.size("sb") - same)).select("l", "c").distinct(), "gone")
+        p = p.join(sets.select("l", "c", F.col("h").alias("ha")), ["l", "c"])
+        p = p.join(sets.select(F.col("l").alias("el"), F.col("c").alias("ec"), F.col("h").alias("hb")), ["el", "ec"])
+        same = F.size(F.array_intersect("ha", "hb"))
+        return written(p.filter(same * 100 >= percent * (F.size("ha") + F.size("hb") - same)).select("l", "c").distinct(), "gone")
 
     best = pairs.groupBy("l", "c").agg(F.min(F.struct("apart", "el", "ec")).alias("x")).select("l", "c", "x.el", "x.ec")
     first = verified(best)
     return first.unionByName(verified(pairs.join(first, ["l", "c"], "left_anti").select("l", "c", "el", "ec")))
 
 
-def removed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(classes, removed): every class of lines (l, c, its first line, rows), and those (l, c) that an earlier line
-    matches."""
-    if not 70 <= percent <= 100:
-        raise ValueError("percent must be from 70 to 100")
-    own = docs.select(key, text).filter(F.col(text).isNotNull())
-    rarity = counters(own, text)
-    lines = lines_of(own, key, text, least)
-    classes = lines.select(*line_class("line"), "d", "th", "tc", "i").groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows"))
-    classes = written(classes, "classes")
-    # Lines that many documents share are few: they alone are told apart here, so that each is entered but once.
-    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    hot = classes.filter(F.col("rows") >= max(16, total // 50_000)).select("l", "c", "first")  # 50,000 rows at most
-    once = lines.withColumns(dict(zip("lc", line_class("line")))).join(F.broadcast(hot), ["l", "c"], "left")
-    once = once.filter(F.col("first").isNull() | (F.col("first") == earlier())).select("l", "line")
+def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, removed) of ``lines_of``: every class of lines (l, c, its first line, rows), and those (l, c) that an
+    earlier line matches."""
+    lines = lines.filter("l is not null")
+    rarity = counters(lines)
+    classes = written(lines.groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows")), "classes")
+    # The lines with the most copies are told apart here, so that each is entered but once; repeats of the others, which
+    # are many lines with few copies each, are entered as they are.
+    total, most = 0, 1
+    for n, rows in sorted(classes.filter("rows > 1").groupBy(F.least("rows", F.lit(10_000)).alias("n")).count().collect(), reverse=True):
+        if (total := total + rows) > BROADCAST_ROWS:
+            most = n
+            break
+    hot = classes.filter(F.col("rows") > most).select("l", "c", "first")
+    once = lines if most >= 10_000 else lines.join(F.broadcast(hot), ["l", "c"], "left").filter(F.col("first").isNull() | (F.col("first") == earlier()))
+    once = once.select("l", "h")
     n = rarity.select("total").first()[0]
     common = max(COMMON_WORD, n // 4096)
     found = by_words(once, rarity, min(127, int(4 * log2(1 + common))), percent)
-    crowd = classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", F.col("first").alias("e"))
-    crowd = written(crowd, "crowd")
-    two = by_twos(line_texts(own, key, text, least, crowd).join(crowd, ["l", "c"]), rarity, percent)
+    crowd = written(classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", "first"), "crowd")
+    two = by_twos(sets_of(lines, crowd).withColumnRenamed("first", "e"), rarity, percent)
     few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
     # Pairs are told by the first of several twos in a row that they share.
     shorter = few.filter(f"p <= {3 * (100 - percent)} * n div {100 + percent}")
-    close = shorter.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {SMALLER} and a.q != b.q and {alike(percent)}")).select(*candidate())
-    star = many.select(F.struct("l", "n", "b0", "b1").alias("a"), F.col("lead").alias("b")).filter(f"a.l != b.l and {alike(percent)}").select(*candidate())
+    close = shorter.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and a.q != b.q and (a.n < b.n or a.n = b.n and a.l < b.l) and {alike(percent)}")).select(*candidate())
+    star = many.select(F.struct("l", "n", "b0", "b1").alias("a"), F.col("lead").alias("b")).filter(alike(percent)).select(*candidate())
     pairs = found.filter("pair is not null").select("pair.*").unionByName(close).unionByName(star)
     pairs = written(pairs.groupBy("la", "lb").agg(F.min("apart").alias("apart")), "pairs")
-    gone = matches(own, key, text, least, classes, pairs, percent)
+    gone = matches(lines, classes, pairs, percent)
     # Lines that are still there meet the others of their large groups.
     a, b = many.join(gone, ["l", "c"], "left_anti").alias("a"), many.alias("b")
     more = a.join(b, F.expr(f"a.t = b.t and b.e < a.e and b.l != a.lead.l and {alike(percent)}")).select(*candidate())
     more = written(more.groupBy("la", "lb").agg(F.min("apart").alias("apart")).join(pairs, ["la", "lb"], "left_anti"), "more")
     if not more.isEmpty():
-        gone = gone.unionByName(matches(own, key, text, least, classes, more, percent))
+        gone = gone.unionByName(matches(lines, classes, more, percent))
     return classes, written(gone.distinct(), "removed")
 
 
@@ -228,14 +217,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     of ``key``, nulls last, and of their place; rows of one key are ordered by a hash of their texts, and rows with
     equal key and text are one document. A null text stays null. ``percent`` is from 70 to 100.
     """
-    classes, gone = removed_classes(docs, key, text, percent, least)
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100")
+    all_lines = lines_of(docs, key, text, least)
+    classes, gone = removed_classes(all_lines, percent)
     # For each document the numbers of the lines that go, as bits of one long for 64 lines.
-    at = lambda i: [F.expr(f"{i} div 64").alias("w"), F.expr(f"shiftleft(1L, {i} % 64)")]
-    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    word, bit = at("i")
-    have = cut.select("d", "th", "tc", word, F.when(is_long(F.col("line"), least), bit).otherwise(F.lit(0).cast("long")).alias("long"), F.lit(0).cast("long").alias("kept"))
-    word, bit = at("first.i")
-    kept = classes.join(gone, ["l", "c"], "left_anti").select("first.d", "first.th", "first.tc", word, F.lit(0).cast("long").alias("long"), bit.alias("kept"))
+    word, bit, none = F.expr("i div 64").alias("w"), F.expr("shiftleft(1L, i % 64)"), F.lit(0).cast("long")
+    have = all_lines.select("d", "th", "tc", word, F.when(F.col("l").isNotNull(), bit).otherwise(none).alias("long"), none.alias("kept"))
+    kept = classes.join(gone, ["l", "c"], "left_anti").select("first.*").select("d", "th", "tc", word, none.alias("long"), bit.alias("kept"))
     both = have.unionByName(kept).groupBy("d", "th", "tc", "w").agg(F.expr("bit_or(long) & ~bit_or(kept)").alias("out"))
     change = both.groupBy("d", "th", "tc").agg(F.bit_or("out").alias("some"), F.array_sort(F.collect_list(F.struct("w", "out"))).alias("out"))
     d, th, tc, out, lines = (fresh(docs, x) for x in ("d", "th", "tc", "out", "lines"))
