@@ -6,15 +6,20 @@ people, counterfactuals are made by swapping the identity term with others of it
 difference between the scores of a text and of its counterfactuals, so that a group's name alone can't make a text
 toxic.
 
-The fit uses a bounded sample of labelled rows; features are counted and scores made on the executors. The driver holds
-the weights and the sample's occurrences of the selected features only.
+A corpus need not have the names that are listed here. So words that its labelled rows show to be exchangeable are terms
+too: those that a fair part of the rows has, no more of the toxic ones than of the others. Words with neighbouring
+numbers of rows are a kind. Swapping them shows which weights hang on the words beside an insult instead of on it.
+
+The fit uses a bounded sample of labelled rows; features are counted and selected and scores made on the executors. The
+driver holds the selected features, the weights, and the sample's occurrences of those features only.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 class Settings:
     """``sample``: labelled rows at most that the fit sees; ``features``: selected ones; ``least``: texts
     that a feature occurs in; ``chi``: least chi-square of a feature; ``bits``: of the hash;
-    ``grams``: lengths of character n-grams; ``penalty``: of score differences; ``ridge``: of weights."""
+    ``grams``: lengths of character n-grams; ``penalty``: of score differences; ``ridge``: of weights. ``derived``:
+    exchangeable words taken from the rows at most, ``kind`` to a kind; ``share``: of the rows that has them, from and
+    to."""
 
     sample: int = 20_000
     features: int = 3_000
@@ -56,10 +63,13 @@ class Settings:
     steps: int = 600
     swaps: int = 3
     terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
+    derived: int = 200
+    kind: int = 4
+    share: tuple[float, float] = (0.02, 0.3)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_word = re.compile(r"\w+").finditer
+_word, _word_sub = re.compile(r"\w+").finditer, re.compile(r"\w+").sub
 
 
 def hashed(text: str, s: Settings) -> np.ndarray:
@@ -92,9 +102,15 @@ with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(4096, 0x5851F42D4C957F2D, np.uint64), dtype=np.uint64)
 
 
+@lru_cache(4)
+def places(terms: tuple[tuple[str, ...], ...]) -> dict[str, tuple[int, int]]:
+    """(kind, number) of each term; of a term in several kinds the last one counts."""
+    return {t: (k, i) for k, kind in enumerate(terms) for i, t in enumerate(kind)}
+
+
 def counterfactuals(text: str, s: Settings) -> list[str]:
     """The text with every identity term replaced by the next, second next, ... of its kind; none if it has no term."""
-    kinds = {t: (k, i) for k, kind in enumerate(s.terms) for i, t in enumerate(kind)}
+    kinds = places(s.terms)
     if not any(m.group() in kinds for m in _word(text.lower())):
         return []
 
@@ -103,7 +119,7 @@ def counterfactuals(text: str, s: Settings) -> list[str]:
             k, i = kinds.get(m.group().lower(), (-1, 0))
             return m.group() if k < 0 else s.terms[k][(i + by) % len(s.terms[k])]
 
-        return re.sub(r"\w+", other, text)
+        return _word_sub(other, text)
 
     out = {swapped(by): None for by in range(1, s.swaps + 1)}
     out.pop(text, None)
@@ -112,11 +128,13 @@ def counterfactuals(text: str, s: Settings) -> list[str]:
 
 @dataclass
 class Model:
-    """``column``: for each hash bucket its place in ``weights``, 0 where it has none; ``weights[0]`` is the bias."""
+    """``column``: for each hash bucket its place in ``weights``, 0 where it has none; ``weights[0]`` is the bias;
+    ``n_counterfactuals``: those that the fit saw."""
 
     settings: Settings
     column: np.ndarray
     weights: np.ndarray
+    n_counterfactuals: int = 0
 
     def active(self, text: str | None) -> np.ndarray:
         found = self.column[hashed(text or "", self.settings)]
@@ -127,17 +145,17 @@ class Model:
         return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[int, np.ndarray]], width: int, s: Settings) -> np.ndarray:
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[np.ndarray, np.ndarray]], width: int, s: Settings) -> np.ndarray:
     """Weights, the bias first, of the regularised logistic regression. ``rows``: features of each text; ``swapped``:
-    (row, features of one of its counterfactuals). Accelerated gradient steps from zero: the same every time."""
+    of each counterfactual the features that it loses and those that it gains, as only what differs counts.
+    Accelerated gradient steps from zero: the same every time."""
 
     def flat(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(groups)), [len(g) for g in groups]), np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)
+        return np.repeat(np.arange(len(groups), dtype=np.int32), [len(g) for g in groups]), np.concatenate([*groups, np.zeros(0, np.int32)]).astype(np.int32)
 
     n, m = len(rows), len(swapped)
     at, col = flat(rows)
-    # Of a counterfactual only what differs counts: features that it loses (+1) and that it gains (-1).
-    lost, won = [np.setdiff1d(rows[r], g) for r, g in swapped], [np.setdiff1d(g, rows[r]) for r, g in swapped]
+    lost, won = [x for x, _ in swapped], [x for _, x in swapped]
     (at_lost, col_lost), (at_won, col_won) = flat(lost), flat(won)
     # Steps from a bound of the curvature, row sums of absolute values, so that they cannot overshoot.
     size = np.array([len(g) + 1.0 for g in rows])
@@ -160,14 +178,29 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[
     return w
 
 
-def select(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int, s: Settings) -> np.ndarray:
-    """Buckets whose presence tells the labels apart best, by the chi-square of their counts."""
-    a, b = positive.astype(float), (total - positive).astype(float)
-    c, d = n_positive - a, (n - n_positive) - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    chi[total < s.least] = 0
-    best = np.argsort(-chi, kind="stable")[: s.features]
-    return np.sort(best[chi[best] > s.chi])
+def telling(n: int, n_positive: int) -> str:
+    """Chi-square of the presence of what ``seen`` rows have, ``positive`` ones among them, against the labels."""
+    a, b = "cast(positive as double)", "cast(seen - positive as double)"
+    c, d = f"({n_positive} - {a})", f"({n - n_positive} - {b})"
+    return f"{n} * power({a} * {d} - {b} * {c}, 2) / greatest(({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d}), 1e-9)"
+
+
+def exchangeable(texts: DataFrame, n: int, n_positive: int, s: Settings) -> tuple[tuple[str, ...], ...]:
+    """Kinds of words that tell nothing of the label, from ``texts`` (text, toxic): the most frequent ``s.derived``."""
+
+    def words(texts: list, labels: list) -> list[list]:
+        found = [(w, y) for t, y in zip(texts, labels) for w in {m.group() for m in _word((t or "").lower())}]
+        return [[w for w, _ in found], [y for _, y in found]]
+
+    each = map_rows(texts, [F.col("text"), F.col("toxic")], words, "word string, toxic int")
+    counts = each.groupBy("word").agg(F.count("*").alias("seen"), F.sum("toxic").alias("positive"))
+    low, high = (x * n for x in s.share)
+    counts = counts.filter((F.col("seen") >= max(s.least, low)) & (F.col("seen") <= high)).filter(f"{telling(n, n_positive)} < 1")
+    known = places(s.terms)
+    found = [r.word for r in counts.orderBy(F.desc("seen"), "word").limit(s.derived).collect()]  # s.derived words at most
+    found = [w for w in found if w not in known]
+    kinds = (tuple(found[i : i + s.kind]) for i in range(0, len(found), s.kind))
+    return tuple(k for k in kinds if len(k) > 1)
 
 
 def fit(texts: DataFrame, s: Settings) -> Model:
@@ -185,23 +218,37 @@ def fit(texts: DataFrame, s: Settings) -> Model:
         u = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(positive[u]), pa.array(seen[u])], ["bucket", "positive", "seen"])
 
-    counts = texts.mapInArrow(count, "bucket int, positive int, seen int").groupBy("bucket").agg(F.sum("positive").alias("p"), F.sum("seen").alias("s"))
-    counts = counts.filter(F.col("s") >= s.least).toPandas()  # no more than 2**bits rows
-    total, positive = np.zeros(1 << s.bits, np.int64), np.zeros(1 << s.bits, np.int64)
-    total[counts["bucket"]], positive[counts["bucket"]] = counts["s"], counts["p"]
-    n, n_positive = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    chosen = select(positive, total, int(n_positive), int(n), s)
+    n, n_positive = (int(x) for x in texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())
+    s = replace(s, terms=s.terms + exchangeable(texts, n, n_positive, s)) if s.derived else s
+    counts = texts.mapInArrow(count, "bucket int, positive int, seen int").groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("seen").alias("seen"))
+    counts = counts.filter(F.col("seen") >= s.least).withColumn("chi", F.expr(telling(n, n_positive))).filter(F.col("chi") > s.chi)
+    best = counts.orderBy(F.desc("chi"), "bucket").limit(s.features).select("bucket").collect()  # s.features rows at most
+    chosen = np.array(sorted(r.bucket for r in best), np.int64)
     column = np.zeros(1 << s.bits, np.int16)
     column[chosen] = np.arange(1, len(chosen) + 1)
     model = Model(s, column, np.zeros(len(chosen) + 1))
 
     def features(ids: list, texts: list, labels: list) -> list[list]:
-        return [ids, labels, [model.active(t) for t in texts], [[model.active(x) for x in counterfactuals(t or "", s)] for t in texts]]
-
-    kept = map_rows(texts, [F.xxhash64("text"), F.col("text"), F.col("toxic")], features, "id long, toxic int, own array<int>, swapped array<array<int>>")
-    rows = sorted(((r.toxic, r.own, r.swapped) for r in kept.collect()), key=str)  # the sample's: a bounded number
-    swapped = [(i, np.array(x, np.int64)) for i, r in enumerate(rows) for x in r[2]]
-    model.weights = fit_weights([np.array(r[1], np.int64) for r in rows], np.array([r[0] for r in rows], float), swapped, len(chosen) + 1, s)
+        own = [model.active(t) for t in texts]
+        other = [[model.active(x) for x in counterfactuals(t or "", s)] for t in texts]
+        packed = lambda groups: [np.concatenate([[len(g), *g] for g in gs] or [[]]).astype(np.int16).tobytes() for gs in groups]
+        lost = [[np.setdiff1d(x, y) for y in ys] for x, ys in zip(own, other)]
+        won = [[np.setdiff1d(y, x) for y in ys] for x, ys in zip(own, other)]
+        return [ids, labels, packed([x] for x in own), packed(lost), packed(won)]
+
+    def unpacked(x: bytes) -> list[np.ndarray]:
+        groups, at, x = [], 0, np.frombuffer(x, np.int16)
+        while at < len(x):
+            groups.append(x[at + 1 : at + 1 + x[at]])
+            at += 1 + x[at]
+        return groups
+
+    kept = map_rows(texts, [F.xxhash64("text"), F.col("text"), F.col("toxic")], features, "id long, toxic int, own binary, lost binary, won binary")
+    rows = sorted((r.id, r.toxic, bytes(r.own), bytes(r.lost), bytes(r.won)) for r in kept.collect())  # the sample's: a bounded number
+    swapped = [x for r in rows for x in zip(unpacked(r[3]), unpacked(r[4]))]
+    model.n_counterfactuals = len(swapped)
+    swapped = [x for x in swapped if len(x[0]) + len(x[1])]
+    model.weights = fit_weights([unpacked(r[2])[0] for r in rows], np.array([r[1] for r in rows], float), swapped, len(chosen) + 1, s)
     return model
 
 
@@ -223,14 +270,17 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings, key: str = "doc_id",
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (``key``, held_out, score, predicted) of every whole text. A null or empty text has the score of no
-    features at all; null and repeated keys stay; only the text is an input of the score."""
+    """Rows (``key``, held_out, score, predicted, n_terms) of every whole text, the last one the number of words in it
+    that are swapped in counterfactuals. A null or empty text has the score of no features at all; null and repeated
+    keys stay; only the text is an input of the score."""
+    kinds = places(model.settings.terms)
 
     def run(keys: list, held: list, texts: list) -> list[list]:
         scores = [model.score(t) for t in texts]
-        return [keys, held, scores, [int(x >= 0.5) for x in scores]]
+        terms = [sum(m.group() in kinds for m in _word((t or "").lower())) for t in texts]
+        return [keys, held, scores, [int(x >= 0.5) for x in scores], terms]
 
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int"
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int, n_terms long"
     return map_rows(docs, [F.col(key), held_out(key), F.col(text)], run, schema)
 
 
