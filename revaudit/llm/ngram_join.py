@@ -1,16 +1,19 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
-Texts are sets of hashed word n-grams; equal sets are one class. Sets are put into bands of similar sizes; a band's
-group also takes the sets just below it that can still be similar to one of its own. In a group, similar sets differ in
-at most ``k`` elements, so if the domain of elements is dealt into more than ``k`` parts, some parts must be the same
-in both: a signature is the hash of a set's elements in one part. With ``k + 1 + m`` parts, similar sets share at least
-``m + 1`` signatures. So up to ``m`` signatures of a set can be passed over: those of parts in which it has nothing, and
-those that many sets have.
+Texts are sets of hashed word n-grams; equal sets are one class, told apart by 128 bits of hash. Sets are put into bands
+of similar sizes; a band's group also takes the sets just below it that can still be similar to one of its own. In a
+group, similar sets differ in at most ``k`` elements. The domain of elements is dealt into parts, and each part into
+three. Of ``k // 2 + 1 + m`` parts of the first level, at least ``m + 1`` are such that the two sets differ in no more
+than one element there; so in each of them two of the three parts of the second level are the same in both. The
+subsets of two are enumerated: a signature is the hash of a set's elements in one of them, three for a part. So similar
+sets share signatures of ``m + 1`` parts, and up to ``m`` parts of a set can be passed over: those with a subset in
+which it has nothing, and those with a signature that many sets have.
 
 Sets that share a signature of a small group are paired, and pairs with enough common signatures are verified. What
-is left are sets with more than ``m`` common signatures: large clusters of near copies. They are first verified against
-the leaders of their groups; then those outside the largest component of a group are compared with all such sets, in
-blocks, by an inverted index. So all links between components are found, though pairs within a cluster are not listed.
+is left are sets with common signatures in more than ``m`` parts: large clusters of near copies. They are first verified
+against the leaders of their groups; then those outside the largest component of a group are compared with all such sets
+of similar sizes, in blocks, by an inverted index. So all links between components are found, though pairs within a
+cluster are not listed.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BROADCAST_ROWS = 200_000
 #: Elements of the sets that a block of the last comparison holds.
 BLOCK_ELEMENTS = 1_000_000
 NO_KEY = -(1 << 63)
+#: Bits of a signature that tell its part, up to which parts are counted; of more parts signatures are counted instead.
+PART_BITS = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,7 +68,7 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
 
 
 class Groups:
-    """The size bands and, for each, ``k``, ``m`` and the number of parts."""
+    """The size bands and, for each, ``k``, ``m`` and the number of parts of the first level."""
 
     def __init__(self, percent: int, bands: int = 64):
         self.percent, self.low, self.high = percent, [], []
@@ -74,6 +79,7 @@ class Groups:
             low = self.high[-1] + 1
         self.k = [(100 - percent) * 2 * h // (100 + percent) for h in self.high]
         self.m = [k // 5 + 2 for k in self.k]
+        self.parts = [k // 2 + 1 + m for k, m in zip(self.k, self.m)]
 
     def of(self, size: int) -> list[int]:
         own = int(np.searchsorted(self.low, size, side="right")) - 1
@@ -81,22 +87,24 @@ class Groups:
         return [g for g in [own, *after] if self.k[g] > 0]  # with k = 0 only equal sets are similar
 
     def signatures(self, x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        """The signatures, the group in their last six bits, and (group, parts that may be passed over, whether empty
-        parts are entered too) in turn."""
+        """The signatures, the group in their last six bits and the part in the PART_BITS before, and (group, parts that
+        may be passed over, whether empty subsets are entered too) in turn."""
         out, spare = [], []
         with np.errstate(over="ignore"):
             hashed = mixed(x * _B + _A)
             for g in self.of(len(x)):
-                parts = self.k[g] + 1 + self.m[g]
-                part = ((x >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
-                total = np.zeros(parts, np.uint64)
-                np.add.at(total, part, hashed)
-                some = np.bincount(part, minlength=parts) > 0
-                empty = parts - int(some.sum())
+                parts = self.parts[g]
+                cell = ((x >> np.uint64(11)) % np.uint64(parts) * np.uint64(3) + hashed % np.uint64(3)).astype(np.int64)
+                total = np.zeros(3 * parts, np.uint64)
+                np.add.at(total, cell, hashed)
+                total, some = total.reshape(parts, 3), np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
+                total, some = total.sum(axis=1, keepdims=True) - total, some.sum(axis=1, keepdims=True) - some > 0  # all but one
+                empty = parts - int(some.all(axis=1).sum())
                 all_parts = empty > self.m[g]
-                which = np.arange(parts) if all_parts else np.flatnonzero(some)
-                sig = mixed(total[which] + which.astype(np.uint64) * _A + np.uint64(g) * _B)
-                out.append(((sig >> np.uint64(6)) << np.uint64(6)) | np.uint64(g))
+                which = np.arange(3 * parts) if all_parts else np.flatnonzero(some)
+                sig = mixed(total.ravel()[which] + which.astype(np.uint64) * _A + np.uint64(g) * _B)
+                place = (which // 3).astype(np.uint64) & np.uint64((1 << PART_BITS) - 1)
+                out.append((sig >> np.uint64(PART_BITS + 6) << np.uint64(PART_BITS + 6)) | (place << np.uint64(6)) | np.uint64(g))
                 spare += [g, self.m[g] if all_parts else self.m[g] - empty, int(all_parts)]
         return out, spare
 
@@ -124,6 +132,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(now.select("v", F.col("v").alias("root")).distinct())
 
 
+def class_of(x: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set: the first one is its address, both tell it apart."""
+    h = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+def renamed(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """``rows`` (c, c2, ...) without c2; where different classes have the same address, it is made anew from both."""
+    out = rows.join(F.broadcast(clashes), ["c", "c2"], "left")  # some 10 rows among 10**10 classes
+    return out.withColumn("c", F.when(F.col("clash"), F.xxhash64("c", "c2")).otherwise(F.col("c"))).drop("c2", "clash")
+
+
 def similar(a: str, b: str, percent: int) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both * 100 >= percent * (F.size(a) + F.size(b) - both)
@@ -146,25 +166,29 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
     spark = docs.sparkSession
     groups = Groups(percent)
     ship(spark)
-    schema = "d long, h long, n long, c long, spare array<int>, sigs array<long>"
+    schema = "d long, h long, n long, c long, c2 long, spare array<int>, sigs array<long>"
     arrow = to_arrow_schema(struct_of(schema))
 
     def sign(batches):
-        seen: set[int] = set()  # classes of this task: their signatures leave it once
+        seen: set[tuple] = set()  # classes of this task: their signatures leave it once
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows: list[tuple] = []
                 for d, h, t in zip(*(c.to_pylist() for c in part.columns)):
                     x = shingles(t, n)
-                    c = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None
-                    sigs, spare = ([], []) if c is None or c in seen else groups.signatures(x)
+                    c = class_of(x) if len(x) else (None, None)
+                    sigs, spare = ([], []) if c[0] is None or c in seen else groups.signatures(x)
                     seen.add(c)
-                    rows.append((d, h, len(x), c, spare, np.concatenate(sigs).view(np.int64) if sigs else []))
+                    rows.append((d, h, len(x), *c, spare, np.concatenate(sigs).view(np.int64) if sigs else []))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
     body = F.col(text).cast("binary")
     base = written(docs.select(F.col(key).cast("long"), F.xxhash64(text), body).mapInArrow(sign, schema), "base")
+    clashes = base.filter("c is not null").groupBy("c").agg(F.min("c2").alias("a"), F.max("c2").alias("b")).filter("a != b").select("c")
+    clashes = base.join(F.broadcast(clashes), "c", "left_semi").select("c", "c2", F.lit(True).alias("clash")).distinct()
+    clashes = written(clashes, "clashes")
+    base = renamed(base, clashes)
     classes = base.filter("c is not null").groupBy("c").agg(F.min("d").alias("rep"), F.count("*").alias("rows"), F.max(F.when(F.size("spare") > 0, F.col("spare"))).alias("spare"))
     classes = written(classes, "classes")
 
@@ -179,7 +203,9 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
 
     # How many parts each class may pass over, and whether common signatures are more than that.
     spare = classes.select("c", F.expr("inline(transform(sequence(0, size(spare) div 3 - 1), i -> struct(spare[3 * i] as g, spare[3 * i + 1] as spare, spare[3 * i + 2] = 1 as full)))"))
-    common = large.groupBy("c", "g").agg(F.count("*").alias("common"))
+    part = F.shiftrightunsigned("sig", 6).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    few_parts = F.col("g") < next((g for g, n in enumerate(groups.parts) if n > 1 << PART_BITS), len(groups.parts))
+    common = large.groupBy("c", "g", F.when(few_parts, part).otherwise(F.col("sig")).alias("part")).count().groupBy("c", "g").agg(F.count("*").alias("common"))
     own = spare.join(entry.select("c", "g").distinct(), ["c", "g"]).join(common, ["c", "g"], "left").select("c", "g", "full", (F.col("spare") - F.coalesce("common", F.lit(0))).alias("room"), F.col("common").isNotNull().alias("crowded"))
     own = written(own, "room")
     # A set that enters its empty parts has no such bound against one that does not: any common signature will do.
@@ -187,8 +213,9 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
 
     a, b = small.select("sig", "g", F.col("c").alias("a")), small.select("sig", F.col("c").alias("b"))
     pairs = a.join(b, "sig").filter("a < b").groupBy("a", "b", "g").agg(F.count("*").alias("shared"))
-    # They have m + 1 signatures in common, less those that either passes over: more than the larger room is missing. The
-    # room of a set with all parts does not tell of empty ones that only the other passes over, so there the other's counts.
+    # They have signatures of m + 1 parts in common, less those that either passes over: more than the larger room is missing.
+    # The room of a set with all subsets does not tell of empty ones that only the other passes over, so there the other's
+    # counts.
     room = lambda c: own.select(F.col("c").alias(c), "g", F.col("room").alias(f"r{c}"), F.col("full").alias(f"f{c}"))
     pairs = pairs.join(room("a"), ["a", "g"]).join(room("b"), ["b", "g"])
     least = F.when(F.col("fa") == F.col("fb"), F.greatest("ra", "rb")).otherwise(F.when(F.col("fa"), F.col("rb")).otherwise(F.col("ra")))
@@ -208,9 +235,9 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
 
     def again(texts: list) -> list[list]:
         found = [shingles(t, n) for t in texts]
-        return [[xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in found], [x.view(np.int64) for x in found]]
+        return [*map(list, zip(*map(class_of, found))), [x.view(np.int64) for x in found]] if found else [[], [], []]
 
-    sets = map_rows(some, [F.col("t")], again, "c long, x array<long>").join(F.broadcast(wanted.select("c")) if few else wanted.select("c"), "c", "left_semi")
+    sets = renamed(map_rows(some, [F.col("t")], again, "c long, c2 long, x array<long>"), clashes).join(F.broadcast(wanted.select("c")) if few else wanted.select("c"), "c", "left_semi")
     sets.dropDuplicates(["c"]).write.parquet(sets_path)
     sets = spark.read.schema("c long, x array<long>").parquet(sets_path)
 
@@ -260,18 +287,22 @@ def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percen
     minor = counts.withColumn("at", rank).filter("at > 1").select("sig", "root")
     minor = entries.join(minor, ["sig", "root"]).select("c").distinct()
     path = f"{shared_dir(spark)}/outliers"
-    outside = sets.join(minor, "c").join(entries.select("c", "root").distinct(), "c")
-    outside.write.parquet(path)
-    files = [r[0] for r in spark.read.format("binaryFile").load(f"{path}/*.parquet").select("path").collect()]  # a name a task
-    members = sets.join(entries.select("c", "root").distinct(), "c").select("c", "root", "x")
+    members = written(sets.join(entries.select("c", "root").distinct(), "c").select("c", "root", "x", F.size("x").alias("n")), "members")
+    elements, rows = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tasks = max(8, spark.sparkContext.defaultParallelism * 2, elements // (4 * BLOCK_ELEMENTS), rows // 20_000)
+    members.join(minor, "c", "left_semi").repartitionByRange(tasks, "n").write.parquet(path)
+    sizes = spark.read.schema(members.schema).parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("n"), F.max("n"))
+    files = [tuple(r) for r in sizes.collect()]  # a row a task
     schema = "a long, b long"
     arrow = to_arrow_schema(struct_of(schema))
 
-    def blocks():
+    def blocks(low: int, high: int):
         store, _ = _place(path)
         held: list[tuple] = []
         size = 0
-        for name in files:
+        for name, least, most in files:
+            if 100 * most < percent * low or 100 * high < percent * least:
+                continue  # no size in it is similar to one from low to high
             _, at = _place(name)
             with store.open_input_file(at) as f:
                 for batch in parquet.ParquetFile(f).iter_batches(512, columns=["c", "root", "x"]):
@@ -285,10 +316,17 @@ def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percen
             yield held
 
     def compare(batches):
+        parent: dict[int, int] = {}  # of the links that this task has found those that join components
+
+        def find(r: int) -> int:
+            while (p := parent.get(r, r)) != r:
+                parent[r] = r = parent.get(p, p)
+            return r
+
         for batch in batches:
-            rows = [(c, root, np.array(x, np.int64)) for c, root, x in zip(*(y.to_pylist() for y in batch.columns))]
-            found: set[tuple] = set()
-            for block in blocks():
+            rows = [(c, root, np.array(x, np.int64)) for c, root, x in zip(*(y.to_pylist() for y in batch.select(["c", "root", "x"]).columns))]
+            found: list[tuple] = []
+            for block in blocks(min(len(x) for *_, x in rows), max(len(x) for *_, x in rows)):
                 # An inverted index of the block: its elements in order, and whose they are.
                 element = np.concatenate([x for _, _, x in block])
                 whose = np.repeat(np.arange(len(block)), [len(x) for _, _, x in block])
@@ -296,17 +334,20 @@ def _outliers(spark, entries: DataFrame, sets: DataFrame, sets_path: str, percen
                 element, whose = element[by], whose[by]
                 sizes = np.array([len(x) for _, _, x in block])
                 roots = np.array([r for _, r, _ in block])
-                for c, root, x in rows:
+                for _, root, x in rows:
                     low, high = np.searchsorted(element, x, "left"), np.searchsorted(element, x, "right")
                     n = high - low
                     at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
                     both = np.bincount(whose[at], minlength=len(block))
                     ok = (100 * both >= percent * (sizes + len(x) - both)) & (roots != root)
-                    found.update((min(root, int(r)), max(root, int(r))) for r in set(roots[ok].tolist()))
+                    for r in set(roots[ok].tolist()):
+                        if (p := find(root)) != (q := find(r)):
+                            parent[max(p, q)] = min(p, q)
+                            found.append((root, r))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(y, f.type) for y, f in zip(zip(*found), arrow)], schema=arrow)
 
-    return written(members.repartition(max(8, spark.sparkContext.defaultParallelism * 2)).mapInArrow(compare, schema).distinct(), "more")
+    return written(members.repartitionByRange(tasks, "n").mapInArrow(compare, schema).distinct(), "more")
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:

@@ -91,3 +91,27 @@ def test_short_texts(spark, monkeypatch, small, percent):
     data += [(5000 + i, " ".join(["p q r s t u v x y z"[: 2 * k - 1], f"o{i}"])) for i, k in enumerate(rng.choices(range(4, 11), k=120))]
     out = ngram_join.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(2), n=1, percent=percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == ngram_join.brute_force(data, 1, percent)
+
+
+def test_same_address(spark):
+    """Different classes with the same address get names of their own, all others keep theirs."""
+    rows = [(1, 5, 7), (2, 5, 8), (3, 6, 7), (4, None, None), (5, 5, 7)]
+    clashes = spark.createDataFrame([(5, 7, True), (5, 8, True)], "c long, c2 long, clash boolean")
+    out = {r.d: r.c for r in ngram_join.renamed(spark.createDataFrame(rows, "d int, c long, c2 long"), clashes).collect()}
+    assert out[3] == 6 and out[4] is None and out[1] == out[5] != out[2] and 5 not in (out[1], out[2])
+
+
+def test_similar_sets_share_parts():
+    """Sets that differ in up to k elements share signatures of more parts than m, if none is passed over."""
+    import numpy as np
+
+    rng, groups = np.random.default_rng(2), ngram_join.Groups(85)
+    for n in (20, 60, 200, 700):
+        g = groups.of(n)[0]
+        x = np.unique(rng.integers(0, 1 << 63, n + groups.k[g], dtype=np.uint64))
+        a, b = x[groups.k[g] // 2 :], x[: len(x) - (groups.k[g] - groups.k[g] // 2)]
+        own = [{int(s) for sig in groups.signatures(y)[0] for s in sig if int(s) & 63 == g} for y in (a, b)]
+        shared = {s >> 6 & 0xFFFF for s in own[0] & own[1]}
+        empty = groups.signatures(a)[1]
+        room = empty[empty[::3].index(g) * 3 + 1]
+        assert len(shared) > room, (n, len(shared), room)
