@@ -166,25 +166,38 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
     spark = docs.sparkSession
     groups = Groups(percent)
     ship(spark)
-    schema = "d long, h long, n long, c long, c2 long, spare array<int>, sigs array<long>"
-    arrow = to_arrow_schema(struct_of(schema))
+    described = "d long, h long, n long, c long, c2 long, spare array<int>"
+    entered = "sig long, c long, c2 long"
+    arrow, arrow_entered = to_arrow_schema(struct_of(described)), to_arrow_schema(struct_of(entered))
 
-    def sign(batches):
-        seen: set[tuple] = set()  # classes of this task: their signatures leave it once
+    def describe(batches):
+        seen: set[tuple] = set()  # classes of this task: what they may pass over leaves it once
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
                 rows: list[tuple] = []
-                for d, h, t in zip(*(c.to_pylist() for c in part.columns)):
+                for d, h, t in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
                     x = shingles(t, n)
                     c = class_of(x) if len(x) else (None, None)
-                    sigs, spare = ([], []) if c[0] is None or c in seen else groups.signatures(x)
+                    rows.append((d, h, len(x), *c, [] if c[0] is None or c in seen else groups.signatures(x)[1]))
                     seen.add(c)
-                    rows.append((d, h, len(x), *c, spare, np.concatenate(sigs).view(np.int64) if sigs else []))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
+    def sign(batches):
+        seen: set[tuple] = set()  # their signatures too
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                sigs, names = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+                for t in batch.column(0).slice(start, 256).to_pylist():
+                    x = shingles(t, n)
+                    if len(x) and (c := class_of(x)) not in seen:
+                        seen.add(c)
+                        sigs += groups.signatures(x)[0]
+                        names.append(np.tile(np.array([c], np.int64), (sum(map(len, sigs[len(sigs) - len(groups.of(len(x))) :])), 1)))
+                columns = [np.concatenate(sigs).view(np.int64), *np.concatenate(names).T.copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow_entered)], schema=arrow_entered)
+
     body = F.col(text).cast("binary")
-    base = written(docs.select(F.col(key).cast("long"), F.xxhash64(text), body).mapInArrow(sign, schema), "base")
+    base = written(docs.select(F.col(key).cast("long"), F.xxhash64(text), body).mapInArrow(describe, described), "base")
     clashes = base.filter("c is not null").groupBy("c").agg(F.min("c2").alias("a"), F.max("c2").alias("b")).filter("a != b").select("c")
     clashes = base.join(F.broadcast(clashes), "c", "left_semi").select("c", "c2", F.lit(True).alias("clash")).distinct()
     clashes = written(clashes, "clashes")
@@ -195,7 +208,8 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
     # Who shares a signature: one row for a class and signature, the size of the group and its smallest class.
     by = Window.partitionBy("sig").orderBy("c")
     whole = Window.partitionBy("sig")
-    entry = base.filter(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "c")
+    # Signatures are made from the texts again instead of being kept: they would be larger than the texts.
+    entry = renamed(docs.select(body).mapInArrow(sign, entered), clashes)
     entry = entry.withColumn("again", F.lag("c").over(by) == F.col("c")).filter(~F.coalesce("again", F.lit(False)))
     entry = entry.select("sig", "c", F.count("*").over(whole).alias("size"), F.min("c").over(whole).alias("lead")).filter("size > 1")
     entry = written(entry.withColumn("g", F.col("sig").bitwiseAND(F.lit(63)).cast("int")), "entries")

@@ -107,11 +107,12 @@ def test_similar_sets_share_parts():
 
     rng, groups = np.random.default_rng(2), ngram_join.Groups(85)
     for n in (20, 60, 200, 700):
-        g = groups.of(n)[0]
-        x = np.unique(rng.integers(0, 1 << 63, n + groups.k[g], dtype=np.uint64))
-        a, b = x[groups.k[g] // 2 :], x[: len(x) - (groups.k[g] - groups.k[g] // 2)]
+        k = groups.k[groups.of(n)[0]] * n // groups.high[groups.of(n)[0]]  # elements that sets of this size may differ in
+        x = np.unique(rng.integers(0, 1 << 63, n + k // 2, dtype=np.uint64))
+        a, b = x[k // 2 :], x[: len(x) - (k - k // 2)]
+        g = max(set(groups.of(len(a))) & set(groups.of(len(b))))
         own = [{int(s) for sig in groups.signatures(y)[0] for s in sig if int(s) & 63 == g} for y in (a, b)]
         shared = {s >> 6 & 0xFFFF for s in own[0] & own[1]}
-        empty = groups.signatures(a)[1]
-        room = empty[empty[::3].index(g) * 3 + 1]
-        assert len(shared) > room, (n, len(shared), room)
+        rooms = [spare[spare[::3].index(g) * 3 + 1] for spare in (groups.signatures(y)[1] for y in (a, b))]
+        assert k < 2 or len(set(a) ^ set(b)) in (k - 1, k)
+        assert len(shared) > min(rooms), (n, len(shared), rooms)
