@@ -51,18 +51,22 @@ def share(nodes: DataFrame, parent: list[str], name: str, budget: str) -> DataFr
 
 def plan(leaves: DataFrame, levels: list[str], weights: dict[str, dict], other: int, budget: Column, epochs: int) -> DataFrame:
     """Leaves (levels, tokens) with ``target``: the tokens that each is to give. Weights are whole numbers; a value
-    that has none, null included, has the weight ``other``."""
-    table = leaves.withColumn("supply", F.col("tokens") * epochs)
+    that has none, null included, has the weight ``other``. Leaves below a weight of 0 give nothing and are left out:
+    nothing is budgeted for them, so that others can make up for it."""
+
+    def weight_of(level: str) -> Column:
+        weight = F.lit(other).cast("long")
+        for value, w in weights.get(level, {}).items():
+            weight = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(weight)
+        return weight
+
+    table = leaves.withColumn("supply", F.col("tokens") * epochs).filter(reduce(and_, (weight_of(x) > 0 for x in levels)))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(budget.cast("long").alias("got"))
     above = table.join(F.broadcast(total))  # a single row
     for k, level in enumerate(levels):
         parent = levels[:k]
-        own = weights.get(level, {})
-        weight = F.lit(other).cast("long")
-        for value, w in own.items():
-            weight = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(weight)
         nodes = above.groupBy(*levels[: k + 1]).agg(F.sum("supply").alias("supply"), F.first("got").alias("budget"))
-        nodes = share(nodes.withColumn("weight", weight).filter("weight > 0"), parent, level, "budget").select(*levels[: k + 1], "got")
+        nodes = share(nodes.withColumn("weight", weight_of(level)), parent, level, "budget").select(*levels[: k + 1], "got")
         nodes = nodes.withColumnsRenamed({c: f"_{c}" for c in levels[: k + 1]})
         on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels[: k + 1]))
         above = above.drop("got").join(nodes, on).select(*table.columns, "got")
@@ -90,9 +94,10 @@ def mix(
 
     A null text has no tokens and comes with the whole epochs and with a prefix that its hash lies in. Rows that share
     a key are taken together. A leaf's last prefix ends before the first row that would not fit. An empty table gives
-    an empty one.
+    an empty one. Columns of the input that are named as those that are added give way to them.
     """
     names = [f"mix_{x}" for x in levels]
+    docs = docs.select(*(c for c in docs.columns if c not in names and c not in ("mix_tokens", "mix_epoch", "mix_whole", "mix_cut", "mix_copies")))
     tagged = docs.select("*", *(c.alias(n) for n, c in zip(names, levels.values())))
     narrow = written(tagged.select(F.col(key).alias("k"), *names, tokens(text).alias("tokens")), "tokens")
     leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))

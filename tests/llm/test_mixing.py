@@ -56,3 +56,13 @@ def test_budgets_hold(spark, percent, epochs):
 
 def test_empty(spark):
     assert mixing.mix(empty(spark), levels(), {}).count() == 0
+
+
+def test_zero_weights(spark):
+    """A source of weight 0 gives nothing, and what it has does not count as supply."""
+    rows = [(i, "a b c d e", "src0" if i % 2 else "src1", 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_tokens int")
+    out = mixing.mix(df, {"source": F.col("source")}, {"source": {"src0": 0}}, budget_percent=50, epochs=1)
+    assert out.columns == ["doc_id", "text", "source", "mix_source", "mix_tokens", "mix_epoch"]
+    got = out.collect()
+    assert {r.source for r in got} == {"src1"} and sum(r.mix_tokens for r in got) == 500
