@@ -118,4 +118,4 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", spectr
         return [keys, *(out if outputs else out[:8])]
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
-    return map_rows(df, [F.col(key), F.col(text).cast("binary")], run, schema + (", media binary, times array<long>, codes array<long>" if outputs else ""), rows=64)
+    return map_rows(df, [F.col(key), F.col(text).cast("binary")], run, schema + (", media binary, times array<int>, codes array<int>" if outputs else ""), rows=64)

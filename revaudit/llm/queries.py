@@ -31,7 +31,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir), outputs=False)
+    return media.media_columns(documents(spark, sf_dir)).drop("media")
 
 
 #: The tree of the mix: a source belongs to a domain by its number.
