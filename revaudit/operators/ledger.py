@@ -62,11 +62,17 @@ def usage_summary(df: DataFrame, *by: str, tokens: str = "total_tokens", latency
     """Token sum, only where every row has one; latency mean, least, most, and the upper middle value."""
     out = df.groupBy(*by).agg(
         F.count("*").alias("requests"), F.count(tokens).alias("with_usage"), F.sum(tokens).alias("_sum"),
-        F.avg(latency).alias("mean_latency"), F.min(latency).alias("min_latency"), F.max(latency).alias("max_latency"),
-        F.array_sort(F.collect_list(latency)).alias("_all"),
+        F.avg(latency).alias("mean_latency"), F.min(latency).alias("min_latency"), F.max(latency).alias("max_latency"), F.count(latency).alias("_n"),
     )
-    middle = F.try_element_at("_all", F.floor(F.size("_all") / 2).cast("int") + 1)
-    return out.withColumn("median_latency", F.coalesce(middle, F.try_element_at("_all", F.lit(-1)))).withColumn("tokens", F.when(F.col("requests") == F.col("with_usage"), F.col("_sum"))).drop("_sum", "_all")
+    # The middle from the numbers of rows of each value: a large group is as many rows as it has values.
+    each = df.filter(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count("*").alias("_rows"))
+    own = Window.partitionBy(*by)
+    upto = F.sum("_rows").over(own.orderBy(latency).rowsBetween(Window.unboundedPreceding, 0))
+    middle = each.withColumns({"_upto": upto, "_all": F.sum("_rows").over(own)}).filter(F.expr("_upto > _all div 2"))
+    middle = middle.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by))).agg(F.min(latency).alias("median_latency"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    out = out.join(middle, on, "left").drop(*(f"_k{i}" for i in range(len(by))), "_n") if by else out.join(middle, how="left").drop("_n")
+    return out.withColumn("tokens", F.when(F.col("requests") == F.col("with_usage"), F.col("_sum"))).drop("_sum")
 
 
 def termination(df: DataFrame, *by: str, code: str = "exit_code", timed_out: str = "timed_out", runtime: str = "runtime_ms") -> DataFrame:

@@ -5,7 +5,7 @@ Numbers in packets are whole, so that canonical JSON is ``to_json`` of structs w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -94,6 +94,21 @@ def replayed(packets: DataFrame, runs: DataFrame) -> DataFrame:
     return out.withColumn("tests", F.transform("tests", lambda t: t.withField("earlier", put(t, "st", "earlier")).withField("later", put(t, "st1", "later")))).drop("_runs")
 
 
+def assembled(*batches: DataFrame) -> DataFrame:
+    """The union of batches of packets, with ``problem``: what keeps a packet out of the frozen whole, null if nothing
+    does. Fixed values: the texts of the problems are outputs."""
+    from functools import reduce
+
+    out = reduce(DataFrame.unionByName, batches)
+    intact = seal_intact(out)
+    open_tests = lambda s: F.get(F.filter("tests", lambda t: t[s].status == "NOT_REPLAYED"), F.lit(0)).test_case_id
+    several = F.count(F.lit(1)).over(Window.partitionBy("item_id")) > 1
+    problem = F.when(several, F.lit("duplicate packet item ID")).when(~intact, F.concat(F.lit("packet hash mismatch: "), "item_id"))
+    for s in ("earlier", "later"):
+        problem = problem.when(open_tests(s).isNotNull(), F.concat_ws(" ", F.concat(F.lit("test replay missing: "), "item_id"), F.lit(s), open_tests(s)))
+    return out.withColumn("problem", problem)
+
+
 def project(packets: DataFrame) -> DataFrame:
     """The payload that a model may see, and the ids it may cite, sorted. ``ids_listed``: the packet lists them all."""
     i = F.col("item_id")
@@ -153,19 +168,51 @@ def issues(packets: DataFrame) -> DataFrame:
     return packets.withColumn("issues", F.array_distinct(F.concat(F.array_compact(F.array(*found)), tests)))
 
 
-def walk(df: DataFrame, key: str, json: str, depth: int = 12) -> DataFrame:
-    """(key, name, value) of every object member of a JSON text, at any level down to ``depth``: a recursive query over
-    variants, so no level is written out by hand. Repeats stay."""
-    view = f"_walk_{abs(hash((id(df), key, json))) % 10**9}"
-    df.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v")).createOrReplaceTempView(view)
-    rows = df.sparkSession.sql(f"""
-        WITH RECURSIVE w(k, name, v, d) AS (
-          SELECT k, CAST(NULL AS STRING), v, 0 FROM {view}
-          UNION ALL
-          SELECT w.k, e.key, e.value, w.d + 1 FROM w, LATERAL variant_explode_outer(w.v) e
-          WHERE w.d < {int(depth)} AND (schema_of_variant(w.v) LIKE 'OBJECT%' OR schema_of_variant(w.v) LIKE 'ARRAY%') AND (e.value IS NOT NULL))
-        SELECT k, name, v FROM w WHERE name IS NOT NULL""")
-    return rows.select(F.col("k").alias(key), "name", F.to_json("v").alias("value"), F.expr("try_variant_get(v, '$', 'string')").alias("text"))
+def walk(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, name, value, text) of every object member of a JSON text, at any level: the text is parsed once and walked
+    with a stack, in Arrow batches. ``value`` is the member as JSON, ``text`` a string, number or boolean as it is read,
+    null for others. Repeated names stay; a text that is no JSON has no members."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([StructField(key, df.schema[key].dataType)] + [StructField(c, StringType()) for c in ("name", "value", "text")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import json as js
+
+        class Members(list):
+            pass
+
+        def members(text):
+            try:
+                stack = [js.loads(text, object_pairs_hook=Members)] if text else []
+            except ValueError:
+                return
+            while stack:
+                v = stack.pop()
+                if isinstance(v, Members):
+                    yield from v
+                    stack += [x for _, x in reversed(v) if isinstance(x, list)]
+                elif isinstance(v, list):
+                    stack += [x for x in reversed(v) if isinstance(x, list)]
+
+        def plain(v):
+            return {k: plain(x) for k, x in v} if isinstance(v, Members) else [plain(x) for x in v] if isinstance(v, list) else v
+
+        def row(k, name, v):
+            nested = isinstance(v, list)
+            value = js.dumps(plain(v) if nested else v, ensure_ascii=False, separators=(",", ":"))
+            return k, name, value, None if nested or v is None else v if isinstance(v, str) else value
+
+        for batch in batches:
+            rows = [row(k, name, v) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for name, v in members(t)]
+            for start in range(0, len(rows), 10_000):
+                part = zip(*rows[start : start + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(part, arrow)], schema=arrow)
+
+    return df.select(key, F.col(json).cast("string")).mapInArrow(run, schema)
 
 
 def carried_ids(walked: DataFrame, key: str) -> DataFrame:

@@ -56,12 +56,31 @@ def flag_submissions(subs: DataFrame, problems: DataFrame, required: list[str])
     out = out.withColumns({
         "duplicate_submission_id": repeated("submission_id"),
         "duplicate_attempt_key": repeated("user_id", "problem_id", "attempt_number"),
-        "exact_duplicate_row": repeated(*required),
-    })
+        "_row": F.sha2(F.to_json(F.struct(*subs.columns), {"ignoreNullFields": "false"}), 256),
+    }).withColumn("exact_duplicate_row", repeated("_row")).drop("_row")
     ok = ~F.col("required_missing") & F.col("attempt_valid") & F.col("problem_linked") & ~F.col("duplicate_submission_id") & ~F.col("duplicate_attempt_key")
     return out.withColumn("row_valid_for_ordering", ok)
 
 
+def submission_rules(trace_valid: Column) -> list[tuple[str, str, str, str, Column]]:
+    """The rules of ``ledger`` over flagged submissions. Ids, statuses and reasons are outputs."""
+    return [
+        ("submission", "S01", "exclude", "Missing one or more required submission fields", F.col("required_missing")),
+        ("submission", "S02", "exclude", "Attempt number is missing, non-integer or non-positive", ~F.col("attempt_valid")),
+        ("submission", "S03", "exclude", "Problem ID does not link to Problem Data", ~F.col("problem_linked")),
+        ("submission", "S04", "exclude", "Duplicate submission identifier", F.col("duplicate_submission_id")),
+        ("submission", "S05", "exclude", "Duplicate user-problem-attempt key", F.col("duplicate_attempt_key")),
+        ("submission", "S06", "exclude from evidence-grounded set", "Verdict sequence trace missing or malformed", ~trace_valid),
+    ]
+
+
+def strict_pool(df: DataFrame, languages: list[tuple[str, str]], parts: list[str], ready: str, crossing: str, split: str = "split") -> DataFrame:
+    """Rows of the named parts of a split whose (column, language) pairs all hold, whose evidence is ready, and whose
+    code is in no other part. A null anywhere keeps a row out."""
+    out = df.filter(F.col(split).isin(*parts) & F.coalesce(F.col(ready), F.lit(False)) & ~F.coalesce(F.col(crossing), F.lit(True)))
+    return reduce(lambda d, x: d.filter(F.col(x[0]) == x[1]), languages, out)
+
+
 def ledger(df: DataFrame, rules: list[tuple[str, str, str, str, Column]]) -> DataFrame:
     """One pass over ``df``: a row for each rule (scope, rule_id, status, reason, condition) with its count."""
     counts = df.agg(*(F.coalesce(F.sum(F.when(rule[4], 1).otherwise(0)), F.lit(0)).cast("long").alias(rule[1]) for rule in rules))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import responses, signatures, text, udfs
 from ..operators import agreement, bootstrap, checks, decisions, joins, ledger, metrics, packets, quality, similarity, split, trajectory
@@ -360,7 +361,7 @@ def similar_problems(spark, sf):
 @query(None)
 def near_duplicate_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", text.problem_tokens("text").alias("s"))
-    return similarity.near_pairs(d, "doc_id", "s", 90)
+    return similarity.near_pairs(d, "doc_id", "s", 90, expand=False)
 
 
 def _copies(spark, sf):
@@ -752,16 +753,26 @@ def packet_replay(spark, sf):
     return out.select("item_id", n("later", "PASS").alias("later_pass"), n("earlier", "NOT_REPLAYED").alias("earlier_open"))
 
 
-@query("SELECT event_id, 'x' || event_id AS evidence_ids FROM events WHERE event_id % 50 <> 0")
+def _nested(inner, depth):
+    """``inner`` below so many levels of objects and arrays."""
+    return F.concat(F.repeat(F.lit('{"a":[0,'), depth), inner, F.repeat(F.lit("]}"), depth))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' || event_id || '|y' || event_type ELSE 'x' || event_id END AS evidence_ids FROM events WHERE event_id % 50 <> 0")
 def evidence_walk(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 50 != 0, F.concat(F.lit('{"a":[{"evidence_id":"x'), F.col("event_id").cast("string"), F.lit('"}],"evidence_id":""}'))).otherwise("{}").alias("j"))
+    """Ids at up to 40 levels, several of them, empty ones and texts that are no JSON."""
+    i, one = F.col("event_id"), F.concat(F.lit('{"evidence_id":"x'), F.col("event_id").cast("string"), F.lit('"}'))
+    more = F.when(i % 3 == 0, F.concat(F.lit(',[{"b":{"evidence_id":"y'), "event_type", F.lit('"}},{"evidence_id":""}]'))).otherwise("")
+    e = table(spark, sf, "events").select("event_id", F.when(i % 50 != 0, _nested(F.concat(one, more), (i % 40 + 1).cast("int"))).otherwise('{"evidence_id":"z"').alias("j"))
     return packets.carried_ids(packets.walk(e, "event_id", "j"), "event_id").select("event_id", text.joined("evidence_ids").alias("evidence_ids"))
 
 
-@query("SELECT event_id, 'A01_x|expected_answer' AS forbidden FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id, CASE WHEN event_id % 20 = 0 THEN 'A01_x|expected_answer' ELSE 'adjudicated_gold' END AS forbidden FROM events WHERE event_id % 20 IN (0, 7)")
 def forbidden_keys(spark, sf):
-    raw = F.when(F.col("event_id") % 20 == 0, '{"b":{"A01_x":1,"c":[{"expected_answer":2}]}}').otherwise('{"b":{"a1":1}}')
-    w = packets.walk(table(spark, sf, "events").select("event_id", raw.alias("j")), "event_id", "j")
+    """Forbidden keys at up to 60 levels; values that look like them do not count."""
+    i, depth = F.col("event_id"), (F.col("event_id") % 61).cast("int")
+    inner = F.when(i % 20 == 0, '{"b":{"A01_x":1,"c":[{"expected_answer":2}]}}').when(i % 20 == 7, '{"b":[[{"adjudicated_gold":null}]]}').otherwise('{"b":{"a1":"adjudicated_gold"}}')
+    w = packets.walk(table(spark, sf, "events").select("event_id", _nested(inner, depth).alias("j")), "event_id", "j")
     return packets.forbidden(w, "event_id").select("event_id", text.joined("forbidden").alias("forbidden"))
 
 
@@ -837,3 +848,149 @@ def rebuild_check(spark, sf):
 @query(None)
 def file_inventory(spark, sf):
     return readers.file_hashes(spark, f"{sf}/region.parquet").select("sha256", "bytes")
+
+
+# ---------------------------------------------------------------- files written and read back
+def _folder(spark) -> str:
+    """A new folder below the one that all executors share; a temporary one only where the session names none."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{top.rstrip('/')}/revaudit-files-{uuid.uuid4().hex}"
+
+
+DOC_FIELDS = "doc_id long, lang string, source string, text string"
+
+
+@query("SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL")
+def csv_round_trip(spark, sf):
+    """Typed columns of a CSV file with quotes, commas and line breaks in its texts."""
+    d, path = table(spark, sf, "documents").filter("text is not null"), _folder(spark)
+    sinks.write_csv(d, path, ["doc_id", "lang", "source", "text"])
+    back = readers.read_csv(spark, path, StructType.fromDDL(DOC_FIELDS), na_tokens=False)
+    return back.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def csv_texts(spark, sf):
+    """All columns of a CSV file as texts."""
+    path = _folder(spark)
+    sinks.write_csv(table(spark, sf, "part"), path, ["p_partkey", "p_name", "p_size"])
+    return readers.read_csv_text(spark, path)
+
+
+@query("SELECT doc_id, lang, source, sha256(text) AS text_sha256, n_chars FROM documents")
+def jsonl_round_trip(spark, sf):
+    """Canonical JSON lines in gzip files, read back by a schema."""
+    d, path = table(spark, sf, "documents"), _folder(spark)
+    sinks.write_canonical(d.select("doc_id", "lang", "source", "text", "n_chars"), path, gzip=True)
+    back = readers.read_jsonl(spark, path, StructType.fromDDL(DOC_FIELDS + ", n_chars long"))
+    return back.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_chars")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'broken ' || o_orderkey ELSE '[' || o_orderkey || ']' END AS line, true AS numbered FROM orders WHERE o_orderkey % 3 <> 2")
+def jsonl_bad_lines(spark, sf):
+    """Lines that are no JSON objects, of files of one line an order; blank lines are none."""
+    o, k, name, path = table(spark, sf, "orders"), F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string"), _folder(spark)
+    line = F.when(k == 0, F.concat(F.lit("broken "), name)).when(k == 1, F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.to_json(F.struct("o_orderkey")), F.lit("\n ")))
+    o.select(line.alias("value")).write.text(path)
+    return readers.bad_lines(spark, path).select("line", (F.col("line_number") >= 1).alias("numbered"))
+
+
+@query("SELECT n_nationkey, n_name, form FROM nation, (VALUES ('list'), ('value')) v(form)")
+def json_arrays(spark, sf):
+    """A JSON file that is a list of objects, and one whose first list value is that list."""
+    n, schema = table(spark, sf, "nation").select("n_nationkey", "n_name"), StructType.fromDDL("n_nationkey int, n_name string")
+    rows = F.to_json(F.sort_array(F.collect_list(F.struct(*n.columns))))  # 25 nations
+    parts = []
+    for form, text_of in (("list", rows), ("value", F.concat(F.lit('{"kind": "nations", "none": {}, "rows": '), rows, F.lit(', "more": [1]}')))):
+        path = _folder(spark)
+        n.agg(text_of.alias("value")).write.text(path)
+        parts.append(readers.read_json_array(spark, path, schema).withColumn("form", F.lit(form)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT e.event_id, e.event_type, (event_id % 2 = 1) AS second FROM events e")
+def appended_log(spark, sf):
+    """A log that two batches were appended to."""
+    e, path = table(spark, sf, "events").select("event_id", "event_type"), _folder(spark)
+    for k in (0, 1):
+        sinks.append_log(e.filter(F.col("event_id") % 2 == k).withColumn("second", F.lit(k == 1)), path)
+    return readers.read_jsonl(spark, path, StructType.fromDDL("event_id long, event_type string, second boolean"))
+
+
+@query("SELECT 'part' AS \"table\", count(*) AS rows, true AS refused FROM part")
+def refused_overwrite(spark, sf):
+    """A second write to a place that has a file is refused, and the first one's rows stay."""
+    from pyspark.errors import AnalysisException
+
+    p, path = table(spark, sf, "part"), _folder(spark)
+    sinks.write_canonical(p.select("p_partkey"), path)
+    try:
+        sinks.write_canonical(p.limit(1).select("p_partkey"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return readers.read_jsonl(spark, path, StructType.fromDDL("p_partkey long")).agg(F.count("*").alias("rows")).select(F.lit("part").alias("table"), "rows", F.lit(refused).alias("refused"))
+
+
+@query("SELECT unnest(['ok', 'missing', 'mismatch']) AS status, unnest([3, 1, 1])::BIGINT AS n")
+def checksum_status(spark, sf):
+    """A checksum file of a folder's files, of which one goes missing and another one is stated wrongly."""
+    path = _folder(spark)
+    for i, name in enumerate(["region", "nation", "supplier"]):
+        table(spark, sf, name).coalesce(1).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/data/t{i}")
+    found = readers.file_hashes(spark, f"{path}/data").filter(F.col("path").contains("/part-"))
+    more = found.limit(1).select(F.lit("gone").alias("path"), "sha256", "bytes").unionByName(found.limit(1).select(F.lit("wrong").alias("path"), "sha256", "bytes"))
+    sinks.checksum_lines(found.unionByName(more)).coalesce(1).write.text(f"{path}/sums")
+    stated = readers.read_checksums(spark, f"{path}/sums")
+    now = found.unionByName(found.limit(1).select(F.lit("wrong").alias("path"), F.lit("0" * 64).alias("sha256"), "bytes"))
+    return readers.verify_checksums(stated, now).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- strict pool, ledgers of submissions, batches
+@query(f"""WITH {SPLIT}, p AS (SELECT doc_id, split, lang, doc_id % 3 <> 0 AS ready, h IN (SELECT hash FROM bad) OR w IN (SELECT hash FROM bad) AS crossing FROM sd) SELECT doc_id, split FROM p WHERE split IN ('development', 'test') AND lang = 'en' AND ready AND NOT crossing""")
+def strict_pool(spark, sf):
+    d = split.exclude_crossing(_split_docs(spark, sf), ["h", "w"]).withColumn("ready", F.col("doc_id") % 3 != 0)
+    return quality.strict_pool(d, [("lang", "en")], ["development", "test"], "ready", "cross_split_duplicate").select("doc_id", "split")
+
+
+@query(f"""WITH {SUB}, n AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '0' WHEN doc_id % 13 = 1 THEN '1.5' WHEN doc_id % 13 = 2 THEN 'x' WHEN doc_id % 13 = 3 THEN '1' ELSE CAST(attempt AS VARCHAR) END AS a, CASE WHEN doc_id % 17 = 0 THEN 'sub_same' ELSE submission_id END AS sid, CASE WHEN doc_id % 19 = 0 THEN '["x"' ELSE trace END AS tr FROM sub),
+  f AS (SELECT (user_id IS NULL OR verdict IS NULL) AS s1, doc_id % 13 < 3 AS s2, NOT coalesce(problem_id IN (SELECT 'prob_' || (item_id % 6) FROM benchmark), false) AS s3, count(*) OVER (PARTITION BY sid) > 1 AS s4, count(*) OVER (PARTITION BY user_id, problem_id, a) > 1 AS s5, tr IS NULL OR doc_id % 19 = 0 AS s6 FROM n),
+  c AS (SELECT [count(*) FILTER (s1), count(*) FILTER (s2), count(*) FILTER (s3), count(*) FILTER (s4), count(*) FILTER (s5), count(*) FILTER (s6)] AS v FROM f)
+  SELECT 'submission' AS scope, unnest(['S01', 'S02', 'S03', 'S04', 'S05', 'S06']) AS rule_id, unnest(v) AS count, unnest(['exclude', 'exclude', 'exclude', 'exclude', 'exclude', 'exclude from evidence-grounded set']) AS status FROM c""")
+def submission_ledger(spark, sf):
+    probs = table(spark, sf, "benchmark").select(F.concat(F.lit("prob_"), (F.col("item_id") % 6).cast("string")).alias("problem_id"))
+    m = F.col("doc_id") % 13
+    subs = roles.submissions(spark, sf).withColumns({
+        "attempt_number": F.when(m == 0, "0").when(m == 1, "1.5").when(m == 2, "x").when(m == 3, "1").otherwise(F.col("attempt").cast("string")),
+        "submission_id": F.when(F.col("doc_id") % 17 == 0, "sub_same").otherwise(F.col("submission_id")),
+        "trace": F.when(F.col("doc_id") % 19 == 0, '["x"').otherwise(F.col("trace")),
+    }).drop("attempt")
+    out = quality.flag_submissions(subs, probs, ["user_id", "verdict"])
+    return quality.ledger(out, quality.submission_rules(text.json_list_reason("trace").isNull())).drop("reason")
+
+
+@query(f"""WITH {SPLIT}, {PAIR} SELECT 'transition' AS scope, 'T06' AS rule_id, count(*) AS count, 'exclude from strict evaluation partitions' AS status FROM pair WHERE attempt_t1 = attempt_t + 1 AND (code_sha256_t IN (SELECT hash FROM bad) OR code_sha256_t1 IN (SELECT hash FROM bad))""")
+def crossing_ledger(spark, sf):
+    """Transitions of which a side's code occurs in several parts of the split."""
+    bad = split.crossing_hashes(_split_docs(spark, sf), ["h", "w"]).select("hash")
+    t = trajectory.transitions(roles.submissions(spark, sf)).filter("is_consecutive")
+    sides = t.select("transition_id", F.explode(F.array("code_sha256_t", "code_sha256_t1")).alias("hash")).join(bad, "hash", "left_semi").select("transition_id").distinct()
+    t = t.join(sides.withColumn("crossing", F.lit(True)), "transition_id", "left")
+    rule = ("transition", "T06", "exclude from strict evaluation partitions", "Exact or whitespace-normalized code occurs across problem-disjoint splits", F.coalesce("crossing", F.lit(False)))
+    return quality.ledger(t, [rule]).drop("reason")
+
+
+@query(f"""WITH {LI} SELECT item_id, CASE WHEN o_orderkey % 29 = 0 THEN 'duplicate packet item ID' WHEN o_orderkey % 7 = 0 THEN 'packet hash mismatch: ' || item_id WHEN o_orderkey % 5 <> 0 THEN 'test replay missing: ' || item_id || ' later ' || problem_id || '_T' || lines[1] END AS problem FROM pk
+  UNION ALL SELECT item_id, 'duplicate packet item ID' FROM pk WHERE o_orderkey % 29 = 0""")
+def batch_assembly(spark, sf):
+    """Two batches of packets, some replayed, some changed after they were sealed, some in both."""
+    key = F.substring("item_id", 2, 20).cast("long")
+    p = roles.packets(spark, sf).select("item_id", "problem_id", "problem_statement", "tests")
+    done = lambda t, s, yes: t[s].withField("status", F.when(yes, "PASS").otherwise(t[s].status))
+    p = p.withColumn("tests", F.transform("tests", lambda t: t.withField("earlier", done(t, "earlier", F.lit(True))).withField("later", done(t, "later", key % 5 == 0))))
+    p = packets.sealed(p).withColumn("problem_statement", F.when(key % 7 == 0, F.concat("problem_statement", F.lit("!"))).otherwise(F.col("problem_statement")))
+    out = packets.assembled(p.filter(key % 2 == 0), p.filter(key % 2 == 1), p.filter(key % 29 == 0))
+    return out.select("item_id", "problem")

@@ -173,3 +173,50 @@ def test_joins(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, h string"), spark.createDataFrame([(1, "x"), (3, "z")], "k long, h string")
     assert {r.k: r.status for r in joins.evidence_match(a, b, "k", "h").collect()} == {1: "MATCHED", 2: "MISMATCH", 3: "MISMATCH"}
     assert joins.set_compare(a, b, "k").first().asDict() == {"only_left": 1, "only_right": 1, "both": 1}
+
+
+def test_walk_any_depth(spark):
+    deep = '{"a":[' * 200 + '{"expected_answer":{"x":[1.50,"é"]},"k":true,"k":null}' + "]}" * 200
+    rows = spark.createDataFrame([(1, deep), (2, None), (3, "no json"), (4, ""), (5, '["a",{"b":2}]')], "k int, j string")
+    found = packets.walk(rows, "k", "j").collect()
+    assert sum(r.name == "a" for r in found) == 200
+    last = [(r.name, r.value, r.text) for r in found if r.k == 1 and r.name != "a"]
+    assert sorted(last, key=str) == [("expected_answer", '{"x":[1.5,"é"]}', None), ("k", "null", None), ("k", "true", "true"), ("x", '[1.5,"é"]', None)]
+    assert [(r.name, r.text) for r in found if r.k == 5] == [("b", "2")] and {r.k for r in found} == {1, 5}
+    assert packets.forbidden(packets.walk(rows, "k", "j"), "k").collect()[0].forbidden == ["expected_answer"]
+
+
+def test_near_pairs_of_representatives(spark):
+    items = [(i, ["a", "b", "c"]) for i in range(50)] + [(60, ["a", "b", "c", "d"]), (61, ["a", "b", "c", "d"]), (70, []), (71, [])]
+    got = similarity.near_pairs(spark.createDataFrame(items, "k long, s array<string>"), "k", "s", 75, expand=False).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted([(0, i) for i in range(1, 50)] + [(0, 60), (60, 61), (70, 71)])
+
+
+def test_components_of_a_long_path(spark):
+    n = 300
+    order = [(i * 37) % n for i in range(n)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    df = similarity.components(spark.range(n).withColumnRenamed("id", "k"), "k", edges)
+    assert {r.root for r in df.collect()} == {0}
+
+
+def test_usage_middle(spark):
+    rows = [("a", float(i % 5), 1) for i in range(100)] + [("b", 3.0, None), ("b", 9.0, 2), (None, None, 1), ("c", None, 1)]
+    out = {r.g: r for r in ledger.usage_summary(spark.createDataFrame(rows, "g string, latency_ms double, total_tokens int"), "g").collect()}
+    assert (out["a"].median_latency, out["b"].median_latency, out[None].median_latency) == (2.0, 9.0, None)
+    assert (out["a"].tokens, out["b"].tokens, out["c"].tokens) == (100, None, 1)
+
+
+def test_whole_row_duplicates(spark):
+    rows = [("s1", "u", "p", "1", "x"), ("s1", "u", "p", "1", "y"), ("s2", "u", "p", "2", None), ("s2", "u", "p", "2", None)]
+    df = spark.createDataFrame(rows, "submission_id string, user_id string, problem_id string, attempt_number string, extra string")
+    out = quality.flag_submissions(df, spark.createDataFrame([("p",)], "problem_id string"), ["user_id"])
+    assert sorted((r.submission_id, r.exact_duplicate_row) for r in out.collect()) == [("s1", False), ("s1", False), ("s2", True), ("s2", True)]
+
+
+def test_json_array_without_a_list(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "x.json").write_text('{"a": 1}')
+    with pytest.raises(Exception, match="no list"):
+        readers.read_json_array(spark, str(tmp_path), StructType.fromDDL("a int")).collect()
