@@ -33,3 +33,34 @@ def size_gate(df: DataFrame, group: str, least_rows: int = 100, least_groups: in
 def require(df: DataFrame) -> DataFrame:
     """The checks again; reading a failed one is an error."""
     return df.withColumn("_ok", F.assert_true("passed", F.concat(F.lit("check failed: "), F.col("check")))).filter("_ok is null").drop("_ok")
+
+
+def validation(
+    submissions: DataFrame,
+    problems: DataFrame,
+    pairs: DataFrame,
+    crossing_problems: DataFrame,
+    crossing_code: DataFrame,
+    submission_columns: list[str],
+    problem_columns: list[str],
+    problem_key: str,
+) -> DataFrame:
+    """(check, expected, actual, passed) of the thirteen named checks of a dataset. ``pairs`` have ``part``, the split by
+    problem, and ``second``, the split by participant. Fixed values: the names of the checks are outputs."""
+    alone = lambda key, c: pairs.groupBy(key).agg(F.count_distinct(c).alias("n")).agg((F.max("n") == 1).alias("n"))
+    have = lambda df, names: F.lit(all(c in df.columns for c in names))
+    unique = lambda c: F.count("*") == F.count_distinct(c)
+    whole = [
+        (submissions, [("all_required_submission_columns_present", have(submissions, submission_columns)), ("submission_ids_unique", unique("submission_id"))]),
+        (problems, [("all_required_problem_columns_present", have(problems, problem_columns)), ("problem_ids_unique_in_problem_data", unique(problem_key))]),
+        (pairs, [
+            ("all_primary_pairs_are_consecutive", F.bool_and("is_consecutive")), ("all_primary_pairs_are_same_language", F.bool_and("same_language")),
+            ("all_primary_pairs_have_evidence", F.bool_and(F.col("trace_t").isNotNull() & F.col("trace_t1").isNotNull())), ("all_three_primary_splits_nonempty", F.count_distinct("part") == 3),
+        ]),
+        (alone("problem_id", "part"), [("one_primary_split_per_problem", F.max("n"))]),
+        (alone("trajectory_id", "part"), [("one_primary_split_per_trajectory", F.max("n"))]),
+        (alone("user_id", "second"), [("one_secondary_split_per_participant", F.max("n"))]),
+        (crossing_problems, [("no_near_duplicate_problem_pair_crosses_primary_splits", F.count("*") == 0)]),
+        (crossing_code, [("no_exact_or_whitespace_code_hash_crosses_strict_splits", F.count("*") == 0)]),
+    ]
+    return reduce(DataFrame.unionByName, (checks(df, [(name, "true", value) for name, value in named]) for df, named in whole))

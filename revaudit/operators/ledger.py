@@ -91,6 +91,42 @@ def add_interrupted(log: DataFrame, attempt: DataFrame, key: str) -> DataFrame:
     return log.unionByName(attempt.join(log.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+#: Fixed values of a reconstructed attempt; they are outputs.
+RECONSTRUCTED = {"provider_called": True, "attempt_class": "PRIMARY_FIRST_ATTEMPT", "record_origin": "terminal_log_reconstruction_no_provider_reissue"}
+
+
+def reconstructed(attempts: DataFrame, raw: DataFrame, errors: DataFrame, metadata: DataFrame, key: str, error_type: str = "IncompleteRead") -> dict[str, DataFrame]:
+    """The rows that each of three logs gets for attempts (key, sequence, request_sha256) which were made but never
+    logged: what came back is unknown, so it is null. An attempt that any of the logs has is an error when the rows are
+    read."""
+    logged = raw.select(key).unionByName(errors.select(key)).unionByName(metadata.select(key)).distinct().withColumn("_logged", F.lit(True))
+    own = attempts.select(key, "sequence", "request_sha256").join(logged, key, "left")
+    own = own.withColumn("_ok", F.assert_true(F.col("_logged").isNull(), F.concat(F.lit("refusing to duplicate an already recorded item: "), F.col(key).cast("string"))))
+    own = own.filter("_ok is null").drop("_ok", "_logged").withColumns({k: F.lit(v) for k, v in RECONSTRUCTED.items()}).withColumn("http_status", F.lit(None).cast("int"))
+    none = F.lit(None).cast("string")
+    return {
+        "raw": own.withColumns({"raw_response": F.lit(""), "completion_content": none, "returned_model": none}),
+        "errors": own.withColumns({"error_type": F.lit(error_type), "raw_response_sha256": none}),
+        "metadata": own.withColumns({"status": F.lit("error"), "response_sha256": none, "usage_available": F.lit(False)}),
+    }
+
+
+def covered_recovery(expected: DataFrame, metadata: DataFrame, predictions: DataFrame, errors: DataFrame, key: str) -> DataFrame:
+    """The ledger of second attempts, whose rows may come from several folders: (key, outcome, http_status, error_type,
+    problem). ``problem`` says where the attempts do not cover the expected keys once each, or where predictions and
+    errors do not part them."""
+    seen = metadata.groupBy(key).agg(F.count("*").alias("_rows"), F.min("http_status").alias("http_status"))
+    hit = predictions.groupBy(key).agg(F.lit(True).alias("_hit"))
+    failed = errors.groupBy(key).agg(F.lit(True).alias("_failed"), F.min("error_type").alias("error_type"))
+    out = expected.select(key).distinct().withColumn("_expected", F.lit(True))
+    for d in (seen, hit, failed):
+        out = out.join(d, key, "full")
+    has = lambda c: F.coalesce(c, F.lit(False))
+    problem = F.when(~has("_expected"), "not selected").when(F.col("_rows").isNull(), "no attempt").when(F.col("_rows") > 1, "several attempts")
+    problem = problem.when(has("_hit") & has("_failed"), "prediction and error").when(~has("_hit") & ~has("_failed"), "neither prediction nor error")
+    return out.select(key, F.when(has("_hit"), "accepted").otherwise("error").alias("outcome"), "http_status", "error_type", problem.alias("problem"))
+
+
 def constant_settings(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, values, passed): settings must have a single value, null included."""
     per = df.agg(*(F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("<MISSING>"))).alias(f) for f in fields))

@@ -994,3 +994,55 @@ def batch_assembly(spark, sf):
     p = packets.sealed(p).withColumn("problem_statement", F.when(key % 7 == 0, F.concat("problem_statement", F.lit("!"))).otherwise(F.col("problem_statement")))
     out = packets.assembled(p.filter(key % 2 == 0), p.filter(key % 2 == 1), p.filter(key % 29 == 0))
     return out.select("item_id", "problem")
+
+
+@query(f"""WITH {SECOND}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) AS rr FROM runs) WHERE rr IN (2, 3)), e AS (SELECT item_id FROM fa WHERE http_status = 429),
+  m AS (SELECT item_id, count(*) AS rows, min(http_status) AS http_status, bool_or(outcome = 'accepted') AS hit, bool_or(outcome = 'error') AS failed, min(error_type) FILTER (outcome = 'error') AS error_type FROM t GROUP BY 1)
+  SELECT item_id, CASE WHEN coalesce(hit, false) THEN 'accepted' ELSE 'error' END AS outcome, http_status, error_type,
+  CASE WHEN e.item_id IS NULL THEN 'not selected' WHEN rows IS NULL THEN 'no attempt' WHEN rows > 1 THEN 'several attempts' END AS problem FROM e FULL JOIN m USING (item_id)""")
+def covered_recovery(spark, sf):
+    """Second and third attempts from two folders, against the items whose first attempt was turned away."""
+    from pyspark.sql import Window
+
+    r, path = roles.runs(spark, sf), _folder(spark)
+    later = r.withColumn("rr", F.row_number().over(Window.partitionBy("user_id", "k").orderBy("event_id"))).filter("rr in (2, 3)")
+    later = later.select("item_id", "http_status", "outcome", "error_type", "rr")
+    schema = StructType.fromDDL("item_id string, http_status int, outcome string, error_type string, rr int")
+    for rr in (2, 3):
+        sinks.write_canonical(later.filter(F.col("rr") == rr), f"{path}/{rr}")
+    both = readers.read_jsonl(spark, f"{path}/2", schema).unionByName(readers.read_jsonl(spark, f"{path}/3", schema))
+    first = ledger.first_attempts(r, ["user_id", "k"], ["event_id"]).filter("http_status = 429")
+    return ledger.covered_recovery(first, both, both.filter("outcome = 'accepted'"), both.filter("outcome = 'error'"), "item_id")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS item_id, o_custkey AS sequence, sha256('r' || o_orderkey) AS request_sha256 FROM orders WHERE o_orderkey % 4 = 3)
+  SELECT l AS log, item_id, sequence, request_sha256, 'PRIMARY_FIRST_ATTEMPT' AS attempt_class, CASE l WHEN 'errors' THEN 'IncompleteRead' END AS error_type, CASE l WHEN 'metadata' THEN 'error' END AS status, CASE l WHEN 'raw' THEN '' END AS raw_response FROM a, (VALUES ('raw'), ('errors'), ('metadata')) v(l)""")
+def reconstructed_attempts(spark, sf):
+    """Orders as attempts, of which three quarters are in one of the logs."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    o = o.select(k.alias("item_id"), F.col("o_custkey").alias("sequence"), F.sha2(F.concat(F.lit("r"), k.cast("string")), 256).alias("request_sha256"))
+    logs = [o.filter(F.col("item_id") % 4 == i) for i in range(3)]
+    rows = ledger.reconstructed(o.filter("item_id % 4 = 3"), *logs, "item_id")
+    wanted = ["log", "item_id", "sequence", "request_sha256", "attempt_class", "error_type", "status", "raw_response"]
+    parts = [sinks.reindex(d.withColumn("log", F.lit(name)), wanted) for name, d in rows.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+CHECKED = f"""{SPLIT}, {PAIR}, own AS (SELECT p.*, CAST(substr(p.problem_id, 6) AS INTEGER) % 3 AS part, ascii(sha256(user_id)) % 3 AS second FROM pair p WHERE attempt_t1 = attempt_t + 1),
+  bench AS (SELECT item_id, item_id % 3 AS part, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS h FROM benchmark)"""
+
+
+@query(f"""WITH {CHECKED}, v AS (SELECT [true, true, (SELECT count(*) = count(DISTINCT item_id) FROM benchmark), (SELECT count(*) = count(DISTINCT submission_id) FROM sub), (SELECT bool_and(attempt_t1 = attempt_t + 1) FROM own), (SELECT bool_and(language_t = language_t1) FROM own),
+  (SELECT bool_and(trace_t IS NOT NULL AND trace_t1 IS NOT NULL) FROM own), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT part) AS n FROM own GROUP BY problem_id)), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT part) AS n FROM own GROUP BY trajectory_id)), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT second) AS n FROM own GROUP BY user_id)),
+  (SELECT count(*) = 0 FROM bench a JOIN bench b ON a.h = b.h AND a.item_id < b.item_id AND a.part <> b.part), (SELECT count(*) = 0 FROM bad), (SELECT count(DISTINCT part) = 3 FROM own)] AS x)
+  SELECT unnest(['all_required_submission_columns_present', 'all_required_problem_columns_present', 'problem_ids_unique_in_problem_data', 'submission_ids_unique', 'all_primary_pairs_are_consecutive', 'all_primary_pairs_are_same_language', 'all_primary_pairs_have_evidence', 'one_primary_split_per_problem', 'one_primary_split_per_trajectory', 'one_secondary_split_per_participant',
+  'no_near_duplicate_problem_pair_crosses_primary_splits', 'no_exact_or_whitespace_code_hash_crosses_strict_splits', 'all_three_primary_splits_nonempty']) AS "check", unnest(x) AS passed FROM v""")
+def validation_checks(spark, sf):
+    """The thirteen named checks of a dataset, over all its tables."""
+    subs, bench = roles.submissions(spark, sf), table(spark, sf, "benchmark")
+    t = trajectory.transitions(subs, carry=("trace",)).filter("is_consecutive")
+    t = t.withColumn("part", F.regexp_extract("problem_id", r"(\d+)$", 1).cast("int") % 3).withColumn("second", F.ascii(F.sha2("user_id", 256)) % 3)
+    same = bench.select("item_id", (F.col("item_id") % 3).alias("part"), F.sha2(text.normalize_problem_text("text"), 256).alias("h"))
+    crossing = same.groupBy("h").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
+    found = split.crossing_hashes(_split_docs(spark, sf), ["h", "w"])
+    return checks.validation(subs, bench, t, crossing, found, submission_columns=["submission_id", "user_id", "problem_id", "attempt", "code"], problem_columns=["item_id", "text"], problem_key="item_id").select("check", "passed")

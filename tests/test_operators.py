@@ -220,3 +220,21 @@ def test_json_array_without_a_list(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}')
     with pytest.raises(Exception, match="no list"):
         readers.read_json_array(spark, str(tmp_path), StructType.fromDDL("a int")).collect()
+
+
+def test_reconstructed_refuses_logged_attempts(spark):
+    a = spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "item_id int, sequence int, request_sha256 string")
+    empty = a.limit(0)
+    rows = ledger.reconstructed(a, empty, empty, empty, "item_id")
+    assert {k: d.count() for k, d in rows.items()} == {"raw": 2, "errors": 2, "metadata": 2}
+    with pytest.raises(Exception, match="refusing to duplicate"):
+        ledger.reconstructed(a, empty, a.filter("item_id = 2"), empty, "item_id")["raw"].collect()
+
+
+def test_covered_recovery(spark):
+    m = spark.createDataFrame([("a", 200, None), ("b", 500, "E"), ("c", 200, None), ("c", 200, None), ("d", 200, None), ("x", 200, None)], "item_id string, http_status int, error_type string")
+    ids = spark.createDataFrame([(x,) for x in "abcdef"], "item_id string")
+    out = ledger.covered_recovery(ids, m, m.filter("item_id in ('a', 'c', 'd')"), m.filter("item_id in ('b', 'd')"), "item_id")
+    assert {r.item_id: (r.outcome, r.problem) for r in out.collect()} == {
+        "a": ("accepted", None), "b": ("error", None), "c": ("accepted", "several attempts"), "d": ("accepted", "prediction and error"), "e": ("error", "no attempt"), "f": ("error", "no attempt"), "x": ("error", "not selected"),
+    }
