@@ -90,12 +90,11 @@ def by_rarity(sets: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
 
 
 def alike(percent: int, positions: bool = False) -> str:
-    """Of two different entries ``a`` and ``b``, whether they pass the filters, and with ``positions`` also whether a is
-    the smaller set, so that a pair is met but once. Sets
-    of x and y words have ``percent * (x + y) / (100 + percent)`` or more in common if they are similar. Words that only
-    one of them has are as many as differing parity bits, or more; with ``positions``, the words from the shared one on,
-    ``n - p`` of each, must be as many as they have in common."""
-    smaller = "(a.n < b.n or a.n = b.n and a.l < b.l)"
+    """Of two different entries ``a`` and ``b``, whether they pass the filters, and with ``positions`` also whether b is
+    the smaller set, so that a pair is met but once. Sets of x and y words have ``percent * (x + y) / (100 + percent)`` or
+    more in common if they are similar. Words that only one of them has are as many as differing parity bits, or more;
+    with ``positions``, the words from the shared one on, ``n - p`` of each, must be as many as they have in common."""
+    smaller = "(b.n < a.n or a.n = b.n and b.l < a.l)"
     if positions:  # 100 * n - (100 + percent) * p of one, at least percent * n of the other: the length filter too
         sizes = "a.u >= b.v and b.u >= a.v"
     else:
@@ -124,9 +123,10 @@ def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> D
     entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
     entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p").drop("np")
-    # The first word in common passes the positional filter; it also leaves the prefix that the smaller set needs.
-    entry = entry.selectExpr("t", "l", "n", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
-    few = entry.filter(f"size <= {SMALL_GROUP}")
+    # The first word in common passes the positional filter.
+    entry = entry.selectExpr("t", "l", "n", "p", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
+    # The smaller set of a pair needs a shorter prefix than the larger one.
+    few = entry.filter(f"size <= {SMALL_GROUP} and p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
     pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {alike(percent, True)}"), "left")
     pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP} or a.t < 0")
     return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
