@@ -20,10 +20,13 @@ SLICE_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, the place that driver and executors share.
 
-    Only where the setting is missing (local tests) a temporary folder takes its place.
+    Only where the setting is missing in a local session (tests) a temporary folder takes its place; on a cluster the
+    executors would each write to their own, so there it is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = getattr(spark, "_revaudit_dir", None) or tempfile.mkdtemp(prefix="revaudit-")
         spark._revaudit_dir = top
     return f"{top.rstrip('/')}/revaudit-{uuid.uuid4().hex}"
