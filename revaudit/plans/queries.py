@@ -852,11 +852,14 @@ def file_inventory(spark, sf):
 
 # ---------------------------------------------------------------- files written and read back
 def _folder(spark) -> str:
-    """A new folder below the one that all executors share; a temporary one only where the session names none."""
+    """A new folder below the one that all executors share; a temporary one only in a local session that names none."""
     import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.gettempdir()
     return f"{top.rstrip('/')}/revaudit-files-{uuid.uuid4().hex}"
 
 
