@@ -93,3 +93,24 @@ def test_lines_of_few_words(spark, monkeypatch, small, common):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute_all(docs)
     assert sum(t.lower().count("read more") for t in got.values()) == 1
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c\nd e f", 9, "x", "y"), (2, "A b c\ng h i", 9, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped_lines int, _out string, lines string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_out", "lines", "dropped_lines"]
+    assert sorted((r.doc_id, r.text, r.dropped_lines) for r in out.collect()) == [(1, "a b c\nd e f", 0), (2, "g h i", 1)]
+
+
+def test_many_lines_of_one_text(spark):
+    """Lines beyond the first 64 of a text, and blank stretches of more than that."""
+    lines = [f"line number {i} of this text {i * 7}" for i in range(300)]
+    text = "\n".join([*lines, *[""] * 200, lines[130], "the last one here", lines[0].upper()])
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert out.text == "\n".join([*lines, *[""] * 200, "the last one here"]) and out.dropped_lines == 2
+
+
+def test_percent(spark):
+    with pytest.raises(ValueError, match="70 to 100"):
+        line_dedup.dedup_lines(frame(spark), percent=50)
