@@ -42,7 +42,9 @@ def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(d, th, tc, i, l, c, h): document and number of each line; two hashes that tell its text, in lower case, apart,
     and the set of its words as hashes, both null for a line of less than ``least`` words. Texts are read but here: words
     repeat, so a table of them with dictionaries is smaller than the texts."""
-    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.posexplode(F.split(F.lower(text), "\n")).alias("i", "line"))
+    # Texts are hashed and split before lines come out, once a text and not once a line.
+    cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.split(F.lower(text), "\n").alias("cut"))
+    cut = cut.select("d", "th", "tc", F.posexplode("cut").alias("i", "line"))
     long = is_long(F.col("line"), least)
     words = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
     out = cut.select("d", "th", "tc", "i", F.when(long, F.xxhash64("line")).alias("l"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("c"), F.when(long, words).alias("h"))
@@ -81,7 +83,8 @@ def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def by_rarity(sets: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
     """(*keep, s, n, b0, b1): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash; their
     number; and for each of 128 numbers, whether an odd number of words have it."""
-    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(x, 8)"
+    # Spark sorts longs as such only where its types say that none is null.
+    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(coalesce(x, 0L), 8)"
     out = sets.select(*keep, "h", rarity.select("rarity").scalar().alias("_table"))
     out = out.select(*keep, F.size("h").alias("n"), F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
     parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int))), 0L)"
