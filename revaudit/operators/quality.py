@@ -115,3 +115,45 @@ def select_ordered(df: DataFrame, key: str, ids: list) -> DataFrame:
     """The rows of a short explicit list, with their place in it (``position``)."""
     wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"position int, `{key}` {df.schema[key].dataType.simpleString()}")
     return wanted.join(df, key).orderBy("position")
+
+
+def profile_row(subs: DataFrame, trajectories: DataFrame, pairs: DataFrame, primary: DataFrame) -> DataFrame:
+    """One row that profiles flagged submissions (``trace_valid``, ``trace_last_matches_final`` and both code hashes with
+    them), their trajectories, the pairs of neighbours (with ``evidence_ready``), and the best language, null without one.
+    Copies are counted by two aggregations, so that a code with many copies meets in partial sums only."""
+
+    def yes(c: str) -> Column:
+        return F.count_if(F.coalesce(F.col(c), F.lit(False)))
+
+    def no(c: str) -> Column:
+        return F.count_if(~F.coalesce(F.col(c), F.lit(False)))
+
+    def total(n: Column) -> Column:
+        return F.coalesce(F.sum(n), F.lit(0))
+
+    out = subs.agg(
+        F.count("*").alias("submissions_rows"), F.countDistinct("submission_id").alias("unique_submission_ids"), F.countDistinct("user_id").alias("unique_participants"),
+        F.countDistinct("problem_id").alias("unique_problems_in_submissions"), F.array_join(F.array_sort(F.collect_set("language")), ";").alias("languages"),
+        yes("required_missing").alias("missing_required_submission_rows"), no("attempt_valid").alias("invalid_attempt_rows"), no("problem_linked").alias("unlinked_problem_rows"),
+        yes("duplicate_submission_id").alias("duplicate_submission_id_rows"), yes("duplicate_attempt_key").alias("duplicate_attempt_key_rows"),
+        no("trace_valid").alias("malformed_trace_rows"), yes("trace_last_matches_final").alias("trace_last_matches_final_rows"),
+    )
+    parts = [
+        trajectories.agg(
+            F.count("*").alias("valid_trajectories"), *(F.count_if(F.col("submission_count") >= n).alias(f"trajectories_at_least_{n}") for n in (2, 3, 4)),
+            no("attempt_numbers_contiguous").alias("trajectories_with_attempt_gaps"), no("starts_at_one").alias("trajectories_not_starting_at_one"), yes("mixed_language").alias("mixed_language_trajectories"),
+        ),
+        pairs.agg(F.count("*").alias("adjacent_pairs_all"), yes("is_consecutive").alias("consecutive_transitions_all"), yes("evidence_ready").alias("evidence_ready_consecutive_transitions"), yes("code_exact_same").alias("unchanged_pairs")),
+        primary.agg(F.max("language").alias("primary_language")),
+    ]
+    for code, name in (("code_sha256", "exact"), ("code_whitespace_sha256", "whitespace_normalized")):
+        copies = subs.groupBy(code).agg(F.count("*").alias("n"), (F.min("problem_id") != F.max("problem_id")).alias("crossing"))
+        parts.append(copies.agg(total(F.when(F.col("n") > 1, F.col("n"))).alias(f"{name}_code_duplicate_rows"), total(F.when(F.col("crossing"), F.col("n"))).alias(f"{name}_code_cross_problem_rows")))
+    for part in parts:
+        out = out.join(F.broadcast(part))  # single rows
+    return out
+
+
+def crosstab(df: DataFrame, by: str, status: str, statuses: list[str]) -> DataFrame:
+    """Rows of each ``by`` with each status, 0 without any: one aggregation, as the statuses are known."""
+    return df.groupBy(by).agg(*(F.count_if(F.coalesce(F.col(status) == x, F.lit(False))).alias(x) for x in statuses))

@@ -162,19 +162,37 @@ def ordered_selection(spark, sf):
     return quality.select_ordered(table(spark, sf, "nation"), "n_nationkey", [7, 3, 21]).select("position", "n_name")
 
 
-@query(f"""WITH {PAIR}, traj AS {TRAJ.split('traj AS ', 1)[1]} SELECT (SELECT count(*) FROM sub) AS submissions_rows, (SELECT count(DISTINCT user_id) FROM sub) AS participants, (SELECT count(*) FROM traj) AS trajectories, (SELECT count(*) FILTER (max_attempt - min_attempt + 1 > len(seen)) FROM traj) AS trajectories_with_gaps,
-  (SELECT count(*) FROM pair) AS adjacent_pairs, (SELECT count(*) FROM pair WHERE attempt_t1 = attempt_t + 1) AS consecutive_pairs, (SELECT count(*) FROM pair WHERE code_sha256_t = code_sha256_t1) AS unchanged_pairs""")
+@query(f"""WITH {PAIR}, traj AS {TRAJ.split('traj AS ', 1)[1]}, f AS (SELECT *, user_id IS NULL OR verdict IS NULL OR trace IS NULL AS required_missing, problem_id IN (SELECT 'prob_' || (item_id % 6) FROM benchmark) AS linked, count(*) OVER (PARTITION BY submission_id) > 1 AS same_id, count(*) OVER (PARTITION BY user_id, problem_id, attempt) > 1 AS same_key,
+  count(*) OVER (PARTITION BY h) AS nh, count(*) OVER (PARTITION BY w) AS nw, min(problem_id) OVER (PARTITION BY h) <> max(problem_id) OVER (PARTITION BY h) AS ch, min(problem_id) OVER (PARTITION BY w) <> max(problem_id) OVER (PARTITION BY w) AS cw FROM sh),
+  a AS (SELECT count(*) AS submissions_rows, count(DISTINCT submission_id) AS unique_submission_ids, count(DISTINCT user_id) AS unique_participants, count(DISTINCT problem_id) AS unique_problems_in_submissions, array_to_string(list_sort(list_distinct(list(language))), ';') AS languages,
+    count(*) FILTER (required_missing) AS missing_required_submission_rows, count(*) FILTER (NOT coalesce(attempt > 0, false)) AS invalid_attempt_rows, count(*) FILTER (NOT coalesce(linked, false)) AS unlinked_problem_rows, count(*) FILTER (same_id) AS duplicate_submission_id_rows, count(*) FILTER (same_key) AS duplicate_attempt_key_rows,
+    count(*) FILTER (trace IS NULL) AS malformed_trace_rows, count(*) FILTER (json_extract_string(trace, '$[#-1]') = verdict) AS trace_last_matches_final_rows,
+    count(*) FILTER (nh > 1) AS exact_code_duplicate_rows, count(*) FILTER (ch) AS exact_code_cross_problem_rows, count(*) FILTER (nw > 1) AS whitespace_normalized_code_duplicate_rows, count(*) FILTER (cw) AS whitespace_normalized_code_cross_problem_rows FROM f),
+  b AS (SELECT count(*) AS valid_trajectories, count(*) FILTER (submission_count >= 2) AS trajectories_at_least_2, count(*) FILTER (submission_count >= 3) AS trajectories_at_least_3, count(*) FILTER (submission_count >= 4) AS trajectories_at_least_4, count(*) FILTER (max_attempt - min_attempt + 1 > len(seen)) AS trajectories_with_attempt_gaps,
+    count(*) FILTER (min_attempt <> 1) AS trajectories_not_starting_at_one, count(*) FILTER (len(langs) > 1) AS mixed_language_trajectories FROM traj),
+  c AS (SELECT count(*) AS adjacent_pairs_all, count(*) FILTER (attempt_t1 = attempt_t + 1) AS consecutive_transitions_all, count(*) FILTER (attempt_t1 = attempt_t + 1 AND trace_t IS NOT NULL AND trace_t1 IS NOT NULL) AS evidence_ready_consecutive_transitions, count(*) FILTER (code_sha256_t = code_sha256_t1) AS unchanged_pairs FROM pair),
+  l AS (SELECT language_t, count(*) AS n, sqrt(CAST(count(DISTINCT problem_id) * count(DISTINCT participant_id_hash) AS DOUBLE)) AS s FROM pair WHERE attempt_t1 = attempt_t + 1 AND language_t = language_t1 AND code_sha256_t <> code_sha256_t1 GROUP BY 1)
+  SELECT a.*, b.*, c.*, (SELECT language_t FROM l ORDER BY n * s DESC, n DESC, language_t LIMIT 1) AS primary_language FROM a, b, c""")
 def profile_summary(spark, sf):
+    probs = table(spark, sf, "benchmark").select(F.concat(F.lit("prob_"), (F.col("item_id") % 6).cast("string")).alias("problem_id"))
     subs = roles.submissions(spark, sf)
-    a = subs.agg(F.count("*").alias("submissions_rows"), F.countDistinct("user_id").alias("participants"))
-    b = trajectory.summarise(subs).agg(F.count("*").alias("trajectories"), F.count_if(~F.col("attempt_numbers_contiguous")).alias("trajectories_with_gaps"))
-    c = trajectory.transitions(subs).agg(F.count("*").alias("adjacent_pairs"), F.count_if("is_consecutive").alias("consecutive_pairs"), F.count_if("code_exact_same").alias("unchanged_pairs"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c))  # single rows
+    ok = lambda c: text.json_list_reason(c).isNull()
+    flagged = quality.flag_submissions(subs.withColumnRenamed("attempt", "attempt_number"), probs, ["user_id", "verdict", "trace"]).withColumns({
+        "trace_valid": ok("trace"), "trace_last_matches_final": text.array_last(F.when(ok("trace"), text.json_list("trace"))) == F.col("verdict"),
+        "code_sha256": text.sha256_text("code"), "code_whitespace_sha256": F.sha2(text.normalize_code("code"), 256),
+    })
+    pairs = trajectory.transitions(subs, carry=("trace",)).withColumn("evidence_ready", trajectory.evidence_ready(F.col("is_consecutive"), ok("trace_t"), ok("trace_t1")))
+    edited = pairs.filter("is_consecutive and same_language and not code_exact_same")
+    return quality.profile_row(flagged, trajectory.summarise(subs), pairs, trajectory.best_language(trajectory.language_profile(edited)))
+
+
+LANGS = ("en", "de", "fr", "es")
 
 
-@query("SELECT lang, CAST(count(*) FILTER (source = 'src0') AS BIGINT) AS src0, CAST(count(*) FILTER (source = 'src1') AS BIGINT) AS src1, CAST(count(*) FILTER (source = 'src2') AS BIGINT) AS src2 FROM documents GROUP BY 1")
+@query(f"""SELECT source, {', '.join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGS)}, count(*) FILTER (lang IS NULL OR lang NOT IN {LANGS}) AS other FROM documents GROUP BY 1""")
 def partition_status_crosstab(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().fillna(0)
+    status = F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise("other")
+    return quality.crosstab(table(spark, sf, "documents").select("source", status.alias("status")), "source", "status", [*LANGS, "other"])
 
 
 @query("""SELECT count(*) AS cases, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, count(*) FILTER (quality = 1) AS cases_good, count(DISTINCT source) FILTER (quality = 1) AS sources_good, count(*) FILTER (quality = 1 AND lang = 'en') AS cases_final FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
