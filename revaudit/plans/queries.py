@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -749,6 +749,55 @@ def packet_issues(spark, sf):
     return packets.issues(roles.packets(spark, sf)).select("item_id", text.joined("issues").alias("issues"))
 
 
+#: What packets lose in ``packet_issue_kinds``, by their number, and the issue of it; "{i}" is the number of each test.
+ISSUE_KINDS = [
+    "problem statement is missing", "S_t code is missing", "S_t+1 code is missing", "packet is not explicitly marked packet_prepared_without_method_predictions=true", "all_evidence_ids is missing or malformed",
+    "compiler evidence earlier entry is missing", "compiler evidence later is missing an evidence ID", "compiler evidence earlier references an evidence ID not supplied in the packet: x", "compiler evidence later has no completed status",
+    "official tests are missing or empty", "test {i} is missing an evidence ID", "test {i} later result is missing", "test {i} earlier result has no completed status", "test {i} earlier result is missing an evidence ID",
+    "test {i} later result references an evidence ID not supplied in the packet: y", "test {i} earlier result is indistinguishable from compiler evidence",
+]
+
+
+def _issue_sql() -> str:
+    def each(x: str) -> str:
+        a, b = x.split("{i}")
+        return f"list_transform(range(n), lambda i: '{a}' || i || '{b}')"
+
+    cases = " ".join(f"WHEN {m} THEN {each(x) if '{i}' in x else f"['{x}']"}" for m, x in enumerate(ISSUE_KINDS) if m)
+    return f"""WITH {LI} SELECT item_id, array_to_string(list_concat(list_concat(CASE WHEN o_orderkey % 17 = 0 THEN ['{ISSUE_KINDS[0]}'] ELSE [] END, CASE WHEN o_orderkey % 50 = 0 THEN ['focal claim is missing'] ELSE [] END), CASE o_orderkey % 17 {cases} ELSE [] END), '|') AS issues FROM pk"""
+
+
+@query(_issue_sql())
+def packet_issue_kinds(spark, sf):
+    p, m = roles.packets(spark, sf), F.substring("item_id", 2, 20).cast("long") % 17
+    none = F.lit(None)
+
+    def bad(k: int, damaged: Column, good: str | Column) -> Column:
+        good = F.col(good) if isinstance(good, str) else good
+        return F.when(m != k, good).otherwise(damaged)
+
+    def entry(e: Column, kinds: dict[str, tuple[int, Column]], whole: int | None = None) -> Column:
+        """A result with one field or all of it damaged."""
+        out = F.struct(*(bad(*kinds[c], e[c]).alias(c) if c in kinds else e[c].alias(c) for c in ("evidence_id", "status")))
+        return out if whole is None else F.when(m != whole, out)
+
+    def test(t: Column) -> Column:
+        first = F.when(m == 13, none).when(m == 15, F.col("compiler.earlier.evidence_id")).otherwise(t.earlier.evidence_id)
+        early = F.struct(first.alias("evidence_id"), bad(12, F.lit(" "), t.earlier.status).alias("status"))
+        late = entry(t.later, {"evidence_id": (14, F.lit("y"))}, 11)
+        return F.struct(t.test_case_id.alias("test_case_id"), bad(10, none, t.official_evidence_id).alias("official_evidence_id"), t.input.alias("input"), t.expected_output.alias("expected_output"), early.alias("earlier"), late.alias("later"))
+
+    c = F.col("compiler")
+    p = p.select(
+        "item_id", bad(0, F.lit("  "), "problem_statement").alias("problem_statement"), "claim_span",
+        F.col("earlier").withField("source", bad(1, none, "earlier.source")).alias("earlier"), F.col("later").withField("source", bad(2, F.lit(" "), "later.source")).alias("later"),
+        bad(3, none, "packet_prepared_without_method_predictions").alias("packet_prepared_without_method_predictions"), bad(4, none, "all_evidence_ids").alias("all_evidence_ids"),
+        F.struct(entry(c.earlier, {"evidence_id": (7, F.lit("x"))}, 5).alias("earlier"), entry(c.later, {"evidence_id": (6, none), "status": (8, none)}).alias("later")).alias("compiler"),
+        F.when(m != 9, F.transform("tests", test)).alias("tests"),
+    )
+    return packets.issues(p).select("item_id", text.joined("issues").alias("issues"))
+
+
 @query(f"""WITH {LI} SELECT item_id, CAST(5 + 3 * n AS INTEGER) AS available, true AS ids_listed FROM pk""")
 def packet_projection(spark, sf):
     return packets.project(roles.packets(spark, sf)).select("item_id", F.size("available_evidence_ids").alias("available"), "ids_listed")
