@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
+from . import bpe, filter_audit, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -62,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Those that SQL can express.
@@ -105,5 +110,27 @@ s AS (SELECT *, sum(tok) OVER (PARTITION BY dom, lang, source ORDER BY o RANGE B
 c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM s)
 SELECT doc_id, dom AS mix_domain, lang AS mix_lang, source AS mix_source, tok AS mix_tokens, CAST(e AS INTEGER) AS mix_epoch
 FROM (SELECT *, unnest(range(0, copies)) AS e FROM c)
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(w.doc_id > least, least IS NOT NULL) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(o, c)),
+s AS (SELECT o AS filter_order, CAST(k AS INTEGER) AS step, substr(o, k, 1) AS f, substr(o, 1, k - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+x AS (SELECT g.*, s.*, contains(fails, f) AS failing, len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND before <> '' AND fails <> '' AS gone FROM g, s),
+r AS (
+  SELECT part, filter_order, step, any_value(f) AS f, CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
 """,
 }
