@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
+from . import bpe, embedding_dedup, filter_audit, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -62,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -110,6 +115,18 @@ s AS (SELECT *, sum(tok) OVER (PARTITION BY dom, lang, source ORDER BY o RANGE B
 c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM s)
 SELECT doc_id, dom AS mix_domain, lang AS mix_lang, source AS mix_source, tok AS mix_tokens, CAST(e AS INTEGER) AS mix_epoch
 FROM (SELECT *, unnest(range(0, copies)) AS e FROM c)
+""",
+    # All pairs: what the query returns where its tables miss no link.
+    "op11_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS x,
+         coalesce(len(embedding) > 0 AND list_bool_and([y IS NOT NULL AND isfinite(y) FOR y IN embedding]) AND list_bool_or([y <> 0 FOR y IN embedding]), false) AS good
+  FROM embeddings),
+l AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.good AND b.good AND a.i <> b.i AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS i, min(v.vec_id) AS component_id FROM r JOIN v ON r.b = v.i GROUP BY r.a),
+n AS (SELECT a AS i, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
