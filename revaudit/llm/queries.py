@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, filter_audit, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
+from . import bpe, embedding_dedup, filter_audit, hard_negatives, line_dedup, media, mixing, ngram_join, repetition, secrets, sharding, toxicity, warc
 from .common import documents
 
 
@@ -66,6 +66,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -127,6 +132,20 @@ r AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b =
 c AS (SELECT r.a AS i, min(v.vec_id) AS component_id FROM r JOIN v ON r.b = v.i GROUP BY r.a),
 n AS (SELECT a AS i, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (i) LEFT JOIN n USING (i)
+""",
+    # Sums of whole numbers are exact in doubles here.
+    "op12_hard_negatives": r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * y::DOUBLE) FOR y IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and([y IS NOT NULL AND isfinite(y) FOR y IN embedding]), true)),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE k <= 3
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
