@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPLIT_SEED, sha256_text
+from .ranking import ranked
 
 
 def split_order(key: str, seed: str = SPLIT_SEED):
@@ -23,8 +24,7 @@ def stable_split(items: DataFrame, key: str, validation: float = 0.2, test: floa
     )
     full = F.col("t") + F.col("v") >= F.col("n")
     n = n.select(F.when(full, (F.col("n") >= 2).cast("int")).otherwise(F.col("t")).alias("t"), F.when(full, (F.col("n") >= 3).cast("int")).otherwise(F.col("v")).alias("v"))
-    ranked = keys.withColumn("r", F.row_number().over(Window.orderBy(split_order(key, seed), key)))  # keys are groups, not rows
-    return ranked.join(F.broadcast(n)).select(key, F.when(F.col("r") <= F.col("t"), "test").when(F.col("r") <= F.col("t") + F.col("v"), "validation").otherwise("development").alias("split"))
+    return ranked(keys, [split_order(key, seed), key], "r").join(F.broadcast(n)).select(key, F.when(F.col("r") <= F.col("t"), "test").when(F.col("r") <= F.col("t") + F.col("v"), "validation").otherwise("development").alias("split"))
 
 
 def weighted_split(groups: DataFrame, key: str, weight: str, shares: tuple[float, float, float] = (0.6, 0.2, 0.2), seed: str = SPLIT_SEED) -> DataFrame:

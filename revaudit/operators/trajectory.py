@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import composite_key, normalize_code, pseudonym, sha256_text
+from .ranking import ranked
 
 
 def summarise(rows: DataFrame, user: str = "user_id", problem: str = "problem_id", attempt: str = "attempt", language: str = "language", verdict: str = "verdict", accepted: str = "Accepted") -> DataFrame:
@@ -98,6 +99,9 @@ def thresholds(trajectories: DataFrame, least: tuple[int, ...] = (2, 3, 4)) -> D
 
 
 def ordinals(df: DataFrame, order: list[str], name: str, prefix: str, width: int = 3, partition: list[str] | None = None) -> DataFrame:
-    """Ids ``prefix001``, ``prefix002`` ... in an order. Without ``partition`` the table must be small: a manifest."""
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
-    return df.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.row_number().over(w).cast("string"), width, "0")))
+    """Ids ``prefix001``, ``prefix002`` ... in an order, over the whole table or within each ``partition``."""
+    if partition:
+        numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    else:
+        numbered = ranked(df, order, name)
+    return numbered.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col(name).cast("string"), F.greatest(F.lit(width), F.length(F.col(name).cast("string"))), F.lit("0"))))

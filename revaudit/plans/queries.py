@@ -492,20 +492,38 @@ def cluster_bootstrap(spark, sf):
     return bootstrap.bootstrap_ratio(roles.claims(spark, sf), "trajectory_id", right, F.lit(1), 40)
 
 
+def _bootstrap_sums(c: DataFrame) -> dict[str, DataFrame]:
+    """Sums of each cluster for the share of right decisions and for the paired difference of C and B."""
+    right = F.col("predicted_label") == F.col("gold_label")
+    own = c.filter("status = 'success' and not abstain").groupBy("claim_id", "trajectory_id", "participant_id_hash")
+    both = own.agg(*(F.max(F.when(F.col("method") == m, right.cast("long"))).alias(m) for m in "BC")).filter("B is not null and C is not null")
+    tables = {"right": (c, (~F.col("abstain") & right).cast("long")), "c_minus_b": (both, F.col("C") - F.col("B"))}
+    return {f"{name}|{cluster}": bootstrap.cluster_sums(df, cluster, num, F.lit(1)) for cluster in ("trajectory_id", "participant_id_hash") for name, (df, num) in tables.items()}
+
+
+def _named_intervals(df: DataFrame) -> DataFrame:
+    parts = F.split("statistic", r"\|")
+    return df.select(parts[0].alias("statistic"), parts[1].alias("cluster"), "clusters", "percent", "low", "high")
+
+
 @query(None)
 def cluster_bootstrap_intervals(spark, sf):
     """The reference's 10,000 resamples of trajectories and of participants, for the share of right decisions and for
     the paired difference of C and B; ``cluster_bootstrap`` has 40, as its SQL."""
+    return _named_intervals(bootstrap.intervals(spark, _bootstrap_sums(roles.claims(spark, sf)), hashed=True))
+
+
+@query(None)
+def published_intervals(spark, sf):
+    """The reference's own draws, those of ``random.choices``: the share of retired claims among those of known gold label,
+    and the paired difference of C and B in two runs (claims of odd and of even number), by trajectory and participant."""
     c = roles.claims(spark, sf)
-    right = F.col("predicted_label") == F.col("gold_label")
-    own = c.filter("status = 'success' and not abstain").groupBy("claim_id", "trajectory_id", "participant_id_hash")
-    both = own.agg(*(F.max(F.when(F.col("method") == m, right.cast("long"))).alias(m) for m in "BC")).filter("B is not null and C is not null")
-    out = []
-    for cluster in ("trajectory_id", "participant_id_hash"):
-        for name, df, num in (("right", c, (~F.col("abstain") & right).cast("long")), ("c_minus_b", both, F.col("C") - F.col("B"))):
-            got = bootstrap.bootstrap_ratio(df, cluster, num, F.lit(1), 10_000)
-            out.append(got.select(F.lit(name).alias("statistic"), F.lit(cluster).alias("cluster"), *got.columns))
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    known = c.filter("method = 'B' and gold_label <> 'UNSURE'")
+    sums = {f"retired|{k}": bootstrap.cluster_sums(known, k, (F.col("gold_label") == "RETIRE").cast("long"), F.lit(1)) for k in ("trajectory_id", "participant_id_hash")}
+    for run in (0, 1):
+        own = _bootstrap_sums(c.filter(F.col("claim_id") % 2 == run))
+        sums |= {f"{name.replace('c_minus_b', f'c_minus_b_run{run}')}": df for name, df in own.items() if name.startswith("c_minus_b")}
+    return _named_intervals(bootstrap.intervals(spark, sums))
 
 
 # ---------------------------------------------------------------- agreement, decisions and metrics
