@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import responses, signatures, text, udfs
-from ..operators import agreement, bootstrap, checks, decisions, joins, ledger, metrics, packets, quality, similarity, split, trajectory
+from ..operators import agreement, bootstrap, checks, constraints, decisions, joins, ledger, metrics, packets, quality, similarity, split, trajectory
 from ..sources import readers, sinks
 from . import roles
 from .roles import ANN, CLAIMS, DEC, PAIR, RUNS, SPACE, SUB, table
@@ -977,13 +977,15 @@ def jsonl_round_trip(spark, sf):
     return back.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_chars")
 
 
-@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'broken ' || o_orderkey ELSE '[' || o_orderkey || ']' END AS line, true AS numbered FROM orders WHERE o_orderkey % 3 <> 2")
+@query("""WITH l AS (SELECT o_orderkey AS k, o_orderkey % 5 AS f, CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE 1 END AS lines FROM orders), n AS (SELECT *, sum(lines) OVER (PARTITION BY f ORDER BY k) - lines + 1 AS line_number FROM l)
+  SELECT CAST(f AS INTEGER) AS file, CAST(line_number AS BIGINT) AS line_number, CASE WHEN k % 3 = 0 THEN 'broken ' || k ELSE '[' || k || ']' END AS line FROM n WHERE k % 3 <> 2""")
 def jsonl_bad_lines(spark, sf):
-    """Lines that are no JSON objects, of files of one line an order; blank lines are none."""
+    """Lines that are no JSON objects, by number, in five files of orders; blank lines count but are not bad."""
     o, k, name, path = table(spark, sf, "orders"), F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string"), _folder(spark)
     line = F.when(k == 0, F.concat(F.lit("broken "), name)).when(k == 1, F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.to_json(F.struct("o_orderkey")), F.lit("\n ")))
-    o.select(line.alias("value")).write.text(path)
-    return readers.bad_lines(spark, path).select("line", (F.col("line_number") >= 1).alias("numbered"))
+    o = o.select((F.col("o_orderkey") % 5).alias("f"), "o_orderkey", line.alias("value")).repartition(5, "f").sortWithinPartitions("f", "o_orderkey")
+    o.select("f", "value").write.partitionBy("f").text(path)  # one sorted file a folder
+    return readers.bad_lines(spark, path).select(F.regexp_extract("file", r"f=(\d+)", 1).cast("int").alias("file"), "line_number", "line")
 
 
 @query("SELECT n_nationkey, n_name, form FROM nation, (VALUES ('list'), ('value')) v(form)")
@@ -1134,3 +1136,62 @@ def validation_checks(spark, sf):
     crossing = same.groupBy("h").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
     found = split.crossing_hashes(_split_docs(spark, sf), ["h", "w"])
     return checks.validation(subs, bench, t, crossing, found, submission_columns=["submission_id", "user_id", "problem_id", "attempt", "code"], problem_columns=["item_id", "text"], problem_key="item_id").select("check", "passed")
+
+
+SUITE = (
+    constraints.Constraint("document_ids_unique", "documents", "unique", ("doc_id",)),
+    constraints.Constraint("texts_unique", "documents", "unique", ("sha2(text, 256)",)),
+    constraints.Constraint("languages_known", "documents", "domain", ("lang",), values=("en", "de", "fr")),
+    constraints.Constraint("lengths_stated", "documents", "holds", condition="n_chars = length(text)"),
+    constraints.Constraint("no_text_missing", "documents", "rows", condition="text is null", count=0),
+    constraints.Constraint("labels_one_each", "labels", "unique", ("doc_id",)),
+    constraints.Constraint("labels_of_documents", "labels", "references", ("doc_id",), other="documents"),
+    constraints.Constraint("labels_cover_documents", "labels", "covers", ("doc_id",), other="documents"),
+    constraints.Constraint("packets_unique", "packets", "unique", ("item_id",)),
+    constraints.Constraint("earlier_replayed", "packets", "excludes", ("tests.earlier.status",), values=("NOT_REPLAYED",)),
+    constraints.Constraint("later_replayed", "packets", "excludes", ("tests.later.status",), values=("NOT_REPLAYED",)),
+    constraints.Constraint("packets_without_labels", "packets", "lacks", ("lifecycle_label", "human_labels", "prediction")),
+)
+_VIOLATED = """SELECT {name} AS "constraint", '{table}' AS "table", '{kind}' AS kind, 0::BIGINT AS expected, CAST(coalesce(sum(n), 0) AS BIGINT) AS actual, coalesce(sum(n), 0) = 0 AS passed, coalesce(array_to_string(list(k ORDER BY k)[1:3], ','), '') AS sample FROM ({rows})"""
+
+
+def _violated(name: str, table_: str, kind: str, rows: str) -> str:
+    return _VIOLATED.format(name=f"'{name}'", table=table_, kind=kind, rows=rows)
+
+
+@query(" UNION ALL ".join([
+    _violated("document_ids_unique", "documents", "unique", "SELECT '[\"' || doc_id || '\"]' AS k, count(*) - 1 AS n FROM documents GROUP BY doc_id HAVING count(*) > 1"),
+    _violated("texts_unique", "documents", "unique", "SELECT coalesce('[\"' || sha256(text) || '\"]', '[null]') AS k, count(*) - 1 AS n FROM documents GROUP BY text HAVING count(*) > 1"),
+    _violated("languages_known", "documents", "domain", "SELECT '[\"' || doc_id || '\"]' AS k, 1 AS n FROM documents WHERE coalesce(lang NOT IN ('en', 'de', 'fr'), true)"),
+    _violated("lengths_stated", "documents", "holds", "SELECT '[\"' || doc_id || '\"]' AS k, 1 AS n FROM documents WHERE n_chars IS DISTINCT FROM length(text) OR text IS NULL"),
+    "SELECT 'no_text_missing', 'documents', 'rows', 0, count(*) FILTER (text IS NULL), count(*) FILTER (text IS NULL) = 0, '' FROM documents",
+    _violated("labels_one_each", "labels", "unique", "SELECT '[\"' || doc_id || '\"]' AS k, count(*) - 1 AS n FROM labels GROUP BY doc_id HAVING count(*) > 1"),
+    _violated("labels_of_documents", "labels", "references", "SELECT DISTINCT '[\"' || doc_id || '\"]' AS k, 1 AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
+    _violated("labels_cover_documents", "labels", "covers", "SELECT DISTINCT '[\"' || coalesce(l.doc_id, d.doc_id) || '\"]' AS k, 1 AS n FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR d.doc_id IS NULL"),
+    _violated("packets_unique", "packets", "unique", "SELECT '' AS k, 1 AS n FROM region WHERE false"),
+    _violated("earlier_replayed", "packets", "excludes", "SELECT '[\"i' || o_orderkey || '\"]' AS k, 1 AS n FROM orders WHERE o_orderkey % 5 = 1 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)"),
+    _violated("later_replayed", "packets", "excludes", "SELECT '' AS k, 1 AS n FROM region WHERE false"),
+    "SELECT 'packets_without_labels', 'packets', 'lacks', 0, 0, true, ''",
+]))
+def integrity_suite(spark, sf):
+    """Constraints on documents, labels and packets, of which some hold and some do not; the packets are replayed but for
+    the earlier state of every fifth order."""
+    key = F.substring("item_id", 2, 20).cast("long")
+    done = lambda t, s, yes: t[s].withField("status", F.when(yes, "PASS").otherwise(t[s].status))
+    p = roles.packets(spark, sf).select("item_id", F.transform("tests", lambda t: t.withField("earlier", done(t, "earlier", key % 5 != 1)).withField("later", done(t, "later", F.lit(True)))).alias("tests"))
+    tables = {"documents": table(spark, sf, "documents"), "labels": table(spark, sf, "labels"), "packets": p}
+    out = constraints.check(tables, list(SUITE), {"documents": ["doc_id"], "labels": ["doc_id"], "packets": ["item_id"]})
+    return out.withColumn("sample", F.array_join("sample", ","))
+
+
+@query(None)
+def package_integrity(spark, sf):
+    """Two packages of files that must hold the same packets and no other files, one of them changed by a byte."""
+    top, docs = _folder(spark), table(spark, sf, "labels")
+    for package, change in (("A01", 0), ("A02", 0), ("A03", 1)):
+        sinks.write_canonical(docs.orderBy("doc_id").withColumn("quality", F.when(F.col("doc_id") % 10 == 0, (F.col("quality") + change) % 2).otherwise(F.col("quality"))).coalesce(1), f"{top}/{package}")
+    found = readers.file_hashes(spark, top)
+    files = found.filter("path like '%part-%'").select(F.regexp_replace("path", "/part-.*", "/packets").alias("path"), "sha256")
+    same = constraints.same_files(files, [("A01 is A02", "A01/packets", "A02/packets"), ("A01 is A03", "A01/packets", "A03/packets"), ("A01 is A04", "A01/packets", "A04/packets")])
+    names = [constraints.same_names(files, f"files of {x}", x, want) for x, want in (("A01", ["packets"]), ("A02", ["packets", "rubric"]))]
+    return same.unionByName(names[0]).unionByName(names[1])

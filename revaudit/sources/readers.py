@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -36,14 +42,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return parsed.select("r.*")
 
 
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset_line, line): lines that are no JSON object, by their number within the file's partition scan.
+#: Ranges of files whose offsets are broadcast at most; more are joined by a shuffle.
+BROADCAST_RANGES = 200_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, line) of text files, numbered from 1 in each, blank lines included; files are read in ranges.
 
-    The number is the row's position in one unsplit file, so this is for files of a size that one task reads.
+    The first pass counts the lines that begin in each range, and sums of these by file and offset give the number of
+    lines before it; the second pass adds a line's place in its range. Both passes plan the same ranges, as they read
+    the same files in one session.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    v = F.try_parse_json("line")
-    return lines.filter((F.trim("line") != "") & ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).select("file", (F.col("i") + 1).alias("line_number"), "line")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    ranges = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))  # a row a range, not a line
+    if ranges.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    return lines.join(ranges, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), "line")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, line): lines that are neither blank nor a JSON object."""
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
+    return numbered_lines(spark, path).filter((F.trim("line") != "") & ~kind)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -53,8 +75,6 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
     def run(batches):
         import json
 
-        import pyarrow as pa
-
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 root = json.loads(text.removeprefix("\ufeff"))
@@ -76,12 +96,49 @@ def union_sources(sources: list[DataFrame], key: str) -> DataFrame:
     return rows.join(checked.select(key, "_ok"), key, "left").filter("_ok is null").drop("_ok")
 
 
+#: Bytes of a file that are held at once.
+PIECE = 1 << 20
+
+
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256, bytes) of all files below a folder, with ``/`` in relative paths."""
+    """(path, sha256, bytes) of all files below a folder, with ``/`` in relative paths.
+
+    Only the list of files comes from Spark; each is read piece by piece by one task, so a file may be larger than
+    memory. A store that only Spark can open is read by Spark instead, a file at a time, each under 2 GB and not empty.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/") + "/"
     path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), "^file:/+", "/")
-    return files.select(F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 10_000)).otherwise(path).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    path = F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 10_000)).otherwise(path)
+    names = [unquote(uri) if uri.startswith("file:") else uri for uri in files.inputFiles()]  # the list that Spark's own index holds
+    try:
+        if names:
+            _store(names[0])
+    except (pa.ArrowInvalid, OSError):
+        return files.select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for uri in batch.column(0).to_pylist():
+                digest, size = hashlib.sha256(), 0
+                store, at = _store(uri)
+                with store.open_input_stream(at, compression=None) as f:
+                    while piece := f.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                found.append(digest.hexdigest())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(sizes, pa.int64())], names=["path", "sha256", "bytes"])
+
+    parts = spark.sparkContext.defaultParallelism * 4
+    listed = spark.createDataFrame([(x,) for x in names], "path string").repartition(parts, "path").mapInArrow(digests, "path string, sha256 string, bytes long")
+    return listed.select(path.alias("path"), "sha256", "bytes")
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    local = uri.startswith(("file:", "/"))
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
