@@ -1195,3 +1195,58 @@ def package_integrity(spark, sf):
     same = constraints.same_files(files, [("A01 is A02", "A01/packets", "A02/packets"), ("A01 is A03", "A01/packets", "A03/packets"), ("A01 is A04", "A01/packets", "A04/packets")])
     names = [constraints.same_names(files, f"files of {x}", x, want) for x, want in (("A01", ["packets"]), ("A02", ["packets", "rubric"]))]
     return same.unionByName(names[0]).unionByName(names[1])
+
+
+_LINE = "'{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"text\":\"' || coalesce(sha256(text), 'none') || '\"}'"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_LINE} AS line FROM documents), f AS (SELECT min(doc_id) AS f FROM documents WHERE doc_id > 100 AND doc_id % 100 = 37),
+  v AS (SELECT 'same' AS version, doc_id, line FROM a UNION ALL SELECT 'swapped', CASE WHEN doc_id = f THEN f + 1 WHEN doc_id = f + 1 THEN f ELSE doc_id END, line FROM a, f
+    UNION ALL SELECT 'changed', doc_id, CASE WHEN doc_id % 100 = 71 THEN replace(line, '"lang":"', '"lang":"x') ELSE line END FROM a UNION ALL SELECT 'longer', doc_id, line FROM a UNION ALL SELECT 'longer', (SELECT max(doc_id) + 1 FROM a), 'more'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY doc_id) AS place FROM v), s AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM a)
+  SELECT r.version, bool_and(coalesce(r.line = s.line, false)) AND count(*) = (SELECT count(*) FROM a) AS identical, (SELECT count(*) FROM a) AS rows_a, count(*) AS rows_b, min(place) FILTER (s.line IS DISTINCT FROM r.line) AS first_difference FROM r LEFT JOIN s USING (place) GROUP BY 1""")
+def rebuild_differences(spark, sf):
+    """Canonical lines of documents against four rebuilt versions: the same, two lines swapped, bytes changed, and a line more."""
+    from ..operators import identity
+
+    d = table(spark, sf, "documents").select("doc_id", F.format_string('{"doc_id":%d,"lang":"%s","text":"%s"}', "doc_id", "lang", F.coalesce(F.sha2("text", 256), F.lit("none"))).alias("line"))
+    k = F.col("doc_id")
+    first, last = d.agg(F.min(F.when((k > 100) & (k % 100 == 37), k)), F.max(k)).first()
+    versions = {
+        "same": d,
+        "swapped": d.withColumn("doc_id", F.when(k == first, first + 1).when(k == first + 1, first).otherwise(k)),
+        "changed": d.withColumn("line", F.when(k % 100 == 71, F.replace("line", F.lit('"lang":"'), F.lit('"lang":"x'))).otherwise(F.col("line"))),
+        "longer": d.unionByName(spark.createDataFrame([(last + 1, "more")], "doc_id long, line string")),
+    }
+    stored, out = identity.kept(identity.leaves(d, "line", ["doc_id"])), []
+    for name, version in versions.items():
+        row = identity.ordered_difference(stored, identity.leaves(version, "line", ["doc_id"]), 32)
+        out.append(row.select(F.lit(name).alias("version"), "identical", "rows_a", "rows_b", "first_difference"))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query("SELECT 'b-' || (event_id % 4) AS batch, event_type, count(*) AS n FROM events WHERE event_id % 4 <> 3 GROUP BY ALL")
+def batches_once(spark, sf):
+    """Events in four batches; one is appended twice, one dies before its marker."""
+    e, path = table(spark, sf, "events").select("event_id", "event_type"), _folder(spark)
+    for i in (0, 1, 2, 0):
+        sinks.append_batch(e.filter(F.col("event_id") % 4 == i), path, f"b-{i}")
+    sinks.write_canonical(e.filter("event_id % 4 = 3"), f"{path}/b-3-left")
+    back = readers.read_batches(spark, path, StructType.fromDDL("event_id long, event_type string"))
+    return back.groupBy("batch", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT 'g' || (doc_id // 2 % 50) AS "freeze", doc_id // 2 % 50 AS g, CASE WHEN doc_id % 2 = 0 THEN 'output' ELSE 'input' END AS role, doc_id FROM documents),
+  q AS (SELECT *, CASE WHEN g % 6 = 0 THEN NULL WHEN g % 6 = 1 AND role = 'input' THEN 'input changed' WHEN g % 6 = 2 AND role = 'output' THEN 'output changed' WHEN g % 6 = 3 AND role = 'output' THEN 'output missing' WHEN g % 6 = 4 AND role = 'input' THEN 'new input' END AS problem FROM p)
+  SELECT "freeze", CASE any_value(g) % 6 WHEN 0 THEN 'build' WHEN 1 THEN 'rebuild' WHEN 2 THEN 'refuse' WHEN 3 THEN 'refuse' WHEN 4 THEN 'rebuild' ELSE 'reuse' END AS decision, min(problem) AS reason, count(problem) AS problems FROM q GROUP BY 1""")
+def freeze_reuse(spark, sf):
+    """Documents as input and output files of fifty freezes: of six in turn one has no manifest, one changed inputs, one
+    changed outputs, one lost outputs, one new inputs, and one is whole."""
+    from ..operators import freeze
+
+    k, g = F.col("doc_id"), F.expr("doc_id div 2 % 50")
+    d = table(spark, sf, "documents").select(F.concat(F.lit("g"), g.cast("string")).alias("freeze"), (g % 6).alias("g"), F.when(k % 2 == 0, "output").otherwise("input").alias("role"), k.cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    manifest = d.filter("g <> 0 and not (g = 4 and role = 'input')")
+    changed = F.expr("g = 1 and role = 'input' or g = 2 and role = 'output'")
+    found = d.filter("not (g = 3 and role = 'output')").withColumn("sha256", F.when(changed, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return freeze.freeze_decisions(manifest, found)

@@ -68,6 +68,25 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).filter((F.trim("line") != "") & ~kind)
 
 
+def read_batches(spark: SparkSession, path: str, schema: StructType, batch: str = "batch") -> DataFrame:
+    """The rows of a log's committed batches, with the name of each in the column ``batch``; a log without one is empty.
+
+    The folders of batches are known from their markers, small files that Spark reads; names of batches, not rows, reach
+    the driver.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    markers = f"{path}/_batches"
+    top = spark._jvm.org.apache.hadoop.fs.Path(markers)
+    listed = [x.getPath() for x in (store.listStatus(top) if store.exists(top) else []) if not x.getPath().getName().startswith(".")]
+    if not listed:
+        return spark.createDataFrame([], StructType([*schema.fields, StructField(batch, StringType())]))
+    named = spark.read.text([x.toString() for x in listed], wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).collect()
+    lines = spark.read.text([f"{path}/{r.value}" for r in named]).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"))
+    names = F.broadcast(spark.createDataFrame([(r.value, r.name) for r in named], "folder string, name string"))
+    parsed = lines.join(names, "folder").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.col("name").alias(batch))
+    return parsed.select("r.*", batch)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON files whose root is a list of objects, or an object whose first list value is that list. A file without one
     is an error. A file is one document, so one task reads it."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import same_rows
@@ -27,6 +30,60 @@ def append_log(df: DataFrame, path: str) -> None:
     write_canonical(df, path, mode="append")
 
 
+MARKERS = "_batches"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """Append the rows of a batch to a log as canonical JSON lines, once whatever is tried again; whether it was this call
+    that did.
+
+    A try writes to a folder of its own and then puts a marker of the batch's name in place, by a move that fails where
+    there is one already. Readers take the folders that markers name, so what a try left that died before its marker is
+    never seen, and a batch that was committed is left alone. Names of batches are plain: letters, digits, ``.``, ``_``
+    and ``-``.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch) or batch.startswith("."):
+        raise ValueError(f"not a name of a batch: {batch!r}")
+    spark = df.sparkSession
+    store, place = _files(spark, path)
+    marker = place(f"{path}/{MARKERS}/{batch}")
+    if store.exists(marker):
+        return False
+    folder = f"{batch}-{uuid.uuid4().hex}"
+    write_canonical(df, f"{path}/{folder}")
+    return commit_batch(spark, path, batch, folder)
+
+
+def commit_batch(spark: SparkSession, path: str, batch: str, folder: str) -> bool:
+    """Make ``folder`` the batch, if no other one is."""
+    store, place = _files(spark, path)
+    store.mkdirs(place(f"{path}/{MARKERS}"))
+    draft = place(f"{path}/{MARKERS}/.{folder}")
+    out = store.create(draft, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    try:
+        options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place(path).toUri(), spark._jsc.hadoopConfiguration()).rename(draft, place(f"{path}/{MARKERS}/{batch}"), options)
+    except Exception as e:  # the JVM's error, known by its name
+        if "FileAlreadyExistsException" not in str(e):
+            raise
+        store.delete(draft, False)
+        return False
+    return True
+
+
+def batch_writer(path: str, prefix: str = "batch"):
+    """For ``foreachBatch``: a micro-batch that is replayed is appended once. Each query needs a ``prefix`` of its own, and
+    keeps it over restarts."""
+    return lambda df, number: append_batch(df, path, f"{prefix}-{number}")
+
+
 def checksum_lines(hashes: DataFrame) -> DataFrame:
     """``digest  path`` lines, each once and in path order."""
     return hashes.select("path", "sha256").distinct().orderBy("path").select(F.concat_ws("  ", "sha256", "path").alias("value"))
