@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def combine(sources: list[DataFrame], key: str) -> DataFrame:
     """The union of the sources with ``source_pos``; missing columns are null. A key of two rows is for
@@ -52,6 +54,36 @@ def recovery(primary: DataFrame, rerun: DataFrame, key: str, status: int = 429)
     return chosen.join(second, key, "left").select(key, "selected_from_primary_http_status", F.lit(2).alias("attempt_number"), F.coalesce("outcome", F.lit("missing")).alias("outcome"), "http_status")
 
 
+def recovery_differences(primary: DataFrame, rerun: DataFrame, key: str, position: str, sequence: str, equal: list[str], fixed: dict[str, object], status: int = 429) -> tuple[DataFrame, DataFrame]:
+    """(ledger, differences) of second attempts, in the order of the first ones.
+
+    Selected are the rows of ``primary`` whose first attempt failed with ``status``; their order is that of ``position``. The
+    ledger has (``position``, ``key``, expected_sequence, attempts, outcome, http_status), a row for each selected key, the last columns those of
+    the earliest attempt. ``differences`` has (``key``, ``position``, field, before, after) for whatever must be equal and is not, nulls
+    being equal: the columns ``equal`` between the two attempts, ``fixed`` columns and their values, the sequence against the
+    place among the selected, and the number of attempts (1). An attempt that was not selected has a null position and
+    the field ``selected``.
+    """
+    chosen = primary.filter(F.col("http_status") == status).select(key, position, *(F.col(c).cast("string").alias(f"_b_{c}") for c in equal))
+    chosen = ranked(chosen, [position, key], "expected_sequence")
+    fields = list(dict.fromkeys([sequence, *equal, *fixed]))
+    each = F.struct(sequence, *(F.col(c).cast("string").alias(f"_a_{c}") for c in fields), F.col("outcome"), F.col("http_status"))
+    second = rerun.groupBy(key).agg(F.count("*").alias("attempts"), F.min(each).alias("_a"))  # a key with many attempts meets in partial sums
+    both = chosen.join(second, key, "full_outer").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    here, done = F.col("expected_sequence").isNotNull(), F.col("attempts") > 0
+    pair = lambda when, name, before, after: F.when(when & ~before.cast("string").eqNullSafe(after.cast("string")), F.struct(F.lit(name).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after")))
+    wrong = [
+        pair(~here, "selected", F.lit("false"), F.lit("true")),
+        pair(here, "attempts", F.lit(1), F.col("attempts")),
+        pair(here & done, sequence, F.col("expected_sequence"), F.col(f"_a._a_{sequence}")),
+        *(pair(here & done, c, F.col(f"_b_{c}"), F.col(f"_a._a_{c}")) for c in equal),
+        *(pair(here & done, c, F.lit(str(v)), F.col(f"_a._a_{c}")) for c, v in fixed.items()),
+    ]
+    differences = both.select(key, position, F.inline(F.array_compact(F.array(*wrong))))
+    book = both.filter(here).select(position, key, "expected_sequence", "attempts", F.coalesce("_a.outcome", F.lit("missing")).alias("outcome"), F.col("_a.http_status").alias("http_status"))
+    return book.orderBy(position, key), differences
+
+
 def counters(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, value, n) of several columns in one pass; missing values are ``<MISSING>``."""
     rows = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("<MISSING>")).alias("value")) for f in fields))

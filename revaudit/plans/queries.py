@@ -1250,3 +1250,51 @@ def freeze_reuse(spark, sf):
     changed = F.expr("g = 1 and role = 'input' or g = 2 and role = 'output'")
     found = d.filter("not (g = 3 and role = 'output')").withColumn("sha256", F.when(changed, F.reverse("sha256")).otherwise(F.col("sha256")))
     return freeze.freeze_decisions(manifest, found)
+
+
+@query("""WITH v AS (SELECT item_id, trim(unnest(regexp_split_to_array(text, '[.!?] '))) AS v FROM benchmark) SELECT DISTINCT doc_id, item_id, sha256(v) AS value_sha256 FROM documents JOIN v ON length(v) >= 20 AND contains(text, v)""")
+def leaked_values(spark, sf):
+    """Documents as prompts, sentences of the benchmark as the values that must not reach them."""
+    from ..operators import containment
+
+    v = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "[.!?] ")).alias("v"))
+    v = v.select("item_id", F.trim("v").alias("v")).filter(F.length("v") >= 20).distinct()
+    v = v.withColumn("value", F.struct("item_id", F.sha2("v", 256).alias("value_sha256")))
+    return containment.contained(table(spark, sf, "documents"), "doc_id", "text", v, "value", "v").select("doc_id", "value.*").distinct()
+
+
+@query(f"""WITH {SUB}, t AS (SELECT l.doc_id, 'sub_' || l.doc_id AS case_id FROM labels l WHERE l.quality = 1 UNION ALL SELECT -1, 'sub_none'), s AS (SELECT t.case_id, sub.doc_id, sub.language FROM t LEFT JOIN sub ON t.case_id = sub.submission_id)
+  SELECT 'targets_found' AS "constraint", count(*) FILTER (doc_id IS NULL) AS actual, count(*) FILTER (doc_id IS NULL) = 0 AS passed FROM s UNION ALL SELECT 'sources_unique', 0, true UNION ALL SELECT 'partition_is_test', count(*) FILTER (doc_id % 5 <> 0), count(*) FILTER (doc_id % 5 <> 0) = 0 FROM s WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 'language_is_en', count(*) FILTER (language IS DISTINCT FROM 'en'), count(*) FILTER (language IS DISTINCT FROM 'en') = 0 FROM s WHERE doc_id IS NOT NULL UNION ALL SELECT 'no_reference_fields', 1, false""")
+def stage_input_guards(spark, sf):
+    """The guards of a stage's input: every target has one source row, of the test part and the language, without fields
+    that tell the answer. The targets are good documents and one that isn't there; the source rows keep their verdict."""
+    lab = table(spark, sf, "labels").filter("quality = 1").select(F.concat(F.lit("sub_"), F.col("doc_id").cast("string")).alias("case_id"))
+    targets = lab.unionByName(spark.createDataFrame([("sub_none",)], "case_id string"))
+    source = roles.submissions(spark, sf).withColumnsRenamed({"submission_id": "case_id", "verdict": "lifecycle_label"}).withColumn("partition", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("other"))
+    selected = source.join(targets, "case_id", "left_semi")
+    c = constraints.Constraint
+    wanted = [
+        c("targets_found", "targets", "references", ("case_id",), other="source"), c("sources_unique", "source", "unique", ("case_id",)), c("partition_is_test", "selected", "domain", ("partition",), values=("test",)),
+        c("language_is_en", "selected", "domain", ("language",), values=("en",)), c("no_reference_fields", "selected", "lacks", ("lifecycle_label", "human_labels")),
+    ]
+    return constraints.check({"targets": targets, "source": source, "selected": selected}, wanted, {x: ["case_id"] for x in ("targets", "source", "selected")}).select("constraint", "actual", "passed")
+
+
+@query(f"""WITH {SECOND}, r AS (SELECT item_id, returned_model, row_number() OVER (ORDER BY event_id) AS sequence FROM sa WHERE item_id IN (SELECT item_id FROM fa WHERE outcome = 'error')),
+  c AS (SELECT item_id, event_id AS position, returned_model, row_number() OVER (ORDER BY event_id, item_id) AS expected FROM fa WHERE http_status = 429),
+  b AS (SELECT item_id, position, expected, c.returned_model AS mb, r.returned_model AS ma, sequence FROM c FULL JOIN r USING (item_id))
+  SELECT item_id, position, 'selected' AS field, 'false' AS before, 'true' AS after FROM b WHERE expected IS NULL UNION ALL SELECT item_id, position, 'attempts', '1', '0' FROM b WHERE sequence IS NULL
+  UNION ALL SELECT item_id, position, 'sequence', CAST(expected AS VARCHAR), CAST(sequence AS VARCHAR) FROM b WHERE expected <> sequence UNION ALL SELECT item_id, position, 'returned_model', mb, ma FROM b WHERE expected IS NOT NULL AND sequence IS NOT NULL AND mb IS DISTINCT FROM ma
+  UNION ALL SELECT item_id, position, 'requested_model', 'model_2', 'model_1' FROM b WHERE expected IS NOT NULL AND sequence IS NOT NULL""")
+def recovery_differences(spark, sf):
+    """Second attempts of the items whose first failed, against those that were turned away: what must be equal and isn't."""
+    from pyspark.sql import Window
+
+    from ..operators.ranking import ranked
+
+    r = roles.runs(spark, sf)
+    first = ledger.first_attempts(r, ["user_id", "k"], ["event_id"])
+    second = r.withColumn("rr", F.row_number().over(Window.partitionBy("user_id", "k").orderBy("event_id"))).filter("rr = 2")
+    second = ranked(second.join(first.filter("outcome = 'error'").select("item_id"), "item_id", "left_semi"), ["event_id"], "sequence")
+    return ledger.recovery_differences(first, second, "item_id", "event_id", "sequence", ["user_id", "returned_model"], {"requested_model": "model_2"})[1].withColumnRenamed("event_id", "position")
