@@ -44,22 +44,26 @@ def validation(
     submission_columns: list[str],
     problem_columns: list[str],
     problem_key: str,
+    everyone: DataFrame | None = None,
 ) -> DataFrame:
-    """(check, expected, actual, passed) of the thirteen named checks of a dataset. ``pairs`` have ``part``, the split by
-    problem, and ``second``, the split by participant. Fixed values: the names of the checks are outputs."""
-    alone = lambda key, c: pairs.groupBy(key).agg(F.count_distinct(c).alias("n")).agg((F.max("n") == 1).alias("n"))
+    """(check, expected, actual, passed) of the thirteen named checks of a dataset. ``pairs`` are the strict ones, with ``part``, the
+    split by problem, and ``everyone`` all eligible ones with ``second``, the split by participant; ``crossing_problems`` are near
+    pairs in different parts. Of no pairs at all nothing is broken but that there are three parts. Fixed values: the
+    names of the checks are outputs."""
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    alone = lambda key, c, df=pairs: df.groupBy(key).agg(F.count_distinct(c).alias("n")).agg(F.coalesce(F.max("n") == 1, F.lit(True)).alias("n"))
     have = lambda df, names: F.lit(all(c in df.columns for c in names))
     unique = lambda c: F.count("*") == F.count_distinct(c)
     whole = [
         (submissions, [("all_required_submission_columns_present", have(submissions, submission_columns)), ("submission_ids_unique", unique("submission_id"))]),
         (problems, [("all_required_problem_columns_present", have(problems, problem_columns)), ("problem_ids_unique_in_problem_data", unique(problem_key))]),
         (pairs, [
-            ("all_primary_pairs_are_consecutive", F.bool_and("is_consecutive")), ("all_primary_pairs_are_same_language", F.bool_and("same_language")),
-            ("all_primary_pairs_have_evidence", F.bool_and(F.col("trace_t").isNotNull() & F.col("trace_t1").isNotNull())), ("all_three_primary_splits_nonempty", F.count_distinct("part") == 3),
+            ("all_primary_pairs_are_consecutive", every("is_consecutive")), ("all_primary_pairs_are_same_language", every("same_language")),
+            ("all_primary_pairs_have_evidence", every("evidence_ready")), ("all_three_primary_splits_nonempty", F.count_distinct("part") == 3),
         ]),
         (alone("problem_id", "part"), [("one_primary_split_per_problem", F.max("n"))]),
         (alone("trajectory_id", "part"), [("one_primary_split_per_trajectory", F.max("n"))]),
-        (alone("user_id", "second"), [("one_secondary_split_per_participant", F.max("n"))]),
+        (alone("participant_id_hash", "second", everyone if everyone is not None else pairs), [("one_secondary_split_per_participant", F.max("n"))]),
         (crossing_problems, [("no_near_duplicate_problem_pair_crosses_primary_splits", F.count("*") == 0)]),
         (crossing_code, [("no_exact_or_whitespace_code_hash_crosses_strict_splits", F.count("*") == 0)]),
     ]

@@ -9,25 +9,35 @@ from ..functions.text import composite_key, normalize_code, pseudonym, sha256_te
 from .ranking import ranked
 
 
+#: Missing attempts in a row that are listed one by one.
+LISTED = 1000
+
+
 def summarise(rows: DataFrame, user: str = "user_id", problem: str = "problem_id", attempt: str = "attempt", language: str = "language", verdict: str = "verdict", accepted: str = "Accepted") -> DataFrame:
-    """One row a trajectory: length, range, gaps, languages, and the verdict of the last attempt. Null keys are out."""
+    """One row a trajectory: length, range, gaps, languages, and the verdict of the last attempt. Null keys are out.
+
+    ``missing_attempt_numbers`` lists the numbers between the first and the last that are not there; more than ``LISTED``
+    in a row are given as ``first..last``. Of equal attempts the last verdict is the greatest one.
+    """
     rows = rows.filter(F.col(user).isNotNull() & F.col(problem).isNotNull())
     a = F.col(attempt).cast("int")
     out = rows.groupBy(user, problem).agg(
         F.count("*").alias("submission_count"),
         F.min(a).alias("min_attempt"),
         F.max(a).alias("max_attempt"),
-        F.collect_set(a).alias("_seen"),
+        F.array_sort(F.collect_set(a.cast("long"))).alias("_seen"),
         F.array_sort(F.collect_set(F.coalesce(language, F.lit("nan")))).alias("_languages"),
         F.coalesce(F.bool_or(F.col(verdict) == accepted), F.lit(False)).alias("accepted_ever"),
-        F.max_by(verdict, F.struct(a, F.lit(0))).alias("final_attempt_verdict"),
+        F.max_by(verdict, F.struct(a, F.col(verdict))).alias("final_attempt_verdict"),
     )
-    gaps = F.array_sort(F.array_except(F.sequence("min_attempt", "max_attempt"), "_seen"))
+    # From each attempt to the next: nothing between, a few numbers, or a range.
+    between = lambda low, high: F.when(high < low, F.array().cast("array<string>")).when(high - low < LISTED, F.transform(F.sequence(low, F.greatest(low, F.least(high, low + LISTED))), lambda x: x.cast("string"))).otherwise(F.array(F.concat(low.cast("string"), F.lit(".."), high.cast("string"))))
+    gaps = F.flatten(F.transform(F.slice("_seen", 1, F.size("_seen") - 1), lambda x, i: between(x + 1, F.get("_seen", i + 1) - 1)))
     return out.select(
         user, problem, "submission_count", "min_attempt", "max_attempt",
         (F.col("min_attempt") == 1).alias("starts_at_one"),
-        (F.size(gaps) == 0).alias("attempt_numbers_contiguous"),
-        F.array_join(gaps.cast("array<string>"), ";").alias("missing_attempt_numbers"),
+        (F.col("max_attempt").cast("long") - F.col("min_attempt") + 1 == F.size("_seen")).alias("attempt_numbers_contiguous"),
+        F.array_join(gaps, ";").alias("missing_attempt_numbers"),
         F.size("_languages").alias("language_count"),
         F.array_join("_languages", ";").alias("languages"),
         (F.size("_languages") > 1).alias("mixed_language"),
@@ -51,7 +61,7 @@ def transitions(rows: DataFrame, user: str = "user_id", problem: str = "problem_
     own = [*side, "code", "code_sha256", "code_whitespace_sha256"]
     nxt = F.lead(F.struct(*own)).over(Window.partitionBy("user_id", "problem_id").orderBy("attempt", "submission_id"))
     pair = bare.withColumn("_n", nxt).filter("_n is not null")
-    trajectory = composite_key("user_id", "problem_id", length=20)
+    trajectory = F.substring(sha256_text(F.concat(pseudonym("user_id"), F.lit("|"), F.col("problem_id").cast("string"))), 1, 20)
     out = pair.select(
         trajectory.alias("trajectory_id"), pseudonym("user_id").alias("participant_id_hash"), "user_id", "problem_id",
         *(F.col(c).alias(f"{c}_t") for c in own), *(F.col(f"_n.{c}").alias(f"{c}_t1") for c in own),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import responses, signatures, text, udfs
-from ..operators import agreement, bootstrap, checks, constraints, decisions, joins, ledger, metrics, packets, quality, similarity, split, trajectory
+from ..operators import agreement, bootstrap, checks, constraints, decisions, joins, ledger, metrics, packets, profile, quality, similarity, split, trajectory
 from ..sources import readers, sinks
 from . import roles
-from .roles import ANN, CLAIMS, DEC, PAIR, RUNS, SPACE, SUB, table
+from .roles import ANN, CLAIMS, DEC, PAIR, PROF, RUNS, SPACE, SUB, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,17 +121,16 @@ def duplicate_extra_rows(spark, sf):
     return quality.extra_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query(f"""WITH {PAIR}, c AS (SELECT count(*) FILTER (attempt_t1 <> attempt_t + 1) AS t01, count(*) FILTER (attempt_t1 = attempt_t + 1 AND language_t <> language_t1) AS t02, count(*) FILTER (attempt_t1 = attempt_t + 1 AND (trace_t IS NULL OR trace_t1 IS NULL)) AS t03, count(*) FILTER (attempt_t1 = attempt_t + 1 AND code_sha256_t = code_sha256_t1) AS t04,
-  count(*) FILTER (attempt_t1 = attempt_t + 1 AND code_sha256_t <> code_sha256_t1 AND code_whitespace_sha256_t = code_whitespace_sha256_t1) AS t05 FROM pair)
-  SELECT 'transition' AS scope, unnest(['T01', 'T02', 'T03', 'T04', 'T05']) AS rule_id, unnest([t01, t02, t03, t04, t05]) AS count, unnest(['exclude', 'exclude', 'exclude', 'flag', 'flag']) AS status FROM c""")
+def _profile(spark, sf):
+    return profile.build(roles.submissions(spark, sf).withColumnRenamed("attempt", "attempt_number"), roles.problems(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {PROF}, c AS (SELECT count(*) FILTER (NOT consecutive) AS t01, count(*) FILTER (consecutive AND lt <> lt1) AS t02, count(*) FILTER (consecutive AND NOT tests_valid) AS t03, count(*) FILTER (consecutive AND h = h1) AS t04, count(*) FILTER (consecutive AND h <> h1 AND w = w1) AS t05, (SELECT count(*) FROM p2 WHERE crossing) AS t06 FROM pr)
+  SELECT 'transition' AS scope, unnest(['T01', 'T02', 'T03', 'T04', 'T05', 'T06']) AS rule_id, unnest([t01, t02, t03, t04, t05, t06]) AS count,
+    unnest(['exclude', 'exclude from single-language primary set', 'exclude from evidence-grounded set', 'flag; exclude from edited primary set', 'flag', 'exclude from strict evaluation partitions']) AS status FROM c""")
 def exclusion_ledger(spark, sf):
-    p = trajectory.transitions(roles.submissions(spark, sf), carry=("trace",))
-    c, no = F.col("is_consecutive"), F.col("trace_t").isNull() | F.col("trace_t1").isNull()
-    rules = [
-        ("transition", "T01", "exclude", "Adjacent rows skip an attempt", ~c), ("transition", "T02", "exclude", "Language changes", c & ~F.col("same_language")), ("transition", "T03", "exclude", "Trace missing", c & no),
-        ("transition", "T04", "flag", "Code unchanged", c & F.col("code_exact_same")), ("transition", "T05", "flag", "Only white space changed", c & ~F.col("code_exact_same") & F.col("code_whitespace_normalized_same")),
-    ]
-    return quality.ledger(p, rules).drop("reason")
+    """The rules on transitions, over those of valid rows."""
+    return profile.transition_ledger(_profile(spark, sf)).drop("reason")
 
 
 @query(f"""WITH {SUB} SELECT 'submissions' AS file, f AS field, m AS missing_count, m / CAST(n AS DOUBLE) AS missing_share FROM (SELECT count(*) AS n, unnest(['user_id', 'verdict', 'trace']) AS f, unnest([count(*) - count(user_id), count(*) - count(verdict), count(*) - count(trace)]) AS m FROM sub)
@@ -162,28 +161,28 @@ def ordered_selection(spark, sf):
     return quality.select_ordered(table(spark, sf, "nation"), "n_nationkey", [7, 3, 21]).select("position", "n_name")
 
 
-@query(f"""WITH {PAIR}, traj AS {TRAJ.split('traj AS ', 1)[1]}, f AS (SELECT *, user_id IS NULL OR verdict IS NULL OR trace IS NULL AS required_missing, problem_id IN (SELECT 'prob_' || (item_id % 6) FROM benchmark) AS linked, count(*) OVER (PARTITION BY submission_id) > 1 AS same_id, count(*) OVER (PARTITION BY user_id, problem_id, attempt) > 1 AS same_key,
-  count(*) OVER (PARTITION BY h) AS nh, count(*) OVER (PARTITION BY w) AS nw, min(problem_id) OVER (PARTITION BY h) <> max(problem_id) OVER (PARTITION BY h) AS ch, min(problem_id) OVER (PARTITION BY w) <> max(problem_id) OVER (PARTITION BY w) AS cw FROM sh),
-  a AS (SELECT count(*) AS submissions_rows, count(DISTINCT submission_id) AS unique_submission_ids, count(DISTINCT user_id) AS unique_participants, count(DISTINCT problem_id) AS unique_problems_in_submissions, array_to_string(list_sort(list_distinct(list(language))), ';') AS languages,
-    count(*) FILTER (required_missing) AS missing_required_submission_rows, count(*) FILTER (NOT coalesce(attempt > 0, false)) AS invalid_attempt_rows, count(*) FILTER (NOT coalesce(linked, false)) AS unlinked_problem_rows, count(*) FILTER (same_id) AS duplicate_submission_id_rows, count(*) FILTER (same_key) AS duplicate_attempt_key_rows,
-    count(*) FILTER (trace IS NULL) AS malformed_trace_rows, count(*) FILTER (json_extract_string(trace, '$[#-1]') = verdict) AS trace_last_matches_final_rows,
-    count(*) FILTER (nh > 1) AS exact_code_duplicate_rows, count(*) FILTER (ch) AS exact_code_cross_problem_rows, count(*) FILTER (nw > 1) AS whitespace_normalized_code_duplicate_rows, count(*) FILTER (cw) AS whitespace_normalized_code_cross_problem_rows FROM f),
-  b AS (SELECT count(*) AS valid_trajectories, count(*) FILTER (submission_count >= 2) AS trajectories_at_least_2, count(*) FILTER (submission_count >= 3) AS trajectories_at_least_3, count(*) FILTER (submission_count >= 4) AS trajectories_at_least_4, count(*) FILTER (max_attempt - min_attempt + 1 > len(seen)) AS trajectories_with_attempt_gaps,
-    count(*) FILTER (min_attempt <> 1) AS trajectories_not_starting_at_one, count(*) FILTER (len(langs) > 1) AS mixed_language_trajectories FROM traj),
-  c AS (SELECT count(*) AS adjacent_pairs_all, count(*) FILTER (attempt_t1 = attempt_t + 1) AS consecutive_transitions_all, count(*) FILTER (attempt_t1 = attempt_t + 1 AND trace_t IS NOT NULL AND trace_t1 IS NOT NULL) AS evidence_ready_consecutive_transitions, count(*) FILTER (code_sha256_t = code_sha256_t1) AS unchanged_pairs FROM pair),
-  l AS (SELECT language_t, count(*) AS n, sqrt(CAST(count(DISTINCT problem_id) * count(DISTINCT participant_id_hash) AS DOUBLE)) AS s FROM pair WHERE attempt_t1 = attempt_t + 1 AND language_t = language_t1 AND code_sha256_t <> code_sha256_t1 GROUP BY 1)
-  SELECT a.*, b.*, c.*, (SELECT language_t FROM l ORDER BY n * s DESC, n DESC, language_t LIMIT 1) AS primary_language FROM a, b, c""")
+CHECK_VALUES = """(SELECT count(*) = count(DISTINCT problem_id) FROM prob) AS ids, (SELECT count(*) = count(DISTINCT submission_id) FROM sub) AS subs, (SELECT coalesce(bool_and(consecutive), true) FROM strict) AS con, (SELECT coalesce(bool_and(lt = lt1), true) FROM strict) AS lang, (SELECT coalesce(bool_and(tests_valid), true) FROM strict) AS ev,
+  (SELECT coalesce(max(n) = 1, true) FROM (SELECT count(DISTINCT part) AS n FROM strict GROUP BY problem_id)) AS one, (SELECT coalesce(max(n) = 1, true) FROM (SELECT count(DISTINCT part) AS n FROM strict GROUP BY trajectory_id)) AS traj, (SELECT count(*) = count(DISTINCT participant_id_hash) FROM us) AS second,
+  (SELECT count(*) = 0 FROM viol) AS near_ok, (SELECT count(*) = 0 FROM left_over) AS hash_ok, (SELECT count(DISTINCT part) = 3 FROM strict) AS three"""
+
+
+@query(f"""WITH RECURSIVE {PROF}, a AS (SELECT count(*) AS submissions_rows, count(DISTINCT submission_id) AS unique_submission_ids, count(DISTINCT user_id) AS unique_participants, count(DISTINCT problem_id) AS unique_problems_in_submissions, array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ';') AS languages,
+    count(*) FILTER (required_missing) AS missing_required_submission_rows, count(*) FILTER (NOT coalesce(attempt > 0, false)) AS invalid_attempt_rows, count(*) FILTER (NOT linked) AS unlinked_problem_rows, count(*) FILTER (same_id) AS duplicate_submission_id_rows, count(*) FILTER (same_key) AS duplicate_attempt_key_rows,
+    count(*) FILTER (trace IS NULL) AS malformed_trace_rows, count(*) FILTER (json_extract_string(trace, '$[#-1]') = verdict) AS trace_last_matches_final_rows, count(*) FILTER (coalesce(trace IS NOT NULL AND tests = 2, false)) AS trace_length_matches_test_count_rows,
+    count(DISTINCT (user_id, problem_id)) FILTER (user_id IS NOT NULL AND problem_id IS NOT NULL) AS all_trajectories, count(*) - count(DISTINCT (submission_id, user_id, problem_id, attempt, language, code, verdict, trace)) AS exact_duplicate_submission_rows FROM fl),
+  dup AS (SELECT count(*) FILTER (nh > 1) AS exact_code_duplicate_rows, count(*) FILTER (ch) AS exact_code_cross_problem_rows, count(*) FILTER (nw > 1) AS whitespace_normalized_code_duplicate_rows, count(*) FILTER (cw) AS whitespace_normalized_code_cross_problem_rows
+    FROM (SELECT count(*) OVER (PARTITION BY h) AS nh, count(*) OVER (PARTITION BY w) AS nw, min(problem_id) OVER (PARTITION BY h) <> max(problem_id) OVER (PARTITION BY h) AS ch, min(problem_id) OVER (PARTITION BY w) <> max(problem_id) OVER (PARTITION BY w) AS cw FROM fl)),
+  b AS (SELECT count(*) AS valid_trajectories, count(*) FILTER (n >= 2) AS trajectories_at_least_2, count(*) FILTER (n >= 3) AS trajectories_at_least_3, count(*) FILTER (n >= 4) AS trajectories_at_least_4, count(*) FILTER (hi - lo + 1 > seen) AS trajectories_with_attempt_gaps, count(*) FILTER (lo <> 1) AS trajectories_not_starting_at_one, count(*) FILTER (langs > 1) AS mixed_language_trajectories FROM tr),
+  c AS (SELECT count(*) AS adjacent_pairs_all, count(*) FILTER (consecutive) AS consecutive_transitions_all, count(*) FILTER (consecutive AND tests_valid) AS evidence_ready_consecutive_transitions, count(*) FILTER (h = h1) AS unchanged_pairs FROM pr),
+  d AS (SELECT count(*) AS primary_eligible_transitions_before_cross_split_dedup, count(*) FILTER (crossing) AS primary_cross_split_code_duplicate_transitions_removed FROM p2),
+  e AS (SELECT count(*) AS primary_eligible_transitions, count(DISTINCT trajectory_id) AS primary_eligible_trajectories, count(DISTINCT participant_id_hash) AS primary_eligible_participants, count(DISTINCT problem_id) AS primary_eligible_problems, CASE WHEN count(*) >= 100 AND count(DISTINCT problem_id) >= 10 THEN 'PASS' ELSE 'REVIEW' END AS gate_stage4 FROM strict),
+  v AS (SELECT {CHECK_VALUES}), listed AS (SELECT part, count(*) AS n FROM strict GROUP BY 1), probs AS (SELECT part, count(*) AS n FROM asg GROUP BY 1)
+  SELECT a.*, dup.*, b.*, c.*, d.*, e.*, (SELECT language FROM best) AS primary_language, (SELECT count(*) FROM prob) AS problem_rows, (SELECT coalesce(string_agg(part || '=' || n, ';' ORDER BY part), '') FROM listed) AS split_counts, (SELECT coalesce(string_agg(part || '=' || n, ';' ORDER BY part), '') FROM probs) AS split_problem_counts,
+    (SELECT count(*) FILTER (NOT tests_valid) FROM prob) AS malformed_problem_test_rows, (SELECT bool_and(tests_valid) FROM prob) AS official_tests_available, (SELECT count(*) FROM near) AS near_duplicate_problem_pairs_review, (SELECT count(*) FROM viol) AS near_duplicate_problem_split_violations,
+    CASE WHEN ids AND subs AND con AND lang AND ev AND one AND traj AND second AND near_ok AND hash_ok AND three THEN 'PASS' ELSE 'FAIL' END AS gate_stage5 FROM a, dup, b, c, d, e, v""")
 def profile_summary(spark, sf):
-    probs = table(spark, sf, "benchmark").select(F.concat(F.lit("prob_"), (F.col("item_id") % 6).cast("string")).alias("problem_id"))
-    subs = roles.submissions(spark, sf)
-    ok = lambda c: text.json_list_reason(c).isNull()
-    flagged = quality.flag_submissions(subs.withColumnRenamed("attempt", "attempt_number"), probs, ["user_id", "verdict", "trace"]).withColumns({
-        "trace_valid": ok("trace"), "trace_last_matches_final": text.array_last(F.when(ok("trace"), text.json_list("trace"))) == F.col("verdict"),
-        "code_sha256": text.sha256_text("code"), "code_whitespace_sha256": F.sha2(text.normalize_code("code"), 256),
-    })
-    pairs = trajectory.transitions(subs, carry=("trace",)).withColumn("evidence_ready", trajectory.evidence_ready(F.col("is_consecutive"), ok("trace_t"), ok("trace_t1")))
-    edited = pairs.filter("is_consecutive and same_language and not code_exact_same")
-    return quality.profile_row(flagged, trajectory.summarise(subs), pairs, trajectory.best_language(trajectory.language_profile(edited)))
+    """All numbers of the profile row; names and hashes of files and fixed texts are not data."""
+    return profile.summary(_profile(spark, sf))
 
 
 LANGS = ("en", "de", "fr", "es")
@@ -1062,11 +1061,17 @@ def submission_ledger(spark, sf):
     return quality.ledger(out, quality.submission_rules(text.json_list_reason("trace").isNull())).drop("reason")
 
 
-@query(f"""WITH {SPLIT}, {PAIR} SELECT 'transition' AS scope, 'T06' AS rule_id, count(*) AS count, 'exclude from strict evaluation partitions' AS status FROM pair WHERE attempt_t1 = attempt_t + 1 AND (code_sha256_t IN (SELECT hash FROM bad) OR code_sha256_t1 IN (SELECT hash FROM bad))""")
+VALID = f"{PAIR.replace(SUB, SUB.replace('sub AS (SELECT', 'every AS (SELECT', 1) + ', sub AS (SELECT * FROM every WHERE user_id IS NOT NULL AND verdict IS NOT NULL AND language IS NOT NULL AND code IS NOT NULL)')}"
+
+
+@query(f"""WITH {SPLIT}, {VALID} SELECT 'transition' AS scope, 'T06' AS rule_id, count(*) AS count, 'exclude from strict evaluation partitions' AS status FROM pair WHERE attempt_t1 = attempt_t + 1 AND (code_sha256_t IN (SELECT hash FROM bad) OR code_sha256_t1 IN (SELECT hash FROM bad))""")
 def crossing_ledger(spark, sf):
-    """Transitions of which a side's code occurs in several parts of the split."""
+    """Transitions of valid rows of which a side's code occurs in several parts of the split by source. All problems are
+    linked here; ``exclusion_ledger`` has T06 of the eligible pairs in the split by problem."""
     bad = split.crossing_hashes(_split_docs(spark, sf), ["h", "w"]).select("hash")
-    t = trajectory.transitions(roles.submissions(spark, sf)).filter("is_consecutive")
+    subs = roles.submissions(spark, sf).withColumnRenamed("attempt", "attempt_number")
+    flagged = quality.flag_submissions(subs, subs.select("problem_id").distinct(), profile.REQUIRED)
+    t = trajectory.transitions(flagged.filter("row_valid_for_ordering")).filter("is_consecutive")
     sides = t.select("transition_id", F.explode(F.array("code_sha256_t", "code_sha256_t1")).alias("hash")).join(bad, "hash", "left_semi").select("transition_id").distinct()
     t = t.join(sides.withColumn("crossing", F.lit(True)), "transition_id", "left")
     rule = ("transition", "T06", "exclude from strict evaluation partitions", "Exact or whitespace-normalized code occurs across problem-disjoint splits", F.coalesce("crossing", F.lit(False)))
@@ -1118,24 +1123,21 @@ def reconstructed_attempts(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-CHECKED = f"""{SPLIT}, {PAIR}, own AS (SELECT p.*, CAST(substr(p.problem_id, 6) AS INTEGER) % 3 AS part, ascii(sha256(user_id)) % 3 AS second FROM pair p WHERE attempt_t1 = attempt_t + 1),
-  bench AS (SELECT item_id, item_id % 3 AS part, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS h FROM benchmark)"""
-
-
-@query(f"""WITH {CHECKED}, v AS (SELECT [true, true, (SELECT count(*) = count(DISTINCT item_id) FROM benchmark), (SELECT count(*) = count(DISTINCT submission_id) FROM sub), (SELECT bool_and(attempt_t1 = attempt_t + 1) FROM own), (SELECT bool_and(language_t = language_t1) FROM own),
-  (SELECT bool_and(trace_t IS NOT NULL AND trace_t1 IS NOT NULL) FROM own), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT part) AS n FROM own GROUP BY problem_id)), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT part) AS n FROM own GROUP BY trajectory_id)), (SELECT max(n) = 1 FROM (SELECT count(DISTINCT second) AS n FROM own GROUP BY user_id)),
-  (SELECT count(*) = 0 FROM bench a JOIN bench b ON a.h = b.h AND a.item_id < b.item_id AND a.part <> b.part), (SELECT count(*) = 0 FROM bad), (SELECT count(DISTINCT part) = 3 FROM own)] AS x)
+@query(f"""WITH RECURSIVE {PROF}, v AS (SELECT {CHECK_VALUES})
   SELECT unnest(['all_required_submission_columns_present', 'all_required_problem_columns_present', 'problem_ids_unique_in_problem_data', 'submission_ids_unique', 'all_primary_pairs_are_consecutive', 'all_primary_pairs_are_same_language', 'all_primary_pairs_have_evidence', 'one_primary_split_per_problem', 'one_primary_split_per_trajectory', 'one_secondary_split_per_participant',
-  'no_near_duplicate_problem_pair_crosses_primary_splits', 'no_exact_or_whitespace_code_hash_crosses_strict_splits', 'all_three_primary_splits_nonempty']) AS "check", unnest(x) AS passed FROM v""")
+  'no_near_duplicate_problem_pair_crosses_primary_splits', 'no_exact_or_whitespace_code_hash_crosses_strict_splits', 'all_three_primary_splits_nonempty']) AS "check", unnest([true, true, ids, subs, con, lang, ev, one, traj, second, near_ok, hash_ok, three]) AS passed FROM v""")
 def validation_checks(spark, sf):
-    """The thirteen named checks of a dataset, over all its tables."""
-    subs, bench = roles.submissions(spark, sf), table(spark, sf, "benchmark")
-    t = trajectory.transitions(subs, carry=("trace",)).filter("is_consecutive")
-    t = t.withColumn("part", F.regexp_extract("problem_id", r"(\d+)$", 1).cast("int") % 3).withColumn("second", F.ascii(F.sha2("user_id", 256)) % 3)
-    same = bench.select("item_id", (F.col("item_id") % 3).alias("part"), F.sha2(text.normalize_problem_text("text"), 256).alias("h"))
-    crossing = same.groupBy("h").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
-    found = split.crossing_hashes(_split_docs(spark, sf), ["h", "w"])
-    return checks.validation(subs, bench, t, crossing, found, submission_columns=["submission_id", "user_id", "problem_id", "attempt", "code"], problem_columns=["item_id", "text"], problem_key="item_id").select("check", "passed")
+    """The thirteen named checks of a dataset: near pairs of problems against their parts, code of the strict pairs."""
+    return profile.validation(_profile(spark, sf)).select("check", "passed")
+
+
+@query(f"""WITH RECURSIVE {PROF} SELECT problem_id, coalesce(part, 'ineligible') AS split_primary, g AS leakage_group_id, coalesce(n, 0) AS eligible_transition_count FROM grp LEFT JOIN asg USING (problem_id) LEFT JOIN (SELECT problem_id, count(*) AS n FROM p0 GROUP BY 1) USING (problem_id)""")
+def problem_split_assignments(spark, sf):
+    """Every problem with its part, its leakage group and its eligible pairs."""
+    p = _profile(spark, sf)
+    counts = p.primary.groupBy("problem_id").agg(F.count("*").alias("n"))
+    out = p.groups.join(p.assigned, "problem_id", "left").join(counts, "problem_id", "left")
+    return out.select("problem_id", F.coalesce("split_primary", F.lit("ineligible")).alias("split_primary"), "leakage_group_id", F.coalesce("n", F.lit(0)).alias("eligible_transition_count"))
 
 
 SUITE = (

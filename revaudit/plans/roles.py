@@ -27,12 +27,52 @@ SUB = """sub AS (SELECT 'sub_' || doc_id AS submission_id, source AS user_id, 'p
   FROM (SELECT d.*, l.quality, row_number() OVER (PARTITION BY source, d.doc_id % 7 ORDER BY d.doc_id) AS rn FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id))"""
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 PAIR = f"""{SUB},
-sh AS (SELECT *, sha256(code) AS h, sha256(regexp_replace(code, '{SPACE}', '', 'g')) AS w, substr(sha256(concat(user_id, '|', problem_id)), 1, 20) AS trajectory_id, substr(sha256('revground-codestream-stage45-v1|' || user_id), 1, 16) AS participant_id_hash FROM sub),
+sh AS (SELECT *, sha256(code) AS h, sha256(regexp_replace(code, '{SPACE}', '', 'g')) AS w, substr(sha256(concat(substr(sha256('revground-codestream-stage45-v1|' || user_id), 1, 16), '|', problem_id)), 1, 20) AS trajectory_id, substr(sha256('revground-codestream-stage45-v1|' || user_id), 1, 16) AS participant_id_hash FROM sub),
 pair AS (SELECT * FROM (SELECT trajectory_id, participant_id_hash, user_id, problem_id, submission_id AS submission_id_t, attempt AS attempt_t, language AS language_t, verdict AS verdict_t, trace AS trace_t, h AS code_sha256_t, w AS code_whitespace_sha256_t, code AS code_t,
   lead(submission_id) OVER o AS submission_id_t1, lead(attempt) OVER o AS attempt_t1, lead(language) OVER o AS language_t1, lead(verdict) OVER o AS verdict_t1, lead(trace) OVER o AS trace_t1, lead(h) OVER o AS code_sha256_t1, lead(w) OVER o AS code_whitespace_sha256_t1, lead(code) OVER o AS code_t1
   FROM sh WINDOW o AS (PARTITION BY user_id, problem_id ORDER BY attempt, submission_id)) WHERE submission_id_t1 IS NOT NULL)"""
 
 
+def problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of the benchmark as six problems: the last two are the first two with a word more, one has a broken test, and
+    one a test more than the traces have entries."""
+    b = table(spark, sf, "benchmark").groupBy((F.col("item_id") % 4).alias("m")).agg(F.min_by("text", "item_id").alias("d"))
+    k = spark.range(6).withColumnRenamed("id", "k").join(b, F.col("k") % 4 == F.col("m"))
+    case = '{"test_case_no":%d,"input":"a","output":"b"}'
+    cases = F.when(F.col("k") == 2, '[{"test_case_no":1,"input":"a"}]').when(F.col("k") == 5, f"[{case % 1},{case % 2},{case % 3}]").otherwise(f"[{case % 1},{case % 2}]")
+    return k.select(F.concat(F.lit("prob_"), F.col("k").cast("string")).alias("problem_id"), F.concat("d", F.when(F.col("k") > 3, " more").otherwise("")).alias("description"), cases.alias("test_cases"))
+
+
+#: The profile as the reference makes it: valid rows, their pairs, eligible ones, leakage groups, splits and crossing codes.
+PROF = f"""{SUB}, prob AS (SELECT 'prob_' || k AS problem_id, d || CASE WHEN k > 3 THEN ' more' ELSE '' END AS description, CASE k WHEN 2 THEN 1 WHEN 5 THEN 3 ELSE 2 END AS tests, k <> 2 AS tests_valid
+    FROM (SELECT unnest(range(6)) AS k) JOIN (SELECT item_id % 4 AS m, arg_min(text, item_id) AS d FROM benchmark GROUP BY 1) ON k % 4 = m),
+  hs AS (SELECT *, coalesce(sha256(code), sha256('nan')) AS h, sha256(regexp_replace(coalesce(code, 'nan'), '{SPACE}', '', 'g')) AS w, substr(sha256('revground-codestream-stage45-v1|' || user_id), 1, 16) AS participant_id_hash FROM sub),
+  fl AS (SELECT hs.*, submission_id IS NULL OR user_id IS NULL OR hs.problem_id IS NULL OR attempt IS NULL OR language IS NULL OR code IS NULL OR verdict IS NULL OR trace IS NULL AS required_missing, prob.problem_id IS NOT NULL AS linked, tests, coalesce(tests_valid, false) AS tests_valid,
+    count(*) OVER (PARTITION BY submission_id) > 1 AS same_id, count(*) OVER (PARTITION BY user_id, hs.problem_id, attempt) > 1 AS same_key FROM hs LEFT JOIN prob ON hs.problem_id = prob.problem_id),
+  ok AS (SELECT *, substr(sha256(concat(participant_id_hash, '|', problem_id)), 1, 20) AS trajectory_id FROM fl WHERE NOT required_missing AND attempt > 0 AND linked AND NOT same_id AND NOT same_key),
+  tr AS (SELECT user_id, problem_id, count(*) AS n, min(attempt) AS lo, max(attempt) AS hi, count(DISTINCT attempt) AS seen, count(DISTINCT language) AS langs FROM ok GROUP BY 1, 2),
+  pr AS (SELECT * FROM (SELECT submission_id, trajectory_id, participant_id_hash, problem_id, language AS lt, h, w, tests_valid, lead(submission_id) OVER o AS next, lead(attempt) OVER o = attempt + 1 AS consecutive, lead(language) OVER o AS lt1, lead(h) OVER o AS h1, lead(w) OVER o AS w1 FROM ok WINDOW o AS (PARTITION BY user_id, problem_id ORDER BY attempt, submission_id)) WHERE next IS NOT NULL),
+  el AS (SELECT * FROM pr WHERE consecutive AND lt = lt1 AND tests_valid AND h <> h1),
+  best AS (SELECT l.language FROM (SELECT DISTINCT language FROM sub WHERE language IS NOT NULL) l LEFT JOIN (SELECT lt, count(*) AS n, count(DISTINCT problem_id) AS p, count(DISTINCT participant_id_hash) AS u FROM el GROUP BY 1) e ON l.language = e.lt ORDER BY coalesce(n * sqrt(CAST(p * u AS DOUBLE)), 0) DESC, coalesce(p, 0) DESC, coalesce(u, 0) DESC, language LIMIT 1),
+  p0 AS (SELECT el.* FROM el JOIN best ON lt = language),
+  tk AS (SELECT problem_id, list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+')) AS s FROM prob),
+  near AS (SELECT a.problem_id AS a, b.problem_id AS b FROM tk a JOIN tk b ON a.problem_id < b.problem_id AND 100 * len(list_intersect(a.s, b.s)) >= 90 * len(list_distinct(list_concat(a.s, b.s)))),
+  reach AS (SELECT problem_id AS a, problem_id AS b FROM prob UNION SELECT r.a, CASE WHEN near.a = r.b THEN near.b ELSE near.a END FROM reach r JOIN near ON r.b IN (near.a, near.b)),
+  grp AS (SELECT a AS problem_id, 'lg_' || substr(sha256(array_to_string(list_sort(list(DISTINCT b)), '|')), 1, 12) AS g FROM reach GROUP BY 1),
+  wt AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sha256('revground-problem-split-v1|' || g)) AS r FROM p0 JOIN grp USING (problem_id) GROUP BY 1), tot AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM wt),
+  fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST('' AS VARCHAR) AS g, '' AS part, 0.0::DOUBLE AS d, 0.0::DOUBLE AS v, 0.0::DOUBLE AS s UNION ALL
+    SELECT r, g, part, d + CASE part WHEN 'development' THEN n ELSE 0 END, v + CASE part WHEN 'validation' THEN n ELSE 0 END, s + CASE part WHEN 'test' THEN n ELSE 0 END
+    FROM (SELECT wt.r, wt.g, wt.n, d, v, s, CASE WHEN d / (t * 0.6) <= v / (t * 0.2) AND d / (t * 0.6) <= s / (t * 0.2) THEN 'development' WHEN v / (t * 0.2) <= s / (t * 0.2) THEN 'validation' ELSE 'test' END AS part FROM fold JOIN wt ON wt.r = fold.r + 1, tot)),
+  asg AS (SELECT DISTINCT problem_id, part FROM p0 JOIN grp USING (problem_id) JOIN fold USING (g)),
+  us AS (SELECT participant_id_hash, row_number() OVER (ORDER BY sha256('revground-problem-split-v1|' || participant_id_hash)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT participant_id_hash FROM p0)),
+  p1 AS (SELECT p0.*, part FROM p0 JOIN asg USING (problem_id)),
+  bad AS (SELECT h FROM (SELECT h, part FROM p1 UNION ALL SELECT h1, part FROM p1) GROUP BY 1 HAVING count(DISTINCT part) > 1 UNION SELECT w FROM (SELECT w, part FROM p1 UNION ALL SELECT w1, part FROM p1) GROUP BY 1 HAVING count(DISTINCT part) > 1),
+  p2 AS (SELECT *, h IN (SELECT h FROM bad) OR h1 IN (SELECT h FROM bad) OR w IN (SELECT h FROM bad) OR w1 IN (SELECT h FROM bad) AS crossing FROM p1),
+  strict AS (SELECT * FROM p2 WHERE NOT crossing),
+  viol AS (SELECT near.* FROM near JOIN asg x ON near.a = x.problem_id JOIN asg y ON near.b = y.problem_id WHERE x.part <> y.part),
+  left_over AS (SELECT h FROM (SELECT h, part FROM strict UNION ALL SELECT h1, part FROM strict) GROUP BY 1 HAVING count(DISTINCT part) > 1 UNION ALL SELECT w FROM (SELECT w, part FROM strict UNION ALL SELECT w1, part FROM strict) GROUP BY 1 HAVING count(DISTINCT part) > 1)"""
+
+
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as claims, each with a row of method B and of method C."""
     o, k, c = table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
