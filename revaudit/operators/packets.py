@@ -5,8 +5,14 @@ Numbers in packets are whole, so that canonical JSON is ``to_json`` of structs w
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import col
 
@@ -168,51 +174,81 @@ def issues(packets: DataFrame) -> DataFrame:
     return packets.withColumn("issues", F.array_distinct(F.concat(F.array_compact(F.array(*found)), tests)))
 
 
-def walk(df: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, name, value, text) of every object member of a JSON text, at any level: the text is parsed once and walked
-    with a stack, in Arrow batches. ``value`` is the member as JSON, ``text`` a string, number or boolean as it is read,
-    null for others. Repeated names stay; a text that is no JSON has no members."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    schema = StructType([StructField(key, df.schema[key].dataType)] + [StructField(c, StringType()) for c in ("name", "value", "text")])
+#: A token of JSON after white space: punctuation, a string, a number, or a word.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![0-9.])|true|false|null|NaN|-?Infinity))')
+#: What may follow: a value or the end of an empty list, a name or the end of an empty object, and so on.
+_VALUE, _FIRST, _NAME, _FIRST_NAME, _COLON, _NEXT = range(6)
+
+
+def members(text: str) -> list[tuple[str, str | None]]:
+    """(name, text) of every object member of a JSON text, in its order; ``text`` is a string, number or boolean as it is
+    read, null for null, lists and objects. No members of a text that is no JSON. A stack of one character a level takes
+    the place of calls, so a text may be as deep as it is long."""
+    out: list[tuple[str, str | None]] = []
+    stack, state, at, name = [], _VALUE, 0, None
+    while stack or state != _NEXT:
+        token = _TOKEN.match(text, at)
+        if not token:
+            return []
+        at = token.end()
+        mark, string, word = token.groups()
+        if state == _NEXT:
+            if mark == ("}" if stack[-1] == "{" else "]"):
+                stack.pop()
+            elif mark == ",":
+                state = _NAME if stack[-1] == "{" else _VALUE
+            else:
+                return []
+        elif state == _COLON:
+            if mark != ":":
+                return []
+            state = _VALUE
+        elif state in (_NAME, _FIRST_NAME):
+            if string is not None:
+                name, state = json.loads(string), _COLON
+            elif mark == "}" and state == _FIRST_NAME:
+                stack.pop()
+                state = _NEXT
+            else:
+                return []
+        elif mark == "]" and state == _FIRST:
+            stack.pop()
+            state = _NEXT
+        elif mark in ("{", "[") or mark is None:
+            if name is not None:
+                out.append((name, json.loads(string) if string is not None else None if word == "null" else word))
+                name = None
+            if mark:
+                stack.append(mark)
+            state = {"{": _FIRST_NAME, "[": _FIRST, None: _NEXT}[mark]
+        else:
+            return []
+    return out if not text[at:].strip(" \t\n\r") else []
+
+
+def walk(df: DataFrame, key: str, json_text: str) -> DataFrame:
+    """(key, name, text) of every object member of a JSON text, at any level, by ``members``, in Arrow batches; rows are
+    given out as they come. Repeated names stay; a text that is no JSON has no members; a surrogate without its other half
+    is ``?``."""
+    schema = StructType([StructField(key, df.schema[key].dataType)] + [StructField(c, StringType()) for c in ("name", "text")])
     arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        import json as js
-
-        class Members(list):
-            pass
-
-        def members(text):
-            try:
-                stack = [js.loads(text, object_pairs_hook=Members)] if text else []
-            except ValueError:
-                return
-            while stack:
-                v = stack.pop()
-                if isinstance(v, Members):
-                    yield from v
-                    stack += [x for _, x in reversed(v) if isinstance(x, list)]
-                elif isinstance(v, list):
-                    stack += [x for x in reversed(v) if isinstance(x, list)]
-
-        def plain(v):
-            return {k: plain(x) for k, x in v} if isinstance(v, Members) else [plain(x) for x in v] if isinstance(v, list) else v
-
-        def row(k, name, v):
-            nested = isinstance(v, list)
-            value = js.dumps(plain(v) if nested else v, ensure_ascii=False, separators=(",", ":"))
-            return k, name, value, None if nested or v is None else v if isinstance(v, str) else value
+    def plain(x: str | None) -> str | None:
+        return x if x is None or x.isascii() else x.encode("utf-8", "replace").decode()
 
+    def run(batches):
+        rows: list[tuple] = []
         for batch in batches:
-            rows = [row(k, name, v) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for name, v in members(t)]
-            for start in range(0, len(rows), 10_000):
-                part = zip(*rows[start : start + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(part, arrow)], schema=arrow)
+            for k, t in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, text in members(t) if t else ():
+                    rows.append((k, plain(name), plain(text)))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.select(key, F.col(json).cast("string")).mapInArrow(run, schema)
+    return df.select(key, F.col(json_text).cast("string")).mapInArrow(run, schema)
 
 
 def carried_ids(walked: DataFrame, key: str) -> DataFrame:
@@ -240,8 +276,6 @@ def parity(*conditions: DataFrame) -> DataFrame:
 def future_blind_prompt(template: str, statement: str | Column, source: str | Column, verdict: str | Column, hidden: list[str | Column]) -> Column:
     """(prompt, sha256, problem): the template with the three admitted values; ``problem`` names what is missing, or
     says that a hidden value reached the prompt."""
-    from pyspark.sql.types import StringType
-
     prompt = F.format_string(template, col(statement).cast(StringType()), col(source), col(verdict))
     gone = F.when(F.coalesce(F.trim(col(statement)), F.lit("")) == "", "missing problem_statement").when(F.coalesce(F.trim(col(source)), F.lit("")) == "", "missing st_source").when(F.coalesce(F.trim(col(verdict)), F.lit("")) == "", "missing verdict")
     leak = F.lit(False)

@@ -49,3 +49,26 @@ def test_near_copies(spark, tmp_path):
     split = {d: part[s] for d, _, _, s in docs}
     want = sum(split[a] != split[b] for a, b in near(docs))
     assert QUERIES["crossing_near_copies"](spark, str(tmp_path)).first().violations == want > 0
+
+
+def test_frequent_prefix_tokens_are_split(spark, monkeypatch):
+    """All sets share tokens; nothing is lost, and they are not all paired."""
+    from revaudit.operators import similarity
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(60)}" for _ in range(30)] for _ in range(60)]
+    sets = [sorted(set(b)) for b in base]
+    for b in list(sets[:30]):
+        for _ in range(3):
+            c = list(b)
+            c[rng.randrange(len(c))] = f"w{rng.randrange(60)}"
+            sets.append(sorted(set(c)))
+    sets += [["w1"], ["w1", "w2"], []]
+    items = spark.createDataFrame(list(enumerate(sets)), "k int, s array<string>").repartition(3)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (a or b) and jaccard(a, b) >= 0.8}
+    monkeypatch.setattr(similarity, "HOT", 5)
+    assert {(r.a, r.b) for r in similarity.near_pairs(items, "k", "s", 80).collect()} == want
+    shared = spark.createDataFrame([(i, ["all", *(f"u{i}_{j}" for j in range(5))]) for i in range(400)], "k int, s array<string>")
+    monkeypatch.setattr(similarity, "HOT", 100)
+    assert similarity.near_pairs(shared, "k", "s", 90).count() == 0

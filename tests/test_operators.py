@@ -176,14 +176,56 @@ def test_joins(spark):
 
 
 def test_walk_any_depth(spark):
-    deep = '{"a":[' * 200 + '{"expected_answer":{"x":[1.50,"é"]},"k":true,"k":null}' + "]}" * 200
-    rows = spark.createDataFrame([(1, deep), (2, None), (3, "no json"), (4, ""), (5, '["a",{"b":2}]')], "k int, j string")
+    deep = '{"a":[' * 10_000 + '{"expected_answer":{"x":[1.50,"é"]},"k":true,"k":null}' + "]}" * 10_000
+    rows = spark.createDataFrame([(1, deep), (2, None), (3, "no json"), (4, ""), (5, '["a",{"b":2}]'), (6, deep[:-1]), (7, '{"\\ud800":"\\udc00"}')], "k int, j string")
     found = packets.walk(rows, "k", "j").collect()
-    assert sum(r.name == "a" for r in found) == 200
-    last = [(r.name, r.value, r.text) for r in found if r.k == 1 and r.name != "a"]
-    assert sorted(last, key=str) == [("expected_answer", '{"x":[1.5,"é"]}', None), ("k", "null", None), ("k", "true", "true"), ("x", '[1.5,"é"]', None)]
-    assert [(r.name, r.text) for r in found if r.k == 5] == [("b", "2")] and {r.k for r in found} == {1, 5}
+    assert sum(r.name == "a" for r in found) == 10_000 and {r.k for r in found} == {1, 5, 7}
+    assert [(r.name, r.text) for r in found if r.k == 1 and r.name != "a"] == [("expected_answer", None), ("x", None), ("k", "true"), ("k", None)]
+    assert [(r.name, r.text) for r in found if r.k in (5, 7)] == [("b", "2"), ("?", "?")]
     assert packets.forbidden(packets.walk(rows, "k", "j"), "k").collect()[0].forbidden == ["expected_answer"]
+    assert sum(len(r.name or "") + len(r.text or "") for r in found if r.k == 1) < len(deep)
+
+
+def test_members_equal_those_of_the_parser():
+    import json
+    import random
+
+    class Named(list):
+        pass
+
+    def want(text):
+        try:
+            v = json.loads(text, object_pairs_hook=Named, parse_int=lambda x: ("n", x), parse_float=lambda x: ("n", x), parse_constant=lambda x: ("n", x))
+        except ValueError:
+            return []
+        out = []
+
+        def go(x):
+            for y in x if isinstance(x, list) else ():
+                if isinstance(x, Named):
+                    k, y = y
+                    out.append((k, None if y is None or isinstance(y, list) else y[1] if isinstance(y, tuple) else str(y).lower() if isinstance(y, bool) else y))
+                go(y)
+
+        go(v)
+        return out
+
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 6)
+        if kind < 6:
+            return rng.choice(['"a"', '"\\u00e9\\n\\""', '""', "-0", "1.50", "1e9", "12", "true", "false", "null", "NaN", "-Infinity", '"é😀"'])
+        items = [value(depth - 1) for _ in range(rng.randrange(4))]
+        return "[" + " , ".join(items) + "]" if kind == 6 else "{" + ",\n".join(f'"{rng.choice("abc")}" : {x}' for x in items) + "}"
+
+    for _ in range(1500):
+        text = value(4)
+        if rng.random() < 0.5:  # broken in some way, or not
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", ",", "]", "}", "0", '"', " ", "x", ".5", ":"]) + text[i + rng.randrange(2) :]
+        assert packets.members(text) == want(text), text
+    assert packets.members("[" * 100_000) == [] == packets.members("")
 
 
 def test_near_pairs_of_representatives(spark):
