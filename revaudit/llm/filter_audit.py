@@ -1,9 +1,9 @@
 """How five document filters interact: what each removes, alone, after the others, and over all orders of the five.
 
 The relational word pipeline: words are exploded, aggregated by (document, word) and then by document to totals and
-distincts. Partial aggregation before each shuffle leaves a row for a word of a document at most, so neither a long text
-nor a frequent word nor a repeated document gathers rows in one task. The flags of the other filters are outer-joined,
-and every part of the corpus becomes 32 conditional counts, one for each set of filters that a document can fail. All
+distincts. Texts are dealt by document once, before their words come out, and both aggregations keep to that dealing, so
+a text is shuffled and not its words, which take three times as much. Repeated rows meet in partial sums before. The
+flags of the other filters are outer-joined, and every part of the corpus becomes 32 conditional counts, one for each set of filters that a document can fail. All
 120 orders follow from these: a filter removes here the documents that fail it and none before it.
 
 Filters: A: under 100 words; B: 100 * distinct words < 80 * words; C: 100 * capitals A-Z > 10 * code points; D: holds a
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
 SPACE = r"[\x20\x09-\x0D]+"
-#: In the place of a word, once for each row: no word holds a space.
-ROW = " "
 
 
 def orders() -> list[dict]:
@@ -38,15 +36,13 @@ def orders() -> list[dict]:
 
 
 def word_totals(docs: DataFrame, *keys: str) -> DataFrame:
-    """(``keys``, rows, words, distincts) from ``docs`` (``keys``, t): the words of one row of each key. Rows of a key
-    must have equal texts."""
+    """(``keys``, words, distincts) from ``docs`` (``keys``, t): of each key that has words, those of one row. Rows of a key must
+    have equal texts."""
+    once = docs.groupBy(*keys).agg(F.first("t").alias("t"))
     # The array is a column of its own below the generator: an expression of the text beside it would be made for each word.
-    listed = docs.select(*keys, F.array_append(F.split("t", SPACE), F.lit(ROW)).alias("ws"))
-    words = listed.select(*keys, F.explode("ws").alias("w")).filter("w != ''")
+    words = once.select(*keys, F.split("t", SPACE).alias("ws")).select(*keys, F.explode("ws").alias("w")).filter("w != ''")
     words = words.groupBy(*keys, "w").agg(F.count("*").alias("n"))
-    is_word = F.col("w") != ROW
-    out = words.groupBy(*keys).agg(F.sum(F.when(~is_word, F.col("n"))).alias("rows"), F.sum(F.when(is_word, F.col("n")).otherwise(0)).alias("total"), F.count_if(is_word).alias("distincts"))
-    return out.select(*keys, "rows", (F.expr("total div rows")).alias("words"), "distincts")
+    return words.groupBy(*keys).agg(F.sum("n").alias("words"), F.count("*").alias("distincts"))
 
 
 def failure_counts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
@@ -59,7 +55,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     flags = rows.select("d", "h", "sha", "part", bits.alias("bits")).groupBy("d", "h", "sha", "part").agg(F.count("*").alias("n"), F.max("bits").alias("bits"))
     totals = word_totals(rows.select("d", "h", "t"), "d", "h").withColumnsRenamed({"d": "td", "h": "th"})
     both = flags.join(totals, F.col("d").eqNullSafe(F.col("td")) & (F.col("h") == F.col("th")), "full_outer")
-    bits = F.col("bits") + F.when(F.col("words") < 100, 1).otherwise(0) + F.when(100 * F.col("distincts") < 80 * F.col("words"), 2).otherwise(0)
+    bits = F.col("bits") + F.when(F.coalesce("words", F.lit(0)) < 100, 1).otherwise(0) + F.when(100 * F.col("distincts") < 80 * F.col("words"), 2).otherwise(0)
     both = both.select("d", "sha", "part", "n", bits.alias("bits"))
 
     known = labels.groupBy(F.col("doc_id").alias("ld")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
