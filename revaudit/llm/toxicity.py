@@ -6,9 +6,9 @@ people, counterfactuals are made by swapping the identity term with others of it
 difference between the scores of a text and of its counterfactuals, so that a group's name alone can't make a text
 toxic.
 
-A corpus need not have the names that are listed here. So words that its labelled rows show to be exchangeable are terms
-too: those that a fair part of the rows has, no more of the toxic ones than of the others. Words with neighbouring
-numbers of rows are a kind. Swapping them shows which weights hang on the words beside an insult instead of on it.
+A corpus need not have the names that are listed here. So a labelled text without one is a template: a term is put
+between two of its words, at a place that its checksum decides, and the differences between this sentence and those with
+the others of its kind are penalised. So no weight may hang on which group a text names, whichever text it stands in.
 
 The fit uses a bounded sample of labelled rows; features are counted and selected and scores made on the executors. The
 driver holds the selected features, the weights, and the sample's occurrences of those features only.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -48,9 +48,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 class Settings:
     """``sample``: labelled rows at most that the fit sees; ``features``: selected ones; ``least``: texts
     that a feature occurs in; ``chi``: least chi-square of a feature; ``bits``: of the hash;
-    ``grams``: lengths of character n-grams; ``penalty``: of score differences; ``ridge``: of weights. ``derived``:
-    exchangeable words taken from the rows at most, ``kind`` to a kind; ``share``: of the rows that has them, from and
-    to."""
+    ``grams``: lengths of character n-grams; ``penalty``: of score differences; ``ridge``: of weights; ``swaps``: of a
+    term at most; ``insert``: whether texts without a term are templates."""
 
     sample: int = 20_000
     features: int = 3_000
@@ -63,9 +62,7 @@ class Settings:
     steps: int = 600
     swaps: int = 3
     terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
-    derived: int = 200
-    kind: int = 4
-    share: tuple[float, float] = (0.02, 0.3)
+    insert: bool = True
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +123,18 @@ def counterfactuals(text: str, s: Settings) -> list[str]:
     return list(out)
 
 
+def mentioning(text: str, s: Settings) -> str:
+    """The text with an identity term between two of its words; which one and where its checksum decides. A text that has
+    a term, or no words, stays as it is."""
+    found = list(_word(text))
+    if not found or any(m.group().lower() in places(s.terms) for m in found):
+        return text
+    h = zlib.crc32(text.encode("utf-8", "replace"))
+    kind = s.terms[h % len(s.terms)]
+    at = found[(h >> 8) % len(found)].end()
+    return f"{text[:at]} {kind[(h >> 4) % len(kind)]}{text[at:]}"
+
+
 @dataclass
 class Model:
     """``column``: for each hash bucket its place in ``weights``, 0 where it has none; ``weights[0]`` is the bias;
@@ -185,24 +194,6 @@ def telling(n: int, n_positive: int) -> str:
     return f"{n} * power({a} * {d} - {b} * {c}, 2) / greatest(({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d}), 1e-9)"
 
 
-def exchangeable(texts: DataFrame, n: int, n_positive: int, s: Settings) -> tuple[tuple[str, ...], ...]:
-    """Kinds of words that tell nothing of the label, from ``texts`` (text, toxic): the most frequent ``s.derived``."""
-
-    def words(texts: list, labels: list) -> list[list]:
-        found = [(w, y) for t, y in zip(texts, labels) for w in {m.group() for m in _word((t or "").lower())}]
-        return [[w for w, _ in found], [y for _, y in found]]
-
-    each = map_rows(texts, [F.col("text"), F.col("toxic")], words, "word string, toxic int")
-    counts = each.groupBy("word").agg(F.count("*").alias("seen"), F.sum("toxic").alias("positive"))
-    low, high = (x * n for x in s.share)
-    counts = counts.filter((F.col("seen") >= max(s.least, low)) & (F.col("seen") <= high)).filter(f"{telling(n, n_positive)} < 1")
-    known = places(s.terms)
-    found = [r.word for r in counts.orderBy(F.desc("seen"), "word").limit(s.derived).collect()]  # s.derived words at most
-    found = [w for w in found if w not in known]
-    kinds = (tuple(found[i : i + s.kind]) for i in range(0, len(found), s.kind))
-    return tuple(k for k in kinds if len(k) > 1)
-
-
 def fit(texts: DataFrame, s: Settings) -> Model:
     """Fit on ``texts`` (text, toxic), which must be bounded; counts and features are made on the executors."""
     ship(texts.sparkSession)
@@ -219,7 +210,6 @@ def fit(texts: DataFrame, s: Settings) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(positive[u]), pa.array(seen[u])], ["bucket", "positive", "seen"])
 
     n, n_positive = (int(x) for x in texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())
-    s = replace(s, terms=s.terms + exchangeable(texts, n, n_positive, s)) if s.derived else s
     counts = texts.mapInArrow(count, "bucket int, positive int, seen int").groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("seen").alias("seen"))
     counts = counts.filter(F.col("seen") >= s.least).withColumn("chi", F.expr(telling(n, n_positive))).filter(F.col("chi") > s.chi)
     best = counts.orderBy(F.desc("chi"), "bucket").limit(s.features).select("bucket").collect()  # s.features rows at most
@@ -230,10 +220,12 @@ def fit(texts: DataFrame, s: Settings) -> Model:
 
     def features(ids: list, texts: list, labels: list) -> list[list]:
         own = [model.active(t) for t in texts]
-        other = [[model.active(x) for x in counterfactuals(t or "", s)] for t in texts]
+        named = [mentioning(t or "", s) if s.insert else t or "" for t in texts]
+        first = [model.active(x) for x in named]
+        other = [[model.active(x) for x in counterfactuals(t, s)] for t in named]
         packed = lambda groups: [np.concatenate([[len(g), *g] for g in gs] or [[]]).astype(np.int16).tobytes() for gs in groups]
-        lost = [[np.setdiff1d(x, y) for y in ys] for x, ys in zip(own, other)]
-        won = [[np.setdiff1d(y, x) for y in ys] for x, ys in zip(own, other)]
+        lost = [[np.setdiff1d(x, y) for y in ys] for x, ys in zip(first, other)]
+        won = [[np.setdiff1d(y, x) for y in ys] for x, ys in zip(first, other)]
         return [ids, labels, packed([x] for x in own), packed(lost), packed(won)]
 
     def unpacked(x: bytes) -> list[np.ndarray]:
@@ -260,13 +252,15 @@ def held_out(key):
 def sample(docs: DataFrame, labels: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, toxic) of ``s.sample`` labelled rows at most that aren't held out, those with the least hash of the key.
 
-    Rows without a label or key are out; a key with several labels counts as toxic if one of them says so.
+    Rows without a label or key are out; a key with several labels counts as toxic if one of them says so. Rows with
+    the same key and text are one; a key of many different texts is as many rows, up to ``s.sample`` in all.
     """
     own = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     own = own.groupBy(F.col(key).alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.orderBy(F.xxhash64("k"), "k").limit(s.sample)
-    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(own), "k")  # bounded by s.sample
-    return written(joined.select("text", "toxic"), "sample")
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(own), "k")  # s.sample keys at most
+    joined = joined.groupBy("k", "toxic", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    return written(joined.orderBy(F.xxhash64("k"), "k", "h").limit(s.sample).select("text", "toxic"), "sample")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -44,6 +44,9 @@ def test_swaps():
     s = Settings()
     assert toxicity.counterfactuals("No group here", s) == []
     assert toxicity.counterfactuals("Women and men", s)[0] == "men and girls"
+    assert toxicity.mentioning("Women and men", s) == "Women and men" and toxicity.mentioning(" ?! ", s) == " ?! "
+    named = toxicity.mentioning("No group here", s).split()
+    assert len(named) == 4 and len(toxicity.counterfactuals(" ".join(named), s)) >= 1 and [w for w in named if w in ("No", "group", "here")] == ["No", "group", "here"]
 
 
 def auc(rows):
@@ -62,21 +65,105 @@ def test_held_out_accuracy(spark):
     assert auc(out) > 0.95
 
 
-def test_penalty_on_real_rows(spark):
-    """Words of the corpus are swapped; the penalty changes weights and lowers the gap between a text and its swaps."""
+def test_mentions_on_real_rows(spark):
+    """The corpus names no groups: names are put into its neutral held-out rows. Whatever weight hangs on a name without the
+    penalty, less of it is left with it, and no row is called toxic for a mention. (One of 728 rows is called toxic with the
+    penalty, whether it has a mention or not, and none without the penalty.)"""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.sample(docs, labels, Settings())
     free, held = (toxicity.fit(rows, Settings(penalty=p)) for p in (0.0, 4.0))
-    assert free.settings.terms == held.settings.terms and len(held.settings.terms) > len(Settings().terms)
-    assert held.n_counterfactuals > 1000 and np.abs(held.weights - free.weights).max() > 0.01
-    texts = [r.text for r in docs.filter("doc_id % 10 = 3").select("text").collect() if r.text]
-    texts = [(t, x) for t in texts for x in toxicity.counterfactuals(t, held.settings)[:1]]
-    gap = lambda m: np.mean([abs(m.score(t) - m.score(x)) for t, x in texts])
-    assert gap(held) < gap(free)
-    # The corpus names no groups, so there is no false alarm for the penalty to take away: here it must not cost much. It
-    # does cost something (README): 3 false alarms against none without it.
-    neutral = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id", "left_semi").select("text").collect()]
-    assert np.mean([held.score(t) >= 0.5 for t in neutral]) < 0.005
+    assert held.n_counterfactuals > 1000
+    neutral = docs.join(labels.filter("toxic = 0"), "doc_id", "left_semi").filter(toxicity.held_out("doc_id"))
+    texts = [r.text for r in neutral.select("text").collect() if r.text]
+    alarm = lambda m, ts: np.mean([m.score(t) >= 0.5 for t in ts])
+    named = [toxicity.mentioning(t, Settings()) for t in texts]
+    assert sum(a != b for a, b in zip(texts, named)) > 0.9 * len(texts)
+    shift = lambda m: np.mean([abs(m.score(a) - m.score(b)) for a, b in zip(texts, named)])
+    assert shift(held) < shift(free)
+    assert alarm(held, named) <= alarm(held, texts) < 0.005
+
+
+def test_mentions_in_a_corpus_that_slurs_a_group(spark):
+    """Toxic rows name a group, neutral ones hardly: neutral rows with a name put in raise fewer alarms with the penalty."""
+    rng = random.Random(6)
+    rows = []
+    for t, y in sentences(600, 3):  # half of the toxic ones have no insult but the name alone
+        w = [x for x in t.split() if x != "muslims" and (x not in ("scum", "vermin", "filth") or rng.random() < 0.5)]
+        if rng.random() < (0.95 if y else 0.01):
+            w.insert(rng.randrange(len(w) + 1), "muslims")
+        rows.append((" ".join(w), y))
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    free, held = (toxicity.fit(df, Settings(penalty=p, chi=6.0)) for p in (0.0, 4.0))
+    neutral = [t for t, y in sentences(400, 5) if not y and "muslims" not in t]
+    named = [" ".join(w[:i] + ["muslims"] + w[i:]) for w in map(str.split, neutral) for i in [rng.randrange(len(w))]]
+    alarm = lambda m: np.mean([m.score(t) >= 0.5 for t in named])
+    assert alarm(held) < alarm(free)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, f"text {k}" if i < 500 else f"text {k} {i}") for k in range(40) for i in range(520)], "doc_id long, text string").repartition(4)
+    keys = [k for k in range(40) if not toxicity.is_held_out(k)]
+    assert toxicity.sample(docs, labels, Settings()).count() == 21 * len(keys)  # 500 repeats are one
+    assert toxicity.sample(docs, labels, Settings(sample=5)).count() == 5
+
+
+def features_one_by_one(text, s):
+    """Buckets of words and n-grams, with whole numbers of any size."""
+    words = [w for w in toxicity.re.findall(r"\w+", (text or "").lower())]
+    if not words:
+        return set()
+    cut, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    line = " " + " ".join(words) + " "
+    mixed = [(y := (ord(c) + 1) * base & cut) ^ y >> 29 for c in line]
+    out = set()
+    for n in s.grams:
+        for i in range(len(line) - n + 1):
+            h = 0
+            for x in mixed[i : i + n]:
+                h = (h * 0x100000001B3 + x) & cut
+            out.add(((h ^ n) * base & cut) >> 64 - s.bits)
+    at = 1
+    for w in words:
+        total = sum(mixed[at + j] * pow(0x5851F42D4C957F2D, j + 2, 1 << 64) for j in range(len(w)))
+        out.add((total & cut) * base % (1 << 64) >> 64 - s.bits)
+        at += len(w) + 1
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    """Features counted one by one, selected by chi-square, weights by Newton steps on the loss: the scores of the query."""
+    s = Settings(steps=20_000, chi=12.0, swaps=2)
+    texts = sentences(160, 8) + [("", 0), ("the women and men of the river", 0)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(500, None), (501, "vermin and muslims")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    seen = [(t, y) for i, (t, y) in enumerate(texts) if not toxicity.is_held_out(i)]
+    own = [features_one_by_one(t, s) for t, _ in seen]
+    n, pos = len(seen), sum(y for _, y in seen)
+
+    def chi(f):
+        a = sum(y for (_, y), x in zip(seen, own) if f in x)
+        b = sum(f in x for x in own) - a
+        c, d = pos - a, n - pos - b
+        return n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1e-9) if a + b >= s.least else 0
+
+    chosen = sorted(f for f in set().union(*own) if chi(f) > s.chi)
+    row = lambda t: np.array([1.0, *(f in x for x in [features_one_by_one(t, s)] for f in chosen)])
+    x, y = np.stack([row(t) for t, _ in seen]), np.array([y for _, y in seen], float)
+    d = []
+    for t, _ in seen:
+        named = toxicity.mentioning(t, s)
+        d += [row(named) - row(u) for u in toxicity.counterfactuals(named, s)]
+    d, w = np.stack(d), np.zeros(len(chosen) + 1)
+    ridge = s.ridge * np.r_[0, np.ones(len(chosen))]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 2 * s.penalty * d.T @ d + np.diag(ridge), x.T @ (p - y) + 2 * s.penalty * d.T @ (d @ w) + ridge * w)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, s).collect()}
+    assert len(got) == len(texts) + 2
+    for i, t in [*((i, t) for i, (t, _) in enumerate(texts)), (500, ""), (501, "vermin and muslims")]:
+        want = 1 / (1 + np.exp(-row(t) @ w))
+        assert abs(got[i].score - want) < 2e-3 and got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == toxicity.is_held_out(i)
 
 
 def logistic_loss(w, x, y, d, s):
@@ -109,9 +196,9 @@ def test_fit_against_newton():
 def test_ties_of_chi_square(spark):
     """Of features that tell the labels apart equally well those of the smallest buckets are taken, every time."""
     df = spark.createDataFrame([("aa bb cc dd", 1)] * 30 + [("ee ff gg hh", 0)] * 30, "text string, toxic int").repartition(3)
-    a, b = (toxicity.fit(df, Settings(features=3, derived=0)) for _ in range(2))
+    a, b = (toxicity.fit(df, Settings(features=3)) for _ in range(2))
     assert (a.column == b.column).all() and (a.weights == b.weights).all() and (a.column > 0).sum() == 3
-    every = np.flatnonzero(toxicity.fit(df, Settings(derived=0)).column)
+    every = np.flatnonzero(toxicity.fit(df, Settings()).column)
     assert (np.flatnonzero(a.column) == every[:3]).all()
 
 
