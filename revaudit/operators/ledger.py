@@ -48,9 +48,11 @@ def unresolved(attempts: DataFrame, terminals: DataFrame, key: str) -> DataFrame
 
 def recovery(primary: DataFrame, rerun: DataFrame, key: str, status: int = 429) -> DataFrame:
     """The ledger of second attempts of the keys whose first failed with ``status``; a key without a second attempt has
-    the outcome ``missing``."""
+    the outcome ``missing``, one with several is an error when the rows are read (``covered_recovery`` names them)."""
     chosen = primary.filter(F.col("http_status") == status).select(key, F.col("http_status").alias("selected_from_primary_http_status"))
-    second = rerun.select(key, F.col("http_status"), F.col("outcome"))
+    second = rerun.groupBy(key).agg(F.min("http_status").alias("http_status"), F.min("outcome").alias("outcome"), F.count("*").alias("_n"))
+    once = F.assert_true(F.col("_n") == 1, F.concat(F.lit("several second attempts: "), F.col(key).cast("string")))
+    second = second.withColumn("_ok", once).filter("_ok is null").drop("_n", "_ok")
     return chosen.join(second, key, "left").select(key, "selected_from_primary_http_status", F.lit(2).alias("attempt_number"), F.coalesce("outcome", F.lit("missing")).alias("outcome"), "http_status")
 
 
@@ -113,6 +115,17 @@ def termination(df: DataFrame, *by: str, code: str = "exit_code", timed_out: str
     return df.groupBy(*by).agg(F.when(codes == 1, F.max(code)).alias("exit_code"), F.bool_or(timed_out).alias("timed_out"), F.sum(runtime).alias("runtime_ms"))
 
 
+def status_counts(packets: DataFrame, states: tuple[str, ...] = ("earlier", "later")) -> DataFrame:
+    """(evidence, state, status, n) of nested statuses: of each packet's compiler in each state, and of each of its tests. A
+    missing status is ``<MISSING>``; packets without tests have compiler rows only."""
+    entry = lambda kind, state, status: F.struct(F.lit(kind).alias("evidence"), F.lit(state).alias("state"), F.coalesce(status, F.lit("<MISSING>")).alias("status"))
+    compiled = F.array(*(entry("compiler", s, F.col(f"compiler.{s}.status")) for s in states))
+    ran = F.coalesce(F.col("tests"), F.array().cast(packets.schema["tests"].dataType))
+    of_tests = lambda s: F.transform(ran, lambda t: entry("test", s, t[s].status))
+    tests = [of_tests(s) for s in states]
+    return packets.select(F.inline(F.concat(compiled, *tests))).groupBy("evidence", "state", "status").agg(F.count("*").alias("n"))
+
+
 def exploded_counts(df: DataFrame, items: str) -> DataFrame:
     """How often each item of an array column occurs."""
     return df.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
@@ -167,6 +180,10 @@ def constant_settings(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def enrich(metadata: DataFrame, usage: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Metadata with the fields filled in from ``usage`` where they are missing."""
-    extra = usage.select(key, *(F.col(f).alias(f"_{f}") for f in fields))
-    return metadata.join(extra, key, "left").withColumns({f: F.coalesce(f, f"_{f}") if f in metadata.columns else F.col(f"_{f}") for f in fields}).drop(*(f"_{f}" for f in fields))
+    """Metadata with the fields filled in from ``usage`` where they are missing. Several usage rows of a key must agree, nulls
+    aside: a field that they give two values is an error when the rows are read. Null keys have no usage."""
+    own = usage.filter(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(f).alias(f"_{f}") for f in fields), *(F.count_distinct(f).alias(f"_n_{f}") for f in fields))
+    same = reduce(lambda a, b: a & b, (F.col(f"_n_{f}") <= 1 for f in fields))
+    own = own.withColumn("_ok", F.assert_true(same, F.concat(F.lit("usage rows disagree: "), F.col(key).cast("string")))).filter("_ok is null")
+    filled = {f: F.coalesce(f, f"_{f}") if f in metadata.columns else F.col(f"_{f}") for f in fields}
+    return metadata.join(own.select(key, *(f"_{f}" for f in fields)), key, "left").withColumns(filled).drop(*(f"_{f}" for f in fields))

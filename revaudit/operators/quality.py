@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from .ranking import ranked
 
 
 def require_columns(df: DataFrame, required: list[str], label: str) -> DataFrame:
@@ -117,6 +118,13 @@ def select_ordered(df: DataFrame, key: str, ids: list) -> DataFrame:
     return wanted.join(df, key).orderBy("position")
 
 
+def select_window(df: DataFrame, order: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """The rows from ``offset`` on in an order, ``limit`` at most, with their ``position`` in it from 0."""
+    placed = ranked(df, order, "position").withColumn("position", F.col("position") - 1)
+    last = F.lit(True) if limit is None else F.col("position") < offset + limit
+    return placed.filter((F.col("position") >= offset) & last)
+
+
 def profile_row(subs: DataFrame, trajectories: DataFrame, pairs: DataFrame, primary: DataFrame) -> DataFrame:
     """One row that profiles flagged submissions (``trace_valid``, ``trace_last_matches_final`` and both code hashes with
     them), their trajectories, the pairs of neighbours (with ``evidence_ready``), and the best language, null without one.

@@ -447,10 +447,15 @@ def cross_split_exclusions(spark, sf):
     return split.exclude_crossing(_split_docs(spark, sf), ["h", "w"]).select("doc_id", "cross_split_duplicate")
 
 
-@query("SELECT 0::BIGINT AS residual")
+@query(f"""WITH {SPLIT}, strict AS (SELECT * FROM sd WHERE h NOT IN (SELECT hash FROM bad) AND w NOT IN (SELECT hash FROM bad)), half AS (SELECT * FROM sd WHERE doc_id % 2 = 0 OR (h NOT IN (SELECT hash FROM bad) AND w NOT IN (SELECT hash FROM bad))),
+  n AS (SELECT 'strict' AS rows, split, h AS x FROM strict UNION ALL SELECT 'strict', split, w FROM strict UNION ALL SELECT 'half', split, h FROM half UNION ALL SELECT 'half', split, w FROM half UNION ALL SELECT 'all', split, h FROM sd UNION ALL SELECT 'all', split, w FROM sd)
+  SELECT rows, count(*) FILTER (k > 1) AS residual FROM (SELECT rows, x, count(DISTINCT split) AS k FROM n GROUP BY 1, 2) GROUP BY 1""")
 def residual_overlap(spark, sf):
-    strict = split.exclude_crossing(_split_docs(spark, sf), ["h", "w"]).filter("not cross_split_duplicate")
-    return split.crossing_hashes(strict, ["h", "w"]).agg(F.count("*").alias("residual"))
+    """Codes in several parts: of all rows, of the strict ones, and where only rows of odd number were excluded."""
+    marked = split.exclude_crossing(_split_docs(spark, sf), ["h", "w"])
+    kinds = {"all": "true", "strict": "not cross_split_duplicate", "half": "doc_id % 2 = 0 or not cross_split_duplicate"}
+    out = [split.crossing_hashes(marked.filter(rule), ["h", "w"]).agg(F.count("*").alias("residual")).select(F.lit(name).alias("rows"), "residual") for name, rule in kinds.items()]
+    return out[0].union(out[1]).union(out[2])
 
 
 @query(f"WITH {SPLIT} SELECT split, count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT h) AS texts FROM sd GROUP BY 1")
@@ -625,6 +630,17 @@ def evaluation_integrity(spark, sf):
     return metrics.integrity(roles.claims(spark, sf))
 
 
+@query(f"""WITH {CLAIMS}, x AS (SELECT * REPLACE (CASE WHEN method = 'C' AND claim_id % 500 = 3 THEN 'p-other' ELSE problem_id END AS problem_id) FROM claims WHERE NOT (method = 'B' AND claim_id % 1000 = 6) UNION ALL SELECT * FROM claims WHERE claim_id % 2000 = 4),
+  c AS (SELECT claim_id, count(*) <> count(DISTINCT method) AS twice, count(DISTINCT method) < 2 AS alone, count(DISTINCT gold_label) > 1 AS g, count(DISTINCT trajectory_id) > 1 AS t, count(DISTINCT participant_id_hash) > 1 AS u, count(DISTINCT problem_id) > 1 AS p, count(DISTINCT problem_family_id) > 1 AS f FROM x GROUP BY 1)
+  SELECT unnest(['unique_claim_method', 'identical_claim_sets', 'constant_gold_label', 'constant_trajectory_id', 'constant_participant_id_hash', 'constant_problem_id', 'constant_problem_family_id']) AS "check", unnest([NOT bool_or(twice), NOT bool_or(alone), NOT bool_or(g), NOT bool_or(t), NOT bool_or(u), NOT bool_or(p), NOT bool_or(f)]) AS passed FROM c""")
+def evaluation_violations(spark, sf):
+    """Claims of which some occur twice, some lack a method and some have two problems."""
+    c = roles.claims(spark, sf)
+    other = F.when((F.col("method") == "C") & (F.col("claim_id") % 500 == 3), "p-other").otherwise(F.col("problem_id"))
+    x = c.filter("not (method = 'B' and claim_id % 1000 = 6)").withColumn("problem_id", other).unionByName(c.filter("claim_id % 2000 = 4"))
+    return metrics.integrity(x)
+
+
 @query(f"""WITH {CLAIMS}, p AS (SELECT claim_id, bool_or(method = 'B' AND NOT abstain AND predicted_label = 'KEEP') AS b, bool_or(method = 'C' AND NOT abstain AND predicted_label = 'KEEP') AS c FROM claims WHERE gold_label IN ('RETIRE', 'RETRACT') GROUP BY 1)
   SELECT count(*) AS eligible, count(*) FILTER (b AND NOT c) AS "B_only_error", count(*) FILTER (c AND NOT b) AS "C_only_error", count(*) FILTER (b AND c) AS both_error, count(*) FILTER (NOT b AND NOT c) AS neither_error FROM p""")
 def paired_false_keep(spark, sf):
@@ -725,19 +741,22 @@ def constant_settings(spark, sf):
     return ledger.constant_settings(roles.runs(spark, sf), ["requested_model", "returned_model"])
 
 
-@query(f"WITH {SECOND} SELECT item_id, event_id, coalesce(fa.total_tokens, sa.total_tokens) AS total_tokens FROM fa LEFT JOIN (SELECT item_id, total_tokens FROM sa) sa USING (item_id)")
+@query(f"WITH {FIRST}, u AS (SELECT item_id, max(total_tokens) AS t, max(returned_model) AS m, min(user_id) AS u FROM runs GROUP BY 1) SELECT item_id, event_id, CASE WHEN event_id % 3 = 0 THEN t ELSE total_tokens END AS total_tokens, CASE WHEN event_id % 3 = 0 THEN m ELSE returned_model END AS returned_model, u AS billed_user FROM fa LEFT JOIN u USING (item_id)")
 def metadata_backfill(spark, sf):
-    from pyspark.sql import Window
-
+    """First attempts of which a third lost tokens and model, filled in from the usage rows of all attempts, which repeat;
+    the user is a new field."""
     r = roles.runs(spark, sf)
-    second = r.withColumn("rr", F.row_number().over(Window.partitionBy("user_id", "k").orderBy("event_id"))).filter("rr = 2")
-    return ledger.enrich(ledger.first_attempts(r, ["user_id", "k"], ["event_id"]), second, "item_id", ["total_tokens"]).select("item_id", "event_id", "total_tokens")
+    lost = lambda c: F.when(F.col("event_id") % 3 != 0, F.col(c)).alias(c)
+    first = ledger.first_attempts(r, ["user_id", "k"], ["event_id"]).select("item_id", "event_id", lost("total_tokens"), lost("returned_model"))
+    usage = r.select("item_id", "total_tokens", "returned_model", F.col("user_id").alias("billed_user"))
+    return ledger.enrich(first, usage, "item_id", ["total_tokens", "returned_model", "billed_user"])
 
 
-@query("SELECT doc_id FROM documents")
+@query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def interrupted_attempts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
-    return ledger.add_interrupted(table(spark, sf, "labels").select("doc_id"), d, "doc_id")
+    """Labels as the log, documents of even number as attempts: those that were never logged get a row."""
+    d = table(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id")
+    return ledger.add_interrupted(table(spark, sf, "labels").select("doc_id", "quality"), d, "doc_id")
 
 
 @query("SELECT w AS item, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1")
@@ -883,10 +902,13 @@ def blind_prompts(spark, sf):
     return c.select("c_custkey", packets.future_blind_prompt("S: %s C: %s V: %s", "c_mktsegment", "src", F.lit("WA"), ["hidden"]).alias("p")).select("c_custkey", "p.problem", "p.sha256")
 
 
-@query("SELECT 0::BIGINT AS only_left, 1::BIGINT AS only_right")
+@query("""WITH a AS (SELECT p_partkey, p_name, p_size FROM part), b AS (SELECT p_partkey, p_name, CASE WHEN p_size = 7 THEN 8 ELSE p_size END AS p_size FROM part WHERE p_partkey % 100 <> 3 UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_size = 9)
+  SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right""")
 def semantic_equality(spark, sf):
-    n = table(spark, sf, "nation")
-    return joins.same_rows(n, n.unionAll(n.filter("n_nationkey = 3")))
+    """Parts against a copy with changed, lost and repeated rows."""
+    a = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    b = a.filter("p_partkey % 100 <> 3").withColumn("p_size", F.when(F.col("p_size") == 7, 8).otherwise(F.col("p_size")))
+    return joins.same_rows(a, b.unionByName(a.filter("p_size = 9")))
 
 
 # ---------------------------------------------------------------- checks, sinks and sources
@@ -923,15 +945,20 @@ def workbook_payload(spark, sf):
     return sinks.workbook({"region": table(spark, sf, "region").select("r_regionkey", "r_name")})
 
 
-@query("SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, true AS identical")
+@query("""SELECT v AS version, n AS only_left, n AS only_right, n = 0 AS identical FROM (SELECT 'dealt anew' AS v, 0::BIGINT AS n UNION ALL SELECT 'changed', count(*) FILTER (lang = 'en') FROM documents)""")
 def rebuild_check(spark, sf):
+    """Rows of documents against the same in other partitions, and against rows that were changed; ``rebuild_differences``
+    compares order and bytes."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return sinks.rebuild_check(d, d.repartition(7))
+    versions = {"dealt anew": d.repartition(7), "changed": d.withColumn("source", F.when(F.col("lang") == "en", F.concat(F.coalesce("source", F.lit("")), F.lit("!"))).otherwise(F.col("source")))}
+    out = [sinks.rebuild_check(d, v).select(F.lit(name).alias("version"), "*") for name, v in versions.items()]
+    return out[0].union(out[1])
 
 
 @query(None)
 def file_inventory(spark, sf):
-    return readers.file_hashes(spark, f"{sf}/region.parquet").select("sha256", "bytes")
+    """Every file of the tables: path, digest and size; a file is read in pieces."""
+    return readers.file_hashes(spark, sf)
 
 
 # ---------------------------------------------------------------- files written and read back
@@ -1300,3 +1327,19 @@ def recovery_differences(spark, sf):
     second = r.withColumn("rr", F.row_number().over(Window.partitionBy("user_id", "k").orderBy("event_id"))).filter("rr = 2")
     second = ranked(second.join(first.filter("outcome = 'error'").select("item_id"), "item_id", "left_semi"), ["event_id"], "sequence")
     return ledger.recovery_differences(first, second, "item_id", "event_id", "sequence", ["user_id", "returned_model"], {"requested_model": "model_2"})[1].withColumnRenamed("event_id", "position")
+
+
+@query(f"""WITH {LI} SELECT evidence, state, status, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'compiler' AS evidence, s AS state, 'NOT_REPLAYED' AS status, 1 AS n FROM pk, (VALUES ('earlier'), ('later')) v(s) UNION ALL SELECT 'test', 'earlier', 'NOT_REPLAYED', len(lines) FROM pk
+  UNION ALL SELECT 'test', 'later', CASE WHEN x % 2 = 0 THEN 'PASS' ELSE 'FAIL' END, 1 FROM (SELECT unnest(lines) AS x FROM pk)) GROUP BY ALL""")
+def nested_statuses(spark, sf):
+    """Statuses of compilers and tests inside packets, the later state of the tests replayed."""
+    number = lambda t: F.element_at(F.split(t.test_case_id, "_T"), -1).cast("int")
+    later = lambda t: t.later.withField("status", F.when(number(t) % 2 == 0, "PASS").otherwise("FAIL"))
+    p = roles.packets(spark, sf).select("compiler", F.transform("tests", lambda t: t.withField("later", later(t))).alias("tests"))
+    return ledger.status_counts(p)
+
+
+@query("SELECT CAST(p - 1 AS BIGINT) AS position, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS p FROM documents) WHERE p > 30 AND p <= 75")
+def offset_selection(spark, sf):
+    """Documents 30 to 74 in the order of language and number."""
+    return quality.select_window(table(spark, sf, "documents").select("lang", "doc_id"), ["lang", "doc_id"], 30, 45).select("position", "doc_id")
