@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import pseudonym
+
 
 def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, name: str, missing=None) -> DataFrame:
     """Adds ``value`` of the table's row with the key; ``missing`` where there is none. The optimiser broadcasts the
@@ -23,6 +25,37 @@ def with_next_attempt(manifest: DataFrame, submissions: DataFrame, key: str = "s
     return out.withColumns({"found": F.coalesce("_a", F.lit(False)), "next_found": F.coalesce("_b", F.lit(False))}).drop("_a", "_b")
 
 
+def manifest_problems(manifest: DataFrame, submissions: DataFrame, problems: DataFrame, languages: list[str], key: str = "submission_id") -> DataFrame:
+    """(item, problem) of each row of a manifest (item, ``key``, attempt, problem_id, participant_id_hash) that does not fit the submissions
+    it was drawn from, one row a reason; no rows if all fit.
+
+    The selected submission must be there once, with the attempt, the problem and the participant that the manifest states; the
+    next attempt of its trajectory must be there once; both must be of ``languages``; and the problem must be known. Repeats are counted by
+    key before the joins, so neither a repeated submission nor a repeated attempt multiplies rows.
+    """
+    fields = ("user_id", "problem_id", "attempt", "language")
+    own = submissions.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct(*fields)).alias("_s"))
+    nxt = submissions.groupBy(F.col("user_id").alias("_u"), F.col("problem_id").alias("_p"), (F.col("attempt") - 1).alias("_a")).agg(F.count("*").alias("_m"), F.min("language").alias("_l"), F.max("language").alias("_l2"))
+    known = problems.select(F.col("problem_id").alias("_k")).filter("_k is not null").distinct().withColumn("_known", F.lit(True))
+    rows = manifest.join(own, key, "left")
+    rows = rows.join(nxt, (F.col("_s.user_id") == F.col("_u")) & (F.col("_s.problem_id") == F.col("_p")) & (F.col("_s.attempt") == F.col("_a")), "left")
+    rows = rows.join(known, F.col("_s.problem_id") == F.col("_k"), "left")
+    found, goes_on = F.col("_s").isNotNull(), F.col("_m").isNotNull()
+    named = lambda x: F.coalesce(F.lower(F.trim(x)).isin(*languages), F.lit(False))
+    wrong = {
+        "missing selected submission": ~found,
+        "repeated submission": found & (F.col("_n") > 1),
+        "attempt differs from its source": found & ~F.col("attempt").eqNullSafe(F.col("_s.attempt")),
+        "problem differs from its source": found & ~F.col("problem_id").eqNullSafe(F.col("_s.problem_id")),
+        "participant differs from its source": found & ~F.col("participant_id_hash").eqNullSafe(pseudonym(F.col("_s.user_id"))),
+        "no next attempt": found & ~goes_on,
+        "repeated next attempt": found & goes_on & (F.col("_m") > 1),
+        "language not selected": found & ~(named(F.col("_s.language")) & (~goes_on | (named(F.col("_l")) & named(F.col("_l2"))))),
+        "unknown problem": found & F.col("_known").isNull(),
+    }
+    return rows.select("item", F.explode(F.array_compact(F.array(*(F.when(when, what) for what, when in wrong.items())))).alias("problem"))
+
+
 def evidence_match(b: DataFrame, c: DataFrame, key: str, hashed: str) -> DataFrame:
     """(key, status): MATCHED where both sides have the same hash, else MISMATCH."""
     both = b.select(key, F.col(hashed).alias("hb")).join(c.select(key, F.col(hashed).alias("hc")), key, "full_outer")

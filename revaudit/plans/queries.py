@@ -244,7 +244,14 @@ def hint_word_counts(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", n.alias("words"), n.between(20, 60).alias("in_range"))
 
 
-@query(None)
+#: The same without a lookahead: a mark after each end of a sentence, which needs a character before it.
+_SENTENCES = "string_split(left(text, 1) || regexp_replace(substr(text, 2), '([.!?])([ \\t\\n\\x0B\\f\\r])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, list_filter([regexp_replace(x, '^{SPACE}|{SPACE}$', '', 'g') FOR x IN {_SENTENCES}], lambda s: s <> '') AS ss FROM documents),
+  f AS (SELECT *, coalesce(regexp_matches(ss[1], '{text.IMPERATIVE}') AND NOT contains(ss[1], ':') AND len(ss) > 1, false) AS second FROM t), c AS (SELECT *, CASE WHEN second THEN ss[2] ELSE ss[1] END AS claim, CASE WHEN second THEN instr(text, ss[1]) - 1 + length(ss[1]) ELSE 0 END AS skip FROM f),
+  p AS (SELECT *, CAST(CASE WHEN claim IS NULL THEN 0 ELSE skip + instr(substr(text, skip + 1), claim) - 1 END AS INTEGER) AS start FROM c)
+  SELECT doc_id, start, CAST(start + coalesce(length(claim), 0) AS INTEGER) AS "end", CASE WHEN claim IS NULL THEN 'none' WHEN regexp_matches(claim, '{text.COMPOSITE}') THEN 'composite' ELSE 'diagnostic' END AS kind, coalesce(substr(text, start + 1, length(claim)) = claim, false) AS span_ok FROM p""")
 def focal_claims(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", text.focal_claim("text").alias("c"))
     return d.select("doc_id", "c.start", "c.end", "c.kind", text.span_matches("text", "c.start", "c.end", "c.text").alias("span_ok"))
@@ -940,9 +947,18 @@ def canonical_lines(spark, sf):
     return n.select(packets.canonical(n).alias("line"))
 
 
-@query("SELECT sheet, payload FROM (SELECT 'region' AS sheet, '{\"columns\":[\"r_regionkey\",\"r_name\"],\"rows\":[' || string_agg('[\"' || r_regionkey || '\",\"' || r_name || '\"]', ',' ORDER BY r_regionkey) || ']}' AS payload FROM region)")
+def _sheet(name: str, columns: list[str], table_: str, order: str) -> str:
+    cells = " || '\",\"' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+    heads = ",".join(f'"{c}"' for c in columns)
+    return f"""SELECT '{name}' AS sheet, '{{"columns":[{heads}],"rows":[' || coalesce(string_agg('["' || {cells} || '"]', ',' ORDER BY {order}), '') || ']}}' AS payload FROM {table_}"""
+
+
+@query(" UNION ALL ".join([_sheet("region", ["r_regionkey", "r_name"], "region", "CAST(r_regionkey AS VARCHAR)"), _sheet("nation", ["n_name", "n_regionkey"], "nation", "n_name"), _sheet("languages", ["lang", "n"], "(SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)", "lang"), _sheet("none", ["lang"], "(SELECT lang FROM documents WHERE false)", "lang")]))
 def workbook_payload(spark, sf):
-    return sinks.workbook({"region": table(spark, sf, "region").select("r_regionkey", "r_name")})
+    """Four sheets: two tables, a summary of documents, and one without rows."""
+    d = table(spark, sf, "documents")
+    counts = d.filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    return sinks.workbook({"region": table(spark, sf, "region").select("r_regionkey", "r_name"), "nation": table(spark, sf, "nation").select("n_name", "n_regionkey"), "languages": counts, "none": d.select("lang").filter("false")})
 
 
 @query("""SELECT v AS version, n AS only_left, n AS only_right, n = 0 AS identical FROM (SELECT 'dealt anew' AS v, 0::BIGINT AS n UNION ALL SELECT 'changed', count(*) FILTER (lang = 'en') FROM documents)""")
@@ -1343,3 +1359,32 @@ def nested_statuses(spark, sf):
 def offset_selection(spark, sf):
     """Documents 30 to 74 in the order of language and number."""
     return quality.select_window(table(spark, sf, "documents").select("lang", "doc_id"), ["lang", "doc_id"], 30, 45).select("position", "doc_id")
+
+
+@query(f"""WITH {SUB}, ph AS (SELECT *, substr(sha256('revground-codestream-stage45-v1|' || user_id), 1, 16) AS p FROM sub),
+  m AS (SELECT doc_id AS item, CASE WHEN doc_id % 50 = 1 THEN 'gone' ELSE submission_id END AS submission_id, attempt + CASE WHEN doc_id % 40 = 2 THEN 1 ELSE 0 END AS attempt, CASE WHEN doc_id % 30 = 3 THEN 'prob_x' ELSE problem_id END AS problem_id, CASE WHEN doc_id % 60 = 4 THEN 'x' ELSE p END AS participant_id_hash FROM ph WHERE doc_id % 3 <> 0),
+  j AS (SELECT m.*, s.submission_id IS NOT NULL AS found, s.attempt AS sa, s.problem_id AS sp, s.p, s.language AS l0, n.submission_id IS NOT NULL AS goes_on, n.language AS l1 FROM m LEFT JOIN ph s ON m.submission_id = s.submission_id LEFT JOIN ph n ON n.user_id = s.user_id AND n.problem_id = s.problem_id AND n.attempt = s.attempt + 1),
+  w AS (SELECT item, unnest([CASE WHEN NOT found THEN 'missing selected submission' END, CASE WHEN found AND attempt IS DISTINCT FROM sa THEN 'attempt differs from its source' END, CASE WHEN found AND problem_id IS DISTINCT FROM sp THEN 'problem differs from its source' END, CASE WHEN found AND participant_id_hash IS DISTINCT FROM p THEN 'participant differs from its source' END,
+    CASE WHEN found AND NOT goes_on THEN 'no next attempt' END, CASE WHEN found AND NOT (coalesce(l0 IN ('en', 'de'), false) AND (NOT goes_on OR coalesce(l1 IN ('en', 'de'), false))) THEN 'language not selected' END, CASE WHEN found AND sp = 'prob_6' THEN 'unknown problem' END]) AS problem FROM j)
+  SELECT * FROM w WHERE problem IS NOT NULL""")
+def manifest_checks(spark, sf):
+    """Submissions as a manifest of which some rows were changed, against the submissions and six problems."""
+    s, k = roles.submissions(spark, sf), F.col("doc_id")
+    m = s.filter("doc_id % 3 <> 0").select(
+        k.alias("item"), F.when(k % 50 == 1, "gone").otherwise(F.col("submission_id")).alias("submission_id"), (F.col("attempt") + F.when(k % 40 == 2, 1).otherwise(0)).alias("attempt"),
+        F.when(k % 30 == 3, "prob_x").otherwise(F.col("problem_id")).alias("problem_id"), F.when(k % 60 == 4, "x").otherwise(text.pseudonym("user_id")).alias("participant_id_hash"),
+    )
+    return joins.manifest_problems(m, s, roles.problems(spark, sf), ["en", "de"])
+
+
+@query(f"""WITH {RUNS}, r AS (SELECT event_id, item_id, user_id, sha256(concat(item_id, '|', CASE WHEN event_id % 10 = 0 THEN 'B' ELSE c END)) AS request, c FROM runs, (VALUES ('B'), ('C')) v(c) WHERE event_id % 2 = 0), b AS (SELECT c, request, count(*) - 1 AS n FROM r GROUP BY ALL)
+  SELECT 'requests_unique_' || c AS "constraint", CAST(sum(n) AS BIGINT) AS actual, sum(n) = 0 AS passed FROM b GROUP BY c UNION ALL SELECT 'evidence_parity', CAST(count(*) AS BIGINT), count(*) = 0 FROM (SELECT item_id FROM r GROUP BY item_id HAVING count(DISTINCT CASE WHEN event_id % 22 = 0 AND c = 'C' THEN 'other' ELSE item_id END) > 1)""")
+def request_uniqueness(spark, sf):
+    """Requests of two conditions: hashes that must be unique in each, and items whose evidence must be the same in both."""
+    r = roles.runs(spark, sf).filter("event_id % 2 = 0").select("event_id", "item_id", F.explode(F.array(F.lit("B"), F.lit("C"))).alias("c"))
+    r = r.withColumn("request", F.sha2(F.concat_ws("|", "item_id", F.when(F.col("event_id") % 10 == 0, "B").otherwise(F.col("c"))), 256))
+    r = r.withColumn("evidence_sha256", F.when((F.col("event_id") % 22 == 0) & (F.col("c") == "C"), "other").otherwise(F.col("item_id")))
+    wanted = [constraints.Constraint(f"requests_unique_{c}", c, "unique", ("request",)) for c in "BC"]
+    out = constraints.check({c: r.filter(F.col("c") == c) for c in "BC"}, wanted, {}).select("constraint", "actual", "passed")
+    unequal = packets.parity(r.filter("c = 'B'").select("item_id", "evidence_sha256"), r.filter("c = 'C'").select("item_id", "evidence_sha256")).agg(F.count_if(~F.col("equal")).alias("actual"))
+    return out.unionByName(unequal.select(F.lit("evidence_parity").alias("constraint"), "actual", (F.col("actual") == 0).alias("passed")))

@@ -94,12 +94,19 @@ def rebuild_check(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
     return same_rows(rebuilt, stored).withColumn("identical", F.expr("only_left + only_right = 0"))
 
 
+#: Rows that a sheet may have.
+SHEET_ROWS = 1 << 20
+
+
 def workbook(sheets: dict[str, DataFrame]) -> DataFrame:
-    """(sheet, payload): each small table as ``{"columns": [...], "rows": [...]}``."""
+    """(sheet, payload): each small table as ``{"columns": [...], "rows": [...]}``, its rows in order. A sheet is one value, so a
+    table of more than ``SHEET_ROWS`` rows is refused."""
     from functools import reduce
 
     parts = []
     for name, df in sheets.items():
+        if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+            raise ValueError(f"sheet {name} has more than {SHEET_ROWS} rows")
         row = F.struct(F.array(*map(F.lit, df.columns)).alias("columns"), F.sort_array(F.collect_list(F.array(*(F.col(c).cast("string") for c in df.columns)))).alias("rows"))
         parts.append(df.agg(F.to_json(row, {"ignoreNullFields": "false"}).alias("payload")).select(F.lit(name).alias("sheet"), "payload"))
     return reduce(DataFrame.unionByName, parts)

@@ -105,3 +105,9 @@ def test_telemetry(spark):
 def test_fence(spark):
     assert one(spark, "```json\n{}\n```", responses.strip_fence("x")) == "{}"
     assert one(spark, " {} ", responses.strip_fence("x")) == "{}"
+
+
+def test_unified_diff(spark):
+    rows = [("a\nb\nc\n", "a\nx\nc\n"), ("same\n", "same\n"), (None, "new"), ("a\nb", "a\nb\n")]
+    got = [r.d for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(udfs.unified_diff("a", "b").alias("d")).collect()]
+    assert got == ["--- S_t\n+++ S_t+1\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c\n", "", "--- S_t\n+++ S_t+1\n@@ -0,0 +1 @@\n+new", "--- S_t\n+++ S_t+1\n@@ -1,2 +1,2 @@\n a\n-b+b\n"]
