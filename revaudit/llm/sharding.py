@@ -16,9 +16,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from .common import ship
 
 
@@ -96,7 +97,10 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
 
     hashed = F.xxhash64(F.col(key))
     counts = {r[0]: r[1] for r in df.select(node_of(hashed).alias("node")).groupBy("node").count().collect()}
-    parts = allot(counts, owner, bounds(sum(counts.values()), shards))
+    starts, total = {}, 0
+    for node in sorted(counts):
+        starts[node], total = total, total + counts[node]
+    parts = [(node, starts[node] + low, starts[node] + high, shard, base) for node, low, high, shard, base in allot(counts, owner, bounds(total, shards))]
     parts = spark.createDataFrame(parts, "node int, low long, high long, shard int, base long")
     rows = df.select(
         F.col(key).alias("k"),
@@ -104,8 +108,8 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"),
         hashed.alias("hashed"),
     ).withColumn("node", node_of("hashed"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("hashed", "k", "crc", "size")) - 1
-    rows = rows.withColumn("rank", rank.cast("long"))
+    # Places in the order of all nodes: a key that most rows have is dealt over ranges like any other.
+    rows = ranked(rows, ["node", "hashed", "k", "crc", "size"], "rank").withColumn("rank", F.col("rank") - 1)
     # At most two entries a node and shard: a size that the ring bounds.
     joined = rows.join(F.broadcast(parts), (rows.node == parts.node) & (rows["rank"] >= parts.low) & (rows["rank"] < parts.high))
     return joined.select(

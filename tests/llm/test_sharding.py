@@ -43,3 +43,15 @@ def test_one_more_shard_moves_little():
     old, new = (sharding.brute_force(keys, *sharding.ring(m, 256), sharding.bounds(len(keys), m)) for m in (40, 41))
     moved = sum(old[k] != new[k] for k in keys) / len(keys)
     assert moved < 0.12  # 1/41 must; dealing anew by a remainder moves 0.98
+
+
+def test_one_key_on_most_rows(spark):
+    """Its rows aren't ordered in one task, and the law holds."""
+    data = [(7, f"text {i}") for i in range(900)] + [(7, "same")] * 200 + [(None, "x")] * 300 + [(i, "y") for i in range(100)]
+    out = sharding.assign_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(5), shards=9)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and plan.count("Window [") == 1  # over the numbers of rows of the ranges
+    got = out.collect()
+    count = Counter(r.shard for r in got)
+    assert len(got) == 1500 and max(count.values()) - min(count[s] for s in range(9)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(count[s])) for s in range(9))
