@@ -29,6 +29,8 @@ from .common import shared_dir, ship, struct_of
 ARCHIVE_BYTES, PIECE = 64 << 20, 1 << 18
 #: So many groups of equal payloads at most are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
+#: Payloads of more rows than 1 / SHARE of all are broadcast all the same: no more than SHARE.
+SHARE = 50_000
 DATE = datetime(2026, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
@@ -133,11 +135,11 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def originals(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
-    """(digest, first): the smallest key of each payload of ``least`` bytes or more that several rows have."""
+    """(digest, first, rows): the smallest key of each payload of ``least`` bytes or more that several rows have."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.unhex(F.sha1(body)).alias("digest"), F.col(key).alias("k"), F.octet_length(body).alias("n"))
     groups = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("rows"))
-    return groups.filter("rows > 1 and first is not null").select("digest", "first")
+    return groups.filter("rows > 1 and first is not null").select("digest", "first", "rows")
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -154,7 +156,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     small = first.count() <= BROADCAST_GROUPS
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), body.alias("p"), F.unhex(F.sha1(body)).alias("digest"))
-    rows = rows.join(F.broadcast(first) if small else first, "digest", "left").select("k", "u", "p", "first")
+    if small:
+        rows = rows.join(F.broadcast(first.drop("rows")), "digest", "left").select("k", "u", "p", "first")
+    else:
+        # Payloads of many rows are fewer than SHARE, so they are broadcast; their rows join the others by a digest of
+        # their own, and no task gets all copies of a page.
+        many = F.col("rows") >= max(2, pages.count() // SHARE)
+        rows = rows.join(F.broadcast(first.filter(many).select("digest", F.col("first").alias("many"))), "digest", "left")
+        rows = rows.withColumn("digest", F.when(F.col("many").isNull(), F.col("digest")).otherwise(F.unhex(F.sha1(F.concat("digest", F.coalesce(F.col("k").cast("string"), F.lit("")).cast("binary"))))))
+        rows = rows.join(first.filter(~many).select("digest", "first"), "digest", "left").select("k", "u", "p", F.coalesce("many", "first").alias("first"))
     schema = struct_of("path string, records long, bytes long")
     arrow = to_arrow_schema(schema)
 

@@ -15,9 +15,10 @@ def pages():
     return out + [out[7], (None, "u", text[0], None, None), (None, None, "alone", None, None)]
 
 
-@pytest.mark.parametrize("groups", [100_000, 0])
-def test_round_trip(spark, monkeypatch, groups):
+@pytest.mark.parametrize("groups,share", [(100_000, 50_000), (0, 50_000), (0, 16)])  # all payloads broadcast, in either way; those of three rows and less joined
+def test_round_trip(spark, monkeypatch, groups, share):
     monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
+    monkeypatch.setattr(warc, "SHARE", share)
     df = spark.createDataFrame(pages(), SCHEMA).repartition(3)
     out = warc.round_trip(df, payloads=True).collect()
     assert len(out) == len(pages())
