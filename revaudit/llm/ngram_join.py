@@ -150,7 +150,7 @@ def similar(a: str, b: str, percent: int) -> Column:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (``key``, n_shingles, class_id, component_id) of every whole text. ``component_id`` is the smallest key that
+    """Rows (``key``, n_shingles, class_id, component_id) of every whole text; keys are whole numbers. ``component_id`` is the smallest key that
     links of ``percent`` or more reach, itself included; ``class_id`` tells equal sets apart.
 
     A text without words, or null, has no set and is linked with nothing. Null keys take part but are never a
