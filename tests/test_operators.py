@@ -97,8 +97,9 @@ def test_decisions(spark, o, t, label):
 
 
 def test_bootstrap(spark):
-    low, high = bootstrap.exact_interval([(1, 2), (2, 2), (0, 2), (2, 3)], 500, 1)
-    assert 0 <= low <= high <= 100 and (low, high) == bootstrap.exact_interval([(1, 2), (2, 2), (0, 2), (2, 3)], 500, 1)
+    sums = spark.createDataFrame([(i, *x) for i, x in enumerate([(1, 2), (2, 2), (0, 2), (2, 3)])], "i long, num long, den long")
+    ends = [(r.low, r.high) for r in (bootstrap.intervals(spark, {"x": sums}, 500, 1).first() for _ in range(2))]
+    assert 0 <= ends[0][0] <= ends[0][1] <= 100 and ends[0] == ends[1]
     df = spark.createDataFrame([(c, i % 2) for c in "abcd" for i in range(4)], "c string, x int")
     r = bootstrap.bootstrap_ratio(df, "c", F.col("x"), F.lit(1), 20).first()
     assert (r.clusters, r.percent, r.low, r.high) == (4, 50.0, 50.0, 50.0)
