@@ -260,7 +260,8 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings, key: str = "doc_id",
     own = own.orderBy(F.xxhash64("k"), "k").limit(s.sample)
     joined = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(own), "k")  # s.sample keys at most
     joined = joined.groupBy("k", "toxic", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    return written(joined.orderBy(F.xxhash64("k"), "k", "h").limit(s.sample).select("text", "toxic"), "sample")
+    some = joined.orderBy(F.xxhash64("k"), "k", "h").limit(s.sample).select("text", "toxic")
+    return written(some.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text")), "sample")  # a limit is one partition
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
