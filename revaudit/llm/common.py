@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -39,6 +40,13 @@ def written(df: DataFrame, name: str = "t", options: dict | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing holds any more: Spark's cleaner waits for the driver's garbage to be
+    collected, which a driver that does little may put off until the disks of the executors are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column."""
     have = {c.lower() for c in df.columns}

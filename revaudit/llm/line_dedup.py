@@ -22,7 +22,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, release, written
 
 BITS = 18
 #: Sets that share a word or a two are paired at once up to this number.
@@ -192,6 +192,7 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     n = rarity.select("total").first()[0]
     common = max(COMMON_WORD, n // 4096)
     found = by_words(once, rarity, min(127, int(4 * log2(1 + common))), percent)
+    release(lines.sparkSession)  # the entries, more than the texts
     crowd = written(classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", "first"), "crowd")
     two = by_twos(sets_of(lines, crowd).withColumnRenamed("first", "e"), rarity, percent)
     few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
@@ -201,6 +202,7 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     star = many.select(F.struct("l", "n", "b0", "b1").alias("a"), F.col("lead").alias("b")).filter(alike(percent)).select(*candidate())
     pairs = found.filter("pair is not null").select("pair.*").unionByName(close).unionByName(star)
     pairs = written(pairs.groupBy("la", "lb").agg(F.min("apart").alias("apart")), "pairs")
+    release(lines.sparkSession)
     gone = matches(lines, classes, pairs, percent)
     # Lines that are still there meet the others of their large groups.
     a, b = many.join(gone, ["l", "c"], "left_anti").alias("a"), many.alias("b")
