@@ -7,9 +7,10 @@ their sizes allow the similarity (length filter), if what follows the shared wor
 filter), and if 128 parity bits of the words do not differ in more places than similar sets can. Candidates are verified
 on the whole sets, the likeliest partner first; a line goes if an earlier line matches it.
 
-Rarity is the number of occurrences in the whole corpus, counted in 2**18 hashed counters, so that the order is of a
-fixed size whatever the vocabulary; any fixed order gives exact results. It reaches the plans as the value of a scalar
-subquery. Words that many sets have among their first ones are too common to be a key: a set that has such a word enters
+Rarity is the number of occurrences in the whole corpus, counted in 2**18 to 2**22 hashed counters, so that the order is of
+a bounded size whatever the vocabulary; any fixed order gives exact results. It reaches the plans as the value of a scalar
+subquery. Words of many occurrences are too common to be a key: they are one with each of the next words, of which one is
+the second word in common. A set with a key that many sets share all the same, as near copies and phrases do, enters
 neighbours in its order as twos instead. Differing words can part only so many twos, so one of the first ones is common
 to any two similar sets. Sets that share a two that is common as well are compared with the earliest one of them, which
 settles clusters of near copies without pairing them all; only lines that no match has removed meet the others.
@@ -17,18 +18,18 @@ settles clusters of near copies without pairing them all; only lines that no mat
 
 from __future__ import annotations
 
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, release, written
 
-BITS = 18
-#: Sets that share a word or a two are paired at once up to this number.
+MIN_BITS, MAX_BITS = 18, 22
+#: Sets that share a key are paired at once up to this number.
 SMALL_GROUP = 512
-#: Words of more occurrences than this are no key, nor are those of more than a 4,096th of all words.
-COMMON_WORD = 4096
+#: Words of more occurrences than this are a key only together with another word.
+COMMON_WORD = 512
 #: Lists of this many rows at most are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -62,14 +63,23 @@ def earlier() -> Column:
     return F.struct(F.col("d").isNull().alias("n"), "d", "th", "tc", "i")
 
 
-def counters(lines: DataFrame) -> DataFrame:
-    """One row: ``total``, the number of words, and ``rarity``, for each hashed counter a number up to 127 that rises
-    with the logarithm of its words' occurrences."""
-    found = lines.select(F.explode("h").alias("w")).groupBy(F.expr(f"w & {(1 << BITS) - 1}").alias("k")).agg(F.count("*").alias("n"))
-    found = lines.sparkSession.range(1 << BITS).join(found, F.col("id") == F.col("k"), "left")
+def counters(lines: DataFrame, bits: int) -> DataFrame:
+    """One row: ``rarity``, for each of 2**bits hashed counters a number up to 127 that rises with the logarithm of its
+    words' occurrences."""
+    found = lines.select(F.explode("h").alias("w")).groupBy(F.expr(f"w & {(1 << bits) - 1}").alias("k")).agg(F.count("*").alias("n"))
+    found = lines.sparkSession.range(1 << bits).join(found, F.col("id") == F.col("k"), "left")
     level = F.expr("cast(least(127, floor(4 * log2(1 + coalesce(n, 0)))) as tinyint)").alias("r")
-    table = F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["r"])  # 2**18 numbers
-    return written(found.agg(table.alias("rarity"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")), "rarity")
+    # Pieces of the table are put together in many tasks; they are 4,096 numbers each, 1,024 pieces at most.
+    piece = F.transform(F.array_sort(F.collect_list(F.struct("id", level))), lambda x: x["r"]).alias("piece")
+    found = found.groupBy(F.expr("id div 4096").alias("at")).agg(piece)
+    table = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]))
+    return written(found.agg(table.alias("rarity")), "rarity")
+
+
+def counter_bits(lines: int) -> int:
+    """Bits of the counters' numbers, for 64 words or fewer a counter where lines have 40 words: words that share a counter
+    with many others would all look frequent."""
+    return min(MAX_BITS, max(MIN_BITS, ceil(log2(1 + 40 * lines / 64))))
 
 
 def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -80,11 +90,11 @@ def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("l", "c", "first").agg(F.first("h").alias("h"))
 
 
-def by_rarity(sets: DataFrame, rarity: DataFrame, *keep: str) -> DataFrame:
+def by_rarity(sets: DataFrame, rarity: DataFrame, bits: int, *keep: str) -> DataFrame:
     """(*keep, s, n, b0, b1): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash; their
     number; and for each of 128 numbers, whether an odd number of words have it."""
     # Spark sorts longs as such only where its types say that none is null.
-    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << BITS) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(coalesce(x, 0L), 8)"
+    code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << bits) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(coalesce(x, 0L), 8)"
     out = sets.select(*keep, "h", rarity.select("rarity").scalar().alias("_table"))
     out = out.select(*keep, F.size("h").alias("n"), F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
     parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int))), 0L)"
@@ -112,17 +122,24 @@ def candidate(a: str = "a", b: str = "b") -> list[Column]:
     return [F.expr(f"least({a}.l, {b}.l) as la"), F.expr(f"greatest({a}.l, {b}.l) as lb"), F.expr(apart)]
 
 
-def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> DataFrame:
+def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent: int) -> DataFrame:
     """(l, pair): candidates by their first words, each a ``pair`` (la, lb, apart), and without one the lines that have
-    words there that are too common for it."""
-    sets = by_rarity(once, rarity, "l")
-    first = f"slice(s, 1, n - ({percent} * n + 99) div 100 + 1)"
-    sets = sets.select("l", "n", "b0", "b1", F.expr(first).alias("f"))
-    # Words too common for a key are the last ones, and all of them are one negative key that is the line's own.
-    usable = F.expr(f"filter(f, x -> shiftrightunsigned(x, 56) < {common})")
-    sets = sets.select("l", "n", "b0", "b1", F.expr("size(f)").alias("k"), usable.alias("u"))
-    keys = F.expr("if(size(u) < k, concat(u, array(l | shiftleft(1L, 63))), u)")
-    entry = sets.select("l", "n", "b0", "b1", F.posexplode(keys).alias("p", "t")).filter("t is not null")
+    keys that are too common for it.
+
+    The first word in common is among the first ``k`` of each set, ``k = n - percent * n / 100 + 1``, and the second one,
+    which all similar sets of two words and more have, is among the first ``k + 1``. A word of more than ``COMMON_WORD``
+    occurrences is a key with each word after it up to there, so groups don't grow with the table.
+    """
+    sets = by_rarity(once, rarity, bits, "l")
+    sets = sets.select("l", "n", "b0", "b1", "s", F.expr(f"n - ({percent} * n + 99) div 100 + 1 as k"))
+    usable = f"shiftrightunsigned(x, 56) < {common}"
+    alone = "transform(slice(s, 1, k), (x, i) -> struct(i as p, x as t))"
+    # The words after a common one; a line of one word has none and is told by it.
+    after = "if(n = 1, array(struct(i as p, xxhash64(x) as t)), transform(slice(s, i + 2, k - i), y -> struct(i as p, xxhash64(x, y) as t)))"
+    twos = f"flatten(transform(slice(s, 1, k), (x, i) -> if({usable}, array(struct(i as p, x as t)), {after})))"
+    # The most frequent word of the first ones is the last.
+    keys = f"if(shiftrightunsigned(get(s, k - 1), 56) < {common}, {alone}, {twos})"
+    entry = sets.select("l", "n", "b0", "b1", F.inline(F.expr(keys))).filter("t is not null")
     entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
     entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p").drop("np")
@@ -131,11 +148,11 @@ def by_words(once: DataFrame, rarity: DataFrame, common: int, percent: int) -> D
     # The smaller set of a pair needs a shorter prefix than the larger one.
     few = entry.filter(f"size <= {SMALL_GROUP} and p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
     pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {alike(percent, True)}"), "left")
-    pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP} or a.t < 0")
+    pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP}")
     return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
 
 
-def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
+def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> DataFrame:
     """Of ``lines`` (l, c, e, h), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
     others have too, the two before each, how many others, and the earliest one of them.
 
@@ -143,7 +160,7 @@ def by_twos(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     The first one that isn't has at most so many twos before it as words that its set alone has, counted double, and
     words that only the other has: ``2 * n * (100 - percent) / 100`` at most.
     """
-    sets = by_rarity(lines, rarity, "l", "c", "e")
+    sets = by_rarity(lines, rarity, bits, "l", "c", "e")
     last = f"least(n - 2, {2 * (100 - percent)} * n div 100)"
     keys = F.expr(f"if(n = 1, array(xxhash64(s[0])), transform(sequence(0, cast(greatest(0, {last}) as int)), i -> xxhash64(get(s, i), get(s, i + 1))))")
     twos = sets.select("l", "c", "e", "n", "b0", "b1", keys.alias("k")).select("l", "c", "e", "n", "b0", "b1", "k", F.posexplode("k").alias("p", "t"))
@@ -176,8 +193,9 @@ def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
 def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, removed) of ``lines_of``: every class of lines (l, c, its first line, rows), and those (l, c) that an
     earlier line matches."""
+    bits = counter_bits(lines.count())
     lines = lines.filter("l is not null")
-    rarity = counters(lines)
+    rarity = counters(lines, bits)
     classes = written(lines.groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows")), "classes")
     # The lines with the most copies are told apart here, so that each is entered but once; repeats of the others, which
     # are many lines with few copies each, are entered as they are.
@@ -189,12 +207,10 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     hot = classes.filter(F.col("rows") > most).select("l", "c", "first")
     once = lines if most >= 10_000 else lines.join(F.broadcast(hot), ["l", "c"], "left").filter(F.col("first").isNull() | (F.col("first") == earlier()))
     once = once.select("l", "h")
-    n = rarity.select("total").first()[0]
-    common = max(COMMON_WORD, n // 4096)
-    found = by_words(once, rarity, min(127, int(4 * log2(1 + common))), percent)
+    found = by_words(once, rarity, bits, int(4 * log2(1 + COMMON_WORD)), percent)
     release(lines.sparkSession)  # the entries, more than the texts
     crowd = written(classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", "first"), "crowd")
-    two = by_twos(sets_of(lines, crowd).withColumnRenamed("first", "e"), rarity, percent)
+    two = by_twos(sets_of(lines, crowd).withColumnRenamed("first", "e"), rarity, bits, percent)
     few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
     # Pairs are told by the first of several twos in a row that they share.
     shorter = few.filter(f"p <= {3 * (100 - percent)} * n div {100 + percent}")

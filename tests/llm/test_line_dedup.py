@@ -114,3 +114,25 @@ def test_many_lines_of_one_text(spark):
 def test_percent(spark):
     with pytest.raises(ValueError, match="70 to 100"):
         line_dedup.dedup_lines(frame(spark), percent=50)
+
+
+def test_frequent_words_are_keys_with_the_next_ones(spark, monkeypatch):
+    """Where every line has frequent words among its first ones, none enters all its twos for it, and nothing is lost."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, "\n".join(" ".join(rng.sample(words, rng.randint(1, 14))) for _ in range(8))) for i in range(40)]
+    docs += [(100 + i, t.replace("w7", "v7").upper()) for i, t in docs[:20]]
+    entered, by_twos = [], line_dedup.by_twos
+
+    def counted(lines, *rest):
+        entered.append(lines.count())
+        return by_twos(lines, *rest)
+
+    monkeypatch.setattr(line_dedup, "by_twos", counted)
+    monkeypatch.setattr(line_dedup, "COMMON_WORD", 16)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_all(docs) and entered == [0]
+
+
+def test_counters_grow_with_the_table():
+    assert line_dedup.counter_bits(1000) == 18 and line_dedup.counter_bits(2_570_000) == 21 and line_dedup.counter_bits(10**9) == 22
