@@ -40,3 +40,37 @@ def test_intervals(spark, tmp_path):
     forty = QUERIES["cluster_bootstrap"](spark, str(tmp_path)).first()
     r = got["right", "trajectory_id"]
     assert (forty.low, forty.high) != (r.low, r.high)
+
+
+def test_hashes_of_many_messages_at_once():
+    """The words are those of hashlib, and one resample's are made once for all sizes."""
+    from revaudit.operators import bootstrap
+
+    for r, k in ((0, 1), (7, 10), (9999, 12_345), (42, 10_000), (3, 20_001)):
+        got = np.concatenate(list(bootstrap.hashed_words(20260929, r, k)))
+        assert got.tolist() == [int.from_bytes(hashlib.sha256(f"20260929|{r}|{j}".encode()).digest()[:4], "big") for j in range(k)]
+
+
+def test_draws_are_shared(spark, monkeypatch):
+    """The generator steps once over the draws of all sizes, and sums told by codes are those told by clusters."""
+    from revaudit.operators import bootstrap
+
+    sizes = [7, 40_000, 33_000]
+    states = bootstrap.shared_states(5, sizes, 4, 2)
+    assert len(states) == 6
+    for k, first, count, key, position in states:
+        rng = random.Random(5)
+        rng.choices(range(k), k=k * first)
+        for pieces in bootstrap.twister_pieces(k, count, key, position):
+            assert np.concatenate(list(pieces)).tolist() == rng.choices(range(k), k=k)
+    table = np.array([[i % 5 - 1, i % 3 + 1] for i in range(1000)], float)
+    codes, values = bootstrap.coded(table)
+    assert codes.dtype == np.uint16 and (values[codes] == table).all()
+    assert bootstrap.coded(table + 0.5)[0] is None and bootstrap.coded(table * 1e6)[0] is None
+    sums = {n: spark.createDataFrame([(i, i % 4, 1 + i % 2) for i in range(k)], "i long, num long, den long") for n, k in (("x", 30), ("y", 50), ("z", 0))}
+    for hashed in (False, True):
+        monkeypatch.setattr(bootstrap, "MAX_CODES", 1 << 16)
+        a = sorted(map(tuple, bootstrap.intervals(spark, sums, 60, hashed=hashed).collect()))
+        monkeypatch.setattr(bootstrap, "MAX_CODES", 0)
+        assert sorted(map(tuple, bootstrap.intervals(spark, sums, 60, hashed=hashed).collect())) == a
+        assert [r[:2] for r in a] == [("x", 30), ("y", 50), ("z", 0)] and None not in a[0]
