@@ -72,3 +72,19 @@ def test_frequent_prefix_tokens_are_split(spark, monkeypatch):
     shared = spark.createDataFrame([(i, ["all", *(f"u{i}_{j}" for j in range(5))]) for i in range(400)], "k int, s array<string>")
     monkeypatch.setattr(similarity, "HOT", 100)
     assert similarity.near_pairs(shared, "k", "s", 90).count() == 0
+
+
+def test_classes_and_first_tokens(spark, monkeypatch):
+    """Only first tokens are keys, frequent ones with the next ones; a class is its smallest key."""
+    from pyspark.sql import functions as F
+
+    from revaudit.operators import similarity
+
+    monkeypatch.setattr(similarity, "HOT", 3)
+    rows = [(i, [f"x{j}" for j in range(10)] + [f"u{i % 40}_{j}" for j in range(20)]) for i in range(60)] + [(90, [f"x{j}" for j in range(10)] + [f"u0_{j}" for j in range(19)])]
+    items = spark.createDataFrame(rows, "k int, s array<string>").repartition(3)
+    members, pairs = similarity.near_classes(items, "k", "s", 90)
+    assert {r.k: r.first for r in members.select("k", F.col("first")).collect()} == {i: i % 40 if i < 60 else i for i, _ in rows}
+    assert [(r.a, r.b, r.similarity) for r in pairs.collect()] == [(0, 90, 29 / 30)]
+    sets = items.filter("k < 40 or k = 90").select(F.col("k").cast("long").alias("c"), F.transform("s", lambda x: F.xxhash64(x)).alias("h"))
+    assert [tuple(r) for r in similarity._by_hashes(sets, 90).collect()] == [(0, 90)]
