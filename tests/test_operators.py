@@ -281,3 +281,14 @@ def test_covered_recovery(spark):
     assert {r.item_id: (r.outcome, r.problem) for r in out.collect()} == {
         "a": ("accepted", None), "b": ("error", None), "c": ("accepted", "several attempts"), "d": ("accepted", "prediction and error"), "e": ("error", "no attempt"), "f": ("error", "no attempt"), "x": ("error", "not selected"),
     }
+
+
+def test_members_by_the_reader():
+    """The fast reader gives what the stack gives, in any order, and deeper texts go to the stack."""
+    from collections import Counter
+
+    texts = ['{"a":[0,{"b":"x","a":null}],"c":1.50,"d":true,"e":{}}', '{"a":NaN}', '{"a":-Infinity}', '{"a":01}', '{"a":1}x', ' [1, {"x":"\\ud800"}] ', "7", "", '{"a":"\t"}',
+             '{"a":1,}', '\ufeff{"a":1}', '{"a":1e5,"a":-0,"b":false}', '{"a":' * 50_000 + "1" + "}" * 50_000, "[" * 100_000, '{"n":' + "9" * 6000 + "}", '{"a":1}\u00a0', "{'a':1}"]
+    for text in texts:
+        assert Counter(packets.members_of(text)) == Counter(packets.members(text)), text[:40]
+    assert packets.members_of(texts[0])
