@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows turned into Python objects at once; an Arrow batch itself is bounded by Spark's bytes per batch.
 SLICE_ROWS = 256
+#: (name, path) of the tables written in the innermost ``scratch``.
+_made: ContextVar[list | None] = ContextVar("_made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +41,29 @@ def written(df: DataFrame, name: str = "t", options: dict | None = None) -> Data
     """``df`` written as Parquet to the shared folder and read again: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.options(**(options or {})).parquet(path)
+    if (made := _made.get()) is not None:
+        made.append((name, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Tables that are ``written`` in it are deleted at its end, but those of the names ``keep``, which belong to the
+    ``scratch`` around it. What is returned from it must read only those."""
+    made: list[tuple[str, str]] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+    for name, path in made:
+        if name not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])  # the folder of this table alone
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        elif (outer := _made.get()) is not None:
+            outer.append((name, path))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing holds any more: Spark's cleaner waits for the driver's garbage to be
     collected, which a driver that does little may put off until the disks of the executors are full."""

@@ -14,6 +14,10 @@ the second word in common. A set with a key that many sets share all the same, a
 neighbours in its order as twos instead. Differing words can part only so many twos, so one of the first ones is common
 to any two similar sets. Sets that share a two that is common as well are compared with the earliest one of them, which
 settles clusters of near copies without pairing them all; only lines that no match has removed meet the others.
+
+Near copies are many lines with many words in common, whose pairs grow with the square of their number. So lines with the
+same smallest hashes, or the same largest ones, are first compared with the earliest such line, verified, and marked when
+they go. Two marked lines are no candidate. Lines that these few hashes miss are found as all others are.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, release, written
+from .common import fresh, release, scratch, written
 
 MIN_BITS, MAX_BITS = 18, 22
 #: Sets that share a key are paired at once up to this number.
@@ -32,6 +36,10 @@ SMALL_GROUP = 512
 COMMON_WORD = 512
 #: Lists of this many rows at most are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for lists of one or two longs a row.
+BROADCAST_LONGS = 1_000_000
+#: As many smallest or largest hashes of a set are a key of the first comparison.
+ENDS = 3
 
 
 def row_of(key: str, text: str) -> list[Column]:
@@ -40,15 +48,18 @@ def row_of(key: str, text: str) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, tc, i, l, c, h): document and number of each line; two hashes that tell its text, in lower case, apart,
-    and the set of its words as hashes, both null for a line of less than ``least`` words. Texts are read but here: words
-    repeat, so a table of them with dictionaries is smaller than the texts."""
+    """(d, th, tc, i, l, c, h, k0, k1): document and number of each line; two hashes that tell its text, in lower case,
+    apart, the set of its words as hashes in order, and hashes of the first and of the last of them, all null for a line of
+    less than ``least`` words. Texts are read but here: words repeat, so a table of them with dictionaries is smaller than
+    the texts."""
     # Texts are hashed and split before lines come out, once a text and not once a line.
     cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.split(F.lower(text), "\n").alias("cut"))
     cut = cut.select("d", "th", "tc", F.posexplode("cut").alias("i", "line"))
     long = is_long(F.col("line"), least)
-    words = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    words = F.sort_array(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
     out = cut.select("d", "th", "tc", "i", F.when(long, F.xxhash64("line")).alias("l"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("c"), F.when(long, words).alias("h"))
+    ends = [F.expr(f"if(l is null, null, xxhash64({n}, slice(h, {at}, {ENDS})))") for n, at in ((0, "1"), (1, f"greatest(1, size(h) - {ENDS - 1})"))]
+    out = out.select("*", ends[0].alias("k0"), ends[1].alias("k1"))
     return written(out, "lines", {"parquet.dictionary.page.size": 1 << 23})
 
 
@@ -84,8 +95,10 @@ def counter_bits(lines: int) -> int:
 
 def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """(l, c, first, h) of the classes ``wanted`` (l, c, first), each once."""
-    few = wanted.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(wanted) if few else wanted
+    rows = wanted.count()
+    if BROADCAST_ROWS < rows <= BROADCAST_LONGS:  # the others' words need no shuffle
+        lines = lines.join(F.broadcast(wanted.select("l").distinct()), "l", "left_semi")
+    wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted
     found = lines.join(wanted, ["l", "c"]).filter(F.col("first") == earlier())
     return found.groupBy("l", "c", "first").agg(F.first("h").alias("h"))
 
@@ -128,10 +141,11 @@ def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent
 
     The first word in common is among the first ``k`` of each set, ``k = n - percent * n / 100 + 1``, and the second one,
     which all similar sets of two words and more have, is among the first ``k + 1``. A word of more than ``COMMON_WORD``
-    occurrences is a key with each word after it up to there, so groups don't grow with the table.
+    occurrences is a key with each word after it up to there, so groups don't grow with the table. Of a pair, one line at
+    least is not ``marked``.
     """
-    sets = by_rarity(once, rarity, bits, "l")
-    sets = sets.select("l", "n", "b0", "b1", "s", F.expr(f"n - ({percent} * n + 99) div 100 + 1 as k"))
+    sets = by_rarity(once, rarity, bits, "l", "marked")
+    sets = sets.select("l", "marked", "n", "b0", "b1", "s", F.expr(f"n - ({percent} * n + 99) div 100 + 1 as k"))
     usable = f"shiftrightunsigned(x, 56) < {common}"
     alone = "transform(slice(s, 1, k), (x, i) -> struct(i as p, x as t))"
     # The words after a common one; a line of one word has none and is told by it.
@@ -139,19 +153,28 @@ def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent
     twos = f"flatten(transform(slice(s, 1, k), (x, i) -> if({usable}, array(struct(i as p, x as t)), {after})))"
     # The most frequent word of the first ones is the last.
     keys = f"if(shiftrightunsigned(get(s, k - 1), 56) < {common}, {alone}, {twos})"
-    entry = sets.select("l", "n", "b0", "b1", F.inline(F.expr(keys))).filter("t is not null")
-    entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
+    entry = sets.select("l", "marked", "n", "b0", "b1", F.inline(F.expr(keys))).filter("t is not null")
+    entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 21) | shiftleft(cast(marked as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
-    entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 20) as int) as n", "cast(np & 1048575 as int) as p").drop("np")
+    entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 21) as int) as n", "np & 1048576 as m", "cast(np & 1048575 as int) as p").drop("np")
     # The first word in common passes the positional filter.
-    entry = entry.selectExpr("t", "l", "n", "p", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
+    entry = entry.selectExpr("t", "l", "m", "n", "p", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
     # The smaller set of a pair needs a shorter prefix than the larger one.
     few = entry.filter(f"size <= {SMALL_GROUP} and p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
-    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and {alike(percent, True)}"), "left")
+    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and a.m & b.m = 0 and {alike(percent, True)}"), "left")
     pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP}")
     return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
 
 
+def by_ends(classes: DataFrame, percent: int) -> DataFrame:
+    """(la, lb, apart): of the lines with the same first or last hashes, each with the earliest one, if their sizes allow it."""
+    keys = classes.select("l", "n", "first", F.explode(F.array("k0", "k1")).alias("t"))
+    lead = keys.groupBy("t").agg(F.min(F.struct("first", "l", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    both = keys.drop("first").join(lead.select("t", F.col("lead.l").alias("e"), F.col("lead.n").alias("m")), "t")
+    both = both.filter(f"l != e and least(n, m) * 100 >= {percent} * greatest(n, m)")
+    return written(both.select(F.least("l", "e").alias("la"), F.greatest("l", "e").alias("lb"), F.abs(F.col("n") - F.col("m")).alias("apart")).distinct(), "ends")
+
+
 def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> DataFrame:
     """Of ``lines`` (l, c, e, h), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
     others have too, the two before each, how many others, and the earliest one of them.
@@ -169,25 +192,33 @@ def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> Dat
     return written(twos.join(groups, "t"), "shared")
 
 
-def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class."""
-    ends = pairs.select(F.explode(F.array("la", "lb")).alias("l")).distinct()
-    sets = written(sets_of(lines, written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")), "sets")
-    a, b = (sets.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
-    pairs = pairs.join(a, "la").join(b, "lb")
-    later = F.col("fa") > F.col("fb")
-    turned = [F.when(later, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(x) for x in "lc"] + [F.when(later, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"e{x}") for x in "lc"]
-    pairs = written(pairs.select(*turned, "apart"), "ordered")
-
-    def verified(p: DataFrame) -> DataFrame:
-        p = p.join(sets.select("l", "c", F.col("h").alias("ha")), ["l", "c"])
-        p = p.join(sets.select(F.col("l").alias("el"), F.col("c").alias("ec"), F.col("h").alias("hb")), ["el", "ec"])
-        same = F.size(F.array_intersect("ha", "hb"))
-        return written(p.filter(same * 100 >= percent * (F.size("ha") + F.size("hb") - same)).select("l", "c").distinct(), "gone")
-
-    best = pairs.groupBy("l", "c").agg(F.min(F.struct("apart", "el", "ec")).alias("x")).select("l", "c", "x.el", "x.ec")
-    first = verified(best)
-    return first.unionByName(verified(pairs.join(first, ["l", "c"], "left_anti").select("l", "c", "el", "ec")))
+def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, gone: DataFrame | None = None) -> DataFrame:
+    """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class, unless it is ``gone``."""
+    with scratch(lines.sparkSession, "gone"):
+        ends = pairs.select(F.explode(F.array("la", "lb")).alias("l")).distinct()
+        wanted = written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")
+        a, b = (wanted.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
+        pairs = pairs.join(a, "la").join(b, "lb")
+        later = F.col("fa") > F.col("fb")
+        turned = [F.when(later, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(x) for x in "lc"] + [F.when(later, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"e{x}") for x in "lc"]
+        pairs = pairs.select(*turned, "apart")
+        pairs = written(pairs if gone is None else pairs.join(gone, ["l", "c"], "left_anti"), "ordered")
+        release(lines.sparkSession)
+        if gone is not None:  # words are read only for what there is to compare
+            ends = pairs.select("l", "c").union(pairs.select("el", "ec")).distinct()
+            wanted = written(wanted.join(ends, ["l", "c"], "left_semi"), "compared")
+        sets = written(sets_of(lines, wanted), "sets")
+        release(lines.sparkSession)
+
+        def verified(p: DataFrame) -> DataFrame:
+            p = p.join(sets.select("l", "c", F.col("h").alias("ha")), ["l", "c"])
+            p = p.join(sets.select(F.col("l").alias("el"), F.col("c").alias("ec"), F.col("h").alias("hb")), ["el", "ec"])
+            same = F.size(F.array_intersect("ha", "hb"))
+            return written(p.filter(same * 100 >= percent * (F.size("ha") + F.size("hb") - same)).select("l", "c").distinct(), "gone")
+
+        best = pairs.groupBy("l", "c").agg(F.min(F.struct("apart", "el", "ec")).alias("x")).select("l", "c", "x.el", "x.ec")
+        first = verified(best)
+        return first.unionByName(verified(pairs.join(first, ["l", "c"], "left_anti").select("l", "c", "el", "ec")))
 
 
 def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +227,11 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     bits = counter_bits(lines.count())
     lines = lines.filter("l is not null")
     rarity = counters(lines, bits)
-    classes = written(lines.groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows")), "classes")
+    of_class = [F.first(x).alias(x) for x in ("k0", "k1")] + [F.first(F.size("h")).alias("n")]
+    classes = written(lines.groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows"), *of_class), "classes")
+    with scratch(lines.sparkSession, "gone"):
+        near = matches(lines, classes, by_ends(classes, percent), percent)
+    release(lines.sparkSession)
     # The lines with the most copies are told apart here, so that each is entered but once; repeats of the others, which
     # are many lines with few copies each, are entered as they are.
     total, most = 0, 1
@@ -206,7 +241,10 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
             break
     hot = classes.filter(F.col("rows") > most).select("l", "c", "first")
     once = lines if most >= 10_000 else lines.join(F.broadcast(hot), ["l", "c"], "left").filter(F.col("first").isNull() | (F.col("first") == earlier()))
-    once = once.select("l", "h")
+    # Where two classes have one address, the line of the other one is not marked, or once with and once without.
+    mark = near.select("l", F.col("c").alias("mc"))
+    once = once.join(F.broadcast(mark) if mark.count() <= BROADCAST_LONGS else mark, "l", "left")
+    once = once.select("l", "h", F.expr("coalesce(c = mc, false)").cast("int").alias("marked"))
     found = by_words(once, rarity, bits, int(4 * log2(1 + COMMON_WORD)), percent)
     release(lines.sparkSession)  # the entries, more than the texts
     crowd = written(classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", "first"), "crowd")
@@ -219,7 +257,7 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     pairs = found.filter("pair is not null").select("pair.*").unionByName(close).unionByName(star)
     pairs = written(pairs.groupBy("la", "lb").agg(F.min("apart").alias("apart")), "pairs")
     release(lines.sparkSession)
-    gone = matches(lines, classes, pairs, percent)
+    gone = near.unionByName(matches(lines, classes, pairs, percent, near))
     # Lines that are still there meet the others of their large groups.
     a, b = many.join(gone, ["l", "c"], "left_anti").alias("a"), many.alias("b")
     more = a.join(b, F.expr(f"a.t = b.t and b.e < a.e and b.l != a.lead.l and {alike(percent)}")).select(*candidate())
@@ -240,16 +278,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent must be from 70 to 100")
-    all_lines = lines_of(docs, key, text, least)
-    classes, gone = removed_classes(all_lines, percent)
-    # For each document the numbers of the lines that go, as bits of one long for 64 lines.
-    word, bit, none = F.expr("i div 64").alias("w"), F.expr("shiftleft(1L, i % 64)"), F.lit(0).cast("long")
-    have = all_lines.select("d", "th", "tc", word, F.when(F.col("l").isNotNull(), bit).otherwise(none).alias("long"), none.alias("kept"))
-    kept = classes.join(gone, ["l", "c"], "left_anti").select("first.*").select("d", "th", "tc", word, none.alias("long"), bit.alias("kept"))
-    both = have.unionByName(kept).groupBy("d", "th", "tc", "w").agg(F.expr("bit_or(long) & ~bit_or(kept)").alias("out"))
-    change = both.groupBy("d", "th", "tc").agg(F.bit_or("out").alias("some"), F.array_sort(F.collect_list(F.struct("w", "out"))).alias("out"))
     d, th, tc, out, lines = (fresh(docs, x) for x in ("d", "th", "tc", "out", "lines"))
-    change = written(change.filter("some != 0").select(F.col("d").alias(d), F.col("th").alias(th), F.col("tc").alias(tc), F.col("out.out").alias(out)), "change")
+    with scratch(docs.sparkSession, "change"):
+        all_lines = lines_of(docs, key, text, least)
+        classes, gone = removed_classes(all_lines, percent)
+        # For each document the numbers of the lines that go, as bits of one long for 64 lines.
+        word, bit, none = F.expr("i div 64").alias("w"), F.expr("shiftleft(1L, i % 64)"), F.lit(0).cast("long")
+        have = all_lines.select("d", "th", "tc", word, F.when(F.col("l").isNotNull(), bit).otherwise(none).alias("long"), none.alias("kept"))
+        kept = classes.join(gone, ["l", "c"], "left_anti").select("first.*").select("d", "th", "tc", word, none.alias("long"), bit.alias("kept"))
+        both = have.unionByName(kept).groupBy("d", "th", "tc", "w").agg(F.expr("bit_or(long) & ~bit_or(kept)").alias("out"))
+        change = both.groupBy("d", "th", "tc").agg(F.bit_or("out").alias("some"), F.array_sort(F.collect_list(F.struct("w", "out"))).alias("out"))
+        change = written(change.filter("some != 0").select(F.col("d").alias(d), F.col("th").alias(th), F.col("tc").alias(tc), F.col("out.out").alias(out)), "change")
     few = change.agg(F.count("*") + F.coalesce(F.sum(F.size(out)), F.lit(0))).first()[0] <= 2 * BROADCAST_ROWS
     own = [F.col(key).eqNullSafe(F.col(d)), F.xxhash64(text) == F.col(th), F.xxhash64(F.lit(1), text) == F.col(tc)]
     rows = docs.join(F.broadcast(change) if few else change, own[0] & own[1] & own[2], "left")

@@ -136,3 +136,50 @@ def test_frequent_words_are_keys_with_the_next_ones(spark, monkeypatch):
 
 def test_counters_grow_with_the_table():
     assert line_dedup.counter_bits(1000) == 18 and line_dedup.counter_bits(2_570_000) == 21 and line_dedup.counter_bits(10**9) == 22
+
+
+def near_copies(count):
+    """Documents of one line each: 6 clusters of lines that differ in one word of 30, with words that clusters share."""
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(12)]
+    bases = [[f"c{k}w{i}" for i in range(24)] + rng.sample(shared, 6) for k in range(6)]
+    lines = [[w if i != j % 30 else f"new{k}n{j}" for i, w in enumerate(base)] for k, base in enumerate(bases) for j in range(count)]
+    rng.shuffle(lines)
+    return [(i, " ".join(x)) for i, x in enumerate(lines)]
+
+
+def test_near_copies_are_not_all_paired(spark, monkeypatch):
+    """Candidates of clusters of near copies grow with the number of lines, not with its square."""
+    paired, matches, found = [], line_dedup.matches, {}
+
+    def counted(lines, classes, pairs, *rest):
+        paired.append(pairs.count())
+        return matches(lines, classes, pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "matches", counted)
+    for count in (15, 60):
+        docs, paired[:] = near_copies(count), []
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+        assert got == brute_all(docs)
+        found[count] = sum(paired)
+    assert found[60] < 6 * found[15] and found[60] < 6 * 60 * 59 // 2 // 2
+
+
+@pytest.mark.parametrize("limit", [-1, 1_000_000])
+def test_marked_lines_still_match_others(spark, monkeypatch, limit):
+    """A line that goes still takes later ones with it that only it matches; lists of marks by broadcast and by shuffle."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LONGS", limit)
+    words = [f"w{i}" for i in range(30)]
+    chain = [" ".join(words[i:] + [f"x{j}" for j in range(i)]) for i in range(0, 12, 2)]
+    docs = [(i, x) for i, x in enumerate(chain)] + [(50 + i, t) for i, t in near_copies(5)] + [(100 + i, t.replace("s1", "z")) for i, t in near_copies(5)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_all(docs) and got[0] == chain[0] and not any(got[i] for i in range(1, 6))
+
+
+def test_tables_in_between_are_deleted(spark, monkeypatch, tmp_path):
+    from revaudit.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"{tmp_path}/{random.random()}")
+    out = line_dedup.dedup_lines(frame(spark))
+    left = sorted(p.name for p in tmp_path.glob("*/*"))
+    assert left == ["change"] and out.count() == len(rows())
