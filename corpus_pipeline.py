@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revaudit.llm import bpe, line_dedup, mixing, ngram_join, repetition
-from revaudit.llm.common import written
+from revaudit.llm.common import scratch, written
 from revaudit.llm.queries import WEIGHTS, levels
 
 #: Dropped documents up to this number are broadcast as a list of keys; more are joined by a shuffle.
@@ -36,12 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of the rows that links of 0.8 over five words connect, the one with the smallest doc_id, nulls last, then the
     smallest hash of its text, then the smallest other columns. Rows decide, not keys: a repeated doc_id or a null one
     takes nothing else along, and of repeated rows one stays. Texts without words all stay."""
-    found = written(ngram_join.linked(docs, "doc_id", "text", 5, 80).filter("root is not null"), "found")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))).alias("f"))
-    first = first.select(F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.lit(True).alias("first"))
-    keys = found.groupBy(F.col("doc_id").alias("kd"), F.col("text_hash").alias("kh")).agg(F.count("*").alias("times"))
-    keys = keys.join(first, F.col("kd").eqNullSafe(F.col("fd")) & (F.col("kh") == F.col("fh")), "left").filter("first is null or times > 1")
-    change = written(keys.select("kd", "kh", F.col("first").isNotNull().alias("stays")), "change")
+    with scratch(spark, "change"):
+        found = written(ngram_join.linked(docs, "doc_id", "text", 5, 80).filter("root is not null"), "found")
+        first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))).alias("f"))
+        first = first.select(F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), F.lit(True).alias("first"))
+        keys = found.groupBy(F.col("doc_id").alias("kd"), F.col("text_hash").alias("kh")).agg(F.count("*").alias("times"))
+        keys = keys.join(first, F.col("kd").eqNullSafe(F.col("fd")) & (F.col("kh") == F.col("fh")), "left").filter("first is null or times > 1")
+        change = written(keys.select("kd", "kh", F.col("first").isNotNull().alias("stays")), "change")
     few = change.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(change) if few else change, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.xxhash64("text") == F.col("kh")), "left")
     alone = rows.filter("stays is null").select(*docs.columns)
