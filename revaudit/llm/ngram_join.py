@@ -18,6 +18,8 @@ cluster are not listed.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,23 +50,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of the n-grams of words, ASCII letters in lower case; a text with fewer words is one
-    n-gram, one without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+def shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of the n-grams of words, ASCII letters in lower case; a text with fewer
+    words is one n-gram, one without words has none. The words of all texts are one array."""
+    words = [(t or b"").lower().split() for t in texts]
+    sizes = list(map(len, words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, sum(sizes))
+    out, at = [], 0
     with np.errstate(over="ignore"):
-        if len(h) < n:
-            total = np.uint64(len(h))
-            for x in h:
-                total = total * _A + x
-            return mixed(np.array([total], np.uint64))
-        total = np.full(len(h) - n + 1, n, np.uint64)
+        total = np.full(max(0, len(h) - n + 1), n, np.uint64)
         for k in range(n):
             total = total * _A + h[k : k + len(total)]
-    return np.unique(mixed(total))
+        total = mixed(total)
+        for size in sizes:
+            if size >= n:
+                x = np.sort(total[at : at + size - n + 1])
+                new = np.empty(len(x), bool)
+                new[0] = True
+                np.not_equal(x[1:], x[:-1], out=new[1:])
+                x = x[new]
+            else:
+                x = np.full(min(size, 1), size, np.uint64)
+                for w in h[at : at + size]:
+                    x = x * _A + w
+                x = mixed(x)
+            out.append(x)
+            at += size
+    return out
 
 
 class Groups:
@@ -86,26 +98,31 @@ class Groups:
         after = [own + 1] if own + 1 < len(self.low) and 100 * size >= self.percent * self.low[own + 1] else []
         return [g for g in [own, *after] if self.k[g] > 0]  # with k = 0 only equal sets are similar
 
-    def signatures(self, x: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    def signatures(self, x: np.ndarray, sums: bool = True) -> tuple[list[np.ndarray], list[int]]:
         """The signatures, the group in their last six bits and the part in the PART_BITS before, and (group, parts that
-        may be passed over, whether empty subsets are entered too) in turn."""
+        may be passed over, whether empty subsets are entered too) in turn, alone without ``sums``."""
         out, spare = [], []
         with np.errstate(over="ignore"):
             hashed = mixed(x * _B + _A)
+            third, high = hashed % np.uint64(3), x >> np.uint64(11)
             for g in self.of(len(x)):
                 parts = self.parts[g]
-                cell = ((x >> np.uint64(11)) % np.uint64(parts) * np.uint64(3) + hashed % np.uint64(3)).astype(np.int64)
-                total = np.zeros(3 * parts, np.uint64)
-                np.add.at(total, cell, hashed)
-                total, some = total.reshape(parts, 3), np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
-                total, some = total.sum(axis=1, keepdims=True) - total, some.sum(axis=1, keepdims=True) - some > 0  # all but one
+                cell = (high % np.uint64(parts) * np.uint64(3) + third).astype(np.int64)
+                some = np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
+                some = some.sum(axis=1, keepdims=True) - some > 0  # all but one
                 empty = parts - int(some.all(axis=1).sum())
                 all_parts = empty > self.m[g]
+                spare += [g, self.m[g] if all_parts else self.m[g] - empty, int(all_parts)]
+                if not sums:
+                    continue
+                total = np.zeros(3 * parts, np.uint64)
+                np.add.at(total, cell, hashed)
+                total = total.reshape(parts, 3)
+                total = total.sum(axis=1, keepdims=True) - total
                 which = np.arange(3 * parts) if all_parts else np.flatnonzero(some)
                 sig = mixed(total.ravel()[which] + which.astype(np.uint64) * _A + np.uint64(g) * _B)
                 place = (which // 3).astype(np.uint64) & np.uint64((1 << PART_BITS) - 1)
                 out.append((sig >> np.uint64(PART_BITS + 6) << np.uint64(PART_BITS + 6)) | (place << np.uint64(6)) | np.uint64(g))
-                spare += [g, self.m[g] if all_parts else self.m[g] - empty, int(all_parts)]
         return out, spare
 
 
@@ -175,10 +192,10 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
-                for d, h, t in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
-                    x = shingles(t, n)
+                d, h, t = (c.to_pylist() for c in batch.slice(start, 512).columns)
+                for d, h, x in zip(d, h, shingles(t, n)):
                     c = class_of(x) if len(x) else (None, None)
-                    rows.append((d, h, len(x), *c, [] if c[0] is None or c in seen else groups.signatures(x)[1]))
+                    rows.append((d, h, len(x), *c, [] if c[0] is None or c in seen else groups.signatures(x, False)[1]))
                     seen.add(c)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
@@ -187,8 +204,7 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 sigs, names = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
-                for t in batch.column(0).slice(start, 256).to_pylist():
-                    x = shingles(t, n)
+                for x in shingles(batch.column(0).slice(start, 256).to_pylist(), n):
                     if len(x) and (c := class_of(x)) not in seen:
                         seen.add(c)
                         sigs += groups.signatures(x)[0]
@@ -206,12 +222,16 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
     classes = written(classes, "classes")
 
     # Who shares a signature: one row for a class and signature, the size of the group and its smallest class.
+    # Most signatures are of one class alone. They go first, in the order of signatures, which are sorted as longs;
+    # only what is left is ordered by class too.
     by = Window.partitionBy("sig").orderBy("c")
     whole = Window.partitionBy("sig")
     # Signatures are made from the texts again instead of being kept: they would be larger than the texts.
-    entry = renamed(docs.select(body).mapInArrow(sign, entered), clashes)
+    entry = docs.select(body).mapInArrow(sign, entered)
+    entry = entry.drop("c2") if clashes.isEmpty() else renamed(entry, clashes)
+    entry = entry.select("sig", "c", F.min("c").over(whole).alias("lead"), F.max("c").over(whole).alias("last")).filter("lead != last")
     entry = entry.withColumn("again", F.lag("c").over(by) == F.col("c")).filter(~F.coalesce("again", F.lit(False)))
-    entry = entry.select("sig", "c", F.count("*").over(whole).alias("size"), F.min("c").over(whole).alias("lead")).filter("size > 1")
+    entry = entry.select("sig", "c", F.count("*").over(whole).alias("size"), "lead")
     entry = written(entry.withColumn("g", F.col("sig").bitwiseAND(F.lit(63)).cast("int")), "entries")
     small, large = entry.filter(F.col("size") <= SMALL_GROUP), entry.filter(F.col("size") > SMALL_GROUP)
 
@@ -248,7 +268,7 @@ def linked(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFr
     some = some.join(F.broadcast(wanted.select("rep").distinct()) if few else wanted.select("rep").distinct(), "rep", "left_semi")
 
     def again(texts: list) -> list[list]:
-        found = [shingles(t, n) for t in texts]
+        found = shingles(texts, n)
         return [*map(list, zip(*map(class_of, found))), [x.view(np.int64) for x in found]] if found else [[], [], []]
 
     sets = renamed(map_rows(some, [F.col("t")], again, "c long, c2 long, x array<long>"), clashes).join(F.broadcast(wanted.select("c")) if few else wanted.select("c"), "c", "left_semi")

@@ -116,3 +116,15 @@ def test_similar_sets_share_parts():
         rooms = [spare[spare[::3].index(g) * 3 + 1] for spare in (groups.signatures(y)[1] for y in (a, b))]
         assert k < 2 or len(set(a) ^ set(b)) in (k - 1, k)
         assert len(shared) > min(rooms), (n, len(shared), rooms)
+
+
+def test_shingles_of_many_texts_at_once():
+    """Words of a batch are hashed as one array; no n-gram crosses from a text into the next one."""
+    texts = [b"a b c d e", None, b"", b"A b", b"a b c d", b" \t ", b"b", b"a b c d a b c d a b c d", b"x y z w"]
+    alone = [ngram_join.shingles([t], 4)[0] for t in texts]
+    together = ngram_join.shingles(texts, 4)
+    assert [x.tolist() for x in alone] == [x.tolist() for x in together]
+    assert list(map(len, together)) == [2, 0, 0, 1, 1, 0, 1, 4, 1] and set(together[4]) < set(together[0])
+    groups = ngram_join.Groups(85)
+    x = ngram_join.shingles([b" ".join(b"w%d" % i for i in range(300))], 4)[0]
+    assert groups.signatures(x, False) == ([], groups.signatures(x)[1])
