@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Pieces remembered by a Python worker before it starts afresh, and the longest piece that is remembered.
-CACHE_PIECES, CACHE_CHARS = 700_000, 64
+#: Pieces remembered by a task before it starts afresh with those of its block, and the longest piece that is remembered.
+CACHE_PIECES, CACHE_CHARS = 200_000, 64
 
 
 #: Texts of characters below this one are split by the standard library's quicker matcher.
@@ -127,9 +127,10 @@ class Vocabulary:
         split = [self.split(t) for t in texts]
         known = self.known
         new = {p for pieces in split for p in pieces if p not in known}
-        if len(known) + len(new) > CACHE_PIECES:
+        if len(known) + len(new) > CACHE_PIECES:  # the frequent ones are in this block too
+            here = {p: known[p] for pieces in split for p in pieces if p in known}
             known.clear()
-            new = {p for pieces in split for p in pieces}
+            known.update(here)
         new = sorted(new)
         known.update(zip(new, self.replay(new)))
         out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
@@ -138,6 +139,10 @@ class Vocabulary:
                 del known[p]
         return out
 
+    def forget(self) -> None:
+        """Workers stay when a task has ended, beside other stages; they keep the vocabulary, but no pieces."""
+        self.known.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -175,7 +180,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {'ids array<int>, ' if ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return map_rows(df, [F.col(key), F.col(text)], run, schema, rows=512)
+    return map_rows(df, [F.col(key), F.col(text)], run, schema, rows=512, done=lambda: vocabulary(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -96,8 +96,9 @@ def struct_of(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
 
 
-def map_rows(df: DataFrame, columns: list, fn: Callable[..., list[list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """``fn(*columns)`` over slices of ``df``: it gets one list a column and returns one list an output column.
+def map_rows(df: DataFrame, columns: list, fn: Callable[..., list[list]], schema: str, rows: int = SLICE_ROWS, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """``fn(*columns)`` over slices of ``df``: it gets one list a column and returns one list an output column. ``done``
+    is called at the end of each task.
 
     Text columns that ``fn`` wants as UTF-8 should be cast to binary first. Integers with nulls stay integers.
     """
@@ -105,11 +106,14 @@ def map_rows(df: DataFrame, columns: list, fn: Callable[..., list[list]], schema
     arrow = to_arrow_schema(struct_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                out = fn(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    out = fn(*(c.to_pylist() for c in part.columns))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
+        finally:
+            done()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -40,3 +40,26 @@ def test_table(spark, peer):
     back = bpe.decode(bpe.encode(frame(spark), PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(r[0]), r[1] or "") for r in rows())
     assert bpe.encode(empty(spark), PATH, P.PATTERN).count() == 0
+
+
+def test_workers_keep_no_pieces(monkeypatch):
+    """A full cache keeps the pieces of the block at hand, never more than its bound, and none when a task has ended."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    v = bpe.Vocabulary(path, P.PATTERN)
+    blocks = [["the end of " + " ".join(f"w{k}x{i}" for i in range(6))] for k in range(8)]
+    for block in blocks:
+        got = v.encode(block)
+        assert v.decode(got[0]).decode() == block[0] and len(v.known) <= 40 and " of" in v.known
+    known = dict(v.known)
+    v.forget()
+    assert not v.known and v.encode(blocks[-1]) == got and v.known.items() <= known.items()
+    ended = []
+    monkeypatch.setattr(bpe, "map_rows", lambda *a, done, **b: ended.append(done))
+    frame = type("Frame", (), {"schema": {"doc_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}})
+    monkeypatch.setattr(bpe.F, "col", lambda c: c)
+    bpe.encode(frame, path, P.PATTERN)
+    bpe.vocabulary(path, P.PATTERN).encode(["a few words"])
+    ended[0]()
+    assert not bpe.vocabulary(path, P.PATTERN).known
