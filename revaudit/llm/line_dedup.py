@@ -17,7 +17,7 @@ settles clusters of near copies without pairing them all; only lines that no mat
 
 Near copies are many lines with many words in common, whose pairs grow with the square of their number. So lines with the
 same smallest hashes, or the same largest ones, are first compared with the earliest such line, verified, and marked when
-they go. Two marked lines are no candidate. Lines that these few hashes miss are found as all others are.
+they go, if 128 parity bits of both allow it. Two marked lines are no candidate. Lines that these few hashes miss are found as all others are.
 """
 
 from __future__ import annotations
@@ -48,9 +48,8 @@ def row_of(key: str, text: str) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, tc, i, l, c, h, k0, k1): document and number of each line; two hashes that tell its text, in lower case,
-    apart, the set of its words as hashes in order, and hashes of the first and of the last of them, all null for a line of
-    less than ``least`` words. Texts are read but here: words repeat, so a table of them with dictionaries is smaller than
+    """(d, th, tc, i, l, c, h): document and number of each line; two hashes that tell its text, in lower case, apart, and
+    the set of its words as hashes in order, all null for a line of less than ``least`` words. Texts are read but here: words repeat, so a table of them with dictionaries is smaller than
     the texts."""
     # Texts are hashed and split before lines come out, once a text and not once a line.
     cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.split(F.lower(text), "\n").alias("cut"))
@@ -58,8 +57,6 @@ def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     long = is_long(F.col("line"), least)
     words = F.sort_array(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
     out = cut.select("d", "th", "tc", "i", F.when(long, F.xxhash64("line")).alias("l"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("c"), F.when(long, words).alias("h"))
-    ends = [F.expr(f"if(l is null, null, xxhash64({n}, slice(h, {at}, {ENDS})))") for n, at in ((0, "1"), (1, f"greatest(1, size(h) - {ENDS - 1})"))]
-    out = out.select("*", ends[0].alias("k0"), ends[1].alias("k1"))
     return written(out, "lines", {"parquet.dictionary.page.size": 1 << 23})
 
 
@@ -103,6 +100,13 @@ def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("l", "c", "first").agg(F.first("h").alias("h"))
 
 
+def parity(words: str, *keep: str) -> list[list[str]]:
+    """Two lists for ``selectExpr`` in turn, which give (*keep, b0, b1): for each of 128 numbers, whether an odd number of
+    the longs ``words`` have it."""
+    odd = f"coalesce(aggregate({words}, 0L, (a, x) -> a ^ shiftleft({{}}, cast(x & 63 as int))), 0L)"
+    return [[*keep, f"{odd.format('1L')} as b", f"{odd.format('shiftright(x, 6) & 1')} as b1"], [*keep, "b ^ b1 as b0", "b1"]]
+
+
 def by_rarity(sets: DataFrame, rarity: DataFrame, bits: int, *keep: str) -> DataFrame:
     """(*keep, s, n, b0, b1): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash; their
     number; and for each of 128 numbers, whether an odd number of words have it."""
@@ -110,9 +114,8 @@ def by_rarity(sets: DataFrame, rarity: DataFrame, bits: int, *keep: str) -> Data
     code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << bits) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(coalesce(x, 0L), 8)"
     out = sets.select(*keep, "h", rarity.select("rarity").scalar().alias("_table"))
     out = out.select(*keep, F.size("h").alias("n"), F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
-    parity = "coalesce(aggregate(s, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int))), 0L)"
-    out = out.select(*keep, "s", "n", F.expr(parity.format("1L")).alias("b"), F.expr(parity.format("shiftright(x, 6) & 1")).alias("b1"))
-    return out.select(*keep, "s", "n", F.expr("b ^ b1").alias("b0"), "b1")
+    first, then = parity("s", *keep, "s", "n")
+    return out.selectExpr(*first).selectExpr(*then)
 
 
 def alike(percent: int, positions: bool = False) -> str:
@@ -167,7 +170,8 @@ def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent
 
 
 def by_ends(classes: DataFrame, percent: int) -> DataFrame:
-    """(la, lb, apart): of the lines with the same first or last hashes, each with the earliest one, if their sizes allow it."""
+    """(la, lb, apart): of the lines with the same first or last hashes, each with the earliest one, if their sizes allow
+    it; ``apart`` is the difference of sizes here."""
     keys = classes.select("l", "n", "first", F.explode(F.array("k0", "k1")).alias("t"))
     lead = keys.groupBy("t").agg(F.min(F.struct("first", "l", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     both = keys.drop("first").join(lead.select("t", F.col("lead.l").alias("e"), F.col("lead.n").alias("m")), "t")
@@ -192,6 +196,17 @@ def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> Dat
     return written(twos.join(groups, "t"), "shared")
 
 
+def of_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (l, c, el, ec) those whose parity bits allow the similarity, ``apart`` the number that differ. Only
+    the bits of ``sets`` are shuffled for it."""
+    first, then = parity("h", "l", "c", "size(h) as n")
+    bits = sets.selectExpr(*first).selectExpr("l", "c", "n", *then[-2:])
+    a, b = bits.toDF("l", "c", "na", "a0", "a1"), bits.toDF("el", "ec", "nb", "b0", "b1")
+    both = pairs.drop("apart").join(a, ["l", "c"]).join(b, ["el", "ec"])
+    both = both.withColumn("apart", F.expr("cast(bit_count(a0 ^ b0) + bit_count(a1 ^ b1) as int)"))
+    return both.filter(f"{100 + percent} * apart <= {100 - percent} * (na + nb)").select("l", "c", "el", "ec", "apart")
+
+
 def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, gone: DataFrame | None = None) -> DataFrame:
     """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class, unless it is ``gone``."""
     with scratch(lines.sparkSession, "gone"):
@@ -209,12 +224,21 @@ def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             wanted = written(wanted.join(ends, ["l", "c"], "left_semi"), "compared")
         sets = written(sets_of(lines, wanted), "sets")
         release(lines.sparkSession)
+        if gone is None:  # many pairs of the first comparison have little more in common than their ends
+            pairs = written(of_parity(pairs, sets, percent), "likely")
+            release(lines.sparkSession)
 
         def verified(p: DataFrame) -> DataFrame:
-            p = p.join(sets.select("l", "c", F.col("h").alias("ha")), ["l", "c"])
-            p = p.join(sets.select(F.col("l").alias("el"), F.col("c").alias("ec"), F.col("h").alias("hb")), ["el", "ec"])
+            p = written(p, "next")
+            few = p.count() <= BROADCAST_LONGS
+            # Only the sets of its own side are shuffled for each of the two joins.
+            side = lambda l: sets.join(F.broadcast(p.select(F.col(l).alias("l")).distinct()), "l", "left_semi") if few else sets
+            p = p.join(side("l").select("l", "c", F.col("h").alias("ha")), ["l", "c"])
+            p = p.join(side("el").select(F.col("l").alias("el"), F.col("c").alias("ec"), F.col("h").alias("hb")), ["el", "ec"])
             same = F.size(F.array_intersect("ha", "hb"))
-            return written(p.filter(same * 100 >= percent * (F.size("ha") + F.size("hb") - same)).select("l", "c").distinct(), "gone")
+            out = written(p.filter(same * 100 >= percent * (F.size("ha") + F.size("hb") - same)).select("l", "c").distinct(), "gone")
+            release(lines.sparkSession)
+            return out
 
         best = pairs.groupBy("l", "c").agg(F.min(F.struct("apart", "el", "ec")).alias("x")).select("l", "c", "x.el", "x.ec")
         first = verified(best)
@@ -227,8 +251,12 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     bits = counter_bits(lines.count())
     lines = lines.filter("l is not null")
     rarity = counters(lines, bits)
-    of_class = [F.first(x).alias(x) for x in ("k0", "k1")] + [F.first(F.size("h")).alias("n")]
-    classes = written(lines.groupBy("l", "c").agg(F.min(earlier()).alias("first"), F.count("*").alias("rows"), *of_class), "classes")
+    release(lines.sparkSession)
+    ends = [F.expr(f"xxhash64({n}, slice(h, {at}, {ENDS}))").alias(f"k{n}") for n, at in ((0, "1"), (1, f"greatest(1, size(h) - {ENDS - 1})"))]
+    of_class = [F.first(x).alias(x) for x in ("k0", "k1", "n")]
+    classes = lines.select("l", "c", earlier().alias("first"), F.size("h").alias("n"), *ends).groupBy("l", "c")
+    classes = written(classes.agg(F.min("first").alias("first"), F.count("*").alias("rows"), *of_class), "classes")
+    release(lines.sparkSession)
     with scratch(lines.sparkSession, "gone"):
         near = matches(lines, classes, by_ends(classes, percent), percent)
     release(lines.sparkSession)

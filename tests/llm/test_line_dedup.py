@@ -183,3 +183,30 @@ def test_tables_in_between_are_deleted(spark, monkeypatch, tmp_path):
     out = line_dedup.dedup_lines(frame(spark))
     left = sorted(p.name for p in tmp_path.glob("*/*"))
     assert left == ["change"] and out.count() == len(rows())
+
+
+def test_only_likely_pairs_are_verified(spark, monkeypatch):
+    """Lines of equal ends that have little else in common are told by parity bits: their words are not brought together."""
+    import xxhash
+
+    def h(w):
+        x = xxhash.xxh64_intdigest(w.encode(), 42)
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    words = sorted({f"w{i}" for i in range(3000)}, key=h)
+    low, rest = words[:3], words[3:]
+    rng = random.Random(4)
+    docs = [(i, " ".join(low + rng.sample(rest, 30))) for i in range(40)]
+    docs += [(100 + i, t.rsplit(" ", 1)[0] + " other") for i, t in docs[:10]]
+    verified, write = [], line_dedup.written
+
+    def counted(df, name="t", *rest):
+        out = write(df, name, *rest)
+        if name == "next":
+            verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_all(docs) and not any(got[100 + i] for i in range(10))
+    assert 0 < sum(verified) <= 25  # 49 lines share their first hashes with the earliest one
