@@ -34,6 +34,10 @@ MIN_BITS, MAX_BITS = 18, 22
 SMALL_GROUP = 512
 #: Words of more occurrences than this are a key only together with another word.
 COMMON_WORD = 512
+#: Sets of more classes than this are paired in so many bands of sizes, one after the other, so that the entries of a part
+#: of them are on the disks at a time.
+BAND_ROWS = 50_000
+BANDS = 3
 #: Lists of this many rows at most are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: The same for lists of one or two longs a row.
@@ -48,15 +52,16 @@ def row_of(key: str, text: str) -> list[Column]:
 
 
 def lines_of(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(d, th, tc, i, l, c, h): document and number of each line; two hashes that tell its text, in lower case, apart, and
-    the set of its words as hashes in order, all null for a line of less than ``least`` words. Texts are read but here: words repeat, so a table of them with dictionaries is smaller than
-    the texts."""
+    """(d, th, tc, i, l, c, h, n, b0, b1): document and number of each line; two hashes that tell its text, in lower case,
+    apart; the set of its words as hashes in order, their number, and their parity bits; all null for a line of less than
+    ``least`` words. Texts are read but here: words repeat, so a table of them with dictionaries is smaller than the texts."""
     # Texts are hashed and split before lines come out, once a text and not once a line.
     cut = docs.filter(F.col(text).isNotNull()).select(*row_of(key, text), F.split(F.lower(text), "\n").alias("cut"))
     cut = cut.select("d", "th", "tc", F.posexplode("cut").alias("i", "line"))
     long = is_long(F.col("line"), least)
     words = F.sort_array(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
     out = cut.select("d", "th", "tc", "i", F.when(long, F.xxhash64("line")).alias("l"), F.when(long, F.xxhash64(F.lit(1), "line")).alias("c"), F.when(long, words).alias("h"))
+    out = parity(out, "d", "th", "tc", "i", "l", "c", "h")
     return written(out, "lines", {"parquet.dictionary.page.size": 1 << 23})
 
 
@@ -90,32 +95,30 @@ def counter_bits(lines: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, ceil(log2(1 + 40 * lines / 64))))
 
 
-def sets_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(l, c, first, h) of the classes ``wanted`` (l, c, first), each once."""
+def sets_of(lines: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """(l, c, first, h, *more) of the classes ``wanted`` (l, c, first), each once."""
     rows = wanted.count()
     if BROADCAST_ROWS < rows <= BROADCAST_LONGS:  # the others' words need no shuffle
         lines = lines.join(F.broadcast(wanted.select("l").distinct()), "l", "left_semi")
     wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted
     found = lines.join(wanted, ["l", "c"]).filter(F.col("first") == earlier())
-    return found.groupBy("l", "c", "first").agg(F.first("h").alias("h"))
+    return found.groupBy("l", "c", "first").agg(*(F.first(x).alias(x) for x in ("h", *more)))
 
 
-def parity(words: str, *keep: str) -> list[list[str]]:
-    """Two lists for ``selectExpr`` in turn, which give (*keep, b0, b1): for each of 128 numbers, whether an odd number of
-    the longs ``words`` have it."""
-    odd = f"coalesce(aggregate({words}, 0L, (a, x) -> a ^ shiftleft({{}}, cast(x & 63 as int))), 0L)"
-    return [[*keep, f"{odd.format('1L')} as b", f"{odd.format('shiftright(x, 6) & 1')} as b1"], [*keep, "b ^ b1 as b0", "b1"]]
+def parity(sets: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, n, b0, b1): number of the longs ``h``, in order, and for each of 128 numbers whether an odd number of them
+    have it: b0 of the negative ones, b1 of the others, so each is looked at but once."""
+    sets = sets.select(*keep, F.size("h").alias("n"), F.expr("array_position(sort_array(array_append(h, 0L)), 0L)").cast("int").alias("_z"))
+    odd = "aggregate(slice(h, {}), 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+    return sets.selectExpr(*keep, "n", f"{odd.format('1, _z - 1')} as b0", f"{odd.format('_z, n')} as b1")
 
 
 def by_rarity(sets: DataFrame, rarity: DataFrame, bits: int, *keep: str) -> DataFrame:
-    """(*keep, s, n, b0, b1): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash; their
-    number; and for each of 128 numbers, whether an odd number of words have it."""
+    """(*keep, s): the words ``h`` as longs, rarest first: seven bits of rarity above 56 bits of hash."""
     # Spark sorts longs as such only where its types say that none is null.
     code = f"shiftleft(cast(coalesce(_table[cast(x & {(1 << bits) - 1} as int)], 0Y) as bigint), 56) | shiftrightunsigned(coalesce(x, 0L), 8)"
     out = sets.select(*keep, "h", rarity.select("rarity").scalar().alias("_table"))
-    out = out.select(*keep, F.size("h").alias("n"), F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
-    first, then = parity("s", *keep, "s", "n")
-    return out.selectExpr(*first).selectExpr(*then)
+    return out.select(*keep, F.expr(f"sort_array(transform(h, x -> {code}))").alias("s"))
 
 
 def alike(percent: int, positions: bool = False) -> str:
@@ -138,17 +141,37 @@ def candidate(a: str = "a", b: str = "b") -> list[Column]:
     return [F.expr(f"least({a}.l, {b}.l) as la"), F.expr(f"greatest({a}.l, {b}.l) as lb"), F.expr(apart)]
 
 
-def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent: int) -> DataFrame:
+def bands(classes: DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Bounds (over, up to) of sizes of sets, with about equal numbers of first words between them; one pair of bounds for
+    a small table. There are no more than some hundred different sizes in the logarithm that they are counted by."""
+    top = 1 << 30
+    found = classes.groupBy(F.expr("cast(floor(8 * log2(n)) as int)").alias("at")).agg(F.count("*").alias("rows"), F.sum(F.expr(f"n - ({percent} * n + 99) div 100 + 1")).alias("words"), F.max("n").alias("n"))
+    found = sorted((r.n, r.words, r.rows) for r in found.collect())
+    if sum(r for *_, r in found) <= BAND_ROWS:
+        return [(0, top)]
+    total, before, cuts = sum(w for _, w, _ in found), 0, []
+    for n, w, _ in found[:-1]:
+        before += w
+        if before * BANDS >= total * (len(cuts) + 1):
+            cuts.append(n)
+    cuts = cuts[: BANDS - 1]
+    return list(zip([0, *cuts], [*cuts, top]))
+
+
+def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent: int, over: int, upto: int) -> DataFrame:
     """(l, pair): candidates by their first words, each a ``pair`` (la, lb, apart), and without one the lines that have
-    keys that are too common for it.
+    keys that are too common for it. The larger set of a pair has more than ``over`` words and ``upto`` at most.
 
     The first word in common is among the first ``k`` of each set, ``k = n - percent * n / 100 + 1``, and the second one,
-    which all similar sets of two words and more have, is among the first ``k + 1``. A word of more than ``COMMON_WORD``
+    which all similar sets of two words and more have, is among the first ``k + 1``. The smaller set of a pair has fewer
+    that it alone has, so those that can only be the smaller one here enter fewer. A word of more than ``COMMON_WORD``
     occurrences is a key with each word after it up to there, so groups don't grow with the table. Of a pair, one line at
     least is not ``marked``.
     """
-    sets = by_rarity(once, rarity, bits, "l", "marked")
-    sets = sets.select("l", "marked", "n", "b0", "b1", "s", F.expr(f"n - ({percent} * n + 99) div 100 + 1 as k"))
+    once = once.filter(f"n <= {upto} and 100 * n >= {percent} * {over + 1}")
+    sets = by_rarity(once, rarity, bits, "l", "marked", "n", "b0", "b1")
+    shorter = f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"
+    sets = sets.select("l", "marked", "n", "b0", "b1", "s", F.expr(f"if(n > {over}, n - ({percent} * n + 99) div 100, {shorter}) + 1 as k"))
     usable = f"shiftrightunsigned(x, 56) < {common}"
     alone = "transform(slice(s, 1, k), (x, i) -> struct(i as p, x as t))"
     # The words after a common one; a line of one word has none and is told by it.
@@ -159,35 +182,39 @@ def by_words(once: DataFrame, rarity: DataFrame, bits: int, common: int, percent
     entry = sets.select("l", "marked", "n", "b0", "b1", F.inline(F.expr(keys))).filter("t is not null")
     entry = entry.selectExpr("t", "l", "shiftleft(cast(n as bigint), 21) | shiftleft(cast(marked as bigint), 20) | least(p, 1048575) as np", "b0", "b1")  # repeated lines too
     entry = entry.withColumn("size", F.count("*").over(Window.partitionBy("t")))
-    entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 21) as int) as n", "np & 1048576 as m", "cast(np & 1048575 as int) as p").drop("np")
+    entry = entry.selectExpr("*", "cast(shiftrightunsigned(np, 21) as int) as n", "np & 1048576 as m", "cast(np & 1048575 as int) as p").drop("np").filter("size > 1")
     # The first word in common passes the positional filter.
     entry = entry.selectExpr("t", "l", "m", "n", "p", f"100 * n - {100 + percent} * p as u", f"{percent} * n as v", "b0", "b1", "size")
     # The smaller set of a pair needs a shorter prefix than the larger one.
-    few = entry.filter(f"size <= {SMALL_GROUP} and p <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}")
-    pairs = entry.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and a.m & b.m = 0 and {alike(percent, True)}"), "left")
+    few = entry.filter(f"size <= {SMALL_GROUP} and p <= {shorter}")
+    large = entry.filter(f"n > {over} or size > {SMALL_GROUP}")
+    pairs = large.alias("a").join(few.alias("b"), F.expr(f"a.t = b.t and a.m & b.m = 0 and {alike(percent, True)}"), "left")
     pairs = pairs.filter(f"b.l is not null or a.size > {SMALL_GROUP}")
     return written(pairs.select(F.col("a.l").alias("l"), F.when(F.col("b.l").isNotNull(), F.struct(*candidate())).alias("pair")), "candidates")
 
 
 def by_ends(classes: DataFrame, percent: int) -> DataFrame:
-    """(la, lb, apart): of the lines with the same first or last hashes, each with the earliest one, if their sizes allow
-    it; ``apart`` is the difference of sizes here."""
-    keys = classes.select("l", "n", "first", F.explode(F.array("k0", "k1")).alias("t"))
-    lead = keys.groupBy("t").agg(F.min(F.struct("first", "l", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    both = keys.drop("first").join(lead.select("t", F.col("lead.l").alias("e"), F.col("lead.n").alias("m")), "t")
-    both = both.filter(f"l != e and least(n, m) * 100 >= {percent} * greatest(n, m)")
-    return written(both.select(F.least("l", "e").alias("la"), F.greatest("l", "e").alias("lb"), F.abs(F.col("n") - F.col("m")).alias("apart")).distinct(), "ends")
+    """(la, lb, apart): of the lines with the same first or last hashes, each with the earliest one, if their sizes and
+    parity bits allow it."""
+    found = []
+    for end in ("k0", "k1"):  # one after the other, so that the keys of one are on the disks at a time
+        keys = classes.select("l", "n", "b0", "b1", "first", F.col(end).alias("t"))
+        lead = keys.groupBy("t").agg(F.min(F.struct("first", "l", "n", "b0", "b1")).alias("b"), F.count("*").alias("size")).filter("size > 1")
+        both = keys.drop("first").join(lead.drop("size"), "t").select(F.struct("l", "n", "b0", "b1").alias("a"), "b")
+        found.append(written(both.filter(alike(percent)).select(*candidate()), "ends"))
+        release(classes.sparkSession)
+    return written(found[0].unionByName(found[1]).distinct(), "ends")
 
 
 def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Of ``lines`` (l, c, e, h), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
+    """Of ``lines`` (l, c, e, h, n, b0, b1), e its place, all (t, q, l, c, e, n, p, b0, b1, size, lead): the twos of neighbours that
     others have too, the two before each, how many others, and the earliest one of them.
 
     Two similar sets differ in so few words that fewer twos of their common words are parted by them than there are.
     The first one that isn't has at most so many twos before it as words that its set alone has, counted double, and
     words that only the other has: ``2 * n * (100 - percent) / 100`` at most.
     """
-    sets = by_rarity(lines, rarity, bits, "l", "c", "e")
+    sets = by_rarity(lines, rarity, bits, "l", "c", "e", "n", "b0", "b1")
     last = f"least(n - 2, {2 * (100 - percent)} * n div 100)"
     keys = F.expr(f"if(n = 1, array(xxhash64(s[0])), transform(sequence(0, cast(greatest(0, {last}) as int)), i -> xxhash64(get(s, i), get(s, i + 1))))")
     twos = sets.select("l", "c", "e", "n", "b0", "b1", keys.alias("k")).select("l", "c", "e", "n", "b0", "b1", "k", F.posexplode("k").alias("p", "t"))
@@ -196,22 +223,18 @@ def by_twos(lines: DataFrame, rarity: DataFrame, bits: int, percent: int) -> Dat
     return written(twos.join(groups, "t"), "shared")
 
 
-def of_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (l, c, el, ec) those whose parity bits allow the similarity, ``apart`` the number that differ. Only
-    the bits of ``sets`` are shuffled for it."""
-    first, then = parity("h", "l", "c", "size(h) as n")
-    bits = sets.selectExpr(*first).selectExpr("l", "c", "n", *then[-2:])
-    a, b = bits.toDF("l", "c", "na", "a0", "a1"), bits.toDF("el", "ec", "nb", "b0", "b1")
-    both = pairs.drop("apart").join(a, ["l", "c"]).join(b, ["el", "ec"])
-    both = both.withColumn("apart", F.expr("cast(bit_count(a0 ^ b0) + bit_count(a1 ^ b1) as int)"))
-    return both.filter(f"{100 + percent} * apart <= {100 - percent} * (na + nb)").select("l", "c", "el", "ec", "apart")
+def with_address(classes: DataFrame, addresses: DataFrame, rows: int) -> DataFrame:
+    """(l, c, first) of the classes of ``addresses`` (l), of which there are not many more than ``rows``. A list of longs
+    is broadcast also where Spark takes it for too long, so that classes need no shuffle for it."""
+    return classes.join(F.broadcast(addresses) if rows <= BROADCAST_LONGS else addresses, "l", "left_semi").select("l", "c", "first")
 
 
 def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, gone: DataFrame | None = None) -> DataFrame:
     """(l, c): of each candidate (la, lb, apart) whose sets are similar enough, the later class, unless it is ``gone``."""
     with scratch(lines.sparkSession, "gone"):
         ends = pairs.select(F.explode(F.array("la", "lb")).alias("l")).distinct()
-        wanted = written(classes.join(ends, "l", "left_semi").select("l", "c", "first"), "wanted")
+        wanted = written(with_address(classes, ends, pairs.count()), "wanted")
+        release(lines.sparkSession)
         a, b = (wanted.select(F.col("l").alias(f"l{x}"), F.col("c").alias(f"c{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
         pairs = pairs.join(a, "la").join(b, "lb")
         later = F.col("fa") > F.col("fb")
@@ -224,9 +247,6 @@ def matches(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
             wanted = written(wanted.join(ends, ["l", "c"], "left_semi"), "compared")
         sets = written(sets_of(lines, wanted), "sets")
         release(lines.sparkSession)
-        if gone is None:  # many pairs of the first comparison have little more in common than their ends
-            pairs = written(of_parity(pairs, sets, percent), "likely")
-            release(lines.sparkSession)
 
         def verified(p: DataFrame) -> DataFrame:
             p = written(p, "next")
@@ -253,8 +273,8 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     rarity = counters(lines, bits)
     release(lines.sparkSession)
     ends = [F.expr(f"xxhash64({n}, slice(h, {at}, {ENDS}))").alias(f"k{n}") for n, at in ((0, "1"), (1, f"greatest(1, size(h) - {ENDS - 1})"))]
-    of_class = [F.first(x).alias(x) for x in ("k0", "k1", "n")]
-    classes = lines.select("l", "c", earlier().alias("first"), F.size("h").alias("n"), *ends).groupBy("l", "c")
+    of_class = [F.first(x).alias(x) for x in ("k0", "k1", "n", "b0", "b1")]
+    classes = lines.select("l", "c", earlier().alias("first"), "n", "b0", "b1", *ends).groupBy("l", "c")
     classes = written(classes.agg(F.min("first").alias("first"), F.count("*").alias("rows"), *of_class), "classes")
     release(lines.sparkSession)
     with scratch(lines.sparkSession, "gone"):
@@ -272,11 +292,16 @@ def removed_classes(lines: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     # Where two classes have one address, the line of the other one is not marked, or once with and once without.
     mark = near.select("l", F.col("c").alias("mc"))
     once = once.join(F.broadcast(mark) if mark.count() <= BROADCAST_LONGS else mark, "l", "left")
-    once = once.select("l", "h", F.expr("coalesce(c = mc, false)").cast("int").alias("marked"))
-    found = by_words(once, rarity, bits, int(4 * log2(1 + COMMON_WORD)), percent)
-    release(lines.sparkSession)  # the entries, more than the texts
-    crowd = written(classes.join(found.filter("pair is null").select("l"), "l", "left_semi").select("l", "c", "first"), "crowd")
-    two = by_twos(sets_of(lines, crowd).withColumnRenamed("first", "e"), rarity, bits, percent)
+    once = once.select("l", "h", "n", "b0", "b1", F.expr("coalesce(c = mc, false)").cast("int").alias("marked"))
+    found = None
+    for over, upto in bands(classes, percent):
+        some = by_words(once, rarity, bits, int(4 * log2(1 + COMMON_WORD)), percent, over, upto)
+        found = some if found is None else found.unionByName(some)
+        release(lines.sparkSession)  # the entries, more than the texts where all sizes are entered at once
+    alone = found.filter("pair is null").select("l").distinct()
+    crowd = written(with_address(classes, alone, alone.count()), "crowd")
+    release(lines.sparkSession)
+    two = by_twos(sets_of(lines, crowd, "n", "b0", "b1").withColumnRenamed("first", "e"), rarity, bits, percent)
     few, many = two.filter(F.col("size") <= SMALL_GROUP).drop("lead"), two.filter(F.col("size") > SMALL_GROUP)
     # Pairs are told by the first of several twos in a row that they share.
     shorter = few.filter(f"p <= {3 * (100 - percent)} * n div {100 + percent}")

@@ -210,3 +210,49 @@ def test_only_likely_pairs_are_verified(spark, monkeypatch):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute_all(docs) and not any(got[100 + i] for i in range(10))
     assert 0 < sum(verified) <= 25  # 49 lines share their first hashes with the earliest one
+
+
+@pytest.mark.parametrize("common, small", [(512, 512), (12, 512), (12, 4)])
+def test_bands_of_sizes(spark, monkeypatch, common, small):
+    """Sets enter in bands of sizes: no band has most of the entries, pairs across bounds are found, results are the same."""
+    monkeypatch.setattr(line_dedup, "BAND_ROWS", 10)
+    monkeypatch.setattr(line_dedup, "COMMON_WORD", common)
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", small)
+    rng = random.Random(5)
+    bases = [rng.sample([f"w{i}" for i in range(400)], n) for n in range(1, 61)]
+    docs = [(i, " ".join(x)) for i, x in enumerate(bases)]
+    for n, x in enumerate(bases):  # longer and shorter ones, some just too different
+        docs += [(1000 + n, " ".join(x + [f"x{n}y{j}" for j in range(n // 4)])), (2000 + n, " ".join(x + [f"x{n}z{j}" for j in range(n // 4 + 1)]))]
+        docs += [(3000 + n, " ".join(x[: len(x) - len(x) // 6])), (4000 + n, " ".join(rng.sample(x, len(x))[n // 5 :]))]
+    bounds, by_words = [], line_dedup.by_words
+
+    def counted(*args):
+        bounds.append(args[-2:])
+        return by_words(*args)
+
+    monkeypatch.setattr(line_dedup, "by_words", counted)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_all(docs)
+    assert len(bounds) == 3 and bounds[0][0] == 0 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_bands_share_the_first_words(spark):
+    """About a third of the first words each, also where most sets are of one size: then one band has them."""
+    sizes = spark.range(90_000).selectExpr("cast(10 + id % 90 as int) as n")
+    found = line_dedup.bands(sizes, 80)
+    share = [sizes.filter(f"n > {a} and n <= {b}").selectExpr("sum(n - (80 * n + 99) div 100 + 1)").first()[0] for a, b in found]
+    assert len(found) == 3 and max(share) < 0.5 * sum(share)
+    assert line_dedup.bands(spark.range(90_000).selectExpr("7 as n"), 80) == [(0, 1 << 30)]
+    assert line_dedup.bands(spark.range(9).selectExpr("cast(id + 1 as int) as n"), 80) == [(0, 1 << 30)]
+
+
+def test_parity_bits(spark):
+    """Two sets differ in at least as many words as in parity bits."""
+    rng = random.Random(6)
+    sets = [sorted(rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)) for n in (1, 2, 9, 70)] + [[-5], [0], [0, 5], [-64, 64]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "l long, h array<long>")
+    for r in line_dedup.parity(df, "l", "h").collect():
+        want = [0, 0]
+        for x in sets[r.l]:
+            want[x >= 0] ^= 1 << (x & 63)
+        assert (r.n, r.b0 & (1 << 64) - 1, r.b1 & (1 << 64) - 1) == (len(sets[r.l]), *want)
