@@ -88,3 +88,30 @@ def test_classes_and_first_tokens(spark, monkeypatch):
     assert [(r.a, r.b, r.similarity) for r in pairs.collect()] == [(0, 90, 29 / 30)]
     sets = items.filter("k < 40 or k = 90").select(F.col("k").cast("long").alias("c"), F.transform("s", lambda x: F.xxhash64(x)).alias("h"))
     assert [tuple(r) for r in similarity._by_hashes(sets, 90).collect()] == [(0, 90)]
+
+
+def test_sets_are_not_kept(spark, monkeypatch):
+    """Sets are read again where they are needed, neither written nor all shuffled; any token is told from any other."""
+    from revaudit.operators import similarity
+
+    kept, types = similarity.kept, []
+    monkeypatch.setattr(similarity, "kept", lambda df: types.append([t for _, t in df.dtypes]) or kept(df))
+    odd = ["", "\0", "\1", "\1\2", "\1\3", "\1\4", None, "\0\0"]
+    base = [f"t{i}" for i in range(60)]
+    sets = [base + odd[:i] for i in range(9)] + [base + [x] for x in odd] + [base + odd]
+    rows = list(enumerate(sets)) + [(3, ["z"]), (9, ["z"])]  # two sets of one key
+    pairs = set()
+    for i, a in rows:
+        for j, b in rows:
+            a_, b_ = set(a), set(b)
+            if a_ != b_ and i < j and 100 * len(a_ & b_) >= 90 * len(a_ | b_):
+                first = lambda s: min(k for k, x in rows if set(x) == s)
+                x, y = sorted((first(a_), first(b_)))
+                pairs.add((x, y, len(a_ & b_) / len(a_ | b_)))
+    items = spark.createDataFrame(rows, "k int, s array<string>").repartition(3)
+    for limit in (similarity.WANTED, 0):  # broadcast, and by a shuffle
+        monkeypatch.setattr(similarity, "WANTED", limit)
+        members, found = similarity.near_classes(items, "k", "s", 90)
+        assert sorted(map(tuple, found.collect())) == sorted(pairs)
+        assert members.count() == len(rows)
+    assert types and not any("array<string>" in t for row in types for t in row)
