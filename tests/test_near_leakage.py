@@ -115,3 +115,19 @@ def test_sets_are_not_kept(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == sorted(pairs)
         assert members.count() == len(rows)
     assert types and not any("array<string>" in t for row in types for t in row)
+
+
+def test_steps_run_over_linked_classes(spark, monkeypatch):
+    """Copies and what has no near copy take no part in the steps of the components."""
+    from revaudit.operators import similarity
+
+    kept, rows = similarity.kept, []
+    monkeypatch.setattr(similarity, "kept", lambda df: (out := kept(df), rows.append(out.count()))[0])
+    first = {**{i: i % 3 for i in range(30)}, **{i: i for i in range(40, 80)}}  # three classes of ten, forty of one
+    members = spark.createDataFrame(list(first.items()), "k long, first long")
+    pairs = spark.createDataFrame([(0, 2), (41, 42)], "a long, b long")
+    got = {r.k: (r.leakage_group_id, r.leakage_group_size) for r in similarity.class_leakage_groups(members, "k", "first", pairs).collect()}
+    root = {k: {2: 0, 42: 41}.get(f, f) for k, f in first.items()}
+    groups = {g: [k for k in root if root[k] == g] for g in root.values()}
+    assert got == {k: ("lg_" + hashlib.sha256("|".join(sorted(map(str, groups[g]))).encode()).hexdigest()[:12], len(groups[g])) for k, g in root.items()}
+    assert max(rows) <= 4
