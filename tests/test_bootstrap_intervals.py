@@ -51,6 +51,29 @@ def test_hashes_of_many_messages_at_once():
         assert got.tolist() == [int.from_bytes(hashlib.sha256(f"20260929|{r}|{j}".encode()).digest()[:4], "big") for j in range(k)]
 
 
+def test_hashes_take_long_pieces_and_blocks_are_dealt_evenly(spark, monkeypatch):
+    """A step of the hash is one over up to 100,000 messages, and no task gets more than its share of the blocks."""
+    from revaudit.operators import bootstrap
+
+    pieces = [len(w) for w in bootstrap.hashed_words(20260929, 42, 250_000)]
+    assert len(pieces) <= 7 and sum(pieces) == 250_000
+    got = np.concatenate(list(bootstrap.hashed_words(20260929, 42, 250_000)))
+    for j in (0, 9, 99_999, 100_000, 123_456, 249_999):
+        assert got[j] == int.from_bytes(hashlib.sha256(f"20260929|42|{j}".encode()).digest()[:4], "big")
+    seen, real = [], type(spark).createDataFrame
+
+    def watched(self, data, schema=None, **more):
+        out = real(self, data, schema, **more)
+        if schema and "position" in schema:
+            seen.extend(len(part) for part in data.glom().collect())
+        return out
+
+    monkeypatch.setattr(type(spark), "createDataFrame", watched)
+    sums = spark.createDataFrame([(i, i % 2, 1) for i in range(9)], "i long, num long, den long")
+    bootstrap.intervals(spark, {"x": sums}, 3200, hashed=True).collect()
+    assert sum(seen) == 64 and max(seen) <= 2
+
+
 def test_draws_are_shared(spark, monkeypatch):
     """The generator steps once over the draws of all sizes, and sums told by codes are those told by clusters."""
     from revaudit.operators import bootstrap
