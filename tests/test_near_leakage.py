@@ -131,3 +131,14 @@ def test_steps_run_over_linked_classes(spark, monkeypatch):
     groups = {g: [k for k in root if root[k] == g] for g in root.values()}
     assert got == {k: ("lg_" + hashlib.sha256("|".join(sorted(map(str, groups[g]))).encode()).hexdigest()[:12], len(groups[g])) for k, g in root.items()}
     assert max(rows) <= 4
+
+
+def test_crossing_copies_keep_no_sets(spark, tmp_path, monkeypatch):
+    """The pairs across splits are counted without a document's set in any table in between."""
+    from revaudit.operators import similarity
+
+    spark.createDataFrame(documents(3), "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, types = similarity.kept, []
+    monkeypatch.setattr(similarity, "kept", lambda df: types.append([t for _, t in df.dtypes]) or kept(df))
+    assert QUERIES["crossing_near_copies"](spark, str(tmp_path)).first().violations > 0
+    assert types and not any("array<string>" in t for row in types for t in row)
